@@ -69,7 +69,7 @@ def softmax(scores: Sequence[Column]) -> list[Column]:
 def score(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns + s0..s{n-1} logits. Rows with a NULL key are excluded."""
     keep = list(rule.needed_attributes() if keep is None else keep)
-    base = df.where(F.col(key).isNotNull()).select(key, *keep)
+    base = df.where(F.col(key).isNotNull()).select(key, *sorted(set(keep) | set(rule.factor_attributes())))
     noisy = with_noise(base, rule.seed, rule.choice_ids, key)
     scores = [logit(rule, i).alias(f"s{i}") for i in range(len(rule.choices))]
     return noisy.select(key, *keep, *scores)
@@ -84,7 +84,7 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     """
     keep = list(rule.needed_attributes() if keep is None else keep)
     n = len(rule.choices)
-    base = df.where(F.col(key).isNotNull()).select(key, *keep)
+    base = df.where(F.col(key).isNotNull()).select(key, *sorted(set(keep) | set(rule.factor_attributes())))
     noisy = with_noise(base, rule.seed, rule.choice_ids, key, draw=(mode == "sampled"))
     scores = [logit(rule, i) for i in range(n)]
     probs = softmax(scores)

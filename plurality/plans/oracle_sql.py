@@ -134,7 +134,139 @@ SELECT ch.choice_index, ch.choice, tot.n, round({pick}, {digits}) AS total,
 FROM tot, {choices_values(rule.choice_ids)}"""
 
 
+def with_orders(rule: Rule, mode: str = "expected") -> str:
+    return f"WITH {ORDER_PROFILE},\n{scored_cte(rule, mode=mode)}"
+
+
+def hash_uniform_sql(rule: Rule) -> str:
+    cols = ", ".join(f"{unit(rule.seed, c)} AS u_{c}" for c in rule.choice_ids)
+    return f"""WITH {ORDER_PROFILE}
+SELECT unit_id, {cols}, {unit(rule.seed, DRAW_SUFFIX)} AS u_sample,
+       CAST(md5_number_lower({q(rule.seed + ':')} || unit_id || ':sample') AS VARCHAR) AS h_sample
+FROM order_profile"""
+
+
+def per_row_sql(rule: Rule, prefix: str, digits: int = 9) -> str:
+    cols = ", ".join(f"round({prefix}{i}, {digits}) AS {prefix}_{c}" for i, c in enumerate(rule.choice_ids))
+    return f"{with_orders(rule)}\nSELECT unit_id, {cols} FROM probs"
+
+
+def pick(n: int, prefix: str = "t", idx: str = "ch.choice_index") -> str:
+    return f"CASE {idx} " + " ".join(f"WHEN {i} THEN {prefix}{i}" for i in range(n)) + " END"
+
+
+def apportion_sql(rule: Rule, digits: int = 6) -> str:
+    n = len(rule.choices)
+    sums = ", ".join(f"sum(p{i}) AS t{i}" for i in range(n))
+    return f"""{with_orders(rule)},
+tot AS (SELECT count(*) AS n, {sums} FROM probs),
+lng AS (SELECT ch.choice_index, ch.choice, tot.n, {pick(n)} AS t,
+               CAST(round_even({pick(n)}, 0) AS BIGINT) AS r
+        FROM tot, {choices_values(rule.choice_ids)}),
+rk AS (SELECT *, row_number() OVER (ORDER BY r DESC, choice_index) AS k, sum(r) OVER () AS rsum FROM lng)
+SELECT n, choice_index, choice, r + CASE WHEN k = 1 THEN n - rsum ELSE 0 END AS count,
+       round(t * 100.0 / n, {digits}) AS percent
+FROM rk"""
+
+
+def breakdown_sql(rule: Rule, catalog: Catalog, digits: int = 6) -> str:
+    n = len(rule.choices)
+    sums = ", ".join(f"sum(p{i}) AS t{i}" for i in range(n))
+    parts = []
+    for g in rule.result_groups:
+        parts.append(
+            f"SELECT {q(g)} AS group_attribute, CASE WHEN {g} IN {in_list(catalog.values(g))} THEN {g} ELSE 'Unknown' END AS group_value, "
+            f"count(*) AS n, {sums} FROM probs GROUP BY 2"
+        )
+    union = "\nUNION ALL\n".join(parts)
+    return f"""{with_orders(rule)},
+grp AS ({union})
+SELECT group_attribute, group_value, n, ch.choice_index, ch.choice, round({pick(n)} * 100.0 / n, {digits}) AS percent
+FROM grp, {choices_values(rule.choice_ids)}"""
+
+
+def segments_body(rule: Rule, catalog: Catalog, min_abs: int = 1000, divisor: int = 100, digits: int = 6) -> str:
+    n = len(rule.choices)
+    sums = ", ".join(f"sum(p{i}) AS t{i}" for i in range(n))
+    attrs = segment_attributes(rule, catalog)
+    parts = []
+    for a in attrs:
+        parts.append(
+            f"SELECT 1 AS arity, {q(a)} AS attr_1, {a} AS value_1, CAST(NULL AS VARCHAR) AS attr_2, CAST(NULL AS VARCHAR) AS value_2, "
+            f"count(*) AS n, {sums} FROM probs WHERE {a} IN {in_list(catalog.values(a))} GROUP BY {a}"
+        )
+    for a, b in combinations(attrs, 2):
+        parts.append(
+            f"SELECT 2 AS arity, {q(a)} AS attr_1, {a} AS value_1, {q(b)} AS attr_2, {b} AS value_2, "
+            f"count(*) AS n, {sums} FROM probs WHERE {a} IN {in_list(catalog.values(a))} AND {b} IN {in_list(catalog.values(b))} "
+            f"GROUP BY {a}, {b}"
+        )
+    union = "\nUNION ALL\n".join(parts)
+    return f"""{with_orders(rule)},
+tot AS (SELECT count(*) AS nn, {", ".join(f"sum(p{i}) AS a{i}" for i in range(n))} FROM probs),
+raw AS ({union}),
+seg AS (
+  SELECT arity, attr_1, value_1, attr_2, value_2, n, ch.choice_index, ch.choice,
+         round({pick(n)} * 100.0 / n, {digits}) AS percent,
+         round({pick(n)} * 100.0 / n - {pick(n, "a")} * 100.0 / nn, {digits}) AS lift_pp
+  FROM raw, tot, {choices_values(rule.choice_ids)}
+  WHERE n >= greatest({min_abs}, nn // {divisor})
+)"""
+
+
+def segments_sql(rule: Rule, catalog: Catalog, arity: int) -> str:
+    cols = "arity, attr_1, value_1, attr_2, value_2" if arity == 2 else "arity, attr_1, value_1"
+    return f"{segments_body(rule, catalog)}\nSELECT {cols}, n, choice_index, choice, percent, lift_pp FROM seg WHERE arity = {arity}"
+
+
+def best_segment_sql(rule: Rule, catalog: Catalog) -> str:
+    return f"""{segments_body(rule, catalog)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY choice_index ORDER BY lift_pp DESC, n DESC, arity, attr_1, value_1,
+                                         attr_2 NULLS FIRST, value_2 NULLS FIRST) AS rk FROM seg)
+SELECT ch.choice_index, ch.choice, r.arity, r.attr_1, r.value_1, r.attr_2, r.value_2, r.n, r.percent, r.lift_pp
+FROM {choices_values(rule.choice_ids)} LEFT JOIN (SELECT * FROM ranked WHERE rk = 1) r ON r.choice_index = ch.choice_index"""
+
+
+def missing_sql(rule: Rule) -> str:
+    parts = " + ".join(f"sum(CASE WHEN {a} IS NULL THEN 1 ELSE 0 END)" for a in rule.factor_attributes())
+    return f"{with_orders(rule)}\nSELECT count(*) AS n_units, CAST({parts} AS BIGINT) AS missing_cells FROM probs"
+
+
+def coverage_rows_sql(source: str, keys, extra_sql=None, digits: int = 6) -> str:
+    parts = []
+    for i, (a, conds) in enumerate(keys):
+        extra = (", " + extra_sql[i]) if extra_sql else ""
+        parts.append(
+            f"SELECT {i} AS key_index, {q(a)} AS attribute, {q('|'.join(conds))} AS conditions, count(*) AS n, "
+            f"count({a}) AS valid, count(*) - count({a}) AS missing, count(*) FILTER (WHERE {a} IN {in_list(conds)}) AS matched, "
+            f"round(count(*) FILTER (WHERE {a} IN {in_list(conds)}) * 100.0 / count(*), {digits}) AS matched_pct_all, "
+            f"CASE WHEN count({a}) > 0 THEN round(count(*) FILTER (WHERE {a} IN {in_list(conds)}) * 100.0 / count({a}), {digits}) "
+            f"ELSE {dbl(0.0)} END AS matched_pct_valid{extra} FROM {source}"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+def top_factors_sql(rule: Rule) -> str:
+    order = top_factor_order(rule, 3)
+    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
+    extra = [f"{rank} AS rank, {pos} AS factor_position, {dbl(st)} AS max_abs_effect" for rank, pos, st in order]
+    return f"""WITH {ORDER_PROFILE},
+cov AS ({coverage_rows_sql("order_profile", keys, extra)})
+SELECT rank, factor_position, attribute, conditions, max_abs_effect, n, valid, matched, matched_pct_all FROM cov"""
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
+    "hash_uniform": hash_uniform_sql(S.STANDARD_RULE),
+    "score_logits": per_row_sql(S.STANDARD_RULE, "s"),
+    "score_logits_join": per_row_sql(S.STANDARD_RULE, "s"),
+    "softmax_probs": per_row_sql(S.STANDARD_RULE, "p"),
+    "apportion_counts": apportion_sql(S.STANDARD_RULE),
+    "breakdown_unknown": breakdown_sql(S.STANDARD_RULE, S.ORDER_CATALOG),
+    "segments_1way": segments_sql(S.STANDARD_RULE, S.ORDER_CATALOG, 1),
+    "segments_2way": segments_sql(S.STANDARD_RULE, S.ORDER_CATALOG, 2),
+    "best_segment": best_segment_sql(S.STANDARD_RULE, S.ORDER_CATALOG),
+    "missing_cells": missing_sql(S.STANDARD_RULE),
+    "top_factors": top_factors_sql(S.STANDARD_RULE),
 }

@@ -35,7 +35,98 @@ def share_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.shares(scored, S.STANDARD_RULE, DIGITS)
 
 
+def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed uniforms per unit: one per choice and the sampled-mode draw, plus
+    the exact unsigned 64-bit hash of the draw."""
+    from plurality.functions.hashing import md5_lo64_hex, unit_uniform
+
+    rule = S.STANDARD_RULE
+    key = F.col("unit_id")
+    cols = [unit_uniform(rule.seed, key, c).alias(f"u_{c}") for c in rule.choice_ids]
+    draw_text = F.concat(F.lit(rule.seed + ":"), key, F.lit(":sample"))
+    return _orders(spark, sf_dir).select(
+        "unit_id", *cols, unit_uniform(rule.seed, key, "sample").alias("u_sample"),
+        F.conv(md5_lo64_hex(draw_text), 16, 10).alias("h_sample"),
+    )
+
+
+def _rounded(df: DataFrame, prefix: str, rule, digits: int) -> DataFrame:
+    return df.select("unit_id", *[F.round(f"{prefix}{i}", digits).alias(f"{prefix}_{c}") for i, c in enumerate(rule.choice_ids)])
+
+
+def score_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.score(_orders(spark, sf_dir), S.STANDARD_RULE, keep=[]), "s", S.STANDARD_RULE, ROW_DIGITS)
+
+
+def score_logits_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = S.STANDARD_RULE
+    ft = scoring.factor_table(spark, rule)
+    return _rounded(scoring.score_by_join(_orders(spark, sf_dir), rule, ft), "s", rule, ROW_DIGITS)
+
+
+def softmax_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = S.STANDARD_RULE
+    return _rounded(scoring.probabilities(_orders(spark, sf_dir), rule, keep=[]), "p", rule, ROW_DIGITS)
+
+
+def apportion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.probabilities(_orders(spark, sf_dir), S.STANDARD_RULE)
+    return shares.apportioned_counts(scored, S.STANDARD_RULE, DIGITS)
+
+
+def breakdown_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.probabilities(_orders(spark, sf_dir), S.STANDARD_RULE)
+    return shares.breakdown(scored, S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.probabilities(_orders(spark, sf_dir), S.STANDARD_RULE)
+    return shares.segments(scored, S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS)
+
+
+def segments_1way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).where("arity = 1").drop("attr_2", "value_2")
+
+
+def segments_2way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).where("arity = 2")
+
+
+def best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares.best_segments(spark, _segments(spark, sf_dir), S.STANDARD_RULE)
+
+
+def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.probabilities(_orders(spark, sf_dir), S.STANDARD_RULE)
+    return shares.missing_cells(scored, S.STANDARD_RULE.factor_attributes())
+
+
+def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three strongest factors of the rule with their observed coverage."""
+    from plurality.operators.evidence import coverage
+
+    rule = S.STANDARD_RULE
+    order = shares.top_factor_order(rule, 3)
+    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
+    extra = [[F.lit(rank).alias("rank"), F.lit(pos).alias("factor_position"), F.lit(strength).alias("max_abs_effect")]
+             for rank, pos, strength in order]
+    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
+    return cov.select("rank", "factor_position", "attribute", "conditions", "max_abs_effect", "n", "valid", "matched",
+                      "matched_pct_all")
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
+    "hash_uniform": hash_uniform,
+    "score_logits": score_logits,
+    "score_logits_join": score_logits_join,
+    "softmax_probs": softmax_probs,
+    "apportion_counts": apportion_counts,
+    "breakdown_unknown": breakdown_unknown,
+    "segments_1way": segments_1way,
+    "segments_2way": segments_2way,
+    "best_segment": best_segment,
+    "missing_cells": missing_cells,
+    "top_factors": top_factors,
 }
