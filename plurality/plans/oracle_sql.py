@@ -255,6 +255,174 @@ cov AS ({coverage_rows_sql("order_profile", keys, extra)})
 SELECT rank, factor_position, attribute, conditions, max_abs_effect, n, valid, matched, matched_pct_all FROM cov"""
 
 
+def evidence_counts_sql(evidence, choices) -> str:
+    def match(sel):
+        return "(" + " OR ".join(f"{x.attribute} IN {in_list(x.conditions)}" for x in sel) + ")"
+
+    def obs(sel):
+        return "(" + " OR ".join(f"{x.attribute} IS NOT NULL" for x in sel) + ")"
+
+    cols = ["count(*) AS n"]
+    for i, c in enumerate(choices):
+        cols.append(f"count(*) FILTER (WHERE {match(evidence.selectors[c])}) AS matched{i}")
+        cols.append(f"count(*) FILTER (WHERE {obs(evidence.selectors[c])}) AS valid{i}")
+    anym = " OR ".join(match(evidence.selectors[c]) for c in choices)
+    cols.append(f"count(*) FILTER (WHERE {anym}) AS any_match")
+    return f"WITH {DOCUMENT_PROFILE},\nev AS (SELECT {', '.join(cols)} FROM document_profile)"
+
+
+def prior_evidence_sql(evidence, choices, digits: int = 6) -> str:
+    n = len(choices)
+    msum = " + ".join(f"matched{i}" for i in range(n))
+    return f"""{evidence_counts_sql(evidence, choices)}
+SELECT n, any_match, round(any_match * 100.0 / n, {digits}) AS any_match_pct, ch.choice_index, ch.choice,
+       {pick(n, "matched")} AS matched, {pick(n, "valid")} AS valid, n - {pick(n, "valid")} AS missing,
+       round({pick(n, "matched")} * 100.0 / n, {digits}) AS matched_pct_all,
+       round({pick(n, "matched")} * 100.0 / ({msum}), {digits}) AS share_of_matches
+FROM ev, {choices_values(choices)}"""
+
+
+def prior_empirical_sql(evidence, choices, authored) -> str:
+    n = len(choices)
+    msum = " + ".join(f"matched{i}" for i in range(n))
+    auth = "CASE ch.choice_index " + " ".join(f"WHEN {i} THEN {dbl(authored[c])}" for i, c in enumerate(choices)) + " END"
+    return f"""{evidence_counts_sql(evidence, choices)}
+SELECT ch.choice_index, ch.choice,
+       CASE WHEN ({msum}) = 0 THEN {auth} ELSE {pick(n, "matched")} / CAST(({msum}) AS DOUBLE) END AS prior,
+       CASE WHEN ({msum}) = 0 THEN 'authored' ELSE 'empirical' END AS source
+FROM ev, {choices_values(choices)}"""
+
+
+def factor_coverage_sql(factors) -> str:
+    return f"WITH {DOCUMENT_PROFILE}\n{coverage_rows_sql('document_profile', coverage_keys(factors))}"
+
+
+def ensemble_sums_cte(ens, priors) -> str:
+    """CTE ``sums(prior_id, prior_index, perspective_id, perspective_index, choice_index, choice, n, total)``."""
+    choices = ens.choice_ids
+    n = len(choices)
+    s_cols, w_cols, p_cols, sums, vals = [], [], [], [], []
+    for h, (pid, prior) in enumerate(priors):
+        for p, persp in enumerate(ens.perspectives):
+            rule = ens.rule_for(persp, prior)
+            names = [f"s_{h}_{p}_{c}" for c in range(n)]
+            s_cols += [f"{logit(rule, c)} AS {names[c]}" for c in range(n)]
+            w, pr = softmax_cols(names, f"x_{h}_{p}_")
+            w_cols.append(w)
+            p_cols.append(pr)
+            for c in range(n):
+                sums.append(f"sum(x_{h}_{p}_p{c}) AS t_{h}_{p}_{c}")
+                vals.append((h, pid, p, persp.id, c, choices[c], f"t_{h}_{p}_{c}"))
+    values = ", ".join(f"({k}, {h}, {q(pid)}, {p}, {q(pp)}, {c}, {q(ch)})" for k, (h, pid, p, pp, c, ch, _) in enumerate(vals))
+    total = "CASE v.k " + " ".join(f"WHEN {k} THEN {t}" for k, (*_, t) in enumerate(vals)) + " END"
+    return f"""WITH {ORDER_PROFILE},
+sc AS (SELECT {', '.join(s_cols)} FROM order_profile WHERE unit_id IS NOT NULL),
+sw AS (SELECT *, {', '.join(w_cols)} FROM sc),
+sp AS (SELECT *, {', '.join(p_cols)} FROM sw),
+agg AS (SELECT count(*) AS n, {', '.join(sums)} FROM sp),
+sums AS (SELECT v.prior_id, v.prior_index, v.perspective_id, v.perspective_index, v.choice_index, v.choice, agg.n,
+                {total} AS total
+         FROM agg, (VALUES {values}) AS v(k, prior_index, prior_id, perspective_index, perspective_id, choice_index, choice))"""
+
+
+def central_priors(ens):
+    return [(ens.central_prior_id, ens.central_scores())]
+
+
+def all_priors(ens):
+    return [(p.id, p.base_scores) for p in ens.priors] if ens.priors else central_priors(ens)
+
+
+def persp_shares_cte(ens, digits: int = 6) -> str:
+    return f"""{ensemble_sums_cte(ens, central_priors(ens))},
+ps AS (SELECT perspective_id, perspective_index, choice_index, choice, n, round(total, {digits}) AS total,
+              round(total * 100.0 / n, {digits}) AS percent FROM sums)"""
+
+
+def winners_cte() -> str:
+    return """wn AS (SELECT perspective_id, choice AS winner, percent FROM (
+  SELECT *, row_number() OVER (PARTITION BY perspective_id ORDER BY percent DESC, choice_index) AS rk FROM ps) WHERE rk = 1)"""
+
+
+def ensemble_perspectives_sql(ens) -> str:
+    return f"{persp_shares_cte(ens)}\nSELECT * FROM ps"
+
+
+def ensemble_winners_sql(ens) -> str:
+    return f"{persp_shares_cte(ens)},\n{winners_cte()}\nSELECT * FROM wn"
+
+
+def ensemble_consensus_sql(ens, digits: int = 6) -> str:
+    return f"""{persp_shares_cte(ens)},
+pc AS (SELECT choice_index, choice, any_value(n) AS n, avg(percent) AS mean, min(percent) AS min_pct, max(percent) AS max_pct
+       FROM ps GROUP BY choice_index, choice),
+rc AS (SELECT *, CAST(round_even(mean * n / 100.0, 0) AS BIGINT) AS r FROM pc),
+rk AS (SELECT *, row_number() OVER (ORDER BY r DESC, choice_index) AS k, sum(r) OVER () AS rsum FROM rc)
+SELECT n, choice_index, choice, round(mean, {digits}) AS percent, min_pct, max_pct, round(max_pct - min_pct, {digits}) AS width_pp,
+       r + CASE WHEN k = 1 THEN n - rsum ELSE 0 END AS count
+FROM rk"""
+
+
+def ensemble_stability_sql(ens) -> str:
+    return f"""{persp_shares_cte(ens)},
+{winners_cte()},
+wc AS (SELECT winner AS choice, count(*) AS wins FROM wn GROUP BY winner)
+SELECT choice, wins, CASE WHEN max(wins) OVER () = {len(ens.perspectives)} THEN 'stable' ELSE 'contested' END AS status,
+       CASE WHEN max(wins) OVER () = {len(ens.perspectives)} THEN choice END AS stable_winner
+FROM wc"""
+
+
+def scenarios_cte(ens, digits: int = 6) -> str:
+    return f"""{ensemble_sums_cte(ens, all_priors(ens))},
+scen AS (SELECT prior_id, prior_index, choice_index, choice, round(avg(round(total * 100.0 / n, {digits})), {digits}) AS percent
+         FROM sums GROUP BY prior_id, prior_index, choice_index, choice)"""
+
+
+def prior_sensitivity_sql(ens) -> str:
+    return f"{scenarios_cte(ens)}\nSELECT * FROM scen"
+
+
+def prior_verdict_sql(ens, digits: int = 6) -> str:
+    return f"""{scenarios_cte(ens)},
+rk AS (SELECT *, row_number() OVER (PARTITION BY prior_id ORDER BY percent DESC, choice_index) AS r FROM scen),
+per AS (SELECT prior_id, prior_index, max(CASE WHEN r = 1 THEN choice END) AS top_choice,
+               round(max(CASE WHEN r = 1 THEN percent END) - max(CASE WHEN r = 2 THEN percent END), {digits}) AS margin_pp
+        FROM rk GROUP BY prior_id, prior_index),
+pw AS (SELECT *, CASE WHEN margin_pp >= 1.0 THEN top_choice END AS winner FROM per),
+st AS (SELECT count(winner) = count(*) AND count(DISTINCT winner) = 1 AS stable, max(winner) AS w FROM pw)
+SELECT prior_id, prior_index, top_choice, margin_pp, winner,
+       CASE WHEN winner IS NOT NULL THEN 'winner' ELSE 'near_tie' END AS verdict,
+       CASE WHEN st.stable THEN 'stable' ELSE 'assumption_sensitive' END AS status,
+       CASE WHEN st.stable THEN st.w END AS stable_winner
+FROM pw, st"""
+
+
+def prior_range_sql(ens) -> str:
+    return f"{scenarios_cte(ens)}\nSELECT choice_index, choice, min(percent) AS min_pct, max(percent) AS max_pct FROM scen GROUP BY 1, 2"
+
+
+def factor_direction_sql(ens) -> str:
+    keys, extra = [], []
+    for persp in ens.perspectives:
+        for pos, f in enumerate(persp.factors):
+            keys.append((f.attribute, tuple(f.conditions)))
+            d = direction(f, ens.choice_ids)
+            extra.append(f"{q(persp.id)} AS perspective_id, {pos} AS factor_position, "
+                         f"{q(d) if d else 'CAST(NULL AS VARCHAR)'} AS direction")
+    return f"""WITH {ORDER_PROFILE},
+cov AS ({coverage_rows_sql("order_profile", keys, extra)})
+SELECT perspective_id, factor_position, attribute, conditions, direction, valid, matched, matched_pct_valid FROM cov"""
+
+
+def robust_signals_sql(ens) -> str:
+    found = robust_signal_keys(ens.perspectives, ens.choice_ids)
+    keys = [(a, conds) for (a, conds, _), _ in found]
+    extra = [f"{q(d)} AS supports, {len(ids)} AS perspective_count, {q(','.join(ids))} AS perspectives" for (_, _, d), ids in found]
+    return f"""WITH {ORDER_PROFILE},
+cov AS ({coverage_rows_sql("order_profile", keys, extra)})
+SELECT attribute, conditions, supports, perspective_count, perspectives, valid, matched FROM cov"""
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -269,4 +437,16 @@ ORACLE: dict[str, str] = {
     "best_segment": best_segment_sql(S.STANDARD_RULE, S.ORDER_CATALOG),
     "missing_cells": missing_sql(S.STANDARD_RULE),
     "top_factors": top_factors_sql(S.STANDARD_RULE),
+    "prior_evidence": prior_evidence_sql(S.DOCUMENT_EVIDENCE, S.STANDARD_RULE.choice_ids),
+    "prior_empirical": prior_empirical_sql(S.DOCUMENT_EVIDENCE, S.STANDARD_RULE.choice_ids, S.CENTRAL),
+    "factor_coverage": factor_coverage_sql(S.DOCUMENT_FACTORS),
+    "ensemble_perspectives": ensemble_perspectives_sql(S.STANDARD_ENSEMBLE),
+    "ensemble_winners": ensemble_winners_sql(S.STANDARD_ENSEMBLE),
+    "ensemble_consensus": ensemble_consensus_sql(S.STANDARD_ENSEMBLE),
+    "ensemble_stability": ensemble_stability_sql(S.STANDARD_ENSEMBLE),
+    "prior_sensitivity": prior_sensitivity_sql(S.STANDARD_ENSEMBLE),
+    "prior_sensitivity_verdict": prior_verdict_sql(S.STANDARD_ENSEMBLE),
+    "prior_sensitivity_range": prior_range_sql(S.STANDARD_ENSEMBLE),
+    "factor_direction": factor_direction_sql(S.STANDARD_ENSEMBLE),
+    "robust_signals": robust_signals_sql(S.STANDARD_ENSEMBLE),
 }

@@ -115,6 +115,115 @@ def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "matched_pct_all")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.document_profile(spark, sf_dir)
+
+
+def prior_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.evidence import evidence_report
+
+    return evidence_report(_documents(spark, sf_dir), S.DOCUMENT_EVIDENCE, S.STANDARD_RULE.choice_ids, DIGITS)
+
+
+def prior_empirical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.evidence import empirical_prior
+
+    return empirical_prior(_documents(spark, sf_dir), S.DOCUMENT_EVIDENCE, S.STANDARD_RULE.choice_ids, S.CENTRAL)
+
+
+def factor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.evidence import coverage, coverage_keys
+
+    return coverage(_documents(spark, sf_dir), coverage_keys(S.DOCUMENT_FACTORS), DIGITS)
+
+
+def _scenario_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import scenario_sums
+
+    return scenario_sums(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE)
+
+
+def _perspective_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import perspective_shares
+
+    ens = S.STANDARD_ENSEMBLE
+    priors = [(ens.central_prior_id, ens.central_scores())]
+    from plurality.operators.ensemble import scenario_sums
+
+    return perspective_shares(scenario_sums(_orders(spark, sf_dir), ens, priors), ens.central_prior_id, DIGITS)
+
+
+def ensemble_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _perspective_shares(spark, sf_dir)
+
+
+def ensemble_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import winners
+
+    return winners(_perspective_shares(spark, sf_dir))
+
+
+def ensemble_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import consensus_table
+
+    return consensus_table(_perspective_shares(spark, sf_dir), S.STANDARD_ENSEMBLE.choice_ids, DIGITS)
+
+
+def ensemble_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import stability, winners
+
+    return stability(winners(_perspective_shares(spark, sf_dir)), len(S.STANDARD_ENSEMBLE.perspectives))
+
+
+def prior_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import prior_scenarios
+
+    return prior_scenarios(_scenario_sums(spark, sf_dir), DIGITS)
+
+
+def prior_sensitivity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import prior_scenarios, prior_verdicts
+
+    return prior_verdicts(prior_scenarios(_scenario_sums(spark, sf_dir), DIGITS), DIGITS)
+
+
+def prior_sensitivity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import prior_ranges, prior_scenarios
+
+    return prior_ranges(prior_scenarios(_scenario_sums(spark, sf_dir), DIGITS))
+
+
+def factor_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direction of every perspective factor, with its observed coverage."""
+    from plurality.operators.ensemble import direction
+    from plurality.operators.evidence import coverage
+
+    ens = S.STANDARD_ENSEMBLE
+    keys, extra = [], []
+    for persp in ens.perspectives:
+        for pos, f in enumerate(persp.factors):
+            keys.append((f.attribute, tuple(f.conditions)))
+            extra.append([F.lit(persp.id).alias("perspective_id"), F.lit(pos).alias("factor_position"),
+                          F.lit(direction(f, ens.choice_ids)).cast("string").alias("direction")])
+    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
+    return cov.select("perspective_id", "factor_position", "attribute", "conditions", "direction", "valid", "matched",
+                      "matched_pct_valid")
+
+
+def robust_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals backed by two or more perspectives, with observed coverage."""
+    from plurality.operators.ensemble import robust_signal_keys
+    from plurality.operators.evidence import coverage
+
+    ens = S.STANDARD_ENSEMBLE
+    found = robust_signal_keys(ens.perspectives, ens.choice_ids)
+    keys = [(a, conds) for (a, conds, _), _ in found]
+    extra = [[F.lit(d).alias("supports"), F.lit(len(ids)).alias("perspective_count"), F.lit(",".join(ids)).alias("perspectives")]
+             for (_, _, d), ids in found]
+    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
+    return cov.select("attribute", "conditions", "supports", "perspective_count", "perspectives", "valid", "matched")
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -129,4 +238,16 @@ REGISTRY: dict[str, Query] = {
     "best_segment": best_segment,
     "missing_cells": missing_cells,
     "top_factors": top_factors,
+    "prior_evidence": prior_evidence,
+    "prior_empirical": prior_empirical,
+    "factor_coverage": factor_coverage,
+    "ensemble_perspectives": ensemble_perspectives,
+    "ensemble_winners": ensemble_winners,
+    "ensemble_consensus": ensemble_consensus,
+    "ensemble_stability": ensemble_stability,
+    "prior_sensitivity": prior_sensitivity,
+    "prior_sensitivity_verdict": prior_sensitivity_verdict,
+    "prior_sensitivity_range": prior_sensitivity_range,
+    "factor_direction": factor_direction,
+    "robust_signals": robust_signals,
 }
