@@ -423,6 +423,61 @@ cov AS ({coverage_rows_sql("order_profile", keys, extra)})
 SELECT attribute, conditions, supports, perspective_count, perspectives, valid, matched FROM cov"""
 
 
+PACKED_KEY = "coalesce(source_record_id, source || ':' || CAST(source_row_index AS VARCHAR))"
+
+
+def decode_field_sql(i: int, values) -> str:
+    ov = f"list_filter(attribute_overrides, lambda x: x.field_index = {i})[1].value"
+    bb = i // 8
+    bit = f"((CAST('0x' || substr(hex(null_bitmap), {2 * bb + 1}, 2) AS INTEGER) >> {i % 8}) & 1)"
+    byte = f"CAST('0x' || substr(hex(attributes), {2 * (i // 2) + 1}, 2) AS INTEGER)"
+    code = f"({byte} >> 4)" if i % 2 else f"({byte} & 15)"
+    lst = "[" + ", ".join(q(v) for v in values) + "]"
+    return (
+        f"CASE WHEN {ov} IS NOT NULL THEN {ov} "
+        f"WHEN null_bitmap IS NOT NULL AND octet_length(null_bitmap) > {bb} AND {bit} = 1 THEN NULL "
+        f"WHEN octet_length(attributes) <= {i // 2} THEN NULL "
+        f"ELSE {lst}[{code} + 1] END"
+    )
+
+
+def decode_wide_sql(fields) -> str:
+    cols = ", ".join(f"{decode_field_sql(i, vals)} AS {name}" for i, (name, vals) in enumerate(fields))
+    return f"WITH {PACKED_PROFILE}\nSELECT {PACKED_KEY} AS unit_id, {cols} FROM packed_profile"
+
+
+def decode_long_sql(fields) -> str:
+    return f"""WITH wide AS ({decode_wide_sql(fields)}),
+lng AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR field IN ({", ".join(name for name, _ in fields)})))
+SELECT unit_id, CAST(substr(field, 2) AS INTEGER) AS field_index, field, value FROM lng"""
+
+
+def overrides_sql(fields) -> str:
+    return f"""WITH {PACKED_PROFILE},
+ov AS (SELECT {PACKED_KEY} AS unit_id, unnest(attribute_overrides) AS e, generate_subscripts(attribute_overrides, 1) AS pos
+       FROM packed_profile),
+fst AS (SELECT unit_id, e.field_index AS field_index, e.value AS value,
+               row_number() OVER (PARTITION BY unit_id, e.field_index ORDER BY pos) AS rk FROM ov)
+SELECT unit_id, field_index, 'f' || CAST(field_index AS VARCHAR) AS field, value
+FROM fst WHERE rk = 1 AND value IS NOT NULL AND field_index >= 0 AND field_index < {len(fields)}"""
+
+
+def length_audit_sql(n_fields: int) -> str:
+    wa, wb = -(-n_fields // 2), -(-n_fields // 8)
+
+    def st(c, w):
+        return (f"CASE WHEN {c} IS NULL THEN 'absent' WHEN octet_length({c}) < {w} THEN 'short' "
+                f"WHEN octet_length({c}) > {w} THEN 'long' ELSE 'ok' END")
+
+    return f"""WITH {PACKED_PROFILE}
+SELECT {st('attributes', wa)} AS attributes_status, {st('null_bitmap', wb)} AS bitmap_status, count(*) AS n,
+       min(octet_length(attributes)) AS min_bytes, max(octet_length(attributes)) AS max_bytes
+FROM packed_profile GROUP BY 1, 2"""
+
+
+PACKED_FIELDS = packed_dictionary(32)
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -449,4 +504,8 @@ ORACLE: dict[str, str] = {
     "prior_sensitivity_range": prior_range_sql(S.STANDARD_ENSEMBLE),
     "factor_direction": factor_direction_sql(S.STANDARD_ENSEMBLE),
     "robust_signals": robust_signals_sql(S.STANDARD_ENSEMBLE),
+    "decode_packed": decode_wide_sql(PACKED_FIELDS),
+    "decode_overrides": overrides_sql(PACKED_FIELDS),
+    "decode_long_join": decode_long_sql(PACKED_FIELDS),
+    "packed_length_audit": length_audit_sql(len(PACKED_FIELDS)),
 }

@@ -224,6 +224,33 @@ def robust_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.select("attribute", "conditions", "supports", "perspective_count", "perspectives", "valid", "matched")
 
 
+PACKED_FIELDS = profiles.packed_dictionary(32)
+
+
+def decode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.packed import decode_wide
+
+    return decode_wide(profiles.packed_profile(spark, sf_dir), PACKED_FIELDS)
+
+
+def decode_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.packed import effective_overrides
+
+    return effective_overrides(profiles.packed_profile(spark, sf_dir), PACKED_FIELDS)
+
+
+def decode_long_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.packed import decode_long
+
+    return decode_long(spark, profiles.packed_profile(spark, sf_dir), PACKED_FIELDS)
+
+
+def packed_length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.packed import length_audit
+
+    return length_audit(profiles.packed_profile(spark, sf_dir), len(PACKED_FIELDS))
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -250,4 +277,8 @@ REGISTRY: dict[str, Query] = {
     "prior_sensitivity_range": prior_sensitivity_range,
     "factor_direction": factor_direction,
     "robust_signals": robust_signals,
+    "decode_packed": decode_packed,
+    "decode_overrides": decode_overrides,
+    "decode_long_join": decode_long_join,
+    "packed_length_audit": packed_length_audit,
 }
