@@ -478,6 +478,69 @@ FROM packed_profile GROUP BY 1, 2"""
 PACKED_FIELDS = packed_dictionary(32)
 
 
+def scan_union_sql() -> str:
+    return """SELECT 'benchmark.parquet' AS file_name, count(*) AS rows, count(text) AS texts,
+       CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS with_doc_id, count(item_id) AS with_item_id FROM benchmark
+UNION ALL
+SELECT 'documents.parquet', count(*), count(text), CAST(sum(length(text)) AS BIGINT), count(doc_id), CAST(0 AS BIGINT) FROM documents"""
+
+
+DUCK_TO_SPARK_TYPE = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                      "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp", "FLOAT": "float", "BOOLEAN": "boolean", "DATE": "date"}
+
+
+def describe_sql(table: str) -> str:
+    mapping = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in DUCK_TO_SPARK_TYPE.items())
+    return f"""SELECT (SELECT count(*) FROM {table}) AS rows, CAST(ordinal_position - 1 AS INTEGER) AS column_index,
+       column_name AS name, CASE data_type {mapping} ELSE lower(data_type) END AS type
+FROM information_schema.columns WHERE table_name = {q(table)}"""
+
+
+def order_profile_sql() -> str:
+    return f"WITH {ORDER_PROFILE}\nSELECT * FROM order_profile"
+
+
+def readiness_sql(catalog: Catalog, table_cols) -> str:
+    present = [a for a in catalog.attributes if a in table_cols]
+    rows = []
+    for a in sorted(set(catalog.attributes) | set(table_cols)):
+        in_cat, in_tab = a in catalog.attributes, a in table_cols
+        status = "ok" if in_cat and in_tab else ("missing_in_table" if in_cat else "not_in_catalog")
+        nn = f"count({a})" if a in present else "CAST(NULL AS BIGINT)"
+        rows.append(f"SELECT count(*) AS n, {q(a)} AS attribute, {str(in_cat).upper()} AS in_catalog, "
+                    f"{str(in_tab).upper()} AS in_table, {nn} AS non_null, {q(status)} AS status FROM order_profile")
+    return f"WITH {ORDER_PROFILE}\n" + "\nUNION ALL\n".join(rows)
+
+
+def dictionary_sql(catalog: Catalog) -> str:
+    vals = ", ".join(
+        f"({q(catalog.domains.get(a, ''))}, {q(a)}, {code}, {q(v)}, {str(a in catalog.breakdowns).upper()}, "
+        f"{str(catalog.is_segment(a)).upper()})"
+        for a, vs in catalog.attributes.items() for code, v in enumerate(vs)
+    )
+    unp = "\nUNION ALL\n".join(f"SELECT {q(a)} AS attribute, {a} AS value FROM order_profile WHERE {a} IS NOT NULL"
+                                 for a in catalog.attributes)
+    return f"""WITH {ORDER_PROFILE},
+decl AS (SELECT * FROM (VALUES {vals}) AS t(domain, attribute, code, value, is_breakdown, is_segment)),
+seen AS (SELECT attribute, value, count(*) AS observed FROM ({unp}) GROUP BY 1, 2)
+SELECT coalesce(d.attribute, s.attribute) AS attribute, coalesce(d.value, s.value) AS value, d.code, d.domain,
+       d.is_breakdown, d.is_segment, d.code IS NOT NULL AS in_catalog, coalesce(s.observed, 0) AS observed
+FROM decl d FULL OUTER JOIN seen s ON d.attribute = s.attribute AND d.value = s.value"""
+
+
+def seed_column_sql() -> str:
+    return r"""SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fingerprint FROM documents"""
+
+
+def synthetic_sql(attributes) -> str:
+    key = "'demo-' || CAST(o_orderkey AS VARCHAR)"
+    cols = ", ".join(
+        f"[{', '.join(q(v) for v in vals)}][CAST(md5_number_lower({key} || {q(':' + name)}) % {len(vals)} AS BIGINT) + 1] AS {name}"
+        for name, vals in attributes.items()
+    )
+    return f"SELECT {key} AS unit_id, {cols} FROM orders"
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -508,4 +571,12 @@ ORACLE: dict[str, str] = {
     "decode_overrides": overrides_sql(PACKED_FIELDS),
     "decode_long_join": decode_long_sql(PACKED_FIELDS),
     "packed_length_audit": length_audit_sql(len(PACKED_FIELDS)),
+    "scan_union_parquet": scan_union_sql(),
+    "describe_dataset": describe_sql("lineitem"),
+    "sink_roundtrip_zstd": order_profile_sql(),
+    "schema_readiness": readiness_sql(S.ORDER_CATALOG, ["region", "segment", "priority", "status", "basket", "returned"]),
+    "dictionary_long": dictionary_sql(S.ORDER_CATALOG),
+    "seed_column": seed_column_sql(),
+    "synthetic_profile": synthetic_sql({"color": ["r", "g", "b", "k", "w"], "size": ["S", "M", "L"],
+                                        "tier": ["gold", "silver", "bronze", "basic"]}),
 }

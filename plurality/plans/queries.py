@@ -251,6 +251,77 @@ def packed_length_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_audit(profiles.packed_profile(spark, sf_dir), len(PACKED_FIELDS))
 
 
+def scan_union_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of the text-bearing shards (different schemas merged by name):
+    rows, non-NULL texts and characters per file."""
+    from plurality.sources.files import scan_union
+
+    d = sf_dir.rstrip("/")
+    df = scan_union(spark, [f"{d}/documents.parquet", f"{d}/benchmark.parquet"])
+    return df.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("text").alias("texts"),
+        F.sum(F.length("text")).cast("bigint").alias("chars"), F.count("doc_id").alias("with_doc_id"),
+        F.count("item_id").alias("with_item_id"),
+    )
+
+
+def describe_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.sources.files import describe
+
+    return describe(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+
+
+def sink_roundtrip_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order profile written as ZSTD Parquet to the shared folder and read
+    back; the rows must equal the profile."""
+    from plurality.sources.files import sink_roundtrip
+
+    back, _ = sink_roundtrip(spark, _orders(spark, sf_dir), "order-profile")
+    return back
+
+
+def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release manifest (size + SHA-256) of the data files, built by Spark,
+    then every file audited against it."""
+    from plurality.sources.files import file_digests, manifest_audit as audit
+
+    pattern = f"{sf_dir.rstrip('/')}/*.parquet"
+    manifest = file_digests(spark, pattern).select("file_name", "bytes", "sha256")
+    return audit(spark, manifest, pattern)
+
+
+def schema_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.sources.files import schema_readiness as ready
+
+    return ready(_orders(spark, sf_dir), S.ORDER_CATALOG)
+
+
+def dictionary_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.sources.files import observed_dictionary
+
+    return observed_dictionary(_orders(spark, sf_dir), S.ORDER_CATALOG)
+
+
+def seed_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised-text fingerprint (lower case, collapsed whitespace, SHA-256)
+    of every document."""
+    from plurality.functions.text import fingerprint
+
+    docs = profiles.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
+
+
+SYNTHETIC_ATTRIBUTES = {"color": ["r", "g", "b", "k", "w"], "size": ["S", "M", "L"], "tier": ["gold", "silver", "bronze", "basic"]}
+
+
+def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-assigned attributes for demo keys ``demo-<orderkey>``."""
+    keys = profiles.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("demo-"), F.col("o_orderkey").cast("string")).alias("unit_id")
+    )
+    return profiles.synthetic_profile(keys, SYNTHETIC_ATTRIBUTES)
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -281,4 +352,12 @@ REGISTRY: dict[str, Query] = {
     "decode_overrides": decode_overrides,
     "decode_long_join": decode_long_join,
     "packed_length_audit": packed_length_audit,
+    "scan_union_parquet": scan_union_parquet,
+    "describe_dataset": describe_dataset,
+    "sink_roundtrip_zstd": sink_roundtrip_zstd,
+    "manifest_audit": manifest_audit,
+    "schema_readiness": schema_readiness,
+    "dictionary_long": dictionary_long,
+    "seed_column": seed_column,
+    "synthetic_profile": synthetic_profile,
 }
