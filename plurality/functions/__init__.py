@@ -1,4 +1,9 @@
-from plurality.functions.hashing import md5_lo64_hex, md5_lo64_decimal, unit_uniform, bucket_index
-from plurality.functions.text import fingerprint, normalized_seed
+from plurality.functions.hashing import (
+    bucket_index, bucket_of_digest, keyed_text, lo64_hex, md5_lo64_decimal, md5_lo64_hex, uniform_of_digest, unit_uniform,
+)
+from plurality.functions.text import fingerprint, normalized_seed, normalized_text
 
-__all__ = ["md5_lo64_hex", "md5_lo64_decimal", "unit_uniform", "bucket_index", "fingerprint", "normalized_seed"]
+__all__ = [
+    "bucket_index", "bucket_of_digest", "keyed_text", "lo64_hex", "md5_lo64_decimal", "md5_lo64_hex", "uniform_of_digest",
+    "unit_uniform", "fingerprint", "normalized_seed", "normalized_text",
+]

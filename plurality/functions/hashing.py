@@ -14,30 +14,43 @@ from pyspark.sql import functions as F
 UINT64_RANGE = 18446744073709551616.0  # 2**64
 
 
-def md5_lo64_hex(text: Column) -> Column:
-    """Big-endian hex of digest bytes 8..15 taken little-endian.
+def lo64_hex(digest: Column) -> Column:
+    """Big-endian hex of bytes 8..15 (read little-endian) of an MD5 hex digest.
 
     Byte 15 is the most significant, so the byte pairs of the second half of
-    the hex digest are emitted in reverse order.
-    """
-    digest = F.md5(text)
+    the digest are emitted in reverse order. Pass a digest column that was
+    computed in an earlier projection, so the hash runs once per row."""
     return F.concat(*[F.substring(digest, start, 2) for start in range(31, 15, -2)])
 
 
+def md5_lo64_hex(text: Column) -> Column:
+    return lo64_hex(F.md5(text))
+
+
 def md5_lo64_decimal(text: Column) -> Column:
     return F.conv(md5_lo64_hex(text), 16, 10).cast("decimal(20,0)")
 
 
-def _keyed_text(seed: str, key: Column, suffix: str) -> Column:
+def keyed_text(seed: str, key: Column, suffix: str) -> Column:
     return F.concat(F.lit(seed + ":"), key.cast("string"), F.lit(":" + suffix))
 
 
+def uniform_of_digest(digest: Column) -> Column:
+    """u in [0, 1) from an MD5 hex digest column: lo64 / 2**64."""
+    return F.conv(lo64_hex(digest), 16, 10).cast("double") / F.lit(UINT64_RANGE)
+
+
+def bucket_of_digest(digest: Column, k: int) -> Column:
+    """0-based bucket lo64 mod k, exact on the unsigned value."""
+    return (F.conv(lo64_hex(digest), 16, 10).cast("decimal(20,0)") % F.lit(k)).cast("int")
+
+
 def unit_uniform(seed: str, key: Column, suffix: str) -> Column:
-    """u in [0, 1): md5_lo64(seed ':' key ':' suffix) / 2**64; NULL key -> NULL."""
-    return F.conv(md5_lo64_hex(_keyed_text(seed, key, suffix)), 16, 10).cast("double") / F.lit(UINT64_RANGE)
+    """u in [0, 1): md5_lo64(seed ':' key ':' suffix) / 2**64; NULL key -> NULL.
+    Single-expression form; operators stage the digest instead."""
+    return uniform_of_digest(F.md5(keyed_text(seed, key, suffix)))
 
 
 def bucket_index(key: Column, suffix: str, k: int) -> Column:
-    """0-based bucket md5_lo64(key ':' suffix) mod k, exact on the unsigned value."""
-    text = F.concat(key.cast("string"), F.lit(":" + suffix))
-    return (md5_lo64_decimal(text) % F.lit(k)).cast("int")
+    """0-based bucket md5_lo64(key ':' suffix) mod k (single-expression form)."""
+    return bucket_of_digest(F.md5(F.concat(key.cast("string"), F.lit(":" + suffix))), k)

@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plurality.functions.hashing import unit_uniform
+from plurality.functions.hashing import keyed_text, uniform_of_digest
 from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, Factor, Rule
 
 KEY = "unit_id"
@@ -43,10 +43,13 @@ def effect_terms(factors: Sequence[Factor], choice: str) -> list[Column]:
 
 def with_noise(df: DataFrame, seed: str, choices: Sequence[str], key: str = KEY, draw: bool = False) -> DataFrame:
     """Adds the uniform hash per choice (and the sampled-mode draw)."""
-    cols = [unit_uniform(seed, F.col(key), c).alias(noise_col(i)) for i, c in enumerate(choices)]
+    suffixes = [(noise_col(i), c) for i, c in enumerate(choices)]
     if draw:
-        cols.append(unit_uniform(seed, F.col(key), DRAW_SUFFIX).alias("_draw"))
-    return df.select("*", *cols)
+        suffixes.append(("_draw", DRAW_SUFFIX))
+    # stage 1: one MD5 per (row, suffix); stage 2: byte reversal and scaling
+    digests = df.select("*", *[F.md5(keyed_text(seed, F.col(key), sfx)).alias(f"_d{name}") for name, sfx in suffixes])
+    keep = [c for c in df.columns]
+    return digests.select(*keep, *[uniform_of_digest(F.col(f"_d{name}")).alias(name) for name, _ in suffixes])
 
 
 def logit(rule: Rule, choice_index: int, factors: Sequence[Factor] | None = None, log_prior: float | None = None) -> Column:

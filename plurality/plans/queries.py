@@ -38,15 +38,17 @@ def share_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed uniforms per unit: one per choice and the sampled-mode draw, plus
     the exact unsigned 64-bit hash of the draw."""
-    from plurality.functions.hashing import md5_lo64_hex, unit_uniform
+    from plurality.functions.hashing import keyed_text, lo64_hex, uniform_of_digest
 
     rule = S.STANDARD_RULE
     key = F.col("unit_id")
-    cols = [unit_uniform(rule.seed, key, c).alias(f"u_{c}") for c in rule.choice_ids]
-    draw_text = F.concat(F.lit(rule.seed + ":"), key, F.lit(":sample"))
-    return _orders(spark, sf_dir).select(
-        "unit_id", *cols, unit_uniform(rule.seed, key, "sample").alias("u_sample"),
-        F.conv(md5_lo64_hex(draw_text), 16, 10).alias("h_sample"),
+    suffixes = [*rule.choice_ids, "sample"]
+    digests = _orders(spark, sf_dir).select(
+        "unit_id", *[F.md5(keyed_text(rule.seed, key, sfx)).alias(f"_d_{sfx}") for sfx in suffixes]
+    )
+    return digests.select(
+        "unit_id", *[uniform_of_digest(F.col(f"_d_{sfx}")).alias(f"u_{sfx}") for sfx in suffixes],
+        F.conv(lo64_hex(F.col("_d_sample")), 16, 10).alias("h_sample"),
     )
 
 

@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.functions.hashing import bucket_index
+from plurality.functions.hashing import bucket_of_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,11 +108,15 @@ def synthetic_profile(keys: DataFrame, attributes: dict[str, Sequence[str]], key
 
     ``keys`` is any key DataFrame (``spark.range(n)`` turned into
     ``'demo-' || id`` for demo runs, or the keys of a real table)."""
+    names = list(attributes)
+    digests = keys.select(
+        F.col(key), *[F.md5(F.concat(F.col(key).cast("string"), F.lit(":" + n))).alias(f"_d{i}") for i, n in enumerate(names)]
+    )
     cols = [
-        F.get(F.array(*[F.lit(v) for v in vals]), bucket_index(F.col(key), name, len(vals))).alias(name)
-        for name, vals in attributes.items()
+        F.get(F.array(*[F.lit(v) for v in attributes[n]]), bucket_of_digest(F.col(f"_d{i}"), len(attributes[n]))).alias(n)
+        for i, n in enumerate(names)
     ]
-    return keys.select(F.col(key), *cols)
+    return digests.select(F.col(key), *cols)
 
 
 def demo_keys(spark: SparkSession, n: int) -> DataFrame:
