@@ -62,13 +62,34 @@ def logit(rule: Rule, choice_index: int, factors: Sequence[Factor] | None = None
 
 
 def softmax(scores: Sequence[Column]) -> list[Column]:
-    """Stable softmax: exp(s - max) / sum."""
+    """Stable softmax as plain expressions: exp(s - max) / sum."""
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     weights = [F.exp(s - top) for s in scores]
     total = reduce(add, weights)
     return [w / total for w in weights]
 
 
+def staged_softmax(df: DataFrame, keep: Sequence[str], groups: Sequence[tuple[Sequence[Column], Sequence[str]]]) -> DataFrame:
+    """Softmax over several score groups in four projections (logits, max,
+    weights, probabilities). Each stage is referenced more than once by the
+    next, so Catalyst keeps them apart and every value is computed once per
+    row. ``groups`` = [(score expressions, output names)]."""
+    keep = list(keep)
+    logits, maxes, weights, probs = [], [], [], []
+    for g, (scores, names) in enumerate(groups):
+        s_names = [f"_s{g}_{i}" for i in range(len(scores))]
+        logits += [sc.alias(n) for sc, n in zip(scores, s_names)]
+        maxes.append((F.greatest(*[F.col(n) for n in s_names]) if len(s_names) > 1 else F.col(s_names[0])).alias(f"_m{g}"))
+        w_names = [f"_w{g}_{i}" for i in range(len(scores))]
+        weights += [F.exp(F.col(sn) - F.col(f"_m{g}")).alias(wn) for sn, wn in zip(s_names, w_names)]
+        total = reduce(add, [F.col(w) for w in w_names])
+        probs += [(F.col(wn) / total).alias(out) for wn, out in zip(w_names, names)]
+    a = df.select(*keep, *logits)
+    b = a.select("*", *maxes)
+    c = b.select(*keep, *weights)
+    return c.select(*keep, *probs)
+
+
 def score(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None) -> DataFrame:
     """``keep`` columns + s0..s{n-1} logits. Rows with a NULL key are excluded."""
     keep = list(rule.needed_attributes() if keep is None else keep)
@@ -87,15 +108,17 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     """
     keep = list(rule.needed_attributes() if keep is None else keep)
     n = len(rule.choices)
+    if mode not in ("expected", "sampled"):
+        raise ValueError(f"unknown mode: {mode}")
     base = df.where(F.col(key).isNotNull()).select(key, *sorted(set(keep) | set(rule.factor_attributes())))
     noisy = with_noise(base, rule.seed, rule.choice_ids, key, draw=(mode == "sampled"))
     scores = [logit(rule, i) for i in range(n)]
-    probs = softmax(scores)
+    extra = ["_draw"] if mode == "sampled" else []
+    staged = staged_softmax(noisy, [key, *keep, *extra], [(scores, [prob_col(i) if mode == "expected" else f"_q{i}" for i in range(n)])])
     if mode == "expected":
-        return noisy.select(key, *keep, *[p.alias(prob_col(i)) for i, p in enumerate(probs)])
+        return staged
     if mode != "sampled":
         raise ValueError(f"unknown mode: {mode}")
-    staged = noisy.select(key, *keep, "_draw", *[p.alias(f"_q{i}") for i, p in enumerate(probs)])
     pick = None
     for i in range(n - 1):
         cumulative = reduce(add, [F.col(f"_q{j}") for j in range(i + 1)])
