@@ -541,6 +541,51 @@ def synthetic_sql(attributes) -> str:
     return f"SELECT {key} AS unit_id, {cols} FROM orders"
 
 
+def fields_cte(tables) -> str:
+    rank = "CASE table_name " + " ".join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(tables)) + " END"
+    return f"""fields AS (
+  SELECT CAST(row_number() OVER (ORDER BY {rank}, ordinal_position) - 1 AS INTEGER) AS field_index,
+         column_name AS id, table_name || '.' || column_name AS label, table_name AS category
+  FROM information_schema.columns WHERE table_name IN {in_list(tables)})"""
+
+
+def classified_cte(tables, clf) -> str:
+    arms_d, arms_r = [], []
+    arms_d.append(f"WHEN id IN {in_list(sorted(clf.core_ids))} THEN {q(clf.core_domain)}")
+    arms_r.append(f"WHEN id IN {in_list(sorted(clf.core_ids))} THEN 'core_id'")
+    for dom, ids in clf.extra_ids:
+        arms_d.append(f"WHEN id IN {in_list(sorted(ids))} THEN {q(dom)}")
+        arms_r.append(f"WHEN id IN {in_list(sorted(ids))} THEN 'extra_id'")
+    for dom, cats in clf.category_domains:
+        arms_d.append(f"WHEN category IN {in_list(sorted(cats))} THEN {q(dom)}")
+        arms_r.append(f"WHEN category IN {in_list(sorted(cats))} THEN 'category'")
+    if clf.fallback_pattern:
+        cond = f"regexp_matches(id || ' ' || label, {q(clf.fallback_pattern)}, 'i')"
+        arms_d.append(f"WHEN {cond} THEN {q(clf.fallback_domain)}")
+        arms_r.append(f"WHEN {cond} THEN 'pattern'")
+    sens = f"regexp_matches(id, {q(clf.sensitive_pattern)}, 'i')"
+    return f"""{fields_cte(tables)},
+st AS (SELECT *, CASE WHEN {sens} THEN NULL ELSE CASE {' '.join(arms_d)} END END AS d,
+              CASE WHEN {sens} THEN 'sensitive' ELSE coalesce(CASE {' '.join(arms_r)} END, 'unmatched') END AS r
+       FROM fields),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id, d IS NOT NULL ORDER BY field_index) AS k FROM st),
+classified AS (SELECT field_index, id, label, category,
+                      CASE WHEN d IS NOT NULL AND k > 1 THEN NULL ELSE d END AS domain,
+                      CASE WHEN d IS NOT NULL AND k > 1 THEN 'duplicate' ELSE r END AS reason FROM rk)"""
+
+
+def classify_fields_sql(tables, clf) -> str:
+    return f"WITH {classified_cte(tables, clf)}\nSELECT * FROM classified"
+
+
+def classify_index_sql(tables, clf) -> str:
+    decl = ", ".join(f"({i}, {q(d)})" for i, d in enumerate(clf.domains))
+    return f"""WITH {classified_cte(tables, clf)}
+SELECT v.domain_order, v.domain, CAST(count(c.id) AS BIGINT) AS attribute_count
+FROM (VALUES {decl}) AS v(domain_order, domain) LEFT JOIN classified c ON c.domain = v.domain
+GROUP BY 1, 2"""
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -579,4 +624,6 @@ ORACLE: dict[str, str] = {
     "seed_column": seed_column_sql(),
     "synthetic_profile": synthetic_sql({"color": ["r", "g", "b", "k", "w"], "size": ["S", "M", "L"],
                                         "tier": ["gold", "silver", "bronze", "basic"]}),
+    "classify_fields": classify_fields_sql(S.SCHEMA_TABLES, S.TESTDATA_CLASSIFIER),
+    "classify_index": classify_index_sql(S.SCHEMA_TABLES, S.TESTDATA_CLASSIFIER),
 }

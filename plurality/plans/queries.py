@@ -324,6 +324,27 @@ def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.synthetic_profile(keys, SYNTHETIC_ATTRIBUTES)
 
 
+def _schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.dictionary import schema_fields
+
+    d = sf_dir.rstrip("/")
+    return schema_fields(spark, [(t, f"{d}/{t}.parquet") for t in S.SCHEMA_TABLES])
+
+
+def classify_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the test tables classified into a catalog domain."""
+    from plurality.operators.dictionary import classify
+
+    return classify(_schema_fields(spark, sf_dir), S.TESTDATA_CLASSIFIER)
+
+
+def classify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.dictionary import classify, domain_index
+
+    clf = S.TESTDATA_CLASSIFIER
+    return domain_index(spark, classify(_schema_fields(spark, sf_dir), clf), clf)
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -362,4 +383,6 @@ REGISTRY: dict[str, Query] = {
     "dictionary_long": dictionary_long,
     "seed_column": seed_column,
     "synthetic_profile": synthetic_profile,
+    "classify_fields": classify_fields,
+    "classify_index": classify_index,
 }

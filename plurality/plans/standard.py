@@ -106,3 +106,26 @@ DOCUMENT_FACTORS = (
     Factor("quality", ("good",), {"beta": 0.2}),
     Factor("quality", ("poor", "good"), {"gamma": 0.05}),
 )
+
+from plurality.operators.dictionary import Classifier  # noqa: E402
+
+SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+# Classification of the test tables' columns into catalog domains.
+TESTDATA_CLASSIFIER = Classifier(
+    domains=("core", "orders", "parties", "catalog", "text", "activity", "vectors"),
+    sensitive_pattern=r"^c_name$|^s_name$|acctbal|phone|email",
+    core_domain="core",
+    core_ids=frozenset({"o_orderkey", "c_custkey", "r_name", "n_name", "o_orderpriority"}),
+    extra_ids=(("orders", frozenset({"l_orderkey", "l_returnflag"})),),
+    category_domains=(
+        ("orders", frozenset({"orders", "lineitem"})),
+        ("parties", frozenset({"customer", "supplier", "nation", "region"})),
+        ("catalog", frozenset({"part"})),
+        ("text", frozenset({"documents", "benchmark", "pages", "conversations", "labels"})),
+        ("activity", frozenset({"events"})),
+    ),
+    fallback_pattern=r"vec|embedding",
+    fallback_domain="vectors",
+)
