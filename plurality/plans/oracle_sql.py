@@ -586,6 +586,105 @@ FROM (VALUES {decl}) AS v(domain_order, domain) LEFT JOIN classified c ON c.doma
 GROUP BY 1, 2"""
 
 
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return dbl(v)
+    return q(v)
+
+
+def values_table(name: str, schema: str, rows) -> str:
+    cols = [c.strip().split(" ") for c in schema.split(",")]
+    names = ", ".join(c[0] for c in cols)
+    types = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    if not rows:
+        sel = ", ".join(f"CAST(NULL AS {types[t]}) AS {n}" for n, t in cols)
+        return f"{name} AS (SELECT {sel} WHERE FALSE)"
+    body = ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"CAST({n} AS {types[t]}) AS {n}" for n, t in cols)
+    return f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({names}))"
+
+
+def rule_audit_sql(rules, catalog: Catalog, sensitive: str, profile_cols) -> str:
+    from plurality.operators.audit import MAX_FACTORS, MAX_GROUPS, SCHEMAS, SUGGEST_RATIO, flatten
+    from plurality.spec import MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE
+
+    lo, hi = PRIOR_SUM_TOLERANCE
+    rows = flatten(rules)
+    tabs = [values_table(k, SCHEMAS[k], rows[k]) for k in SCHEMAS]
+    known_rows = [(i, a) for i, a in enumerate(catalog.attributes)]
+    tabs.append(values_table("known", "pos int, attribute string", known_rows))
+    tabs.append(values_table("dic", "attribute string, value string",
+                             [(a, v) for a, vs in catalog.attributes.items() for v in vs]))
+    tabs.append(values_table("bd", "grp string", [(g,) for g in catalog.breakdowns]))
+    attrs = sorted(set(catalog.attributes) & set(profile_cols))
+    unp = " UNION ALL ".join(f"SELECT {q(a)} AS attribute, {a} AS condition FROM order_profile WHERE {a} IS NOT NULL" for a in attrs)
+    checks = f"""
+SELECT rule_id, 'A1 choice_count' AS "check", CAST(count(*) AS VARCHAR) AS detail FROM choices GROUP BY rule_id HAVING count(*) < 2 OR count(*) > 4
+UNION ALL SELECT rule_id, 'A1 duplicate_choice', choice_id FROM choices GROUP BY rule_id, choice_id HAVING count(*) > 1
+UNION ALL SELECT coalesce(p.rule_id, c.rule_id), 'A2 prior_keys',
+       coalesce(p.choice_id, c.choice_id) || CASE WHEN p.choice_id IS NULL THEN ':missing' ELSE ':extra' END
+  FROM (SELECT * FROM priors WHERE prior_id = 'authored') p FULL OUTER JOIN choices c ON p.rule_id = c.rule_id AND p.choice_id = c.choice_id
+  WHERE p.choice_id IS NULL OR c.choice_id IS NULL
+UNION ALL SELECT rule_id, 'A2 prior_sum', {q(f"outside [{lo}, {hi}]")} FROM priors WHERE prior_id = 'authored' GROUP BY rule_id
+  HAVING sum(value) < {lo} OR sum(value) > {hi}
+UNION ALL SELECT u.rule_id, 'A3 unknown_attribute', u.attribute || ' -> ' || coalesce(
+    (SELECT CASE WHEN 1.0 - levenshtein(u.attribute, k.attribute) / CAST(greatest(length(u.attribute), length(k.attribute)) AS DOUBLE) >= {SUGGEST_RATIO}
+                 THEN k.attribute END
+     FROM known k ORDER BY 1.0 - levenshtein(u.attribute, k.attribute) / CAST(greatest(length(u.attribute), length(k.attribute)) AS DOUBLE) DESC, k.pos
+     LIMIT 1), 'none')
+  FROM factors u WHERE u.attribute NOT IN (SELECT attribute FROM known)
+UNION ALL SELECT c.rule_id, 'A4 invalid_condition', c.attribute || '=' || c.condition FROM conditions c
+  WHERE c.attribute IN (SELECT attribute FROM known) AND NOT EXISTS (SELECT 1 FROM dic d WHERE d.attribute = c.attribute AND d.value = c.condition)
+UNION ALL SELECT rule_id, 'A4 empty_conditions', attribute FROM factors WHERE n_conditions = 0
+UNION ALL SELECT c.rule_id, 'A4 unobserved_condition', c.attribute || '=' || c.condition FROM conditions c
+  WHERE c.attribute IN {in_list(attrs)} AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.attribute = c.attribute AND s.condition = c.condition)
+UNION ALL SELECT e.rule_id, 'A5 unknown_choice', e.attribute || ':' || e.choice_id FROM effects e
+  WHERE NOT EXISTS (SELECT 1 FROM choices c WHERE c.rule_id = e.rule_id AND c.choice_id = e.choice_id)
+UNION ALL SELECT rule_id, 'A5 effect_too_large', attribute || ':' || choice_id FROM effects WHERE abs(effect) > {dbl(MAX_ABS_EFFECT)}
+UNION ALL SELECT rule_id, 'A5 empty_effects', attribute FROM factors WHERE n_effects = 0
+UNION ALL SELECT rule_id, 'A6 sensitive_attribute', attribute FROM factors WHERE regexp_matches(attribute, {q(sensitive)}, 'i')
+UNION ALL SELECT rule_id, 'A8 unsupported_group', grp FROM groups WHERE grp NOT IN (SELECT grp FROM bd)
+UNION ALL SELECT rule_id, 'A8 too_many_groups', CAST(count(*) AS VARCHAR) FROM groups GROUP BY rule_id HAVING count(*) > {MAX_GROUPS}
+UNION ALL SELECT rule_id, 'S max_factors', CAST(count(*) AS VARCHAR) FROM factors GROUP BY rule_id, perspective_id HAVING count(*) > {MAX_FACTORS}
+UNION ALL SELECT m.rule_id, 'A11 perspective_count', CAST(count(p.perspective_id) AS VARCHAR) FROM meta m
+  LEFT JOIN perspectives p ON p.rule_id = m.rule_id WHERE m.kind = 'ensemble' GROUP BY m.rule_id
+  HAVING count(p.perspective_id) < 3 OR count(p.perspective_id) > 5
+UNION ALL SELECT rule_id, 'A11 duplicate_perspective', perspective_id FROM perspectives GROUP BY rule_id, perspective_id HAVING count(*) > 1
+UNION ALL SELECT p.rule_id, 'A11 perspective_factors', p.perspective_id || ':' || CAST(coalesce(f.n, 0) AS VARCHAR) FROM perspectives p
+  LEFT JOIN (SELECT rule_id, perspective_id, count(*) AS n FROM factors GROUP BY 1, 2) f ON f.rule_id = p.rule_id AND f.perspective_id = p.perspective_id
+  WHERE coalesce(f.n, 0) < 2 OR coalesce(f.n, 0) > 6
+UNION ALL SELECT m.rule_id, 'A10 prior_count', CAST(count(DISTINCT h.prior_id) AS VARCHAR) FROM meta m
+  LEFT JOIN hp h ON h.rule_id = m.rule_id WHERE m.hybrid GROUP BY m.rule_id
+  HAVING count(DISTINCT h.prior_id) < 3 OR count(DISTINCT h.prior_id) > 5
+UNION ALL SELECT rule_id, 'A10 prior_values', prior_id FROM hp GROUP BY rule_id, prior_id
+  HAVING min(value) <= 0 OR max(value) > 1 OR sum(value) < {lo} OR sum(value) > {hi}
+UNION ALL SELECT h.rule_id, 'A10 fit_only_unequal', h.prior_id FROM hp h JOIN meta m ON m.rule_id = h.rule_id AND m.fit_only_prior_id = h.prior_id
+  GROUP BY h.rule_id, h.prior_id HAVING max(h.value) - min(h.value) > 0.001
+UNION ALL SELECT coalesce(h.rule_id, x.rule_id), 'A10 prior_keys', coalesce(h.prior_id, x.prior_id) || ':' || coalesce(h.choice_id, x.choice_id)
+  FROM hp h FULL OUTER JOIN (SELECT DISTINCT i.rule_id, i.prior_id, c.choice_id FROM hp i JOIN choices c ON c.rule_id = i.rule_id) x
+    ON h.rule_id = x.rule_id AND h.prior_id = x.prior_id AND h.choice_id = x.choice_id
+  WHERE h.choice_id IS NULL OR x.choice_id IS NULL
+UNION ALL SELECT m.rule_id, 'A10 central_missing', coalesce(m.central_prior_id, 'NULL') FROM meta m WHERE m.hybrid
+  AND NOT EXISTS (SELECT 1 FROM hp h WHERE h.rule_id = m.rule_id AND h.prior_id = m.central_prior_id)
+UNION ALL SELECT m.rule_id, 'A10 fit_only_missing', coalesce(m.fit_only_prior_id, 'NULL') FROM meta m WHERE m.hybrid
+  AND NOT EXISTS (SELECT 1 FROM hp h WHERE h.rule_id = m.rule_id AND h.prior_id = m.fit_only_prior_id)
+UNION ALL SELECT rule_id, 'A10 unknown_excluded', attribute FROM direct WHERE role = 'excluded' AND attribute NOT IN (SELECT attribute FROM known)
+UNION ALL SELECT rule_id, 'A10 no_excluded', '' FROM meta m WHERE hybrid AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = m.rule_id AND d.role = 'excluded')
+UNION ALL SELECT rule_id, 'A9 unknown_evidence', attribute FROM direct WHERE role = 'evidence' AND attribute NOT IN (SELECT attribute FROM known)
+UNION ALL SELECT f.rule_id, 'E13 evidence_leak', f.perspective_id || ':' || f.attribute FROM factors f
+  WHERE EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = f.rule_id AND d.attribute = f.attribute)"""
+    return (f"WITH {ORDER_PROFILE},\n" + ",\n".join(tabs)
+            + f",\nhp AS (SELECT p.* FROM priors p JOIN meta m ON m.rule_id = p.rule_id WHERE m.hybrid AND p.prior_id <> 'authored')"
+            + f",\nseen AS (SELECT DISTINCT attribute, condition FROM ({unp}))"
+            + f"\nSELECT * FROM ({checks})")
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -626,4 +725,6 @@ ORACLE: dict[str, str] = {
                                         "tier": ["gold", "silver", "bronze", "basic"]}),
     "classify_fields": classify_fields_sql(S.SCHEMA_TABLES, S.TESTDATA_CLASSIFIER),
     "classify_index": classify_index_sql(S.SCHEMA_TABLES, S.TESTDATA_CLASSIFIER),
+    "rule_audit": rule_audit_sql(S.AUDIT_RULES, S.ORDER_CATALOG, S.TESTDATA_CLASSIFIER.sensitive_pattern,
+                                 ["region", "segment", "priority", "status", "basket", "returned"]),
 }

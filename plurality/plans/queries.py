@@ -345,6 +345,15 @@ def classify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain_index(spark, classify(_schema_fields(spark, sf_dir), clf), clf)
 
 
+def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All audit findings of the stored rules, including condition values that
+    never occur in the order profile."""
+    from plurality.operators.audit import audit
+
+    return audit(spark, S.AUDIT_RULES, S.ORDER_CATALOG, profile=_orders(spark, sf_dir),
+                 sensitive_pattern=S.TESTDATA_CLASSIFIER.sensitive_pattern)
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -385,4 +394,5 @@ REGISTRY: dict[str, Query] = {
     "synthetic_profile": synthetic_profile,
     "classify_fields": classify_fields,
     "classify_index": classify_index,
+    "rule_audit": rule_audit,
 }

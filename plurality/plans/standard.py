@@ -129,3 +129,38 @@ TESTDATA_CLASSIFIER = Classifier(
     fallback_pattern=r"vec|embedding",
     fallback_domain="vectors",
 )
+
+# Rules for the audit: the standard ones plus one broken rule per group of checks.
+AUDIT_RULES = {
+    "standard": STANDARD_RULE,
+    "ensemble": STANDARD_ENSEMBLE,
+    "bad_choices": Rule(
+        question="q", choices=(Choice("solo"), Choice("solo")), base_scores={"solo": 0.9, "ghost": 0.05},
+        factors=(F_PRIORITY,), result_groups=("region",), seed=STANDARD_SEED,
+    ),
+    "bad_factors": Rule(
+        question="q", choices=CHOICES, base_scores=CENTRAL,
+        factors=(
+            Factor("priorty", ("1-URGENT",), {"alpha": 0.1}),
+            Factor("priority", ("9-NEVER", "5-LOW", "2-HIGH"), {"alpha": 0.4}),
+            Factor("basket", (), {}),
+            Factor("segment", ("BUILDING",), {"delta": 0.1}),
+            Factor("c_phone", ("x",), {"alpha": 0.1}),
+        ),
+        result_groups=("segment", "region", "status", "basket"), seed=STANDARD_SEED,
+    ),
+    "bad_ensemble": Ensemble(
+        question="q", choices=CHOICES, base_scores=CENTRAL,
+        perspectives=(
+            Perspective("p", "one", (F_PRIORITY,)),
+            Perspective("p", "two", (F_BASKET, Factor("status", ("F",), {"beta": 0.1}))),
+        ),
+        priors=(
+            Prior("flat", {"alpha": 0.3, "beta": 0.3, "gamma": 0.3}),
+            Prior("skew", {"alpha": 0.9, "beta": 0.1, "gamma": 0.0}),
+        ),
+        central_prior_id="nope", fit_only_prior_id="skew",
+        excluded_direct_attributes=("status", "planet"),
+        seed=STANDARD_SEED,
+    ),
+}
