@@ -354,6 +354,13 @@ def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                  sensitive_pattern=S.TESTDATA_CLASSIFIER.sensitive_pattern)
 
 
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard rule's report, one JSON document per block."""
+    from plurality.plans.report import as_json_rows, vote_report
+
+    return as_json_rows(vote_report(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS))
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -395,4 +402,5 @@ REGISTRY: dict[str, Query] = {
     "classify_fields": classify_fields,
     "classify_index": classify_index,
     "rule_audit": rule_audit,
+    "result_json": result_json,
 }
