@@ -15,6 +15,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plurality.session import bounded_broadcast
 from plurality.spec import MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE, Catalog, Ensemble, Rule
 
 MAX_FACTORS = 12
@@ -101,9 +102,10 @@ def suggestion(attribute: Column, names: list[str]) -> Column:
 def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Catalog,
           profile: DataFrame | None = None, sensitive_pattern: str | None = None) -> DataFrame:
     t = rule_frames(spark, rules)
-    dic = F.broadcast(catalog.to_frame(spark).select("attribute", "value"))
-    known = F.broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"))
-    breakdowns = F.broadcast(spark.createDataFrame([(a,) for a in catalog.breakdowns], "grp string"))
+    n_values = sum(len(v) for v in catalog.attributes.values())
+    dic = bounded_broadcast(catalog.to_frame(spark).select("attribute", "value"), n_values)
+    known = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"), len(catalog.attributes))
+    breakdowns = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.breakdowns], "grp string"), len(catalog.breakdowns))
     lo, hi = PRIOR_SUM_TOLERANCE
     out = []
 
@@ -140,7 +142,7 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
             .select("kv.attribute", "kv.condition").where(F.col("condition").isNotNull())
             .groupBy("attribute", "condition").count()
         )
-        unseen = t["conditions"].join(F.broadcast(known.where(F.col("attribute").isin(*attrs))), "attribute", "left_semi").join(
+        unseen = t["conditions"].join(known.where(F.col("attribute").isin(*attrs)), "attribute", "left_semi").join(
             seen, ["attribute", "condition"], "left_anti")
         out.append(_finding(unseen, "A4 unobserved_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
 

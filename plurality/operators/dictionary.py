@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plurality.session import bounded_broadcast
+
 
 @dataclass(frozen=True)
 class Classifier:
@@ -95,7 +97,7 @@ def domain_index(spark: SparkSession, classified: DataFrame, clf: Classifier) ->
     """Attribute count per declared domain, zero included."""
     declared = spark.createDataFrame([(i, d) for i, d in enumerate(clf.domains)], "domain_order int, domain string")
     counts = classified.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count(F.lit(1)).alias("attribute_count"))
-    return F.broadcast(declared).join(counts, "domain", "left").select(
+    return bounded_broadcast(declared, len(clf.domains)).join(counts, "domain", "left").select(
         "domain_order", "domain", F.coalesce(F.col("attribute_count"), F.lit(0).cast("bigint")).alias("attribute_count")
     )
 

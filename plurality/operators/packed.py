@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plurality.session import bounded_broadcast
+
 Fields = Sequence[tuple[str, Sequence[str]]]
 
 
@@ -127,7 +129,7 @@ def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null") -> Da
         for i in range(len(fields))
     ]
     long = staged.select("unit_id", F.inline(F.array(*items)))
-    dic = F.broadcast(dictionary_frame(spark, fields))
+    dic = bounded_broadcast(dictionary_frame(spark, fields), sum(len(v) for _, v in fields))
     joined = long.join(dic.select("field_index", "code", "value"), ["field_index", "code"], "left")
     names = F.array(*[F.lit(name) for name, _ in fields])
     return joined.select(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions.hashing import keyed_text, uniform_of_digest
+from plurality.session import bounded_broadcast
 from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, Factor, Rule
 
 KEY = "unit_id"
@@ -153,7 +154,8 @@ def score_by_join(df: DataFrame, rule: Rule, factor_table: DataFrame, key: str =
             ).alias("kv"),
         ).select(key, F.col("kv.attribute").alias("attribute"), F.col("kv.value").alias("value"))
         # left join: a row whose attributes match nothing still yields its key
-        matched = long.join(F.broadcast(factor_table.withColumnRenamed("condition", "value")), ["attribute", "value"], "left")
+        bound = sum(len(f.conditions) * len(rule.choices) for f in rule.factors)
+        matched = long.join(bounded_broadcast(factor_table.withColumnRenamed("condition", "value"), bound), ["attribute", "value"], "left")
         fitted = matched.groupBy(key).agg(
             *[
                 F.coalesce(F.sum(F.when(F.col("choice_index") == i, F.col("effect"))), F.lit(0.0)).alias(f"_fit{i}")

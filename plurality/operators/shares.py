@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plurality.operators.scoring import prob_col
+from plurality.session import bounded_broadcast
 from plurality.spec import Catalog, Rule
 
 UNKNOWN = "Unknown"
@@ -200,7 +201,7 @@ def segments(
         "choice_index", F.col("n").alias("_n_all"), F.col("total").alias("_t_all")
     )
     # the overall row per choice: at most one row per choice, broadcast
-    seg = long.where(~F.col("_is_total")).join(F.broadcast(overall), "choice_index")
+    seg = long.where(~F.col("_is_total")).join(bounded_broadcast(overall, n), "choice_index")
     threshold = F.greatest(F.lit(min_abs).cast("bigint"), F.floor(F.col("_n_all") / F.lit(min_divisor)).cast("bigint"))
     qualified = seg.where(
         F.col("value_1").isNotNull() & ((F.col("arity") == 1) | F.col("value_2").isNotNull()) & (F.col("n") >= threshold)
@@ -225,7 +226,7 @@ def best_segments(spark: SparkSession, segs: DataFrame, rule: Rule) -> DataFrame
         F.desc("lift_pp"), F.desc("n"), "arity", "attr_1", "value_1", F.asc_nulls_first("attr_2"), F.asc_nulls_first("value_2")
     )
     top = segs.withColumn("_rk", F.row_number().over(w)).where("_rk = 1").drop("_rk", "choice")
-    return F.broadcast(choices_frame(spark, rule)).join(top, "choice_index", "left").select(
+    return bounded_broadcast(choices_frame(spark, rule), len(rule.choices)).join(top, "choice_index", "left").select(
         "choice_index", "choice", "arity", "attr_1", "value_1", "attr_2", "value_2", "n", "percent", "lift_pp"
     )
 

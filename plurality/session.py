@@ -47,3 +47,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Largest driver-known row bound that is hinted for broadcast; above it the
+# planner chooses (size statistics, AQE runtime statistics).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df, row_bound: int, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast hint only for a side whose row count is bounded by
+    construction (rule size, catalog size, one row per choice)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if row_bound <= max_rows else df
