@@ -37,9 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
-        conf = tempfile.mkdtemp(prefix="plurality-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        spark.sparkContext.setCheckpointDir(conf)
+        # only when the cluster names no shared folder (tests, local runs)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plurality-ckpt-"))
+        conf = spark.sparkContext.getCheckpointDir()
     return conf
 
 
