@@ -4,9 +4,10 @@ A packed row holds one 4-bit code per field (two fields per byte: the even
 field in the low nibble), an optional null bitmap (one bit per field,
 least-significant bit first) and an optional sparse override list
 ``array<struct<field_index:int, value:string>>``. Decoding is a pure
-projection: hex strings are built once per row in their own projection and
-every field is a handful of substring/arithmetic expressions plus one lookup
-in a literal value array, all inside whole-stage code generation.
+projection. Once per row, in its own projection, the blobs' hex digits are
+split into arrays and the override list is folded into a map; each field is
+then an O(1) array access, a branch-free digit value and a lookup in a
+literal value array, whatever the row width.
 """
 
 from __future__ import annotations
@@ -29,35 +30,33 @@ def unit_key(record_id: Column, source: Column, row_index: Column) -> Column:
 
 
 def hex_digit_value(ch: Column) -> Column:
-    """Value of one upper-case hex digit; '' (past the end) -> 0."""
+    """Value of one upper-case hex digit, branch-free on its code point:
+    '0'-'9' (48-57) -> low four bits; 'A'-'F' (65-70) -> low four bits + 9."""
     code = F.ascii(ch)
-    return F.when(code >= 65, code - 55).when(code >= 48, code - 48).otherwise(F.lit(0))
+    return code.bitwiseAND(15) + F.shiftright(code, 6) * 9
 
 
-def nibble_position(index: int) -> int:
-    """1-based position in the hex string of field ``index``'s nibble."""
+def field_code(index: int, short: str = "null") -> Column:
+    """The 4-bit code of field ``index`` from the staged digit array: byte
+    index // 2, the even field in the low nibble (second digit). Past the end
+    of the blob: NULL by default, code 0 with ``short='zero'`` (the behaviour
+    of a plain substring lookup)."""
     byte = index // 2
-    return 2 * byte + (2 if index % 2 == 0 else 1)
-
-
-def field_code(attr_hex: Column, index: int, short: str = "null") -> Column:
-    """The 4-bit code of a field. Past the end of the blob: NULL by default,
-    code 0 with ``short='zero'`` (the behaviour of a plain substring lookup)."""
-    pos = nibble_position(index)
-    value = hex_digit_value(F.substring(attr_hex, pos, 1))
+    value = hex_digit_value(F.get(F.col("_digits"), 2 * byte + (1 if index % 2 == 0 else 0)))
+    present = F.length(F.col("_attr")) > byte
     if short == "zero":
-        return value
-    return F.when(F.length(attr_hex) >= pos, value)
+        return F.when(present, value).otherwise(F.lit(0))
+    return F.when(present, value)
 
 
-def null_bit(null_hex: Column, index: int) -> Column:
-    """TRUE when the bitmap marks the field NULL; a NULL bitmap or one too
-    short to cover the field marks nothing."""
+def null_bit(index: int) -> Column:
+    """TRUE when the bitmap marks the field NULL (byte index // 8, bit
+    index % 8, least-significant first); a NULL bitmap or one too short to
+    cover the field marks nothing."""
     byte, bit = index // 8, index % 8
-    pos = 2 * byte + (2 if bit < 4 else 1)
-    nib = hex_digit_value(F.substring(null_hex, pos, 1))
-    set_ = F.shiftright(nib, bit % 4).bitwiseAND(F.lit(1)) == 1
-    return F.coalesce(null_hex.isNotNull() & (F.length(null_hex) >= pos) & set_, F.lit(False))
+    nibble = hex_digit_value(F.get(F.col("_bit_digits"), 2 * byte + (1 if bit < 4 else 0)))
+    set_ = F.shiftright(nibble, bit % 4).bitwiseAND(F.lit(1)) == 1
+    return F.coalesce(F.col("_bits").isNotNull() & (F.length(F.col("_bits")) > byte) & set_, F.lit(False))
 
 
 def first_override_map(overrides: Column) -> Column:
@@ -74,23 +73,27 @@ def first_override_map(overrides: Column) -> Column:
 
 
 def with_packed_parts(df: DataFrame, key: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """Stage: unit_id, hex of blob and bitmap, override map (computed once)."""
+    """Stage, once per row: unit_id, the blobs (for their byte length), their
+    hex digits split into arrays (O(1) access per field at any row width),
+    and the override map."""
     key = key if key is not None else unit_key(F.col("source_record_id"), F.col("source"), F.col("source_row_index"))
     return df.select(
         key.alias("unit_id"),
         *keep,
-        F.hex("attributes").alias("_attr_hex"),
-        F.hex("null_bitmap").alias("_null_hex"),
+        F.col("attributes").alias("_attr"),
+        F.split(F.hex("attributes"), "").alias("_digits"),
+        F.col("null_bitmap").alias("_bits"),
+        F.split(F.hex("null_bitmap"), "").alias("_bit_digits"),
         first_override_map(F.col("attribute_overrides")).alias("_ov"),
     )
 
 
 def decoded_value(index: int, values: Sequence[str], short: str = "null") -> Column:
     """override (non-NULL) > null bit > value list[code] (NULL past the list)."""
-    lookup = F.get(F.array(*[F.lit(v) for v in values]), field_code(F.col("_attr_hex"), index, short))
+    lookup = F.get(F.array(*[F.lit(v) for v in values]), field_code(index, short))
     return F.coalesce(
         F.try_element_at(F.col("_ov"), F.lit(index)),
-        F.when(null_bit(F.col("_null_hex"), index), F.lit(None).cast("string")).otherwise(lookup),
+        F.when(null_bit(index), F.lit(None).cast("string")).otherwise(lookup),
     )
 
 
@@ -123,7 +126,7 @@ def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null") -> Da
     items = [
         F.struct(
             F.lit(i).alias("field_index"),
-            F.when(null_bit(F.col("_null_hex"), i), F.lit(None).cast("int")).otherwise(field_code(F.col("_attr_hex"), i, short)).alias("code"),
+            F.when(null_bit(i), F.lit(None).cast("int")).otherwise(field_code(i, short)).alias("code"),
             F.try_element_at(F.col("_ov"), F.lit(i)).alias("override"),
         )
         for i in range(len(fields))
