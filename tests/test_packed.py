@@ -99,3 +99,41 @@ def test_length_audit(spark):
     got = {(r.attributes_status, r.bitmap_status): r.n for r in length_audit(df, len(FIELDS)).collect()}
     assert sum(got.values()) == 90
     assert got.get(("short", "ok"), 0) + got.get(("short", "absent"), 0) == 10
+
+
+def test_reference_width_round_trip(spark):
+    """1,290 nibble fields in 645 bytes, 513 of them selected, as in the
+    reference's preparation step."""
+    rnd = random.Random(11)
+    width = [(f"w{i}", [f"x{i}_{j}" for j in range(4 + i % 8)]) for i in range(1290)]
+    chosen = [f"w{i}" for i in range(1290) if i % 5 != 0][:513]
+    rows, want = [], {}
+    for r in range(12):
+        codes = [rnd.randrange(16) for _ in width]
+        nulls = {i for i in range(1290) if rnd.random() < 0.1}
+        n = len(codes)
+        blob = bytearray((n + 1) // 2)
+        for i, c in enumerate(codes):
+            blob[i // 2] |= (c << 4) if i % 2 else c
+        bitmap = bytearray((n + 7) // 8)
+        for i in nulls:
+            bitmap[i // 8] |= 1 << (i % 8)
+        assert len(blob) == 645 and len(bitmap) == 162
+        rows.append((f"u{r}", "s", r, bytes(blob), bytes(bitmap), None))
+        want[f"u{r}"] = {
+            name: (None if i in nulls else (vals[codes[i]] if codes[i] < len(vals) else None))
+            for i, (name, vals) in enumerate(width) if name in set(chosen)
+        }
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = decode_wide(df, width, select=chosen)
+    assert len(out.columns) == 514
+    got = {r.unit_id: {k: r[k] for k in chosen} for r in out.collect()}
+    assert got == want
+
+
+def test_encoding_guard():
+    from plurality.operators.packed import check_encoding
+
+    assert check_encoding("nibble", 645, 1290, ("nibble", 645, 1290)) == []
+    assert check_encoding("byte", 645, 1290)[0].startswith("unsupported packing")
+    assert check_encoding("nibble", 600, 1290)
