@@ -79,6 +79,11 @@ def rule_frames(spark: SparkSession, rules: Mapping[str, Rule | Ensemble]) -> di
     return {k: spark.createDataFrame(rows[k], SCHEMAS[k]) for k in SCHEMAS}
 
 
+def rule_sizes(rules: Mapping[str, Rule | Ensemble]) -> dict[str, int]:
+    """Row count of every rule table: the size bound of its broadcasts."""
+    return {k: len(v) for k, v in flatten(rules).items()}
+
+
 def _finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
     return df.select("rule_id", F.lit(check).alias("check"), detail.cast("string").alias("detail"))
 
@@ -102,6 +107,11 @@ def suggestion(attribute: Column, names: list[str]) -> Column:
 def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Catalog,
           profile: DataFrame | None = None, sensitive_pattern: str | None = None) -> DataFrame:
     t = rule_frames(spark, rules)
+    size = rule_sizes(rules)
+
+    def small(name: str, df: DataFrame | None = None) -> DataFrame:
+        # any frame derived from one rule table has at most that table's rows
+        return bounded_broadcast(t[name] if df is None else df, size[name])
     n_values = sum(len(v) for v in catalog.attributes.values())
     dic = bounded_broadcast(catalog.to_frame(spark).select("attribute", "value"), n_values)
     known = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"), len(catalog.attributes))
@@ -147,7 +157,7 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
         out.append(_finding(unseen, "A4 unobserved_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
 
     # A5 effects: known choices, |effect| <= 0.25, non-empty
-    eff_unknown = t["effects"].join(t["choices"].select("rule_id", "choice_id"), ["rule_id", "choice_id"], "left_anti")
+    eff_unknown = t["effects"].join(small("choices", t["choices"].select("rule_id", "choice_id")), ["rule_id", "choice_id"], "left_anti")
     out.append(_finding(eff_unknown, "A5 unknown_choice", F.concat(F.col("attribute"), F.lit(":"), F.col("choice_id"))))
     out.append(_finding(t["effects"].where(F.abs("effect") > MAX_ABS_EFFECT), "A5 effect_too_large",
                         F.concat(F.col("attribute"), F.lit(":"), F.col("choice_id"))))
@@ -169,43 +179,43 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
 
     # A11 ensembles: 3..5 perspectives, unique ids, 2..6 factors each
     ens_ids = t["meta"].where(F.col("kind") == "ensemble").select("rule_id")
-    n_persp = ens_ids.join(t["perspectives"], "rule_id", "left").groupBy("rule_id").agg(F.count("perspective_id").alias("n"))
+    n_persp = ens_ids.join(small("perspectives"), "rule_id", "left").groupBy("rule_id").agg(F.count("perspective_id").alias("n"))
     out.append(_finding(n_persp.where((F.col("n") < 3) | (F.col("n") > 5)), "A11 perspective_count", F.col("n")))
     out.append(_finding(t["perspectives"].groupBy("rule_id", "perspective_id").count().where("count > 1"),
                         "A11 duplicate_perspective", F.col("perspective_id")))
-    persp_factors = t["perspectives"].join(per_set, ["rule_id", "perspective_id"], "left").select(
+    persp_factors = t["perspectives"].join(small("factors", per_set), ["rule_id", "perspective_id"], "left").select(
         "rule_id", "perspective_id", F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n"))
     out.append(_finding(persp_factors.where((F.col("n") < 2) | (F.col("n") > 6)), "A11 perspective_factors",
                         F.concat(F.col("perspective_id"), F.lit(":"), F.col("n").cast("string"))))
 
     # A10 hybrid priors
     hyb = t["meta"].where("hybrid")
-    hp = t["priors"].where(F.col("prior_id") != "authored").join(hyb.select("rule_id"), "rule_id", "left_semi")
-    n_priors = hyb.select("rule_id").join(hp, "rule_id", "left").groupBy("rule_id").agg(F.count_distinct("prior_id").alias("n"))
+    hp = t["priors"].where(F.col("prior_id") != "authored").join(small("meta", hyb.select("rule_id")), "rule_id", "left_semi")
+    n_priors = hyb.select("rule_id").join(small("priors", hp), "rule_id", "left").groupBy("rule_id").agg(F.count_distinct("prior_id").alias("n"))
     out.append(_finding(n_priors.where((F.col("n") < 3) | (F.col("n") > 5)), "A10 prior_count", F.col("n")))
     per_prior = hp.groupBy("rule_id", "prior_id").agg(
         F.sum("value").alias("s"), F.min("value").alias("mn"), F.max("value").alias("mx"))
     out.append(_finding(per_prior.where((F.col("mn") <= 0) | (F.col("mx") > 1) | (F.col("s") < lo) | (F.col("s") > hi)),
                         "A10 prior_values", F.col("prior_id")))
-    fit = per_prior.join(hyb.select("rule_id", F.col("fit_only_prior_id").alias("prior_id")), ["rule_id", "prior_id"], "left_semi")
+    fit = per_prior.join(small("meta", hyb.select("rule_id", F.col("fit_only_prior_id").alias("prior_id"))), ["rule_id", "prior_id"], "left_semi")
     out.append(_finding(fit.where(F.col("mx") - F.col("mn") > 0.001), "A10 fit_only_unequal", F.col("prior_id")))
     hp_keys = hp.select("rule_id", "prior_id", "choice_id", F.lit(1).alias("p")).join(
-        hp.select("rule_id", "prior_id").distinct().join(t["choices"].select("rule_id", "choice_id", F.lit(1).alias("c")), "rule_id"),
+        hp.select("rule_id", "prior_id").distinct().join(small("choices", t["choices"].select("rule_id", "choice_id", F.lit(1).alias("c"))), "rule_id"),
         ["rule_id", "prior_id", "choice_id"], "full")
     out.append(_finding(hp_keys.where(F.col("p").isNull() | F.col("c").isNull()), "A10 prior_keys",
                         F.concat(F.col("prior_id"), F.lit(":"), F.col("choice_id"))))
     ids = hp.select("rule_id", "prior_id").distinct()
     for col, check in (("central_prior_id", "A10 central_missing"), ("fit_only_prior_id", "A10 fit_only_missing")):
         ref = hyb.select("rule_id", F.col(col).alias("prior_id"))
-        out.append(_finding(ref.join(ids, ["rule_id", "prior_id"], "left_anti"), check, F.coalesce(F.col("prior_id"), F.lit("NULL"))))
+        out.append(_finding(ref.join(small("priors", ids), ["rule_id", "prior_id"], "left_anti"), check, F.coalesce(F.col("prior_id"), F.lit("NULL"))))
     excluded = t["direct"].where(F.col("role") == "excluded")
     out.append(_finding(excluded.join(known, "attribute", "left_anti"), "A10 unknown_excluded", F.col("attribute")))
-    out.append(_finding(hyb.join(excluded, "rule_id", "left_anti"), "A10 no_excluded", F.lit("")))
+    out.append(_finding(hyb.join(small("direct", excluded), "rule_id", "left_anti"), "A10 no_excluded", F.lit("")))
 
     # A9 evidence attributes known; E13 direct evidence never reused as a factor
     evid = t["direct"].where(F.col("role") == "evidence")
     out.append(_finding(evid.join(known, "attribute", "left_anti"), "A9 unknown_evidence", F.col("attribute")))
-    leak = t["factors"].join(t["direct"].select("rule_id", "attribute").distinct(), ["rule_id", "attribute"], "left_semi")
+    leak = t["factors"].join(small("direct", t["direct"].select("rule_id", "attribute").distinct()), ["rule_id", "attribute"], "left_semi")
     out.append(_finding(leak, "E13 evidence_leak", F.concat(F.col("perspective_id"), F.lit(":"), F.col("attribute"))))
 
     result = out[0]
