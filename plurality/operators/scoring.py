@@ -136,32 +136,36 @@ def score_by_join(df: DataFrame, rule: Rule, factor_table: DataFrame, key: str =
     ``(attribute, condition, choice_index, effect)`` (e.g. many stored rules).
 
     The row's attributes are unpivoted, joined to the (small, broadcast) factor
-    table on (attribute, value), and the matched effects summed per (key,
-    choice). Partial aggregation runs before the shuffle, and all rows of a
-    key come from one input row, so the shuffle carries one row per key and
-    choice.
+    table on (attribute, value), and the matched effects summed per input
+    row. Partial aggregation runs before the shuffle, and all rows of a row
+    id are adjacent in one task, so the shuffle carries one row per input
+    row.
     """
     attrs = sorted({f.attribute for f in rule.factors})
     n = len(rule.choices)
-    base = df.where(F.col(key).isNotNull()).select(key, *attrs)
+    # Keys need not be unique, so effects are summed per input row: a row id
+    # (partition index + position, stable for a deterministic scan) keeps
+    # rows apart and spreads a hot key over many groups.
+    base = df.where(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("_rid"), key, *attrs)
     if not attrs:
         fitted = base.select(key, *[F.lit(0.0).alias(f"_fit{i}") for i in range(n)])
     else:
         long = base.select(
+            "_rid",
             key,
             F.explode(
                 F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attrs])
             ).alias("kv"),
-        ).select(key, F.col("kv.attribute").alias("attribute"), F.col("kv.value").alias("value"))
+        ).select("_rid", key, F.col("kv.attribute").alias("attribute"), F.col("kv.value").alias("value"))
         # left join: a row whose attributes match nothing still yields its key
         bound = sum(len(f.conditions) * len(rule.choices) for f in rule.factors)
         matched = long.join(bounded_broadcast(factor_table.withColumnRenamed("condition", "value"), bound), ["attribute", "value"], "left")
-        fitted = matched.groupBy(key).agg(
+        fitted = matched.groupBy("_rid", key).agg(
             *[
                 F.coalesce(F.sum(F.when(F.col("choice_index") == i, F.col("effect"))), F.lit(0.0)).alias(f"_fit{i}")
                 for i in range(n)
             ]
-        )
+        ).drop("_rid")
     noisy = with_noise(fitted, rule.seed, rule.choice_ids, key)
     return noisy.select(
         key,

@@ -84,3 +84,14 @@ def test_scenario_grid_single_scan_matches_separate_rules(spark):
             t = shares.totals(scoring.probabilities(prof, rule, keep=[]), 3).first()
             for i, c in enumerate(rule.choice_ids):
                 assert abs(grid[(prior.id, persp.id, c)] - t[f"t{i}"]) < 1e-9
+
+
+def test_score_by_join_keeps_duplicate_keys_apart(spark):
+    df = spark.createDataFrame(
+        [("k", "1-URGENT", "large", "BUILDING"), ("k", None, "medium", None), ("k", "5-LOW", None, "BUILDING"), ("m", None, None, None)],
+        "unit_id string, priority string, basket string, segment string",
+    )
+    ft = scoring.factor_table(spark, RULE)
+    a = sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in scoring.score_by_join(df, RULE, ft).collect())
+    b = sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in scoring.score(df, RULE, keep=[]).collect())
+    assert a == b and len(a) == 4
