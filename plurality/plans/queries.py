@@ -287,9 +287,8 @@ def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     then every file audited against it."""
     from plurality.sources.files import file_digests, manifest_audit as audit
 
-    pattern = f"{sf_dir.rstrip('/')}/*.parquet"
-    manifest = file_digests(spark, pattern).select("file_name", "bytes", "sha256")
-    return audit(spark, manifest, pattern)
+    manifest = file_digests(spark, sf_dir, "*.parquet").select("file_name", "bytes", "sha256")
+    return audit(spark, manifest, sf_dir, "*.parquet")
 
 
 def schema_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,27 +61,28 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("rows", F.inline(F.array(*items)))
 
 
-def file_digests(spark: SparkSession, path_glob: str, with_hash: bool = True) -> DataFrame:
-    """(path, file_name, bytes[, sha256]) of every matching file. Each file is
-    one task; without the hash the content column is pruned (size only)."""
-    df = spark.read.format("binaryFile").load(path_glob)
+def file_digests(spark: SparkSession, directory: str, pattern: str = "*", with_hash: bool = True) -> DataFrame:
+    """(path, file_name, bytes[, sha256]) of every file in ``directory``
+    matching ``pattern``. Each file is one task; without the hash the content
+    column is pruned (size only)."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     cols = [F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("bytes")]
     if with_hash:
         cols.append(F.sha2(F.col("content"), 256).alias("sha256"))
     return df.select(*cols)
 
 
-def manifest_audit(spark: SparkSession, manifest: DataFrame, path_glob: str) -> DataFrame:
+def manifest_audit(spark: SparkSession, manifest: DataFrame, directory: str, pattern: str = "*") -> DataFrame:
     """Every manifest entry (file_name, bytes, sha256) against the files:
     ``ok``, ``missing``, ``size_mismatch`` (hash not computed for it) or
     ``hash_mismatch``. All failures are reported, not only the first."""
-    sizes = file_digests(spark, path_glob, with_hash=False)
+    sizes = file_digests(spark, directory, pattern, with_hash=False)
     sized = manifest.alias("m").join(sizes.alias("f"), F.col("m.file_name") == F.col("f.file_name"), "left").select(
         F.col("m.file_name").alias("file_name"), F.col("m.bytes").alias("expected_bytes"), F.col("f.bytes").alias("actual_bytes"),
         F.col("m.sha256").alias("expected_sha256"), F.col("f.path").alias("path"),
     )
     need_hash = sized.where(F.col("actual_bytes") == F.col("expected_bytes")).select("path")
-    hashed = file_digests(spark, path_glob, with_hash=True).join(need_hash, "path", "left_semi").select("path", "sha256")
+    hashed = file_digests(spark, directory, pattern, with_hash=True).join(need_hash, "path", "left_semi").select("path", "sha256")
     out = sized.join(hashed, "path", "left")
     status = (
         F.when(F.col("actual_bytes").isNull(), F.lit("missing"))
@@ -139,12 +140,13 @@ def load_catalog_json(spark: SparkSession, index_path: str) -> tuple[DataFrame,
     ``(domain, attribute, code, value)``; second frame lists attributes
     declared by more than one domain (an error for the caller)."""
     import json
-    import os
+    import posixpath
 
-    with open(index_path, encoding="utf-8") as handle:
-        index = json.load(handle)
-    base = os.path.dirname(index_path)
-    paths = [(name, os.path.join(base, meta["file"])) for name, meta in index["domains"].items()]
+    # the index is a few hundred bytes of configuration: one row to the driver,
+    # read through Spark so shared file systems and object stores work
+    index = json.loads(spark.read.text(index_path, wholetext=True).first()["value"])
+    base = posixpath.dirname(index_path)
+    paths = [(name, posixpath.join(base, meta["file"])) for name, meta in index["domains"].items()]
     frames = []
     for name, path in paths:
         doc = spark.read.option("multiLine", "true").text(path, wholetext=True)

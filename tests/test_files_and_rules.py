@@ -24,9 +24,9 @@ def test_manifest_audit_statuses(spark):
     manifest = spark.createDataFrame(
         [("a.bin", 5, sha(b"hello")), ("b.bin", 99, sha(b"world!")), ("c.bin", 4, sha(b"diff")), ("gone.bin", 1, "00")],
         "file_name string, bytes bigint, sha256 string")
-    got = {r.file_name: r.status for r in manifest_audit(spark, manifest, f"{d}/*.bin").collect()}
+    got = {r.file_name: r.status for r in manifest_audit(spark, manifest, d, "*.bin").collect()}
     assert got == {"a.bin": "ok", "b.bin": "size_mismatch", "c.bin": "hash_mismatch", "gone.bin": "missing"}
-    digests = {r.file_name: r.sha256 for r in file_digests(spark, f"{d}/*.bin").collect()}
+    digests = {r.file_name: r.sha256 for r in file_digests(spark, d, "*.bin").collect()}
     assert digests["a.bin"] == sha(b"hello")
 
 
