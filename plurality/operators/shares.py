@@ -98,20 +98,27 @@ def grouping_bits(all_cols: Sequence[str], grouped: Sequence[str]) -> int:
     return sum(1 << (k - 1 - i) for i, c in enumerate(all_cols) if c not in grouped)
 
 
-def breakdown(scored: DataFrame, rule: Rule, catalog: Catalog, groups: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
+def breakdown(scored: DataFrame | None, rule: Rule, catalog: Catalog, groups: Sequence[str] | None = None, digits: int = 6,
+              cells: DataFrame | None = None) -> DataFrame:
     """Per result group: off-list or NULL values go to ``Unknown``; one
     GROUPING SETS pass covers all groups.
 
-    Output ``group_attribute, group_value, n, choice_index, choice, percent``."""
+    Output ``group_attribute, group_value, n, choice_index, choice, percent``.
+    ``cells``: pre-aggregated rows with the keys ``_g_<group>`` (already
+    mapped), ``_n`` and ``_t<i>`` (see ``plans.report``)."""
     groups = list(rule.result_groups if groups is None else groups)
     n = len(rule.choices)
     if not groups:
         raise ValueError("no result groups")
-    keys = [F.when(F.col(g).isin(*catalog.values(g)), F.col(g)).otherwise(F.lit(UNKNOWN)).alias(f"_g_{g}") for g in groups]
     key_cols = [f"_g_{g}" for g in groups]
-    keyed = scored.select(*keys, *[prob_col(i) for i in range(n)])
+    if cells is None:
+        keyed = scored.select(*[bucket_key(g, catalog) for g in groups], *[prob_col(i) for i in range(n)])
+        size, sums = F.count(F.lit(1)), [F.sum(prob_col(i)) for i in range(n)]
+    else:
+        keyed = cells
+        size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
     agg = keyed.groupingSets([[c] for c in key_cols], *key_cols).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"), *[F.sum(prob_col(i)).alias(f"t{i}") for i in range(n)]
+        F.grouping_id().alias("_gid"), size.cast("bigint").alias("n"), *[x.alias(f"t{i}") for i, x in enumerate(sums)]
     )
     attr = None
     value = None
@@ -126,6 +133,16 @@ def breakdown(scored: DataFrame, rule: Rule, catalog: Catalog, groups: Sequence[
     )
 
 
+def bucket_key(group: str, catalog: Catalog) -> Column:
+    """Breakdown key: the value when it is on the catalog list, else Unknown."""
+    return F.when(F.col(group).isin(*catalog.values(group)), F.col(group)).otherwise(F.lit(UNKNOWN)).alias(f"_g_{group}")
+
+
+def valid_value(attribute: str, catalog: Catalog) -> Column:
+    """Segment value: on-list values only (off-list and NULL become NULL)."""
+    return F.when(F.col(attribute).isin(*catalog.values(attribute)), F.col(attribute)).alias(attribute)
+
+
 def segment_attributes(rule: Rule, catalog: Catalog) -> list[str]:
     return sorted({f.attribute for f in rule.factors if catalog.is_segment(f.attribute)})
 
@@ -138,6 +155,7 @@ def segments(
     min_divisor: int = 100,
     digits: int = 6,
     max_cells: int = 250_000,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """1- and 2-way segments over the rule's segment attributes.
 
@@ -155,17 +173,20 @@ def segments(
     attrs = segment_attributes(rule, catalog)
     n = len(rule.choices)
     sets = [(a,) for a in attrs] + list(combinations(attrs, 2))
-    valid = scored.select(
-        *[F.when(F.col(a).isin(*catalog.values(a)), F.col(a)).alias(a) for a in attrs], *[prob_col(i) for i in range(n)]
-    )
     cell_bound = 1
     for a in attrs:
         cell_bound *= len(catalog.values(a)) + 1
-    if attrs and cell_bound <= max_cells:
+    if cells is not None:
+        # pre-aggregated cells (segment attributes already validity-mapped)
+        size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
+        source = cells
+    elif attrs and cell_bound <= max_cells:
+        valid = scored.select(*[valid_value(a, catalog) for a in attrs], *[prob_col(i) for i in range(n)])
         cells = valid.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(prob_col(i)).alias(f"_t{i}") for i in range(n)])
         size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
         source = cells
     else:
+        valid = scored.select(*[valid_value(a, catalog) for a in attrs], *[prob_col(i) for i in range(n)])
         size, sums = F.count(F.lit(1)), [F.sum(prob_col(i)) for i in range(n)]
         source = valid
     grouping = [list(s) for s in sets] + [[]]

@@ -355,9 +355,9 @@ def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard rule's report, one JSON document per block."""
-    from plurality.plans.report import as_json_rows, vote_report
+    from plurality.plans.report import as_json_rows, vote_report_one_scan
 
-    return as_json_rows(vote_report(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS))
+    return as_json_rows(vote_report_one_scan(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS))
 
 
 REGISTRY: dict[str, Query] = {

@@ -1,11 +1,15 @@
-"""Single-rule report: every block of the result document from one scored
-DataFrame, and the JSON edge (S12).
-
-The scored rows are reused by several aggregates; ``persist`` is optional
-(each block is otherwise one scan with partial aggregation). Each block is a
-small DataFrame; JSON is produced only at the edge with ``to_json`` over a
-sorted ``collect_list`` of the block's rows (bounded by choices x groups or
-segments), one output row per block.
+"""Single-rule report: every block of the result document, and the JSON
+edge (S12).
+
+One scan: the scored rows are reduced to cells keyed by the breakdown keys
+and the validity-mapped segment attributes, carrying the row count, the
+probability sums and the indicator sums needed for missing cells and factor
+coverage. The cells are bounded by the product of (list size + 1) over
+those attributes, so they are tiny; they are checkpointed into the shared
+folder (lineage cut, survives executor loss) and every block is derived from
+them. When the bound is too large, each block falls back to its own scan.
+JSON is produced only at the edge with ``to_json`` over a sorted
+``collect_list`` of each block's rows, one output row per block.
 """
 
 from __future__ import annotations
@@ -15,8 +19,86 @@ from pyspark.sql import functions as F
 
 from plurality.operators import scoring, shares
 from plurality.operators.evidence import coverage
+from plurality.session import shared_dir
 from plurality.spec import Catalog, Rule
 
+MAX_REPORT_CELLS = 250_000
+
+
+def _top_factor_keys(rule: Rule):
+    order = shares.top_factor_order(rule, 3)
+    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
+    return order, keys
+
+
+def report_cells(scored: DataFrame, rule: Rule, catalog: Catalog) -> tuple[DataFrame, int]:
+    """(cells, cell bound). Keys: ``_g_<group>`` (Unknown-mapped) and the
+    segment attributes (off-list -> NULL). Values: ``_n``, ``_t<i>``,
+    ``_miss<j>`` per factor attribute, ``_v<k>``/``_m<k>`` per top factor."""
+    n = len(rule.choices)
+    groups = list(rule.result_groups)
+    seg = shares.segment_attributes(rule, catalog)
+    _, keys = _top_factor_keys(rule)
+    bound = 1
+    for g in groups:
+        bound *= len(catalog.values(g)) + 1
+    for a in seg:
+        bound *= len(catalog.values(a)) + 1
+    keyed = scored.select(
+        *[shares.bucket_key(g, catalog) for g in groups],
+        *[shares.valid_value(a, catalog) for a in seg],
+        *[scoring.prob_col(i) for i in range(n)],
+        *[F.col(a).isNull().cast("long").alias(f"_miss{j}") for j, a in enumerate(rule.factor_attributes())],
+        *[F.col(a).isNotNull().cast("long").alias(f"_v{k}") for k, (a, _) in enumerate(keys)],
+        *[F.coalesce(F.col(a).isin(*c), F.lit(False)).cast("long").alias(f"_m{k}") for k, (a, c) in enumerate(keys)],
+    )
+    sums = [c for c in keyed.columns if c.startswith(("_miss", "_v", "_m"))]
+    cells = keyed.groupBy(*[f"_g_{g}" for g in groups], *seg).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(scoring.prob_col(i)).alias(f"_t{i}") for i in range(n)],
+        *[F.sum(c).alias(c) for c in sums],
+    )
+    return cells, bound
+
+
+def vote_report_one_scan(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
+                         digits: int = 6, max_cells: int = MAX_REPORT_CELLS) -> dict[str, DataFrame]:
+    """All report blocks from one scan of the profile (see module doc)."""
+    scored = scoring.probabilities(profile, rule, mode=mode)
+    cells, bound = report_cells(scored, rule, catalog)
+    if bound > max_cells:
+        return vote_report(spark, profile, rule, catalog, mode, digits)
+    shared_dir(spark)  # checkpoint directory: the cluster's shared folder
+    cells = cells.checkpoint(eager=True)
+    n = len(rule.choices)
+    order, keys = _top_factor_keys(rule)
+    total = cells.agg(F.sum("_n").cast("bigint").alias("n"), *[F.sum(f"_t{i}").alias(f"t{i}") for i in range(n)])
+    counted = shares.apportion(total, "n", [f"t{i}" for i in range(n)])
+    choices = counted.select("n", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("choice_index"), F.lit(c).alias("choice"), F.col(f"count{i}").alias("count"),
+                 F.round(shares.pct(F.col(f"t{i}"), F.col("n")), digits).alias("percent"))
+        for i, c in enumerate(rule.choice_ids)
+    ])))
+    misses = [F.col(c) for c in cells.columns if c.startswith("_miss")]
+    miss_total = F.lit(0).cast("bigint")
+    for m in misses:
+        miss_total = miss_total + F.sum(m)
+    missing = cells.agg(F.sum("_n").cast("bigint").alias("n_units"), miss_total.cast("bigint").alias("missing_cells"))
+    top = cells.agg(*[F.sum(f"_v{k}").alias(f"v{k}") for k in range(len(keys))]).select(F.inline(F.array(*[
+        F.struct(F.lit(rank).alias("rank"), F.lit(pos).alias("factor_position"), F.lit(keys[k][0]).alias("attribute"),
+                 F.lit("|".join(keys[k][1])).alias("conditions"), F.lit(st).alias("max_abs_effect"))
+        for k, (rank, pos, st) in enumerate(order)
+    ]))) if keys else None
+    segs = shares.segments(None, rule, catalog, digits=digits, cells=cells)
+    blocks = {
+        "choices": choices,
+        "groups": shares.breakdown(None, rule, catalog, digits=digits, cells=cells) if rule.result_groups else None,
+        "preference_groups": shares.best_segments(spark, segs, rule),
+        "missing": missing,
+        "top_factors": top,
+    }
+    return {k: v for k, v in blocks.items() if v is not None}
+
 
 def vote_report(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
                 digits: int = 6, persist: bool = False) -> dict[str, DataFrame]:
