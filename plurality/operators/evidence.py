@@ -40,10 +40,12 @@ def evidence_counts(df: DataFrame, evidence: Evidence, choices: Sequence[str]) -
     return df.agg(*cols)
 
 
-def evidence_report(df: DataFrame, evidence: Evidence, choices: Sequence[str], digits: int = 6) -> DataFrame:
+def evidence_report(df: DataFrame, evidence: Evidence, choices: Sequence[str], digits: int = 6,
+                    counts: DataFrame | None = None) -> DataFrame:
     """Per choice: matched, valid, missing, matched % of all, share of all
-    matches, plus any-match count and % (repeated per row)."""
-    counts = evidence_counts(df, evidence, choices)
+    matches, plus any-match count and % (repeated per row). ``counts``: a
+    precomputed ``evidence_counts`` row."""
+    counts = evidence_counts(df, evidence, choices) if counts is None else counts
     matched_sum = reduce(lambda a, b: a + b, [F.col(f"matched{i}") for i in range(len(choices))])
     items = [
         F.struct(
@@ -62,10 +64,11 @@ def evidence_report(df: DataFrame, evidence: Evidence, choices: Sequence[str], d
     )
 
 
-def empirical_prior(df: DataFrame, evidence: Evidence, choices: Sequence[str], authored: Mapping[str, float]) -> DataFrame:
+def empirical_prior(df: DataFrame, evidence: Evidence, choices: Sequence[str], authored: Mapping[str, float],
+                    counts: DataFrame | None = None) -> DataFrame:
     """matched_i / sum(matched); when nothing matched, the authored prior.
     Output ``choice_index, choice, prior, source``."""
-    counts = evidence_counts(df, evidence, choices)
+    counts = evidence_counts(df, evidence, choices) if counts is None else counts
     total = reduce(lambda a, b: a + b, [F.col(f"matched{i}") for i in range(len(choices))])
     items = [
         F.struct(
@@ -84,21 +87,18 @@ def coverage_keys(factors: Sequence[Factor]) -> list[tuple[str, tuple[str, ...]]
     return list(dict.fromkeys((f.attribute, tuple(f.conditions)) for f in factors))
 
 
-def coverage(
-    df: DataFrame,
-    keys: Sequence[tuple[str, tuple[str, ...]]],
-    digits: int = 6,
-    extra: Sequence[Sequence[Column]] | None = None,
-) -> DataFrame:
-    """Per key: valid (non-NULL), missing, matched, % of all, % of valid (0 when
-    nothing is valid). ``extra`` adds literal columns per key (metadata).
-    Output ``key_index, attribute, conditions, n, valid, missing, matched,
-    matched_pct_all, matched_pct_valid, *extra``."""
+def coverage_aggs(keys: Sequence[tuple[str, tuple[str, ...]]]) -> list[Column]:
+    """Aggregate columns of a coverage report (to fold into another pass)."""
     cols = [F.count(F.lit(1)).alias("n")]
     for i, (a, conds) in enumerate(keys):
         cols.append(F.count(F.col(a)).alias(f"valid{i}"))
         cols.append(F.count_if(F.col(a).isin(*conds)).alias(f"matched{i}"))
-    row = df.agg(*cols)
+    return cols
+
+
+def coverage_rows(row: DataFrame, keys: Sequence[tuple[str, tuple[str, ...]]], digits: int = 6,
+                  extra: Sequence[Sequence[Column]] | None = None) -> DataFrame:
+    """Long coverage rows from a one-row aggregate holding ``coverage_aggs``."""
     items = []
     for i, (a, conds) in enumerate(keys):
         valid, matched = F.col(f"valid{i}"), F.col(f"matched{i}")
@@ -116,3 +116,16 @@ def coverage(
             fields.extend(extra[i])
         items.append(F.struct(*fields))
     return row.select("n", F.inline(F.array(*items)))
+
+
+def coverage(
+    df: DataFrame,
+    keys: Sequence[tuple[str, tuple[str, ...]]],
+    digits: int = 6,
+    extra: Sequence[Sequence[Column]] | None = None,
+) -> DataFrame:
+    """Per key: valid (non-NULL), missing, matched, % of all, % of valid (0 when
+    nothing is valid). ``extra`` adds literal columns per key (metadata).
+    Output ``key_index, attribute, conditions, n, valid, missing, matched,
+    matched_pct_all, matched_pct_valid, *extra``."""
+    return coverage_rows(df.agg(*coverage_aggs(keys)), keys, digits, extra)

@@ -1,10 +1,13 @@
 """Ensemble report: prior resolution, one scenario scan, and every block of
 the ensemble result document (E1-E12, G10-G13).
 
+Scans: one for the whole grid (every perspective x prior x choice sum plus
+the factor coverage counts, folded into one aggregate), and one more only
+for an empirical prior. Each one-row aggregate is checkpointed into the
+shared folder and every block is derived from it, so no block rescans.
 Prior resolution is the only driver boundary: an empirical prior is one
-aggregate row of at most four ratios, fetched once and turned into literals
-for the scoring expressions (the same barrier the reference has). Everything
-else stays lazy; all scenario probabilities come from a single scan.
+aggregate row of at most four ratios, turned into literals for the scoring
+expressions (the same barrier the reference has).
 """
 
 from __future__ import annotations
@@ -15,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.operators import ensemble as E
-from plurality.operators.evidence import coverage, coverage_keys, empirical_prior, evidence_report
+from plurality.operators.evidence import (
+    coverage, coverage_aggs, coverage_keys, coverage_rows, empirical_prior, evidence_counts, evidence_report,
+)
+from plurality.session import shared_dir
 from plurality.spec import Ensemble
 
 
@@ -27,11 +33,13 @@ def resolve_prior(df: DataFrame, ens: Ensemble) -> tuple[Mapping[str, float], st
         return dict(ens.central_scores()), "hybrid_sensitivity", None
     if ens.evidence is None:
         return dict(ens.base_scores), "authored", None
-    prior = empirical_prior(df, ens.evidence, ens.choice_ids, ens.base_scores)
+    shared_dir(df.sparkSession)
+    counts = evidence_counts(df, ens.evidence, ens.choice_ids).checkpoint(eager=True)  # one scan, one row
+    prior = empirical_prior(df, ens.evidence, ens.choice_ids, ens.base_scores, counts=counts)
     rows = prior.collect()  # one row per choice (<= 4)
     scores = {r["choice"]: float(r["prior"]) for r in rows}
     mode = "empirical_direct" if rows and rows[0]["source"] == "empirical" else "authored"
-    return scores, mode, evidence_report(df, ens.evidence, ens.choice_ids)
+    return scores, mode, evidence_report(df, ens.evidence, ens.choice_ids, counts=counts)
 
 
 def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: int = 6) -> dict[str, DataFrame]:
@@ -40,15 +48,19 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
     priors = [(p.id, p.base_scores) for p in ens.priors] if ens.priors else [(central_id, scores)]
     if all(pid != central_id for pid, _ in priors):
         priors = [(central_id, scores), *priors]
-    sums = E.scenario_sums(df, ens, priors)
-    shares = E.perspective_shares(sums, central_id, digits)
-    win = E.winners(shares)
     keys, extra = [], []
     for persp in ens.perspectives:
         for pos, f in enumerate(persp.factors):
             keys.append((f.attribute, tuple(f.conditions)))
             extra.append([F.lit(persp.id).alias("perspective_id"), F.lit(pos).alias("factor_position"),
                           F.lit(E.direction(f, ens.choice_ids)).cast("string").alias("direction")])
+    fold = [c for c in coverage_aggs(keys)[1:]]  # the grid already counts n
+    agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold)
+    shared_dir(spark)
+    agg = agg.checkpoint(eager=True)  # the one scan of the grid
+    sums = E.scenario_long(agg, names)
+    shares = E.perspective_shares(sums, central_id, digits)
+    win = E.winners(shares)
     signals = E.robust_signal_keys(ens.perspectives, ens.choice_ids)
     blocks = {
         "prior": spark.createDataFrame([(c, float(v), mode) for c, v in scores.items()], "choice string, prior double, mode string"),
@@ -56,7 +68,7 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
         "winners": win,
         "choices": E.consensus_table(shares, ens.choice_ids, digits),
         "winner_assessment": E.stability(win, len(ens.perspectives)),
-        "factors": coverage(df, keys, digits, extra=extra),
+        "factors": coverage_rows(agg, keys, digits, extra=extra),
         "robust_signals": spark.createDataFrame(
             [(a, "|".join(c), d, len(ids), ",".join(ids)) for (a, c, d), ids in signals],
             "attribute string, conditions string, supports string, perspective_count int, perspectives string"),

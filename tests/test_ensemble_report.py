@@ -51,3 +51,14 @@ def test_one_scan_report_equals_per_block_report(spark):
         ra = sorted(tuple(r) for r in a[name].select(*sorted(a[name].columns)).collect())
         rb = sorted(tuple(r) for r in b[name].select(*sorted(b[name].columns)).collect())
         assert ra == rb, name
+
+
+def test_report_factor_coverage_equals_separate_pass(spark):
+    from plurality.operators.evidence import coverage
+
+    prof = profiles.order_profile(spark, SF01)
+    blocks = ensemble_report(spark, prof, S.STANDARD_ENSEMBLE)
+    keys = [(f.attribute, tuple(f.conditions)) for p in S.STANDARD_ENSEMBLE.perspectives for f in p.factors]
+    sep = sorted((r.key_index, r.valid, r.matched, r.n) for r in coverage(prof, keys).collect())
+    got = sorted((r.key_index, r.valid, r.matched, r.n) for r in blocks["factors"].collect())
+    assert got == sep
