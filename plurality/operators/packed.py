@@ -118,10 +118,12 @@ def dictionary_frame(spark, fields: Fields) -> DataFrame:
     return spark.createDataFrame(rows, "field_index int, field string, code int, value string")
 
 
-def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null") -> DataFrame:
+def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null", select: Sequence[str] | None = None) -> DataFrame:
     """Long form ``unit_id, field_index, field, value`` via a broadcast join of
     (field_index, code) against the dictionary; same semantics as the wide
-    form. Use with a field filter for wide schemas (rows x fields)."""
+    form. It emits rows x fields rows, so pass ``select`` (field names) for
+    wide schemas."""
+    wanted = set(select) if select is not None else None
     staged = with_packed_parts(df)
     items = [
         F.struct(
@@ -129,7 +131,8 @@ def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null") -> Da
             F.when(null_bit(i), F.lit(None).cast("int")).otherwise(field_code(i, short)).alias("code"),
             F.try_element_at(F.col("_ov"), F.lit(i)).alias("override"),
         )
-        for i in range(len(fields))
+        for i, (name, _) in enumerate(fields)
+        if wanted is None or name in wanted
     ]
     long = staged.select("unit_id", F.inline(F.array(*items)))
     dic = bounded_broadcast(dictionary_frame(spark, fields), sum(len(v) for _, v in fields))

@@ -137,3 +137,11 @@ def test_encoding_guard():
     assert check_encoding("nibble", 645, 1290, ("nibble", 645, 1290)) == []
     assert check_encoding("byte", 645, 1290)[0].startswith("unsupported packing")
     assert check_encoding("nibble", 600, 1290)
+
+
+def test_long_decode_field_filter(spark):
+    rows, want = make_rows(30, seed=9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.unit_id, r.field): r.value for r in decode_long(spark, df, FIELDS, select=["a1", "a20"]).collect()}
+    assert {f for _, f in got} == {"a1", "a20"}
+    assert all(got[(k, f)] == want[k][f] for k, f in got)
