@@ -81,3 +81,22 @@ def test_evidence_three_valued_and_zero_match_fallback(spark):
 def test_normalized_seed():
     assert normalized_seed("  Hello\tWORLD ") == hashlib.sha256(b"hello world").hexdigest()
     assert normalized_seed("ignored", "ab") == hashlib.sha256(b"ab").hexdigest()
+
+
+def test_sink_roundtrip_zstd_summary(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from plurality.sources.files import sink_roundtrip
+
+    df = spark.range(2500).select(F.col("id").cast("string").alias("unit_id"), (F.col("id") % 3).cast("string").alias("a"))
+    back, summary = sink_roundtrip(spark, df, "test-sink")
+    s = summary.first()
+    assert s.rows == 2500 and s.attributes == "a,unit_id" and s.compression == "zstd"
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+    path = s.path[len("file:"):] if s.path.startswith("file:") else s.path
+    parts = glob.glob(os.path.join(path, "*.parquet"))
+    assert parts
+    meta = pq.ParquetFile(parts[0]).metadata
+    assert meta.row_group(0).column(0).compression == "ZSTD"
