@@ -427,18 +427,15 @@ PACKED_KEY = "coalesce(source_record_id, source || ':' || CAST(source_row_index
 
 
 def decode_field_sql(i: int, values) -> str:
-    ov = f"list_filter(attribute_overrides, lambda x: x.field_index = {i})[1].value"
-    bb = i // 8
-    bit = f"((CAST('0x' || substr(hex(null_bitmap), {2 * bb + 1}, 2) AS INTEGER) >> {i % 8}) & 1)"
-    byte = f"CAST('0x' || substr(hex(attributes), {2 * (i // 2) + 1}, 2) AS INTEGER)"
-    code = f"({byte} >> 4)" if i % 2 else f"({byte} & 15)"
+    """First override entry (comprehension), else NULL when the bitmap bit is
+    set, else the value list at the field's nibble; bytes read as integers."""
+    first_override = f"[x.value FOR x IN coalesce(attribute_overrides, []) IF x.field_index = {i}][1]"
+    byte_at = lambda blob, k: f"CAST('0x' || substr(hex({blob}), {2 * k + 1}, 2) AS INTEGER)"
+    nibble = f"({byte_at('attributes', i // 2)} >> {4 * (i % 2)}) % 16"
+    bit_set = f"coalesce(octet_length(null_bitmap) > {i // 8} AND ({byte_at('null_bitmap', i // 8)} >> {i % 8}) % 2 = 1, false)"
     lst = "[" + ", ".join(q(v) for v in values) + "]"
-    return (
-        f"CASE WHEN {ov} IS NOT NULL THEN {ov} "
-        f"WHEN null_bitmap IS NOT NULL AND octet_length(null_bitmap) > {bb} AND {bit} = 1 THEN NULL "
-        f"WHEN octet_length(attributes) <= {i // 2} THEN NULL "
-        f"ELSE {lst}[{code} + 1] END"
-    )
+    lookup = f"if(octet_length(attributes) > {i // 2}, {lst}[{nibble} + 1], NULL)"
+    return f"coalesce({first_override}, if({bit_set}, NULL, {lookup}))"
 
 
 def decode_wide_sql(fields) -> str:
