@@ -26,12 +26,14 @@ SUGGEST_RATIO = 0.82
 def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
     """Driver-side flattening of rule configuration into table rows."""
     t: dict[str, list[tuple]] = {k: [] for k in
-                                  ("meta", "choices", "priors", "factors", "conditions", "effects", "groups", "perspectives", "direct")}
+                                  ("meta", "choices", "priors", "factors", "conditions", "effects", "groups", "perspectives", "direct",
+                                   "selectors", "selector_values")}
     for rid, r in rules.items():
         is_ens = isinstance(r, Ensemble)
         t["meta"].append((rid, "ensemble" if is_ens else "rule",
                           getattr(r, "central_prior_id", None), getattr(r, "fit_only_prior_id", None),
-                          bool(getattr(r, "priors", ()))))
+                          bool(getattr(r, "priors", ())), len(getattr(r, "interactions", ()) or ()),
+                          getattr(r, "evidence", None) is not None))
         for pos, c in enumerate(r.choices):
             t["choices"].append((rid, pos, c.id))
         for cid, v in r.base_scores.items():
@@ -48,9 +50,12 @@ def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
             for a in r.excluded_direct_attributes:
                 t["direct"].append((rid, a, "excluded"))
             if r.evidence is not None:
-                for sels in r.evidence.selectors.values():
-                    for s in sels:
+                for cid, sels in r.evidence.selectors.items():
+                    for pos, s in enumerate(sels):
                         t["direct"].append((rid, s.attribute, "evidence"))
+                        t["selectors"].append((rid, cid, pos, s.attribute, len(s.conditions)))
+                        for cond in s.conditions:
+                            t["selector_values"].append((rid, cid, pos, s.attribute, cond))
         for pid, factors in sets:
             for fpos, f in enumerate(factors):
                 t["factors"].append((rid, pid, fpos, f.attribute, len(f.conditions), len(f.effects)))
@@ -62,7 +67,8 @@ def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
 
 
 SCHEMAS = {
-    "meta": "rule_id string, kind string, central_prior_id string, fit_only_prior_id string, hybrid boolean",
+    "meta": ("rule_id string, kind string, central_prior_id string, fit_only_prior_id string, hybrid boolean, "
+             "n_interactions int, empirical boolean"),
     "choices": "rule_id string, pos int, choice_id string",
     "priors": "rule_id string, prior_id string, choice_id string, value double",
     "factors": "rule_id string, perspective_id string, factor_pos int, attribute string, n_conditions int, n_effects int",
@@ -71,6 +77,8 @@ SCHEMAS = {
     "groups": "rule_id string, grp string",
     "perspectives": "rule_id string, pos int, perspective_id string",
     "direct": "rule_id string, attribute string, role string",
+    "selectors": "rule_id string, choice_id string, pos int, attribute string, n_conditions int",
+    "selector_values": "rule_id string, choice_id string, pos int, attribute string, condition string",
 }
 
 
@@ -212,9 +220,27 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
     out.append(_finding(excluded.join(known, "attribute", "left_anti"), "A10 unknown_excluded", F.col("attribute")))
     out.append(_finding(hyb.join(small("direct", excluded), "rule_id", "left_anti"), "A10 no_excluded", F.lit("")))
 
-    # A9 evidence attributes known; E13 direct evidence never reused as a factor
+    # A7 interactions are reserved
+    out.append(_finding(t["meta"].where(F.col("n_interactions") > 0), "A7 interactions", F.col("n_interactions")))
+
+    # A9 empirical evidence: keys = choice ids, 1..3 selectors each, known
+    # attributes, non-empty legal conditions; A10 exclusive with hybrid priors
+    emp = t["meta"].where("empirical")
+    ev_keys = t["selectors"].select("rule_id", "choice_id").distinct().select("rule_id", "choice_id", F.lit(1).alias("e")).join(
+        t["choices"].join(small("meta", emp.select("rule_id")), "rule_id", "left_semi").select("rule_id", "choice_id", F.lit(1).alias("c")),
+        ["rule_id", "choice_id"], "full")
+    out.append(_finding(ev_keys.where(F.col("e").isNull() | F.col("c").isNull()), "A9 evidence_keys",
+                        F.concat(F.col("choice_id"), F.when(F.col("e").isNull(), F.lit(":missing")).otherwise(F.lit(":extra")))))
+    n_sel = t["selectors"].groupBy("rule_id", "choice_id").agg(F.count(F.lit(1)).alias("n"))
+    out.append(_finding(n_sel.where((F.col("n") < 1) | (F.col("n") > 3)), "A9 selector_count",
+                        F.concat(F.col("choice_id"), F.lit(":"), F.col("n").cast("string"))))
     evid = t["direct"].where(F.col("role") == "evidence")
     out.append(_finding(evid.join(known, "attribute", "left_anti"), "A9 unknown_evidence", F.col("attribute")))
+    out.append(_finding(t["selectors"].where("n_conditions = 0"), "A9 empty_selector", F.col("attribute")))
+    sel_known = t["selector_values"].join(known, "attribute", "left_semi")
+    out.append(_finding(sel_known.join(dic.withColumnRenamed("value", "condition"), ["attribute", "condition"], "left_anti"),
+                        "A9 invalid_selector_value", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
+    out.append(_finding(t["meta"].where(F.col("empirical") & F.col("hybrid")), "A10 evidence_and_hybrid", F.lit("")))
     leak = t["factors"].join(small("direct", t["direct"].select("rule_id", "attribute").distinct()), ["rule_id", "attribute"], "left_semi")
     out.append(_finding(leak, "E13 evidence_leak", F.concat(F.col("perspective_id"), F.lit(":"), F.col("attribute"))))
 

@@ -673,7 +673,20 @@ UNION ALL SELECT m.rule_id, 'A10 fit_only_missing', coalesce(m.fit_only_prior_id
   AND NOT EXISTS (SELECT 1 FROM hp h WHERE h.rule_id = m.rule_id AND h.prior_id = m.fit_only_prior_id)
 UNION ALL SELECT rule_id, 'A10 unknown_excluded', attribute FROM direct WHERE role = 'excluded' AND attribute NOT IN (SELECT attribute FROM known)
 UNION ALL SELECT rule_id, 'A10 no_excluded', '' FROM meta m WHERE hybrid AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = m.rule_id AND d.role = 'excluded')
+UNION ALL SELECT rule_id, 'A7 interactions', CAST(n_interactions AS VARCHAR) FROM meta WHERE n_interactions > 0
+UNION ALL SELECT coalesce(e.rule_id, c.rule_id), 'A9 evidence_keys',
+       coalesce(e.choice_id, c.choice_id) || CASE WHEN e.choice_id IS NULL THEN ':missing' ELSE ':extra' END
+  FROM (SELECT DISTINCT rule_id, choice_id FROM selectors) e
+  FULL OUTER JOIN (SELECT c.rule_id, c.choice_id FROM choices c JOIN meta m ON m.rule_id = c.rule_id WHERE m.empirical) c
+    ON e.rule_id = c.rule_id AND e.choice_id = c.choice_id
+  WHERE e.choice_id IS NULL OR c.choice_id IS NULL
+UNION ALL SELECT rule_id, 'A9 selector_count', choice_id || ':' || CAST(count(*) AS VARCHAR) FROM selectors
+  GROUP BY rule_id, choice_id HAVING count(*) < 1 OR count(*) > 3
 UNION ALL SELECT rule_id, 'A9 unknown_evidence', attribute FROM direct WHERE role = 'evidence' AND attribute NOT IN (SELECT attribute FROM known)
+UNION ALL SELECT rule_id, 'A9 empty_selector', attribute FROM selectors WHERE n_conditions = 0
+UNION ALL SELECT v.rule_id, 'A9 invalid_selector_value', v.attribute || '=' || v.condition FROM selector_values v
+  WHERE v.attribute IN (SELECT attribute FROM known) AND NOT EXISTS (SELECT 1 FROM dic d WHERE d.attribute = v.attribute AND d.value = v.condition)
+UNION ALL SELECT rule_id, 'A10 evidence_and_hybrid', '' FROM meta WHERE empirical AND hybrid
 UNION ALL SELECT f.rule_id, 'E13 evidence_leak', f.perspective_id || ':' || f.attribute FROM factors f
   WHERE EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = f.rule_id AND d.attribute = f.attribute)"""
     return (f"WITH {ORDER_PROFILE},\n" + ",\n".join(tabs)

@@ -163,4 +163,19 @@ AUDIT_RULES = {
         excluded_direct_attributes=("status", "planet"),
         seed=STANDARD_SEED,
     ),
+    "bad_evidence": Ensemble(
+        question="q", choices=CHOICES, base_scores=CENTRAL, perspectives=PERSPECTIVES,
+        priors=PRIORS, central_prior_id="central", fit_only_prior_id="equal", excluded_direct_attributes=("status",),
+        evidence=Evidence({
+            "alpha": (Selector("priority", ("1-URGENT", "0-NOW")), Selector("segment", ()), Selector("basket", ("large",)),
+                      Selector("returned", ("Y",))),
+            "beta": (Selector("colour", ("red",)),),
+            "delta": (Selector("region", ("ASIA",)),),
+        }),
+        seed=STANDARD_SEED,
+    ),
+    "bad_interactions": Rule(
+        question="q", choices=CHOICES, base_scores=CENTRAL, factors=(F_PRIORITY,), result_groups=("region",),
+        seed=STANDARD_SEED, interactions=({"a": "priority", "b": "basket"},),
+    ),
 }

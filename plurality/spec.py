@@ -51,6 +51,7 @@ class Rule:
     factors: tuple[Factor, ...] = ()
     result_groups: tuple[str, ...] = ()
     seed: str = ""
+    interactions: tuple = ()   # reserved: any entry is rejected by the audit
 
     @property
     def choice_ids(self) -> list[str]:
