@@ -146,12 +146,11 @@ def _scenario_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _perspective_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plurality.operators.ensemble import perspective_shares
+    """Perspective shares under the central prior only (one scan)."""
+    from plurality.operators.ensemble import perspective_shares, scenario_sums
 
     ens = S.STANDARD_ENSEMBLE
     priors = [(ens.central_prior_id, ens.central_scores())]
-    from plurality.operators.ensemble import scenario_sums
-
     return perspective_shares(scenario_sums(_orders(spark, sf_dir), ens, priors), ens.central_prior_id, DIGITS)
 
 
