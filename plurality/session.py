@@ -37,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
-        # only when the cluster names no shared folder (tests, local runs)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or object storage)")
+        # local runs and tests only: a private folder on this machine
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plurality-ckpt-"))
         conf = spark.sparkContext.getCheckpointDir()
     return conf
