@@ -145,3 +145,22 @@ def test_long_decode_field_filter(spark):
     got = {(r.unit_id, r.field): r.value for r in decode_long(spark, df, FIELDS, select=["a1", "a20"]).collect()}
     assert {f for _, f in got} == {"a1", "a20"}
     assert all(got[(k, f)] == want[k][f] for k, f in got)
+
+
+def test_prepare_plan_end_to_end(spark):
+    import pytest
+
+    from plurality.plans.prepare import prepare
+
+    rows, want = make_rows(40, seed=21)
+    df = spark.createDataFrame(rows, SCHEMA)
+    chosen = ["a2", "a5", "a11"]
+    back, summary = prepare(spark, df, FIELDS, chosen)
+    s = summary.first()
+    assert s.rows == 40 and s.attributes == "a11,a2,a5" and s.compression == "zstd"
+    got = {r.unit_id: {k: r[k] for k in chosen} for r in back.collect()}
+    assert got == {k: {f: v[f] for f in chosen} for k, v in want.items()}
+    with pytest.raises(ValueError):
+        prepare(spark, df, FIELDS, ["a2", "nope"])
+    with pytest.raises(ValueError):
+        prepare(spark, df, FIELDS, chosen, packing="byte")
