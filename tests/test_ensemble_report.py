@@ -44,13 +44,14 @@ def test_one_scan_report_equals_per_block_report(spark):
     from plurality.plans.report import vote_report, vote_report_one_scan
 
     prof = profiles.order_profile(spark, SF01)
-    a = vote_report(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG)
-    b = vote_report_one_scan(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG)
-    assert set(a) == set(b)
-    for name in a:
-        ra = sorted(tuple(r) for r in a[name].select(*sorted(a[name].columns)).collect())
-        rb = sorted(tuple(r) for r in b[name].select(*sorted(b[name].columns)).collect())
-        assert ra == rb, name
+    for mode in ("expected", "sampled"):
+        a = vote_report(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG, mode=mode)
+        b = vote_report_one_scan(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG, mode=mode)
+        assert set(a) == set(b)
+        for name in a:
+            ra = sorted(tuple(r) for r in a[name].select(*sorted(a[name].columns)).collect())
+            rb = sorted(tuple(r) for r in b[name].select(*sorted(b[name].columns)).collect())
+            assert ra == rb, (mode, name)
 
 
 def test_report_factor_coverage_equals_separate_pass(spark):
