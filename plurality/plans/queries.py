@@ -359,6 +359,16 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json_rows(vote_report_one_scan(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS))
 
 
+def ensemble_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard ensemble's document (hybrid priors), one JSON block per
+    row: prior, perspectives, winners, choices, winner assessment, factors,
+    robust signals, prior sensitivity, verdicts and ranges."""
+    from plurality.plans.ensemble_report import ensemble_report
+    from plurality.plans.report import as_json_rows
+
+    return as_json_rows(ensemble_report(spark, _orders(spark, sf_dir), S.STANDARD_ENSEMBLE, DIGITS))
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -401,4 +411,5 @@ REGISTRY: dict[str, Query] = {
     "classify_index": classify_index,
     "rule_audit": rule_audit,
     "result_json": result_json,
+    "ensemble_json": ensemble_json,
 }
