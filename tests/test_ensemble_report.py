@@ -7,7 +7,7 @@ from plurality.plans import standard as S
 from plurality.plans.ensemble_report import ensemble_report, resolve_prior
 from plurality.plans.report import as_json_rows
 from plurality.sources import profiles
-from plurality.spec import Choice, Ensemble, Factor, Perspective
+from plurality.spec import Ensemble, Factor, Perspective
 
 
 def test_hybrid_report_blocks(spark):

@@ -7,7 +7,7 @@ from conftest import SF01
 from plurality.operators import scoring, shares
 from plurality.plans import standard as S
 from plurality.sources import profiles
-from plurality.streaming import running_shares, shard_stream, start_running_shares
+from plurality.streaming import shard_stream, start_running_shares
 
 
 def test_running_shares_match_batch(spark):
