@@ -121,3 +121,11 @@ def synthetic_profile(keys: DataFrame, attributes: dict[str, Sequence[str]], key
 
 def demo_keys(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.concat(F.lit("demo-"), F.col("id").cast("string")).alias("unit_id"))
+
+
+def demo_profile(spark: SparkSession, rule, catalog, n: int = 10_000) -> DataFrame:
+    """Demo units ``demo-<i>`` for i < n with every attribute the rule needs
+    (result groups and factors) drawn from its catalog list by hash; never
+    NULL. Distributed by ``spark.range``."""
+    attrs = {a: catalog.values(a) for a in rule.needed_attributes()}
+    return synthetic_profile(demo_keys(spark, n), attrs)

@@ -92,3 +92,16 @@ def test_shares_and_segments_match_brute_force(spark):
     assert set(got) == set(want)
     for k, (cnt, lift) in want.items():
         assert got[k][0] == cnt and abs(got[k][1] - lift) < 1e-6
+
+
+def test_demo_profile_matches_hash_assignment(spark):
+    from plurality.sources.profiles import demo_profile
+
+    got = {r.unit_id: r for r in demo_profile(spark, RULE, CAT, 300).collect()}
+    assert len(got) == 300
+    for i in (0, 1, 7, 299):
+        key = f"demo-{i}"
+        for a in RULE.needed_attributes():
+            vals = CAT.values(a)
+            h = int.from_bytes(hashlib.md5(f"{key}:{a}".encode()).digest()[8:16], "little")
+            assert got[key][a] == vals[h % len(vals)]
