@@ -152,8 +152,10 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
     bad = conds_known.join(dic.withColumnRenamed("value", "condition"), ["attribute", "condition"], "left_anti")
     out.append(_finding(bad, "A4 invalid_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
     out.append(_finding(t["factors"].where("n_conditions = 0"), "A4 empty_conditions", F.col("attribute")))
-    if profile is not None:
-        attrs = sorted(set(catalog.attributes) & set(profile.columns))
+    used = {row[3] for row in flatten(rules)["conditions"]}
+    attrs = sorted(set(catalog.attributes) & set(profile.columns) & used) if profile is not None else []
+    if attrs:
+        # only attributes that rule conditions use are unpivoted
         seen = (
             profile.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("condition"))
                                                 for a in attrs])).alias("kv"))
