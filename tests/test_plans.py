@@ -46,3 +46,39 @@ def test_no_python_udfs_in_registered_queries(spark):
             continue
         plan = physical(q(spark, SF01))
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_same_results_without_broadcast_joins(spark):
+    """At scale the profile joins exceed any broadcast threshold: with
+    broadcasting off the plans use shuffle joins and give the same rows."""
+    import __spark_entry__ as E
+
+    names = ["share_expected", "segments_2way", "best_segment", "prior_sensitivity", "dictionary_long", "classify_index"]
+    q = E.queries()
+    before = {n: sorted(tuple(r) for r in q[n](spark, SF01).collect()) for n in names}
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        plan = physical(q["share_expected"](spark, SF01))
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        for n in names:
+            assert sorted(tuple(r) for r in q[n](spark, SF01).collect()) == before[n], n
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def test_bounded_broadcast_hint_only_under_bound(spark):
+    from plurality.session import bounded_broadcast
+
+    small = spark.range(10)
+    big = spark.range(1000)
+    hinted = big.join(bounded_broadcast(small, 10, max_rows=100), "id")
+    unhinted = big.join(bounded_broadcast(small, 10, max_rows=5), "id")
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in unhinted._jdf.queryExecution().analyzed().toString().lower()
