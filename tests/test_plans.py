@@ -82,3 +82,40 @@ def test_bounded_broadcast_hint_only_under_bound(spark):
     unhinted = big.join(bounded_broadcast(small, 10, max_rows=5), "id")
     assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in unhinted._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_hot_customer_key_same_shares_with_shuffle_joins(spark, monkeypatch):
+    """A third of the orders remapped to one customer: the shuffle-join plan
+    (broadcast off, AQE skew handling on) gives the same shares."""
+    from pyspark.sql import functions as F
+
+    import plurality.sources.profiles as P
+
+    orig = P.table
+
+    def skewed(sp, sf_dir, name):
+        df = orig(sp, sf_dir, name)
+        if name == "orders":
+            df = df.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("o_custkey")))
+        return df
+
+    monkeypatch.setattr(P, "table", skewed)
+    rule = S.STANDARD_RULE
+
+    def run():
+        return sorted(tuple(r) for r in shares.shares(scoring.probabilities(P.order_profile(spark, SF01), rule), rule).collect())
+
+    base = run()
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.enabled": "true"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert run() == base
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
