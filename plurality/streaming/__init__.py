@@ -47,3 +47,17 @@ def start_running_shares(spark: SparkSession, stream: DataFrame, rule: Rule, que
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def start_scored_sink(spark: SparkSession, stream: DataFrame, rule: Rule, output: str, checkpoint: str | None = None,
+                      keep: list[str] | None = None, available_now: bool = True) -> StreamingQuery:
+    """Scores every arriving row (stateless) and appends ``unit_id, keep...,
+    p0..`` to a Parquet directory; the file sink with its checkpoint in the
+    shared folder commits each micro-batch exactly once."""
+    scored = scoring.probabilities(stream, rule, keep=[] if keep is None else keep)
+    writer = (
+        scored.writeStream.outputMode("append").format("parquet").option("path", output)
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-scored"))
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

@@ -25,3 +25,18 @@ def test_running_shares_match_batch(spark):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     for g, w in zip(got, want):
         assert abs(g[2] - w[2]) < 1e-6
+
+
+def test_scored_sink_matches_batch_scoring(spark):
+    from plurality.operators import scoring
+    from plurality.streaming import start_scored_sink
+
+    prof = profiles.order_profile(spark, SF01).select("unit_id", "priority", "basket", "segment")
+    d = tempfile.mkdtemp(prefix="plurality-stream-")
+    src, out = os.path.join(d, "shards"), os.path.join(d, "scored")
+    prof.repartition(3).write.parquet(src)
+    q = start_scored_sink(spark, shard_stream(spark, src, prof.schema), S.STANDARD_RULE, out, checkpoint=os.path.join(d, "ckpt"))
+    q.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    want = sorted(tuple(r) for r in scoring.probabilities(prof, S.STANDARD_RULE, keep=[]).collect())
+    assert got == want
