@@ -76,6 +76,33 @@ class Rule:
     def seeded(question: str, override: str | None = None) -> str:
         return normalized_seed(question, override)
 
+    @staticmethod
+    def from_dict(doc: Mapping) -> "Rule":
+        """A rule document (question, choices, base_scores, factors,
+        interactions, result_groups, seed). The seed is hashed once: from the
+        override when given, else from the normalised question."""
+        return Rule(
+            question=doc["question"],
+            choices=_choices(doc),
+            base_scores={k: float(v) for k, v in doc.get("base_scores", {}).items()},
+            factors=_factors(doc.get("factors", [])),
+            result_groups=tuple(doc.get("result_groups", ("region", "age_bracket"))),
+            seed=normalized_seed(doc["question"], doc.get("seed")),
+            interactions=tuple(doc.get("interactions", ()) or ()),
+        )
+
+
+def _choices(doc: Mapping) -> tuple[Choice, ...]:
+    return tuple(Choice(c["id"], c.get("label", "")) for c in doc.get("choices", []))
+
+
+def _factors(items) -> tuple[Factor, ...]:
+    return tuple(
+        Factor(f.get("attribute", ""), tuple(f.get("conditions", [])), {k: float(v) for k, v in f.get("effects", {}).items()},
+               f.get("reason", ""))
+        for f in items
+    )
+
 
 @dataclass(frozen=True)
 class Perspective:
@@ -129,6 +156,41 @@ class Ensemble:
             return next(p.base_scores for p in self.priors if p.id == self.central_prior_id)
         return self.base_scores
 
+    @staticmethod
+    def from_dict(doc: Mapping) -> "Ensemble":
+        """An ensemble document: perspectives, and optionally
+        ``empirical_prior.evidence`` or ``hybrid_sensitivity`` (priors with
+        central and fit-only ids, excluded direct attributes). Empty blocks
+        count as absent; the seed is hashed once."""
+        empirical = doc.get("empirical_prior") or {}
+        hybrid = doc.get("hybrid_sensitivity") or {}
+        evidence = None
+        if empirical:
+            evidence = Evidence({
+                choice: tuple(Selector(x.get("attribute", ""), tuple(x.get("conditions", []))) for x in sels)
+                for choice, sels in empirical.get("evidence", {}).items()
+            })
+        return Ensemble(
+            question=doc["question"],
+            choices=_choices(doc),
+            base_scores={k: float(v) for k, v in doc.get("base_scores", {}).items()},
+            perspectives=tuple(
+                Perspective(p.get("id", ""), p.get("label", ""), _factors(p.get("factors", [])), p.get("rationale", ""))
+                for p in doc.get("perspectives", [])
+            ),
+            priors=tuple(
+                Prior(p.get("id", ""), {k: float(v) for k, v in p.get("base_scores", {}).items()}, p.get("label", ""),
+                      p.get("rationale", ""))
+                for p in hybrid.get("priors", [])
+            ),
+            central_prior_id=hybrid.get("central_prior_id"),
+            fit_only_prior_id=hybrid.get("fit_only_prior_id"),
+            excluded_direct_attributes=tuple(hybrid.get("excluded_direct_attributes", [])),
+            evidence=evidence,
+            result_groups=tuple(doc.get("result_groups", ("region", "age_bracket"))),
+            seed=normalized_seed(doc["question"], doc.get("seed")),
+        )
+
     def rule_for(self, perspective: Perspective, base_scores: Mapping[str, float] | None = None) -> Rule:
         return Rule(
             self.question,
