@@ -221,6 +221,19 @@ class Catalog:
     def is_segment(self, attribute: str) -> bool:
         return attribute in self.attributes and attribute not in self.non_segment
 
+    @staticmethod
+    def from_frame(long: DataFrame, breakdowns: Sequence[str] = (), non_segment: Sequence[str] = ()) -> "Catalog":
+        """From a long dictionary ``(domain, attribute, code, value)`` (for
+        example ``sources.files.load_catalog_json``). The catalog is
+        configuration bounded by attributes x values (a few thousand rows),
+        fetched once to the driver."""
+        attrs: dict[str, list[str]] = {}
+        domains: dict[str, str] = {}
+        for r in long.orderBy("domain", "attribute", "code").collect():
+            attrs.setdefault(r["attribute"], []).append(r["value"])
+            domains[r["attribute"]] = r["domain"]
+        return Catalog(attrs, domains, tuple(breakdowns), tuple(non_segment))
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         """Long dictionary ``(domain, attribute, code, value, is_breakdown, is_segment)``."""
         rows = [

@@ -43,6 +43,11 @@ def test_load_catalog_json_and_duplicates(spark):
     rows = {(r.domain, r.attribute, r.code, r.value) for r in long.collect()}
     assert ("core", "region", 1, "S") in rows and ("food", "cuisine", 0, "thai") in rows
     assert [r.attribute for r in dups.collect()] == ["age"]
+    from plurality.spec import Catalog
+
+    cat = Catalog.from_frame(long.where("domain = 'core'"), breakdowns=("region",), non_segment=("region",))
+    assert cat.values("region") == ["N", "S"] and cat.values("age") == ["young", "old"]
+    assert cat.domains["age"] == "core" and not cat.is_segment("region") and cat.is_segment("age")
 
 
 def test_persona_classifier_branches(spark):
