@@ -129,3 +129,12 @@ def demo_profile(spark: SparkSession, rule, catalog, n: int = 10_000) -> DataFra
     NULL. Distributed by ``spark.range``."""
     attrs = {a: catalog.values(a) for a in rule.needed_attributes()}
     return synthetic_profile(demo_keys(spark, n), attrs)
+
+
+def wide_profile(spark: SparkSession, paths: Sequence[str] | str, attributes: Sequence[str], key: str = "persona_id") -> DataFrame:
+    """A processed wide table (one key column and many string attributes)
+    read with only the key and the given attributes: the scan's ReadSchema
+    holds just those columns, whatever the table's width."""
+    paths = [paths] if isinstance(paths, str) else sorted(paths)
+    df = spark.read.parquet(*paths)
+    return df.select(F.col(key).alias("unit_id"), *sorted(set(attributes)))

@@ -119,3 +119,17 @@ def test_hot_customer_key_same_shares_with_shuffle_joins(spark, monkeypatch):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_wide_profile_reads_only_needed_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plurality.sources.profiles import wide_profile
+
+    cols = [F.concat(F.lit("v"), (F.col("id") % (i + 2)).cast("string")).alias(f"attr{i}") for i in range(40)]
+    path = str(tmp_path / "wide")
+    spark.range(200).select(F.col("id").cast("string").alias("persona_id"), *cols).write.parquet(path)
+    df = wide_profile(spark, path, ["attr3", "attr7"])
+    assert df.columns == ["unit_id", "attr3", "attr7"]
+    scan = [line for line in physical(df).split("\n") if "ReadSchema" in line or "wide" in line][0]
+    assert "attr3" in scan and "attr11" not in scan
