@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.session import bounded_broadcast
-from plurality.spec import MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE, Catalog, Ensemble, Rule
+from plurality.spec import DRAW_SUFFIX, MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE, Catalog, Ensemble, Rule
 
 MAX_FACTORS = 12
 MAX_GROUPS = 3
@@ -131,6 +131,8 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
     n_choices = t["choices"].groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("choice_id").alias("d"))
     out.append(_finding(n_choices.where((F.col("n") < 2) | (F.col("n") > 4)), "A1 choice_count", F.col("n")))
     out.append(_finding(t["choices"].groupBy("rule_id", "choice_id").count().where("count > 1"), "A1 duplicate_choice", F.col("choice_id")))
+    # a choice named like the sampled-mode draw shares its noise hash
+    out.append(_finding(t["choices"].where(F.col("choice_id") == DRAW_SUFFIX), "A1 reserved_choice_id", F.col("choice_id")))
 
     # A2 authored prior: keys equal the choice ids; sum within tolerance
     authored = t["priors"].where(F.col("prior_id") == "authored")

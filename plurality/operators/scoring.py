@@ -42,11 +42,14 @@ def effect_terms(factors: Sequence[Factor], choice: str) -> list[Column]:
     return terms
 
 
-def with_noise(df: DataFrame, seed: str, choices: Sequence[str], key: str = KEY, draw: bool = False) -> DataFrame:
-    """Adds the uniform hash per choice (and the sampled-mode draw)."""
+def with_noise(df: DataFrame, seed: str, choices: Sequence[str], key: str = KEY, draw: bool = False,
+               draw_suffix: str = DRAW_SUFFIX) -> DataFrame:
+    """Adds the uniform hash per choice (and the sampled-mode draw). The draw
+    suffix defaults to the reference's; pass e.g. ``'#draw'`` to keep it
+    apart from a choice whose id equals it."""
     suffixes = [(noise_col(i), c) for i, c in enumerate(choices)]
     if draw:
-        suffixes.append(("_draw", DRAW_SUFFIX))
+        suffixes.append(("_draw", draw_suffix))
     # stage 1: one MD5 per (row, suffix); stage 2: byte reversal and scaling
     digests = df.select("*", *[F.md5(keyed_text(seed, F.col(key), sfx)).alias(f"_d{name}") for name, sfx in suffixes])
     keep = [c for c in df.columns]
@@ -100,7 +103,8 @@ def score(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None
     return noisy.select(key, *keep, *scores)
 
 
-def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None, mode: str = "expected") -> DataFrame:
+def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None, mode: str = "expected",
+                  draw_suffix: str = DRAW_SUFFIX) -> DataFrame:
     """``key``, ``keep`` columns and p0..p{n-1}.
 
     expected: softmax probabilities. sampled: one draw per row picks the first
@@ -112,14 +116,12 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     if mode not in ("expected", "sampled"):
         raise ValueError(f"unknown mode: {mode}")
     base = df.where(F.col(key).isNotNull()).select(key, *sorted(set(keep) | set(rule.factor_attributes())))
-    noisy = with_noise(base, rule.seed, rule.choice_ids, key, draw=(mode == "sampled"))
+    noisy = with_noise(base, rule.seed, rule.choice_ids, key, draw=(mode == "sampled"), draw_suffix=draw_suffix)
     scores = [logit(rule, i) for i in range(n)]
     extra = ["_draw"] if mode == "sampled" else []
     staged = staged_softmax(noisy, [key, *keep, *extra], [(scores, [prob_col(i) if mode == "expected" else f"_q{i}" for i in range(n)])])
     if mode == "expected":
         return staged
-    if mode != "sampled":
-        raise ValueError(f"unknown mode: {mode}")
     pick = None
     for i in range(n - 1):
         cumulative = reduce(add, [F.col(f"_q{j}") for j in range(i + 1)])

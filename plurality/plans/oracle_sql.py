@@ -624,6 +624,7 @@ def rule_audit_sql(rules, catalog: Catalog, sensitive: str, profile_cols) -> str
     checks = f"""
 SELECT rule_id, 'A1 choice_count' AS "check", CAST(count(*) AS VARCHAR) AS detail FROM choices GROUP BY rule_id HAVING count(*) < 2 OR count(*) > 4
 UNION ALL SELECT rule_id, 'A1 duplicate_choice', choice_id FROM choices GROUP BY rule_id, choice_id HAVING count(*) > 1
+UNION ALL SELECT rule_id, 'A1 reserved_choice_id', choice_id FROM choices WHERE choice_id = {q(DRAW_SUFFIX)}
 UNION ALL SELECT coalesce(p.rule_id, c.rule_id), 'A2 prior_keys',
        coalesce(p.choice_id, c.choice_id) || CASE WHEN p.choice_id IS NULL THEN ':missing' ELSE ':extra' END
   FROM (SELECT * FROM priors WHERE prior_id = 'authored') p FULL OUTER JOIN choices c ON p.rule_id = c.rule_id AND p.choice_id = c.choice_id

@@ -175,7 +175,8 @@ AUDIT_RULES = {
         seed=STANDARD_SEED,
     ),
     "bad_interactions": Rule(
-        question="q", choices=CHOICES, base_scores=CENTRAL, factors=(F_PRIORITY,), result_groups=("region",),
+        question="q", choices=(Choice("alpha"), Choice("sample")), base_scores={"alpha": 0.5, "sample": 0.5},
+        factors=(Factor("priority", ("1-URGENT",), {"alpha": 0.1}),), result_groups=("region",),
         seed=STANDARD_SEED, interactions=({"a": "priority", "b": "basket"},),
     ),
 }

@@ -95,3 +95,13 @@ def test_score_by_join_keeps_duplicate_keys_apart(spark):
     a = sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in scoring.score_by_join(df, RULE, ft).collect())
     b = sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in scoring.score(df, RULE, keep=[]).collect())
     assert a == b and len(a) == 4
+
+
+def test_draw_suffix_can_be_kept_apart(spark):
+    from plurality.spec import Choice, Rule
+
+    rule = Rule("q", (Choice("sample"), Choice("other")), {"sample": 0.5, "other": 0.5}, (), (), S.STANDARD_SEED)
+    df = profiles.order_profile(spark, SF001)
+    a = shares.shares(scoring.probabilities(df, rule, mode="sampled", keep=[]), rule).collect()
+    b = shares.shares(scoring.probabilities(df, rule, mode="sampled", keep=[], draw_suffix="#draw"), rule).collect()
+    assert sum(r.total for r in a) == sum(r.total for r in b) == 1500
