@@ -34,6 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     created and registered, so later calls reuse it.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if conf and not spark.sparkContext.getCheckpointDir():
+        # set on the session after the context started: register it for checkpoint()
+        spark.sparkContext.setCheckpointDir(conf)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
