@@ -49,3 +49,31 @@ def test_apportion_sums_to_n(spark, values):
     rounded = [int(round(v)) for v in values]   # Python rounds half to even, like rint
     top = max(range(len(values)), key=lambda i: rounded[i])
     assert counts[top] - rounded[top] == n - sum(rounded)
+
+
+def test_two_digit_semantics_rank_on_rounded_values(spark):
+    """With digits=2 (the reference's rounding) the best segment is chosen on
+    the rounded lift, then size; consensus means are of rounded percents."""
+    from conftest import SF01
+    from plurality.operators import ensemble as E
+    from plurality.operators import scoring, shares
+    from plurality.plans import standard as S
+    from plurality.sources import profiles
+
+    prof = profiles.order_profile(spark, SF01)
+    p = scoring.probabilities(prof, S.STANDARD_RULE)
+    segs = shares.segments(p, S.STANDARD_RULE, S.ORDER_CATALOG, digits=2)
+    rows = segs.collect()
+    assert all(round(r.lift_pp, 2) == r.lift_pp and round(r.percent, 2) == r.percent for r in rows)
+    best = {r.choice: r for r in shares.best_segments(spark, segs, S.STANDARD_RULE).collect()}
+    for c, b in best.items():
+        cands = [r for r in rows if r.choice == c]
+        top = max(cands, key=lambda r: (r.lift_pp, r.n))
+        assert (b.lift_pp, b.n) == (top.lift_pp, top.n)
+    shares2 = E.perspective_shares(E.scenario_sums(prof, S.STANDARD_ENSEMBLE), "central", 2)
+    cons = {r.choice: r.percent for r in E.consensus_table(shares2, S.STANDARD_ENSEMBLE.choice_ids, 2).collect()}
+    per = {}
+    for r in shares2.collect():
+        per.setdefault(r.choice, []).append(r.percent)
+    for c, vals in per.items():
+        assert abs(cons[c] - round(sum(vals) / len(vals), 2)) < 1e-9
