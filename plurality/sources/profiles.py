@@ -15,8 +15,29 @@ from pyspark.sql import functions as F
 from plurality.functions.hashing import bucket_of_digest
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Columns (and types) the profiles read from each test table. A declared
+# schema skips footer reads at planning time; Parquet matches columns by name
+# and the scan still reads only these.
+TABLE_COLUMNS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING, o_orderstatus STRING",
+    "lineitem": "l_orderkey BIGINT, l_returnflag STRING",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "documents": "doc_id BIGINT, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
+    """A test table; with ``schema`` (DDL, a subset of its columns) no footer
+    is read to infer it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _known(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name, TABLE_COLUMNS[name])
 
 
 def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +48,14 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     key. Nation and region are tiny dimension tables; the planner broadcasts
     them from their measured size (autoBroadcastJoinThreshold).
     """
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    li = _known(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_ret"),
     )
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    o = _known(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    cu = _known(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = _known(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = _known(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = cu.join(n, cu.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
     joined = o.join(geo, o.o_custkey == geo.c_custkey).join(li, o.o_orderkey == li.l_orderkey, "left")
     basket = (
@@ -57,8 +78,8 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; quality/toxicity are NULL where no label exists."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    d = _known(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = _known(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
     return j.select(
         F.col("doc_id").cast("string").alias("unit_id"),
@@ -74,7 +95,7 @@ def packed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows derived from documents: 16-byte attribute blobs (32 nibble
     fields), some 2-byte short blobs, 4-byte null bitmaps, override lists with
     duplicate and NULL entries, and NULL record ids."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    d = _known(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     sid = F.col("doc_id").cast("string")
     ov_dup = F.array(
         F.struct(F.lit(3).alias("field_index"), F.concat(F.lit("ov"), F.col("lang")).alias("value")),
