@@ -93,8 +93,8 @@ def test_hot_customer_key_same_shares_with_shuffle_joins(spark, monkeypatch):
 
     orig = P.table
 
-    def skewed(sp, sf_dir, name):
-        df = orig(sp, sf_dir, name)
+    def skewed(sp, sf_dir, name, schema=None):
+        df = orig(sp, sf_dir, name, schema)
         if name == "orders":
             df = df.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("o_custkey")))
         return df
