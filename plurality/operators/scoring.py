@@ -77,21 +77,24 @@ def staged_softmax(df: DataFrame, keep: Sequence[str], groups: Sequence[tuple[Se
     """Softmax over several score groups in four projections (logits, max,
     weights, probabilities). Each stage is referenced more than once by the
     next, so Catalyst keeps them apart and every value is computed once per
-    row. ``groups`` = [(score expressions, output names)]."""
+    row. ``groups`` = [(score expressions, output names)]. The last three
+    stages are plain arithmetic on named columns, written as SQL expressions
+    (one call per projection instead of one per column)."""
     keep = list(keep)
+    kept = [f"`{c}`" for c in keep]
     logits, maxes, weights, probs = [], [], [], []
     for g, (scores, names) in enumerate(groups):
         s_names = [f"_s{g}_{i}" for i in range(len(scores))]
         logits += [sc.alias(n) for sc, n in zip(scores, s_names)]
-        maxes.append((F.greatest(*[F.col(n) for n in s_names]) if len(s_names) > 1 else F.col(s_names[0])).alias(f"_m{g}"))
+        maxes.append((f"greatest({', '.join(s_names)})" if len(s_names) > 1 else s_names[0]) + f" AS _m{g}")
         w_names = [f"_w{g}_{i}" for i in range(len(scores))]
-        weights += [F.exp(F.col(sn) - F.col(f"_m{g}")).alias(wn) for sn, wn in zip(s_names, w_names)]
-        total = reduce(add, [F.col(w) for w in w_names])
-        probs += [(F.col(wn) / total).alias(out) for wn, out in zip(w_names, names)]
+        weights += [f"exp({sn} - _m{g}) AS {wn}" for sn, wn in zip(s_names, w_names)]
+        total = " + ".join(w_names)
+        probs += [f"{wn} / ({total}) AS `{out}`" for wn, out in zip(w_names, names)]
     a = df.select(*keep, *logits)
-    b = a.select("*", *maxes)
-    c = b.select(*keep, *weights)
-    return c.select(*keep, *probs)
+    b = a.selectExpr("*", *maxes)
+    c = b.selectExpr(*kept, *weights)
+    return c.selectExpr(*kept, *probs)
 
 
 def score(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None) -> DataFrame:
