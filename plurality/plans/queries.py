@@ -307,7 +307,7 @@ def seed_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     of every document."""
     from plurality.functions.text import fingerprint
 
-    docs = profiles.table(spark, sf_dir, "documents")
+    docs = profiles.table(spark, sf_dir, "documents", "doc_id BIGINT, text STRING")
     return docs.select("doc_id", fingerprint(F.col("text")).alias("fingerprint"))
 
 
@@ -316,7 +316,7 @@ SYNTHETIC_ATTRIBUTES = {"color": ["r", "g", "b", "k", "w"], "size": ["S", "M", "
 
 def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash-assigned attributes for demo keys ``demo-<orderkey>``."""
-    keys = profiles.table(spark, sf_dir, "orders").select(
+    keys = profiles.table(spark, sf_dir, "orders", "o_orderkey BIGINT").select(
         F.concat(F.lit("demo-"), F.col("o_orderkey").cast("string")).alias("unit_id")
     )
     return profiles.synthetic_profile(keys, SYNTHETIC_ATTRIBUTES)
