@@ -27,13 +27,15 @@ def pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole.cast("double"))
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def long_by_choice(df: DataFrame, choices: Sequence[str], value_prefix: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Wide ``{prefix}{i}`` columns to rows ``(choice_index, choice, total)``."""
-    items = [
-        F.struct(F.lit(i).alias("choice_index"), F.lit(c).alias("choice"), F.col(f"{value_prefix}{i}").alias("total"))
-        for i, c in enumerate(choices)
-    ]
-    return df.select(*keep, F.inline(F.array(*items)))
+    """Wide ``{prefix}{i}`` columns to rows ``(choice_index, choice, total)``
+    with ``stack``."""
+    rows = ", ".join(f"{i}, {_sql_str(c)}, `{value_prefix}{i}`" for i, c in enumerate(choices))
+    return df.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(choices)}, {rows}) AS (choice_index, choice, total)")
 
 
 def totals(scored: DataFrame, n_choices: int) -> DataFrame:
