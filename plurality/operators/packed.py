@@ -7,7 +7,9 @@ least-significant bit first) and an optional sparse override list
 projection. Once per row, in its own projection, the blobs' hex digits are
 split into arrays and the override list is folded into a map; each field is
 then an O(1) array access, a branch-free digit value and a lookup in a
-literal value array, whatever the row width.
+literal value array, whatever the row width. Field expressions are generated
+as SQL text, so a 513-field decode is one ``selectExpr`` (planning cost grows
+with the field count, not with thousands of Python-to-JVM calls).
 """
 
 from __future__ import annotations
@@ -29,34 +31,36 @@ def unit_key(record_id: Column, source: Column, row_index: Column) -> Column:
     return F.coalesce(record_id, F.concat(source, F.lit(":"), row_index.cast("string")))
 
 
-def hex_digit_value(ch: Column) -> Column:
-    """Value of one upper-case hex digit, branch-free on its code point:
-    '0'-'9' (48-57) -> low four bits; 'A'-'F' (65-70) -> low four bits + 9."""
-    code = F.ascii(ch)
-    return code.bitwiseAND(15) + F.shiftright(code, 6) * 9
+def sql_string(v: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def field_code(index: int, short: str = "null") -> Column:
-    """The 4-bit code of field ``index`` from the staged digit array: byte
-    index // 2, the even field in the low nibble (second digit). Past the end
-    of the blob: NULL by default, code 0 with ``short='zero'`` (the behaviour
-    of a plain substring lookup)."""
+def _digit_sql(array_col: str, pos: int) -> str:
+    code = f"ascii(get({array_col}, {pos}))"
+    return f"(({code} & 15) + shiftright({code}, 6) * 9)"
+
+
+def field_code_sql(index: int, short: str = "null") -> str:
+    """SQL text of ``field_code`` (same semantics)."""
     byte = index // 2
-    value = hex_digit_value(F.get(F.col("_digits"), 2 * byte + (1 if index % 2 == 0 else 0)))
-    present = F.length(F.col("_attr")) > byte
-    if short == "zero":
-        return F.when(present, value).otherwise(F.lit(0))
-    return F.when(present, value)
+    value = _digit_sql("_digits", 2 * byte + (1 if index % 2 == 0 else 0))
+    otherwise = " ELSE 0" if short == "zero" else ""
+    return f"CASE WHEN length(_attr) > {byte} THEN {value}{otherwise} END"
 
 
-def null_bit(index: int) -> Column:
-    """TRUE when the bitmap marks the field NULL (byte index // 8, bit
-    index % 8, least-significant first); a NULL bitmap or one too short to
-    cover the field marks nothing."""
+def null_bit_sql(index: int) -> str:
+    """SQL text of ``null_bit`` (same semantics)."""
     byte, bit = index // 8, index % 8
-    nibble = hex_digit_value(F.get(F.col("_bit_digits"), 2 * byte + (1 if bit < 4 else 0)))
-    set_ = F.shiftright(nibble, bit % 4).bitwiseAND(F.lit(1)) == 1
-    return F.coalesce(F.col("_bits").isNotNull() & (F.length(F.col("_bits")) > byte) & set_, F.lit(False))
+    nibble = _digit_sql("_bit_digits", 2 * byte + (1 if bit < 4 else 0))
+    return f"coalesce(_bits IS NOT NULL AND length(_bits) > {byte} AND (shiftright({nibble}, {bit % 4}) & 1) = 1, false)"
+
+
+def decoded_value_sql(index: int, values: Sequence[str], short: str = "null") -> str:
+    """SQL text of ``decoded_value``: one string per field, so a wide decode is
+    one ``selectExpr`` call however many fields it has."""
+    lookup = f"get(array({', '.join(sql_string(v) for v in values)}), {field_code_sql(index, short)})"
+    return f"coalesce(try_element_at(_ov, {index}), CASE WHEN {null_bit_sql(index)} THEN NULL ELSE {lookup} END)"
 
 
 def first_override_map(overrides: Column) -> Column:
@@ -88,15 +92,6 @@ def with_packed_parts(df: DataFrame, key: Column | None = None, keep: Sequence[s
     )
 
 
-def decoded_value(index: int, values: Sequence[str], short: str = "null") -> Column:
-    """override (non-NULL) > null bit > value list[code] (NULL past the list)."""
-    lookup = F.get(F.array(*[F.lit(v) for v in values]), field_code(index, short))
-    return F.coalesce(
-        F.try_element_at(F.col("_ov"), F.lit(index)),
-        F.when(null_bit(index), F.lit(None).cast("string")).otherwise(lookup),
-    )
-
-
 def decode_wide(df: DataFrame, fields: Fields, select: Sequence[str] | None = None, short: str = "null",
                 keep: Sequence[str] = ()) -> DataFrame:
     """``unit_id`` + one string column per selected field (by name, in schema
@@ -104,11 +99,11 @@ def decode_wide(df: DataFrame, fields: Fields, select: Sequence[str] | None = No
     wanted = set(select) if select is not None else None
     staged = with_packed_parts(df, keep=keep)
     cols = [
-        decoded_value(i, vals, short).alias(name)
+        f"{decoded_value_sql(i, vals, short)} AS `{name}`"
         for i, (name, vals) in enumerate(fields)
         if wanted is None or name in wanted
     ]
-    return staged.select("unit_id", *keep, *cols)
+    return staged.selectExpr("unit_id", *[f"`{k}`" for k in keep], *cols)
 
 
 def dictionary_frame(spark, fields: Fields) -> DataFrame:
@@ -125,16 +120,12 @@ def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null", selec
     wide schemas."""
     wanted = set(select) if select is not None else None
     staged = with_packed_parts(df)
-    items = [
-        F.struct(
-            F.lit(i).alias("field_index"),
-            F.when(null_bit(i), F.lit(None).cast("int")).otherwise(field_code(i, short)).alias("code"),
-            F.try_element_at(F.col("_ov"), F.lit(i)).alias("override"),
-        )
+    rows = [
+        f"{i}, CASE WHEN {null_bit_sql(i)} THEN CAST(NULL AS INT) ELSE {field_code_sql(i, short)} END, try_element_at(_ov, {i})"
         for i, (name, _) in enumerate(fields)
         if wanted is None or name in wanted
     ]
-    long = staged.select("unit_id", F.inline(F.array(*items)))
+    long = staged.selectExpr("unit_id", f"stack({len(rows)}, {', '.join(rows)}) AS (field_index, code, override)")
     dic = bounded_broadcast(dictionary_frame(spark, fields), sum(len(v) for _, v in fields))
     joined = long.join(dic.select("field_index", "code", "value"), ["field_index", "code"], "left")
     names = F.array(*[F.lit(name) for name, _ in fields])
