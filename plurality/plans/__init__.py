@@ -1,0 +1,2 @@
+"""Plans: registered queries and their parameters, report documents,
+preparation, and the DuckDB oracle SQL."""

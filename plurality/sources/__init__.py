@@ -1,0 +1,2 @@
+"""Sources and sinks: unit profiles over the test tables, multi-file scans,
+Parquet sink, describe, file checks, catalog loading."""
