@@ -96,36 +96,48 @@ def coverage_aggs(keys: Sequence[tuple[str, tuple[str, ...]]]) -> list[Column]:
     return cols
 
 
+def sql_literal(v) -> str:
+    """Typed Spark SQL literal of a Python value (doubles exact via a string)."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, float):
+        return f"CAST('{v!r}' AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def coverage_rows(row: DataFrame, keys: Sequence[tuple[str, tuple[str, ...]]], digits: int = 6,
-                  extra: Sequence[Sequence[Column]] | None = None) -> DataFrame:
-    """Long coverage rows from a one-row aggregate holding ``coverage_aggs``."""
-    items = []
+                  extra: Sequence[Sequence[tuple[str, object]]] | None = None) -> DataFrame:
+    """Long coverage rows from a one-row aggregate holding ``coverage_aggs``
+    (reshaped with ``stack``). ``extra``: per key, (column name, value)
+    metadata pairs."""
+    names = [n for n, _ in extra[0]] if extra else []
+    rows = []
     for i, (a, conds) in enumerate(keys):
-        valid, matched = F.col(f"valid{i}"), F.col(f"matched{i}")
-        fields = [
-            F.lit(i).alias("key_index"),
-            F.lit(a).alias("attribute"),
-            F.lit("|".join(conds)).alias("conditions"),
-            valid.alias("valid"),
-            (F.col("n") - valid).alias("missing"),
-            matched.alias("matched"),
-            F.round(pct(matched, F.col("n")), digits).alias("matched_pct_all"),
-            F.when(valid > 0, F.round(pct(matched, valid), digits)).otherwise(F.lit(0.0)).alias("matched_pct_valid"),
-        ]
-        if extra is not None:
-            fields.extend(extra[i])
-        items.append(F.struct(*fields))
-    return row.select("n", F.inline(F.array(*items)))
+        meta = "".join(", " + sql_literal(v) for _, v in (extra[i] if extra else []))
+        rows.append(f"{i}, {sql_literal(a)}, {sql_literal('|'.join(conds))}, valid{i}, matched{i}{meta}")
+    cols = ", ".join(["key_index", "attribute", "conditions", "valid", "matched", *names])
+    long = row.selectExpr("n", f"stack({len(keys)}, {', '.join(rows)}) AS ({cols})")
+    return long.selectExpr(
+        "n", "key_index", "attribute", "conditions", "valid", "n - valid AS missing", "matched",
+        f"round(try_divide(matched * 100.0D, CAST(n AS DOUBLE)), {digits}) AS matched_pct_all",
+        f"CASE WHEN valid > 0 THEN round(try_divide(matched * 100.0D, CAST(valid AS DOUBLE)), {digits}) ELSE 0.0D END"
+        " AS matched_pct_valid",
+        *names,
+    )
 
 
 def coverage(
     df: DataFrame,
     keys: Sequence[tuple[str, tuple[str, ...]]],
     digits: int = 6,
-    extra: Sequence[Sequence[Column]] | None = None,
+    extra: Sequence[Sequence[tuple[str, object]]] | None = None,
 ) -> DataFrame:
     """Per key: valid (non-NULL), missing, matched, % of all, % of valid (0 when
-    nothing is valid). ``extra`` adds literal columns per key (metadata).
+    nothing is valid). ``extra`` adds literal columns per key: (name, value).
     Output ``key_index, attribute, conditions, n, valid, missing, matched,
     matched_pct_all, matched_pct_valid, *extra``."""
     return coverage_rows(df.agg(*coverage_aggs(keys)), keys, digits, extra)

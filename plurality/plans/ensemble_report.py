@@ -52,8 +52,7 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
     for persp in ens.perspectives:
         for pos, f in enumerate(persp.factors):
             keys.append((f.attribute, tuple(f.conditions)))
-            extra.append([F.lit(persp.id).alias("perspective_id"), F.lit(pos).alias("factor_position"),
-                          F.lit(E.direction(f, ens.choice_ids)).cast("string").alias("direction")])
+            extra.append([("perspective_id", persp.id), ("factor_position", pos), ("direction", E.direction(f, ens.choice_ids))])
     fold = [c for c in coverage_aggs(keys)[1:]]  # the grid already counts n
     agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold)
     shared_dir(spark)

@@ -110,8 +110,7 @@ def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = S.STANDARD_RULE
     order = shares.top_factor_order(rule, 3)
     keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    extra = [[F.lit(rank).alias("rank"), F.lit(pos).alias("factor_position"), F.lit(strength).alias("max_abs_effect")]
-             for rank, pos, strength in order]
+    extra = [[("rank", rank), ("factor_position", pos), ("max_abs_effect", float(strength))] for rank, pos, strength in order]
     cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
     return cov.select("rank", "factor_position", "attribute", "conditions", "max_abs_effect", "n", "valid", "matched",
                       "matched_pct_all")
@@ -204,8 +203,7 @@ def factor_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     for persp in ens.perspectives:
         for pos, f in enumerate(persp.factors):
             keys.append((f.attribute, tuple(f.conditions)))
-            extra.append([F.lit(persp.id).alias("perspective_id"), F.lit(pos).alias("factor_position"),
-                          F.lit(direction(f, ens.choice_ids)).cast("string").alias("direction")])
+            extra.append([("perspective_id", persp.id), ("factor_position", pos), ("direction", direction(f, ens.choice_ids))])
     cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
     return cov.select("perspective_id", "factor_position", "attribute", "conditions", "direction", "valid", "matched",
                       "matched_pct_valid")
@@ -219,8 +217,7 @@ def robust_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ens = S.STANDARD_ENSEMBLE
     found = robust_signal_keys(ens.perspectives, ens.choice_ids)
     keys = [(a, conds) for (a, conds, _), _ in found]
-    extra = [[F.lit(d).alias("supports"), F.lit(len(ids)).alias("perspective_count"), F.lit(",".join(ids)).alias("perspectives")]
-             for (_, _, d), ids in found]
+    extra = [[("supports", d), ("perspective_count", len(ids)), ("perspectives", ",".join(ids))] for (_, _, d), ids in found]
     cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
     return cov.select("attribute", "conditions", "supports", "perspective_count", "perspectives", "valid", "matched")
 

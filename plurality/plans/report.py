@@ -108,8 +108,7 @@ def vote_report(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Ca
     segs = shares.segments(scored, rule, catalog, digits=digits)
     order = shares.top_factor_order(rule, 3)
     keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    extra = [[F.lit(rank).alias("rank"), F.lit(pos).alias("factor_position"), F.lit(st).alias("max_abs_effect")]
-             for rank, pos, st in order]
+    extra = [[("rank", rank), ("factor_position", pos), ("max_abs_effect", float(st))] for rank, pos, st in order]
     blocks = {
         "choices": shares.apportioned_counts(scored, rule, digits),
         "groups": shares.breakdown(scored, rule, catalog, digits=digits) if rule.result_groups else None,
