@@ -13,6 +13,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plurality.functions.sqltext import sql_literal
 from plurality.operators.shares import pct
 from plurality.spec import Evidence, Factor, Selector
 
@@ -96,19 +97,6 @@ def coverage_aggs(keys: Sequence[tuple[str, tuple[str, ...]]]) -> list[Column]:
     return cols
 
 
-def sql_literal(v) -> str:
-    """Typed Spark SQL literal of a Python value (doubles exact via a string)."""
-    if v is None:
-        return "CAST(NULL AS STRING)"
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return str(v)
-    if isinstance(v, float):
-        return f"CAST('{v!r}' AS DOUBLE)"
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def coverage_rows(row: DataFrame, keys: Sequence[tuple[str, tuple[str, ...]]], digits: int = 6,
                   extra: Sequence[Sequence[tuple[str, object]]] | None = None) -> DataFrame:
     """Long coverage rows from a one-row aggregate holding ``coverage_aggs``

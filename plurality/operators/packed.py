@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plurality.functions.sqltext import sql_string
 from plurality.session import bounded_broadcast
 
 Fields = Sequence[tuple[str, Sequence[str]]]
@@ -31,11 +32,6 @@ def unit_key(record_id: Column, source: Column, row_index: Column) -> Column:
     return F.coalesce(record_id, F.concat(source, F.lit(":"), row_index.cast("string")))
 
 
-def sql_string(v: str) -> str:
-    """A Spark SQL string literal."""
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _digit_sql(array_col: str, pos: int) -> str:
     code = f"ascii(get({array_col}, {pos}))"
     return f"(({code} & 15) + shiftright({code}, 6) * 9)"

@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plurality.functions.sqltext import sql_string
 from plurality.operators.scoring import prob_col
 from plurality.session import bounded_broadcast
 from plurality.spec import Catalog, Rule
@@ -27,14 +28,10 @@ def pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole.cast("double"))
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def long_by_choice(df: DataFrame, choices: Sequence[str], value_prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     """Wide ``{prefix}{i}`` columns to rows ``(choice_index, choice, total)``
     with ``stack``."""
-    rows = ", ".join(f"{i}, {_sql_str(c)}, `{value_prefix}{i}`" for i, c in enumerate(choices))
+    rows = ", ".join(f"{i}, {sql_string(c)}, `{value_prefix}{i}`" for i, c in enumerate(choices))
     return df.selectExpr(*[f"`{k}`" for k in keep], f"stack({len(choices)}, {rows}) AS (choice_index, choice, total)")
 
 
