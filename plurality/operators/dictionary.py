@@ -115,4 +115,4 @@ def schema_fields(spark: SparkSession, tables: list[tuple[str, str]]) -> DataFra
     for name, path in tables:
         for f in spark.read.parquet(path).schema.fields:
             rows.append((len(rows), f.name, f"{name}.{f.name}", name))
-    return spark.createDataFrame(rows, "field_index int, id string, label string, category string")
+    return spark.createDataFrame(rows, "field_index int, id string, label string, category string").coalesce(1)

@@ -106,7 +106,7 @@ def dictionary_frame(spark, fields: Fields) -> DataFrame:
     """Long dictionary ``(field_index, field, code, value)``; bounded by
     fields x 16 codes, hence safe to broadcast."""
     rows = [(i, name, code, v) for i, (name, vals) in enumerate(fields) for code, v in enumerate(vals)]
-    return spark.createDataFrame(rows, "field_index int, field string, code int, value string")
+    return spark.createDataFrame(rows, "field_index int, field string, code int, value string").coalesce(1)
 
 
 def decode_long(spark, df: DataFrame, fields: Fields, short: str = "null", select: Sequence[str] | None = None) -> DataFrame:

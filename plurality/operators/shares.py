@@ -236,7 +236,7 @@ def segments(
 
 
 def choices_frame(spark: SparkSession, rule: Rule) -> DataFrame:
-    return spark.createDataFrame([(i, c) for i, c in enumerate(rule.choice_ids)], "choice_index int, choice string")
+    return spark.createDataFrame([(i, c) for i, c in enumerate(rule.choice_ids)], "choice_index int, choice string").coalesce(1)
 
 
 def best_segments(spark: SparkSession, segs: DataFrame, rule: Rule) -> DataFrame:

@@ -251,4 +251,4 @@ class Catalog:
                 T.StructField("is_segment", T.BooleanType()),
             ]
         )
-        return spark.createDataFrame(rows, schema)
+        return spark.createDataFrame(rows, schema).coalesce(1)  # configuration: one partition
