@@ -69,7 +69,8 @@ def vote_report_one_scan(spark: SparkSession, profile: DataFrame, rule: Rule, ca
     if bound > max_cells:
         return vote_report(spark, profile, rule, catalog, mode, digits)
     shared_dir(spark)  # checkpoint directory: the cluster's shared folder
-    cells = cells.checkpoint(eager=True)
+    # at most max_cells rows: one partition keeps the derived blocks to one task each
+    cells = cells.coalesce(1).checkpoint(eager=True)
     n = len(rule.choices)
     order, keys = _top_factor_keys(rule)
     total = cells.agg(F.sum("_n").cast("bigint").alias("n"), *[F.sum(f"_t{i}").alias(f"t{i}") for i in range(n)])
