@@ -38,7 +38,7 @@ def test_scan_reads_only_needed_columns(spark):
     assert "o_totalprice" not in orders_schema and "o_orderdate" not in orders_schema
 
 
-def test_no_python_udfs_in_registered_queries(spark):
+def test_no_python_udfs_or_cross_joins_in_registered_queries(spark):
     import __spark_entry__ as E
 
     for name, q in E.queries().items():
@@ -46,6 +46,7 @@ def test_no_python_udfs_in_registered_queries(spark):
             continue
         plan = physical(q(spark, SF01))
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name  # no cross joins
 
 
 def test_same_results_without_broadcast_joins(spark):
