@@ -47,21 +47,15 @@ def evidence_report(df: DataFrame, evidence: Evidence, choices: Sequence[str], d
     matches, plus any-match count and % (repeated per row). ``counts``: a
     precomputed ``evidence_counts`` row."""
     counts = evidence_counts(df, evidence, choices) if counts is None else counts
-    matched_sum = reduce(lambda a, b: a + b, [F.col(f"matched{i}") for i in range(len(choices))])
-    items = [
-        F.struct(
-            F.lit(i).alias("choice_index"),
-            F.lit(c).alias("choice"),
-            F.col(f"matched{i}").alias("matched"),
-            F.col(f"valid{i}").alias("valid"),
-            (F.col("n") - F.col(f"valid{i}")).alias("missing"),
-            F.round(pct(F.col(f"matched{i}"), F.col("n")), digits).alias("matched_pct_all"),
-            F.round(pct(F.col(f"matched{i}"), matched_sum), digits).alias("share_of_matches"),
-        )
-        for i, c in enumerate(choices)
-    ]
-    return counts.select(
-        "n", "any_match", F.round(pct(F.col("any_match"), F.col("n")), digits).alias("any_match_pct"), F.inline(F.array(*items))
+    total = " + ".join(f"matched{i}" for i in range(len(choices)))
+    rows = ", ".join(f"{i}, {sql_literal(c)}, matched{i}, valid{i}" for i, c in enumerate(choices))
+    long = counts.selectExpr("n", "any_match", f"{total} AS _matched_all",
+                             f"stack({len(choices)}, {rows}) AS (choice_index, choice, matched, valid)")
+    return long.selectExpr(
+        "n", "any_match", f"round(try_divide(any_match * 100.0D, CAST(n AS DOUBLE)), {digits}) AS any_match_pct",
+        "choice_index", "choice", "matched", "valid", "n - valid AS missing",
+        f"round(try_divide(matched * 100.0D, CAST(n AS DOUBLE)), {digits}) AS matched_pct_all",
+        f"round(try_divide(matched * 100.0D, CAST(_matched_all AS DOUBLE)), {digits}) AS share_of_matches",
     )
 
 
