@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from plurality.llm.license_scan import op8_license_scan
 from plurality.llm.packing import op9_best_fit_packing
 from plurality.llm.quality_model import op4_quality_model
 from plurality.llm.quality_rules import op3_quality_rules
 from plurality.llm.substring_dedup import op10_substring_dedup
 from plurality.llm.token_files import op7_token_files
+from plurality.llm.warc import op5_warc
 
 REGISTRY = {
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_model": op4_quality_model,
+    "op5_warc": op5_warc,
     "op7_token_files": op7_token_files,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
