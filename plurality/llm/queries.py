@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plurality.llm.jaccard_join import op6_jaccard_join
 from plurality.llm.license_scan import op8_license_scan
 from plurality.llm.packing import op9_best_fit_packing
 from plurality.llm.quality_model import op4_quality_model
@@ -14,6 +15,7 @@ REGISTRY = {
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_model": op4_quality_model,
     "op5_warc": op5_warc,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
