@@ -52,6 +52,7 @@ class UnitEncoder:
         # the vocabulary with a normalizer drops white space and lower-cases
         self.drops_space = self.lib.normalizer is not None
         self.pieces = WORD_PIECES if self.drops_space else BYTE_PIECES
+        self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.limit = cache_units
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
