@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plurality.llm.chunk_bpe import op2_chunk_bpe
+from plurality.llm.fingerprints import op1_fingerprints
 from plurality.llm.jaccard_join import op6_jaccard_join
 from plurality.llm.license_scan import op8_license_scan
 from plurality.llm.packing import op9_best_fit_packing
@@ -13,6 +14,7 @@ from plurality.llm.token_files import op7_token_files
 from plurality.llm.warc import op5_warc
 
 REGISTRY = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_chunk_bpe": op2_chunk_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_model": op4_quality_model,
