@@ -51,7 +51,7 @@ GROUP_NGRAMS = 2_000_000
 NULL_IDS = 1 << 62
 STRONG = 2
 
-SKETCH = "doc_id long, tie long, id long, s1 long, s2 long, n long, regions array<struct<kind:int,need:int,sig:long>>"
+SKETCH = "doc_id long, tie long, id long, s1 long, s2 long, n long, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, probe boolean, node long, grams binary"
 
 
@@ -125,29 +125,21 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     plan = Plan(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region = pa.struct([("kind", pa.int32()), ("need", pa.int32()), ("sig", pa.int64())])
+        region = pa.list_(pa.struct([("kind", pa.int32()), ("need", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
                 out: list[list] = [[], [], [], []]
-                kinds, needs, sigs, ends = [], [], [], [0]
+                regions = []
                 for doc_id, grams in zip(batch.column("doc_id").to_pylist(), ngram_sets(texts, words), strict=True):
                     digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
                     s1, s2 = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
                     row = (doc_id if doc_id is not None else NULL_IDS + (s1 & (NULL_IDS - 1)), s1, s2, len(grams))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                    size = 0
-                    for kind, need, sig in plan.published(grams):
-                        kinds.append(np.full(len(sig), kind, np.int32))
-                        needs.append(np.full(len(sig), need, np.int32))
-                        sigs.append(sig)
-                        size += len(sig)
-                    ends.append(ends[-1] + size)
-                flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((kinds, np.int32), (needs, np.int32), (sigs, np.int64))]
-                regions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(region)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array(c, pa.int64()) for c in out], regions],
+                    regions.append([{"kind": kind, "need": need, "sigs": sigs} for kind, need, sigs in plan.published(grams)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array(c, pa.int64()) for c in out], pa.array(regions, region)],
                                                  ["doc_id", "tie", "id", "s1", "s2", "n", "regions"])
 
     return docs.mapInArrow(run, SKETCH)
@@ -283,7 +275,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_ngrams: int = GROUP_NGRAMS) -> DataFrame:
-    """doc_id, n_shingles, component_id, and ``id``/``node`` (the row's own number and that of its equal-set class) per row."""
+    """doc_id, n_shingles, component_id per row, and ``row``, ``tie`` (by which rows are told apart) and ``first`` (it stands for its component)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     known = cut(sketch(rows, words, percent))
@@ -291,7 +283,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     known = known.join(cut(same), ["s1", "s2"], "left").withColumn("node", F.coalesce("first", "id"))
 
     nodes = known.filter("id = node and size(regions) > 0").dropDuplicates(["s1", "s2"]).select("node", "n", F.explode("regions").alias("r"))
-    nodes = nodes.select("node", "n", "r.kind", "r.need", "r.sig")
+    nodes = nodes.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
     hits = nodes
     for _ in range(2):  # the second time among those with enough shared hashes
         shared = cut(hits.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
@@ -343,9 +335,16 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         stored = large.select("leader", "part", "probe", "node", "grams").join(probes.select("leader", "part", "node"), ["leader", "part", "node"], "left_anti")
         edges = edges.unionByName(_links(stored.unionByName(probes), percent))
     member = components(edges)
-    out = known.select("doc_id", "id", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
+    out = known.select("doc_id", *row_key, "id", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
     root = F.coalesce("root", "node")
-    return out.select("doc_id", "n_shingles", F.when(root < NULL_IDS, root).alias("component_id"), "id", "node")
+    return out.select("doc_id", "n_shingles", F.when(root < NULL_IDS, root).alias("component_id"), "row", "tie", (root == F.col("id")).alias("first"))
+
+
+def keep_first(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One document of each component, the one of the smallest id, with its own columns. Repeated rows leave one."""
+    kept = join_components(docs, words, percent).filter("first").select(F.col("row").alias("_row"), F.col("tie").alias("_tie")).distinct()
+    rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS))).withColumn("_tie", F.xxhash64("text"))
+    return rows.join(kept, ["_row", "_tie"], "left_semi").dropDuplicates(["_row", "_tie"]).select(*docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir):

@@ -29,6 +29,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 ALPHA = 0.002
 DELTA = 0.05
+BROADCAST_STRATA = 10_000
 #: rule -> (numerator, denominator, candidate cutoffs); a document breaks the rule above the cutoff
 RULES = {
     "symbols": ("n_symbols", "word_chars", (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.3)),
@@ -140,9 +141,10 @@ def choose_cutoffs(good: DataFrame, stratum: str, alpha: float = ALPHA, delta: f
     return counts.select("_stratum", *picked)
 
 
-def verdicts(metrics: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    """Adds base_failed and kept. ``cutoffs`` has one row per language: broadcast when the planner's size allows."""
-    j = metrics.join(cutoffs, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+def verdicts(metrics: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFrame:
+    """Adds base_failed and kept. ``cutoffs`` has one row per stratum and is broadcast up to BROADCAST_STRATA rows."""
+    side = F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
+    j = metrics.join(side, stratum.eqNullSafe(F.col("_stratum")), "left")
     broken = [F.coalesce(_breaks(r, F.col(f"cut_{r}")), F.lit(False)) for r in RULES]
     any_broken = broken[0]
     for b in broken[1:]:
@@ -163,14 +165,19 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """Per document: id, the metrics, base_failed, kept."""
     # texts are read once; what both passes need is a few numbers per document
     metrics = cut(with_metrics(docs, text, [id_col, stratum]))
-    out = verdicts(metrics, fit(metrics, labels, id_col, stratum), stratum)
+    out = verdicts(metrics, fit(metrics, labels, id_col, stratum), F.col(stratum))
     return out.select(id_col, *[F.col(f"_m.{c}").alias(c) for c in METRICS], "base_failed", "kept")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    decided = judge(docs.select("doc_id", "text", "lang"), labels).filter("kept").select("doc_id").distinct()
-    return docs.join(decided, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that pass, with their own columns. Cutoffs come from a
+    first pass over the texts; the second computes each verdict in place, so
+    texts are not shuffled.
+    """
+    cutoffs = fit(cut(with_metrics(docs.select("doc_id", "text", "lang"), "text", ["doc_id", "lang"])), labels)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    judged = verdicts(with_metrics(rows, "_text", ["_row"]), cutoffs, F.col("_row.lang"))
+    return judged.filter("kept").select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir):
