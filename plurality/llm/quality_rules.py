@@ -150,7 +150,8 @@ def verdicts(metrics: DataFrame, cutoffs: DataFrame, stratum: Column) -> DataFra
     for b in broken[1:]:
         any_broken = any_broken | b
     return (j.withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & ~any_broken)
+            # one comparison over both sides: a conjunction would be pushed below the join and repeat the metrics
+            .withColumn("kept", F.col("base_failed").cast("int") + any_broken.cast("int") == 0)
             .drop("_stratum", *[f"cut_{r}" for r in RULES]))
 
 
