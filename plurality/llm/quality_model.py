@@ -38,6 +38,8 @@ SAMPLE_PER_CLASS = 4000
 FOLDS = 5
 THRESHOLD = 0.3
 EPOCHS = 8
+#: small samples get more epochs, up to this many mini-batches in all
+STEPS = 1000
 
 #: byte classes whose share of the text is a statistic
 CLASSES = [b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b".,;:", b"\n", b" \t", b"\"'()[]{}/\\=+_@^~`-"]
@@ -101,14 +103,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(numbers, values, ends), -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS,
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, epochs: int | None = None,
         rate: float = 0.05, decay: float = 1e-4, seed: int = 7, batch: int = 64) -> Machine:
     """AdaGrad over mini-batches; ``rows`` are (feature numbers, values)."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(N_FEATURES + 1), rng.normal(0, 0.02, (N_FEATURES, RANK))
     gw, gv = np.full(N_FEATURES + 1, 1e-6), np.full((N_FEATURES, RANK), 1e-6)
     model = Machine(w, v)
-    for _ in range(epochs):
+    for _ in range(epochs or max(EPOCHS, -(-STEPS // -(-len(rows) // batch)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
