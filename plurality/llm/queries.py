@@ -6,6 +6,7 @@ from plurality.llm.chunk_bpe import op2_chunk_bpe
 from plurality.llm.fingerprints import op1_fingerprints
 from plurality.llm.jaccard_join import op6_jaccard_join
 from plurality.llm.license_scan import op8_license_scan
+from plurality.llm.oracle import ORACLE
 from plurality.llm.packing import op9_best_fit_packing
 from plurality.llm.quality_model import op4_quality_model
 from plurality.llm.quality_rules import op3_quality_rules
@@ -13,6 +14,8 @@ from plurality.llm.substring_dedup import op10_substring_dedup
 from plurality.llm.token_files import op7_token_files
 from plurality.llm.warc import op5_warc
 
+__all__ = ["ORACLE", "REGISTRY"]
+
 REGISTRY = {
     "op1_fingerprints": op1_fingerprints,
     "op2_chunk_bpe": op2_chunk_bpe,
@@ -25,4 +28,3 @@ REGISTRY = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE: dict[str, str] = {}
