@@ -10,7 +10,7 @@ Output ``rule_id, check, detail``.
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,27 +26,28 @@ SUGGEST_RATIO = 0.82
 def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
     """Driver-side flattening of rule configuration into table rows."""
     t: dict[str, list[tuple]] = {k: [] for k in
-                                  ("meta", "choices", "priors", "factors", "conditions", "effects", "groups", "perspectives", "direct",
+                                  ("meta", "choices", "priors", "factors", "conditions", "effects", "groups", "perspectives", "direct", "hybrid_priors",
                                    "selectors", "selector_values")}
     for rid, r in rules.items():
         is_ens = isinstance(r, Ensemble)
         t["meta"].append((rid, "ensemble" if is_ens else "rule",
                           getattr(r, "central_prior_id", None), getattr(r, "fit_only_prior_id", None),
-                          bool(getattr(r, "priors", ())), len(getattr(r, "interactions", ()) or ()),
+                          is_ens and r.has_hybrid, len(getattr(r, "interactions", ()) or ()),
                           getattr(r, "evidence", None) is not None))
         for pos, c in enumerate(r.choices):
             t["choices"].append((rid, pos, c.id))
         for cid, v in r.base_scores.items():
-            t["priors"].append((rid, "authored", cid, float(v)))
+            t["priors"].append((rid, "authored", "", cid, float(v)))
         for g in r.result_groups:
             t["groups"].append((rid, g))
         sets = [(p.id, p.factors) for p in r.perspectives] if is_ens else [("", r.factors)]
         if is_ens:
             for pos, p in enumerate(r.perspectives):
                 t["perspectives"].append((rid, pos, p.id))
-            for p in r.priors:
+            for pos, p in enumerate(r.priors):
+                t["hybrid_priors"].append((rid, pos, p.id))
                 for cid, v in p.base_scores.items():
-                    t["priors"].append((rid, p.id, cid, float(v)))
+                    t["priors"].append((rid, "hybrid", p.id, cid, float(v)))
             for a in r.excluded_direct_attributes:
                 t["direct"].append((rid, a, "excluded"))
             if r.evidence is not None:
@@ -70,7 +71,8 @@ SCHEMAS = {
     "meta": ("rule_id string, kind string, central_prior_id string, fit_only_prior_id string, hybrid boolean, "
              "n_interactions int, empirical boolean"),
     "choices": "rule_id string, pos int, choice_id string",
-    "priors": "rule_id string, prior_id string, choice_id string, value double",
+    "hybrid_priors": "rule_id string, pos int, prior_id string",
+    "priors": "rule_id string, role string, prior_id string, choice_id string, value double",
     "factors": "rule_id string, perspective_id string, factor_pos int, attribute string, n_conditions int, n_effects int",
     "conditions": "rule_id string, perspective_id string, factor_pos int, attribute string, condition string",
     "effects": "rule_id string, perspective_id string, factor_pos int, attribute string, choice_id string, effect double",
@@ -82,19 +84,6 @@ SCHEMAS = {
 }
 
 
-def rule_frames(spark: SparkSession, rules: Mapping[str, Rule | Ensemble]) -> dict[str, DataFrame]:
-    """Rule tables as DataFrames, one partition each: they are configuration
-    (a few rows per rule), and fewer tasks per stage is what makes the audit
-    fast."""
-    rows = flatten(rules)
-    return {k: spark.createDataFrame(rows[k], SCHEMAS[k]).coalesce(1) for k in SCHEMAS}
-
-
-def rule_sizes(rules: Mapping[str, Rule | Ensemble]) -> dict[str, int]:
-    """Row count of every rule table: the size bound of its broadcasts."""
-    return {k: len(v) for k, v in flatten(rules).items()}
-
-
 def _finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
     return df.select("rule_id", F.lit(check).alias("check"), detail.cast("string").alias("detail"))
 
@@ -117,12 +106,31 @@ def suggestion(attribute: Column, names: list[str]) -> Column:
 
 def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Catalog,
           profile: DataFrame | None = None, sensitive_pattern: str | None = None) -> DataFrame:
-    t = rule_frames(spark, rules)
-    size = rule_sizes(rules)
+    """Findings of rules given as configuration."""
+    rows = flatten(rules)
+    tables = {k: spark.createDataFrame(rows[k], SCHEMAS[k]).coalesce(1) for k in SCHEMAS}
+    return audit_tables(spark, tables, catalog, profile, sensitive_pattern, {k: len(v) for k, v in rows.items()},
+                        sorted({r[3] for r in rows["conditions"]}))
+
+
+def require_valid(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Catalog, sensitive_pattern: str | None = None) -> None:
+    """Raises before any scoring if a rule has findings (as many at most as its configuration has rows)."""
+    found = [f"{r.rule_id}: {r.check} {r.detail}" for r in audit(spark, rules, catalog, None, sensitive_pattern).collect()]
+    if found:
+        raise ValueError("invalid rules: " + "; ".join(sorted(found)))
+
+
+def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catalog, profile: DataFrame | None = None,
+                 sensitive_pattern: str | None = None, size: Mapping[str, int] | None = None, used: Sequence[str] | None = None) -> DataFrame:
+    """Findings of stored rules, given as the tables of SCHEMAS. ``size``: row
+    bounds of tables that may be broadcast; ``used``: attributes to look up in
+    the profile (default: all of the catalog)."""
 
     def small(name: str, df: DataFrame | None = None) -> DataFrame:
         # any frame derived from one rule table has at most that table's rows
-        return bounded_broadcast(t[name] if df is None else df, size[name])
+        side = t[name] if df is None else df
+        return side if size is None else bounded_broadcast(side, size[name])
+
     n_values = sum(len(v) for v in catalog.attributes.values())
     dic = bounded_broadcast(catalog.to_frame(spark).select("attribute", "value"), n_values)
     known = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"), len(catalog.attributes))
@@ -131,14 +139,14 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
     out = []
 
     # A1 choices: 2..4, unique ids
-    n_choices = t["choices"].groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("choice_id").alias("d"))
+    n_choices = t["meta"].select("rule_id").join(t["choices"], "rule_id", "left").groupBy("rule_id").agg(F.count("choice_id").alias("n"))
     out.append(_finding(n_choices.where((F.col("n") < 2) | (F.col("n") > 4)), "A1 choice_count", F.col("n")))
     out.append(_finding(t["choices"].groupBy("rule_id", "choice_id").count().where("count > 1"), "A1 duplicate_choice", F.col("choice_id")))
     # a choice named like the sampled-mode draw shares its noise hash
     out.append(_finding(t["choices"].where(F.col("choice_id") == DRAW_SUFFIX), "A1 reserved_choice_id", F.col("choice_id")))
 
     # A2 authored prior: keys equal the choice ids; sum within tolerance
-    authored = t["priors"].where(F.col("prior_id") == "authored")
+    authored = t["priors"].where(F.col("role") == "authored")
     keys = authored.select("rule_id", "choice_id", F.lit(1).alias("p")).join(
         t["choices"].select("rule_id", "choice_id", F.lit(1).alias("c")), ["rule_id", "choice_id"], "full")
     out.append(_finding(keys.where(F.col("p").isNull() | F.col("c").isNull()), "A2 prior_keys",
@@ -157,8 +165,7 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
     bad = conds_known.join(dic.withColumnRenamed("value", "condition"), ["attribute", "condition"], "left_anti")
     out.append(_finding(bad, "A4 invalid_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
     out.append(_finding(t["factors"].where("n_conditions = 0"), "A4 empty_conditions", F.col("attribute")))
-    used = {row[3] for row in flatten(rules)["conditions"]}
-    attrs = sorted(set(catalog.attributes) & set(profile.columns) & used) if profile is not None else []
+    attrs = sorted(set(catalog.attributes) & set(profile.columns) & set(catalog.attributes if used is None else used)) if profile is not None else []
     if attrs:
         # only attributes that rule conditions use are unpivoted
         seen = (
@@ -205,9 +212,10 @@ def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Ca
 
     # A10 hybrid priors
     hyb = t["meta"].where("hybrid")
-    hp = t["priors"].where(F.col("prior_id") != "authored").join(small("meta", hyb.select("rule_id")), "rule_id", "left_semi")
+    hp = t["priors"].where(F.col("role") == "hybrid").join(small("meta", hyb.select("rule_id")), "rule_id", "left_semi")
     n_priors = hyb.select("rule_id").join(small("priors", hp), "rule_id", "left").groupBy("rule_id").agg(F.count_distinct("prior_id").alias("n"))
     out.append(_finding(n_priors.where((F.col("n") < 3) | (F.col("n") > 5)), "A10 prior_count", F.col("n")))
+    out.append(_finding(t["hybrid_priors"].groupBy("rule_id", "prior_id").count().where("count > 1"), "A10 duplicate_prior", F.col("prior_id")))
     per_prior = hp.groupBy("rule_id", "prior_id").agg(
         F.sum("value").alias("s"), F.min("value").alias("mn"), F.max("value").alias("mx"))
     out.append(_finding(per_prior.where((F.col("mn") <= 0) | (F.col("mx") > 1) | (F.col("s") < lo) | (F.col("s") > hi)),

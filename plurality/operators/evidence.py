@@ -82,12 +82,13 @@ def coverage_keys(factors: Sequence[Factor]) -> list[tuple[str, tuple[str, ...]]
     return list(dict.fromkeys((f.attribute, tuple(f.conditions)) for f in factors))
 
 
-def coverage_aggs(keys: Sequence[tuple[str, tuple[str, ...]]]) -> list[Column]:
-    """Aggregate columns of a coverage report (to fold into another pass)."""
-    cols = [F.count(F.lit(1)).alias("n")]
+def coverage_aggs(keys: Sequence[tuple[str, tuple[str, ...]]], where: Column | None = None) -> list[Column]:
+    """Aggregate columns of a coverage report (to fold into another pass), over the rows that satisfy ``where``."""
+    here = F.lit(True) if where is None else where
+    cols = [F.count_if(here).alias("n")]
     for i, (a, conds) in enumerate(keys):
-        cols.append(F.count(F.col(a)).alias(f"valid{i}"))
-        cols.append(F.count_if(F.col(a).isin(*conds)).alias(f"matched{i}"))
+        cols.append(F.count_if(here & F.col(a).isNotNull()).alias(f"valid{i}"))
+        cols.append(F.count_if(here & F.col(a).isin(*conds)).alias(f"matched{i}"))
     return cols
 
 
@@ -98,11 +99,14 @@ def coverage_rows(row: DataFrame, keys: Sequence[tuple[str, tuple[str, ...]]], d
     metadata pairs."""
     names = [n for n, _ in extra[0]] if extra else []
     rows = []
+    if not keys:  # no factors, no rows
+        empty = "CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)"
+        rows.append("CAST(NULL AS INT), " + empty)
     for i, (a, conds) in enumerate(keys):
         meta = "".join(", " + sql_literal(v) for _, v in (extra[i] if extra else []))
         rows.append(f"{i}, {sql_literal(a)}, {sql_literal('|'.join(conds))}, valid{i}, matched{i}{meta}")
     cols = ", ".join(["key_index", "attribute", "conditions", "valid", "matched", *names])
-    long = row.selectExpr("n", f"stack({len(keys)}, {', '.join(rows)}) AS ({cols})")
+    long = row.selectExpr("n", f"stack({len(rows)}, {', '.join(rows)}) AS ({cols})").where("key_index IS NOT NULL")
     return long.selectExpr(
         "n", "key_index", "attribute", "conditions", "valid", "n - valid AS missing", "matched",
         f"round(try_divide(matched * 100.0D, CAST(n AS DOUBLE)), {digits}) AS matched_pct_all",

@@ -61,10 +61,11 @@ def decoded_value_sql(index: int, values: Sequence[str], short: str = "null") ->
 
 def first_override_map(overrides: Column) -> Column:
     """field_index -> value of the FIRST list entry for that field (a NULL
-    value is kept, so it shadows later entries and then falls through)."""
+    value is kept, so it shadows later entries and then falls through). NULL
+    entries and entries without a field index are passed over."""
     empty = F.create_map().cast(T.MapType(T.IntegerType(), T.StringType()))
     return F.aggregate(
-        overrides,
+        F.filter(overrides, lambda x: x["field_index"].isNotNull()),
         empty,
         lambda acc, x: F.when(F.array_contains(F.map_keys(acc), x["field_index"]), acc).otherwise(
             F.map_concat(acc, F.create_map(x["field_index"], x["value"]))
@@ -88,6 +89,32 @@ def with_packed_parts(df: DataFrame, key: Column | None = None, keep: Sequence[s
     )
 
 
+def byte_sql(blob: str, position: int) -> str:
+    """SQL text: one byte of a binary as an int, NULL beyond its end."""
+    return f"CASE WHEN length({blob}) > {position} THEN CAST(conv(hex(substring({blob}, {position + 1}, 1)), 16, 10) AS INT) END"
+
+
+def picked_value_sql(index: int, values: Sequence[str], short: str = "null") -> str:
+    """SQL text of a field's value read straight from the blobs: the bytes of
+    this field only, and the first override entry for it."""
+    override = f"get(filter(attribute_overrides, x -> x.field_index = {index}), 0).value"
+    code = f"(shiftright({byte_sql('attributes', index // 2)}, {4 * (index % 2)}) & 15)"
+    if short == "zero":
+        code = f"coalesce({code}, CASE WHEN attributes IS NOT NULL THEN 0 END)"
+    bit = f"coalesce((shiftright({byte_sql('null_bitmap', index // 8)}, {index % 8}) & 1) = 1, false)"
+    lookup = f"get(array({', '.join(sql_string(v) for v in values)}), {code})"
+    return f"coalesce({override}, CASE WHEN {bit} THEN NULL ELSE {lookup} END)"
+
+
+def decode_fields(df: DataFrame, fields: Fields, select: Sequence[str], short: str = "null", keep: Sequence[str] = ()) -> DataFrame:
+    """``unit_id`` + the selected fields, in schema order. For a few fields of
+    a wide schema: reads only their bytes, without splitting the blobs."""
+    wanted = set(select)
+    key = unit_key(F.col("source_record_id"), F.col("source"), F.col("source_row_index"))
+    cols = [f"{picked_value_sql(i, vals, short)} AS `{name}`" for i, (name, vals) in enumerate(fields) if name in wanted]
+    return df.withColumn("unit_id", key).selectExpr("unit_id", *[f"`{k}`" for k in keep], *cols)
+
+
 def decode_wide(df: DataFrame, fields: Fields, select: Sequence[str] | None = None, short: str = "null",
                 keep: Sequence[str] = ()) -> DataFrame:
     """``unit_id`` + one string column per selected field (by name, in schema

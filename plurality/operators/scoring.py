@@ -11,13 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions.hashing import keyed_text, uniform_of_digest
-from plurality.session import bounded_broadcast
 from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, Factor, Rule
 
 KEY = "unit_id"
@@ -65,14 +64,6 @@ def logit(rule: Rule, choice_index: int, factors: Sequence[Factor] | None = None
     return reduce(add, [*terms, noise])
 
 
-def softmax(scores: Sequence[Column]) -> list[Column]:
-    """Stable softmax as plain expressions: exp(s - max) / sum."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    weights = [F.exp(s - top) for s in scores]
-    total = reduce(add, weights)
-    return [w / total for w in weights]
-
-
 def staged_softmax(df: DataFrame, keep: Sequence[str], groups: Sequence[tuple[Sequence[Column], Sequence[str]]]) -> DataFrame:
     """Softmax over several score groups in four projections (logits, max,
     weights, probabilities). Each stage is referenced more than once by the
@@ -107,8 +98,9 @@ def score(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None
 
 
 def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str] | None = None, mode: str = "expected",
-                  draw_suffix: str = DRAW_SUFFIX) -> DataFrame:
-    """``key``, ``keep`` columns and p0..p{n-1}.
+                  draw_suffix: str = DRAW_SUFFIX, null_keys: bool = False) -> DataFrame:
+    """``key``, ``keep`` columns and p0..p{n-1}. Rows with a NULL key are left
+    out, or with ``null_keys`` kept with NULL probabilities, to be counted.
 
     expected: softmax probabilities. sampled: one draw per row picks the first
     choice whose cumulative probability exceeds it (the last is the ELSE),
@@ -118,7 +110,8 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     n = len(rule.choices)
     if mode not in ("expected", "sampled"):
         raise ValueError(f"unknown mode: {mode}")
-    base = df.where(F.col(key).isNotNull()).select(key, *sorted(set(keep) | set(rule.factor_attributes())))
+    rows = df if null_keys else df.where(F.col(key).isNotNull())
+    base = rows.select(key, *sorted(set(keep) | set(rule.factor_attributes())))
     noisy = with_noise(base, rule.seed, rule.choice_ids, key, draw=(mode == "sampled"), draw_suffix=draw_suffix)
     scores = [logit(rule, i) for i in range(n)]
     extra = ["_draw"] if mode == "sampled" else []
@@ -132,55 +125,82 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     pick = pick.otherwise(F.lit(n - 1)) if pick is not None else F.lit(0)
     picked = staged.select(key, *keep, pick.alias("_selected"))
     return picked.select(
-        key, *keep, *[F.when(F.col("_selected") == i, F.lit(1.0)).otherwise(F.lit(0.0)).alias(prob_col(i)) for i in range(n)]
+        key, *keep,
+        *[F.when(F.col(key).isNotNull(), F.when(F.col("_selected") == i, F.lit(1.0)).otherwise(F.lit(0.0))).alias(prob_col(i)) for i in range(n)]
     )
 
 
+#: most rows of a factor table that is broadcast; larger ones are joined by the planner's choice
+BROADCAST_FACTOR_ROWS = 100_000
+
+
 def score_by_join(df: DataFrame, rule: Rule, factor_table: DataFrame, key: str = KEY) -> DataFrame:
-    """Data-driven variant of the logits: factors arrive as a table
-    ``(attribute, condition, choice_index, effect)`` (e.g. many stored rules).
-
-    The row's attributes are unpivoted, joined to the (small, broadcast) factor
-    table on (attribute, value), and the matched effects summed per input
-    row. Partial aggregation runs before the shuffle, and all rows of a row
-    id are adjacent in one task, so the shuffle carries one row per input
-    row.
-    """
-    attrs = sorted({f.attribute for f in rule.factors})
+    """Data-driven variant of the logits: effects arrive as a table
+    ``(attribute, condition, choice_index, effect)``. See ``score_rules``."""
     n = len(rule.choices)
-    # Keys need not be unique, so effects are summed per input row: a row id
-    # (partition index + position, stable for a deterministic scan) keeps
-    # rows apart and spreads a hot key over many groups.
-    base = df.where(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("_rid"), key, *attrs)
-    if not attrs:
-        fitted = base.select(key, *[F.lit(0.0).alias(f"_fit{i}") for i in range(n)])
-    else:
-        long = base.select(
-            "_rid",
-            key,
-            F.explode(
-                F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attrs])
-            ).alias("kv"),
-        ).select("_rid", key, F.col("kv.attribute").alias("attribute"), F.col("kv.value").alias("value"))
-        # left join: a row whose attributes match nothing still yields its key
-        bound = sum(len(f.conditions) * len(rule.choices) for f in rule.factors)
-        matched = long.join(bounded_broadcast(factor_table.withColumnRenamed("condition", "value"), bound), ["attribute", "value"], "left")
-        fitted = matched.groupBy("_rid", key).agg(
-            *[
-                F.coalesce(F.sum(F.when(F.col("choice_index") == i, F.col("effect"))), F.lit(0.0)).alias(f"_fit{i}")
-                for i in range(n)
-            ]
-        ).drop("_rid")
-    noisy = with_noise(fitted, rule.seed, rule.choice_ids, key)
+    fitted = with_table_effects(df.where(F.col(key).isNotNull()), factor_table, sorted({f.attribute for f in rule.factors}), n)
+    noisy = with_noise(fitted.select(key, "_fit"), rule.seed, rule.choice_ids, key)
     return noisy.select(
         key,
         *[
-            (F.lit(rule.log_prior(c)) + F.col(f"_fit{i}") + (F.col(noise_col(i)) - F.lit(0.5)) * F.lit(NOISE_SCALE)).alias(f"s{i}")
+            (F.lit(rule.log_prior(c)) + F.get("_fit", i) + (F.col(noise_col(i)) - F.lit(0.5)) * F.lit(NOISE_SCALE)).alias(f"s{i}")
             for i, c in enumerate(rule.choice_ids)
         ],
     )
 
 
+def with_table_effects(df: DataFrame, factor_table: DataFrame, attrs: Sequence[str], n_choices: int,
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_fit``: per choice the sum of the effects whose (attribute,
+    condition) the row has.
+
+    The table is collapsed to one array of effects per (attribute, value), its
+    size is checked, and each attribute is looked up with one left join; the
+    arrays are added. Rows are never exploded, grouped or shuffled. ``by``:
+    columns of both sides that must agree as well (e.g. a rule id).
+    """
+    effects = factor_table.groupBy(*by, "attribute", F.col("condition").alias("_value")).agg(
+        F.array(*[F.coalesce(F.sum(F.when(F.col("choice_index") == i, F.col("effect"))), F.lit(0.0)) for i in range(n_choices)]).alias("_effects")
+    )
+    small = effects.count() <= BROADCAST_FACTOR_ROWS
+    zero = F.array(*[F.lit(0.0)] * n_choices)
+    out = df.withColumn("_fit", zero)
+    for a in attrs:
+        side = effects.where(F.col("attribute") == a).select(*by, F.col("_value").alias(a), F.col("_effects"))
+        side = F.broadcast(side) if small else side
+        out = out.withColumn(a, F.col(a).cast("string")).join(side, [*by, a], "left")
+        found = F.coalesce("_effects", zero)
+        out = out.withColumn("_fit", F.zip_with("_fit", found, lambda x, y: x + y)).drop("_effects")
+    return out
+
+
+def score_rules(df: DataFrame, rules: Mapping[str, Rule], key: str = KEY) -> DataFrame:
+    """Many stored rules over one table: ``rule_id, key, choice_index, choice,
+    score`` for every rule and row, effects from the rules' factor table.
+
+    Rows are replicated once per rule (the result has a row per rule and
+    choice anyway); rules enter as two broadcast tables.
+    """
+    spark = df.sparkSession
+    table = None
+    for rule_id, rule in rules.items():
+        part = factor_table(spark, rule).withColumn("rule_id", F.lit(rule_id))
+        table = part if table is None else table.unionByName(part)
+    width = max(len(r.choices) for r in rules.values())
+    attrs = sorted({f.attribute for r in rules.values() for f in r.factors})
+    rows = df.where(F.col(key).isNotNull()).select(key, *attrs)
+    fanned = rows.withColumn("rule_id", F.explode(F.array(*[F.lit(r) for r in rules])))
+    fitted = with_table_effects(fanned, table, attrs, width, by=["rule_id"]).select("rule_id", key, "_fit")
+    terms = [(rule_id, rule.seed, i, c, rule.log_prior(c)) for rule_id, rule in rules.items() for i, c in enumerate(rule.choice_ids)]
+    params = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(s).alias("seed"), F.lit(i).alias("choice_index"), F.lit(c).alias("choice"),
+                                F.lit(lp).alias("prior")) for r, s, i, c, lp in terms])
+    long = fitted.withColumn("_own", F.explode(F.filter(params, lambda x: x["r"] == F.col("rule_id"))))
+    long = long.select("rule_id", key, "_fit", "_own.*")
+    hashed = long.withColumn("_d", F.md5(F.concat("seed", F.lit(":"), F.col(key), F.lit(":"), F.col("choice"))))
+    noise = (uniform_of_digest(F.col("_d")) - F.lit(0.5)) * F.lit(NOISE_SCALE)
+    return hashed.select("rule_id", key, "choice_index", "choice", (F.col("prior") + F.get("_fit", F.col("choice_index")) + noise).alias("score"))
+
+
 def factor_table(spark, rule: Rule) -> DataFrame:
     """Rule factors as a long table (one row per attribute, condition, choice).
     Conditions repeated within a factor are counted once."""
@@ -191,4 +211,4 @@ def factor_table(spark, rule: Rule) -> DataFrame:
             if eff:
                 for cond in dict.fromkeys(factor.conditions):
                     rows.append((factor.attribute, cond, i, float(eff)))
-    return spark.createDataFrame(rows, "attribute string, condition string, choice_index int, effect double")
+    return spark.createDataFrame(rows, "attribute string, condition string, choice_index int, effect double").coalesce(1)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plurality.functions.sqltext import sql_string
 from plurality.operators.scoring import prob_col
 from plurality.session import bounded_broadcast
-from plurality.spec import Catalog, Rule
+from plurality.spec import Catalog, Factor, Rule
 
 UNKNOWN = "Unknown"
 
@@ -77,7 +77,11 @@ def apportion(wide: DataFrame, n_col: str, value_cols: Sequence[str]) -> DataFra
 
 def apportioned_counts(scored: DataFrame, rule: Rule, digits: int = 6) -> DataFrame:
     """``choice_index, choice, n, count, percent`` with counts summing to n."""
-    t = totals(scored, len(rule.choices))
+    return counted_rows(totals(scored, len(rule.choices)), rule, digits)
+
+
+def counted_rows(t: DataFrame, rule: Rule, digits: int = 6) -> DataFrame:
+    """``apportioned_counts`` from a row of totals (n, t0, t1, ...)."""
     counted = apportion(t, "n", [f"t{i}" for i in range(len(rule.choices))])
     items = [
         F.struct(
@@ -97,35 +101,63 @@ def grouping_bits(all_cols: Sequence[str], grouped: Sequence[str]) -> int:
     return sum(1 << (k - 1 - i) for i, c in enumerate(all_cols) if c not in grouped)
 
 
+def cube_sets(rule: Rule, catalog: Catalog, groups: Sequence[str] = (), arities: Sequence[int] = ()) -> list[tuple[str, ...]]:
+    """Grouping sets of a report: the total, one per breakdown column and the
+    1- and 2-way combinations of the segment attributes."""
+    attrs = segment_attributes(rule, catalog) if arities else []
+    return [(), *[(f"_g_{g}",) for g in groups], *[c for k in arities for c in combinations(attrs, k)]]
+
+
+def cube(scored: DataFrame, rule: Rule, catalog: Catalog, groups: Sequence[str] = (), arities: Sequence[int] = (),
+         sums: Sequence[str] | None = None, extra: Sequence[Column] = (), where: Column | None = None) -> DataFrame:
+    """All grouping sets in one pass: keys, ``_gid``, ``n`` and the sums.
+
+    One scan, one partial aggregate, whatever the rule's size. Breakdown keys
+    map off-list values to Unknown, segment keys map them to NULL. ``sums``:
+    the summed columns (default: the choice probabilities); ``extra``: further
+    aggregates over the rows (their value in the total set is the global one);
+    ``where``: the rows that ``n`` counts.
+    """
+    sums = [prob_col(i) for i in range(len(rule.choices))] if sums is None else list(sums)
+    sets = cube_sets(rule, catalog, groups, arities)
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    columns = [*[bucket_key(g, catalog) for g in groups], *[valid_value(k, catalog).alias(f"_k_{k}") for k in keys if not k.startswith("_g_")]]
+    rows = scored.select("*", *columns)
+    named = [k if k.startswith("_g_") else f"_k_{k}" for k in keys]
+    rename = dict(zip(keys, named))
+    size = F.count(F.lit(1)) if where is None else F.count_if(where)
+    aggs = [size.alias("n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums], *extra]
+    if not keys:
+        return rows.agg(F.lit(0).cast("bigint").alias("_gid"), *aggs)
+    grouped = rows.groupingSets([[rename[k] for k in s] for s in sets], *named)
+    return grouped.agg(F.grouping_id().cast("bigint").alias("_gid"), *aggs)
+
+
+def cube_bits(cells: DataFrame, grouped: Sequence[str]) -> int:
+    """``_gid`` of a grouping set of a ``cube``."""
+    return grouping_bits([c for c in cells.columns if c.startswith(("_g_", "_k_"))], grouped)
+
+
+def cube_total(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("_gid") == cube_bits(cells, []))
+
+
 def breakdown(scored: DataFrame | None, rule: Rule, catalog: Catalog, groups: Sequence[str] | None = None, digits: int = 6,
               cells: DataFrame | None = None) -> DataFrame:
     """Per result group: off-list or NULL values go to ``Unknown``; one
-    GROUPING SETS pass covers all groups.
+    GROUPING SETS pass covers all groups. No groups, no rows.
 
     Output ``group_attribute, group_value, n, choice_index, choice, percent``.
-    ``cells``: pre-aggregated rows with the keys ``_g_<group>`` (already
-    mapped), ``_n`` and ``_t<i>`` (see ``plans.report``)."""
+    ``cells``: a ``cube`` that holds the groups."""
     groups = list(rule.result_groups if groups is None else groups)
     n = len(rule.choices)
-    if not groups:
-        raise ValueError("no result groups")
-    key_cols = [f"_g_{g}" for g in groups]
-    if cells is None:
-        keyed = scored.select(*[bucket_key(g, catalog) for g in groups], *[prob_col(i) for i in range(n)])
-        size, sums = F.count(F.lit(1)), [F.sum(prob_col(i)) for i in range(n)]
-    else:
-        keyed = cells
-        size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
-    agg = keyed.groupingSets([[c] for c in key_cols], *key_cols).agg(
-        F.grouping_id().alias("_gid"), size.cast("bigint").alias("n"), *[x.alias(f"t{i}") for i, x in enumerate(sums)]
-    )
-    attr = None
-    value = None
-    for g, c in zip(groups, key_cols):
-        bits = grouping_bits(key_cols, [c])
-        attr = F.when(F.col("_gid") == bits, F.lit(g)) if attr is None else attr.when(F.col("_gid") == bits, F.lit(g))
-        value = F.when(F.col("_gid") == bits, F.col(c)) if value is None else value.when(F.col("_gid") == bits, F.col(c))
-    named = agg.select(attr.alias("group_attribute"), value.alias("group_value"), "n", *[f"t{i}" for i in range(n)])
+    cells = cube(scored, rule, catalog, groups) if cells is None else cells
+    attr = value = F.lit(None).cast("string")
+    for g in groups:
+        hit = F.col("_gid") == cube_bits(cells, [f"_g_{g}"])
+        attr, value = F.when(hit, F.lit(g)).otherwise(attr), F.when(hit, F.col(f"_g_{g}")).otherwise(value)
+    named = cells.select(attr.alias("group_attribute"), value.alias("group_value"), "n", *[F.col(f"_sum_{prob_col(i)}").alias(f"t{i}") for i in range(n)])
+    named = named.where(F.col("group_attribute").isNotNull() & (F.col("n") > 0))
     long = long_by_choice(named, rule.choice_ids, "t", keep=["group_attribute", "group_value", "n"])
     return long.select(
         "group_attribute", "group_value", "n", "choice_index", "choice", F.round(pct(F.col("total"), F.col("n")), digits).alias("percent")
@@ -147,81 +179,47 @@ def segment_attributes(rule: Rule, catalog: Catalog) -> list[str]:
 
 
 def segments(
-    scored: DataFrame,
+    scored: DataFrame | None,
     rule: Rule,
     catalog: Catalog,
     min_abs: int = 1000,
     min_divisor: int = 100,
     digits: int = 6,
-    max_cells: int = 250_000,
+    arities: Sequence[int] = (1, 2),
     cells: DataFrame | None = None,
+    sums: Sequence[str] | None = None,
 ) -> DataFrame:
-    """1- and 2-way segments over the rule's segment attributes.
+    """1- and/or 2-way segments over the rule's segment attributes.
 
     A segment qualifies when every grouped attribute holds a catalog value and
     its size is at least ``max(min_abs, n div min_divisor)``. Output
     ``arity, attr_1, value_1, attr_2, value_2, n, choice_index, choice,
     percent, lift_pp`` where lift is percentage points over the overall share.
 
-    Off-list values become NULL first, so the joint cells are bounded by the
-    product of (list size + 1). When that bound is small the rows are first
-    reduced to cells (one partial aggregate) and the grouping sets run on the
-    cells; otherwise the grouping sets' Expand feeds the partial aggregate
-    directly. Either way only partial aggregates are shuffled.
+    The grouping sets' Expand feeds the partial aggregate, so only partial
+    aggregates are shuffled: one plan for every number of attributes.
+    ``cells``: a ``cube`` with these arities; ``sums``: its summed columns.
     """
-    attrs = segment_attributes(rule, catalog)
-    n = len(rule.choices)
-    sets = [(a,) for a in attrs] + list(combinations(attrs, 2))
-    cell_bound = 1
-    for a in attrs:
-        cell_bound *= len(catalog.values(a)) + 1
-    if cells is not None:
-        # pre-aggregated cells (segment attributes already validity-mapped)
-        size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
-        source = cells
-    elif attrs and cell_bound <= max_cells:
-        valid = scored.select(*[valid_value(a, catalog) for a in attrs], *[prob_col(i) for i in range(n)])
-        cells = valid.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(prob_col(i)).alias(f"_t{i}") for i in range(n)])
-        size, sums = F.sum("_n"), [F.sum(f"_t{i}") for i in range(n)]
-        source = cells
-    else:
-        valid = scored.select(*[valid_value(a, catalog) for a in attrs], *[prob_col(i) for i in range(n)])
-        size, sums = F.count(F.lit(1)), [F.sum(prob_col(i)) for i in range(n)]
-        source = valid
-    grouping = [list(s) for s in sets] + [[]]
-    agg = source.groupingSets(grouping, *attrs).agg(
-        F.grouping_id().alias("_gid"), size.cast("bigint").alias("n"), *[s.alias(f"t{i}") for i, s in enumerate(sums)]
-    ) if attrs else source.agg(F.lit(0).alias("_gid"), size.cast("bigint").alias("n"), *[s.alias(f"t{i}") for i, s in enumerate(sums)])
-
-    everything = grouping_bits(attrs, [])
-    arity = F.lit(0)
-    a1 = v1 = a2 = v2 = None
-    for s in sets:
-        bits = grouping_bits(attrs, s)
-        hit = F.col("_gid") == bits
-        arity = F.when(hit, F.lit(len(s))).otherwise(arity)
-        a1 = F.when(hit, F.lit(s[0])) if a1 is None else a1.when(hit, F.lit(s[0]))
-        v1 = F.when(hit, F.col(s[0])) if v1 is None else v1.when(hit, F.col(s[0]))
-        if len(s) == 2:
-            a2 = F.when(hit, F.lit(s[1])) if a2 is None else a2.when(hit, F.lit(s[1]))
-            v2 = F.when(hit, F.col(s[1])) if v2 is None else v2.when(hit, F.col(s[1]))
+    sums = [prob_col(i) for i in range(len(rule.choices))] if sums is None else list(sums)
+    cells = cube(scored, rule, catalog, arities=arities, sums=sums) if cells is None else cells
     null = F.lit(None).cast("string")
-    named = agg.select(
-        (F.col("_gid") == everything).alias("_is_total"),
-        arity.alias("arity"),
-        (a1 if a1 is not None else null).alias("attr_1"),
-        (v1 if v1 is not None else null).alias("value_1"),
-        (a2 if a2 is not None else null).alias("attr_2"),
-        (v2 if v2 is not None else null).alias("value_2"),
-        "n",
-        *[f"t{i}" for i in range(n)],
-    )
+    arity, labels = F.lit(0), [null] * 4
+    for combo in cube_sets(rule, catalog, arities=arities)[1:]:
+        hit = F.col("_gid") == cube_bits(cells, [f"_k_{a}" for a in combo])
+        arity = F.when(hit, F.lit(len(combo))).otherwise(arity)
+        now = [x for a in combo for x in (F.lit(a), F.col(f"_k_{a}"))]
+        labels = [F.when(hit, new).otherwise(old) for new, old in zip(now, labels)] + labels[len(now):]
+    named = cells.select(
+        (F.col("_gid") == cube_bits(cells, [])).alias("_is_total"), arity.alias("arity"),
+        *[x.alias(c) for x, c in zip(labels, ("attr_1", "value_1", "attr_2", "value_2"))],
+        "n", *[F.col(f"_sum_{c}").alias(f"t{i}") for i, c in enumerate(sums)],
+    ).where(F.col("_is_total") | (F.col("arity") > 0))
     long = long_by_choice(named, rule.choice_ids, "t", keep=["_is_total", "arity", "attr_1", "value_1", "attr_2", "value_2", "n"])
     overall = long.where("_is_total").select(
         "choice_index", F.col("n").alias("_n_all"), F.col("total").alias("_t_all")
     )
     # the overall row per choice: at most one row per choice, broadcast
-    seg = long.where(~F.col("_is_total")).join(bounded_broadcast(overall, n), "choice_index")
+    seg = long.where(~F.col("_is_total")).join(bounded_broadcast(overall, len(sums)), "choice_index")
     threshold = F.greatest(F.lit(min_abs).cast("bigint"), F.floor(F.col("_n_all") / F.lit(min_divisor)).cast("bigint"))
     qualified = seg.where(
         F.col("value_1").isNotNull() & ((F.col("arity") == 1) | F.col("value_2").isNotNull()) & (F.col("n") >= threshold)
@@ -259,9 +257,31 @@ def missing_cells(scored: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n_units"), total.alias("missing_cells"))
 
 
-def top_factor_order(rule: Rule, k: int = 3) -> list[tuple[int, int, float]]:
-    """(rank, factor position, max |effect|) of the k strongest factors;
-    stable on ties (rule order)."""
-    strength = [(max((abs(float(v)) for v in f.effects.values()), default=0.0), pos) for pos, f in enumerate(rule.factors)]
-    ordered = sorted(strength, key=lambda t: -t[0])[:k]
-    return [(rank + 1, pos, s) for rank, (s, pos) in enumerate(ordered)]
+def row_counts(df: DataFrame, key: str = "unit_id") -> DataFrame:
+    """``n_rows, n_scored, n_null_key``: rows with a NULL key are not scored; this says how many there are."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(key).alias("n_scored"), F.count_if(F.col(key).isNull()).alias("n_null_key"))
+
+
+def shares_with_counts(scored: DataFrame, rule: Rule, key: str = "unit_id", digits: int = 6) -> DataFrame:
+    """``shares`` with the row counts of the same pass. ``scored``: ``probabilities(..., null_keys=True)``, whose NULL-key rows have no probabilities."""
+    t = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count(key).alias("n_scored"), F.count_if(F.col(key).isNull()).alias("n_null_key"),
+                   *[F.sum(prob_col(i)).alias(f"t{i}") for i in range(len(rule.choices))])
+    long = long_by_choice(t, rule.choice_ids, "t", keep=["n_rows", "n_scored", "n_null_key"])
+    return long.select("n_rows", "n_scored", "n_null_key", "choice_index", "choice", F.round("total", digits).alias("total"),
+                       F.round(pct(F.col("total"), F.col("n_scored")), digits).alias("percent"))
+
+
+def factor_effects(spark: SparkSession, factors: Sequence[tuple[str, int, Factor]], choices: Sequence[str]) -> DataFrame:
+    """Rule factors as rows ``owner, factor_position, attribute, conditions, choice_index, choice, effect`` (effect 0 where absent)."""
+    rows = [(owner, pos, f.attribute, "|".join(f.conditions), "|".join(sorted(set(f.conditions))), i, c, float(f.effect(c)))
+            for owner, pos, f in factors for i, c in enumerate(choices)]
+    schema = ("owner string, factor_position int, attribute string, conditions string, condition_set string, "
+              "choice_index int, choice string, effect double")
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def top_factors(effects: DataFrame, k: int = 3) -> DataFrame:
+    """``rank, factor_position, attribute, conditions, max_abs_effect`` of the k strongest factors; ties in rule order. Rule-sized input."""
+    strength = effects.groupBy("factor_position", "attribute", "conditions").agg(F.max(F.abs("effect")).alias("max_abs_effect"))
+    rank = F.row_number().over(Window.orderBy(F.desc("max_abs_effect"), "factor_position"))
+    return strength.withColumn("rank", rank).where(F.col("rank") <= k).select("rank", "factor_position", "attribute", "conditions", "max_abs_effect")

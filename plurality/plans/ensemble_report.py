@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from plurality.operators import ensemble as E
 from plurality.operators.evidence import (
-    coverage, coverage_aggs, coverage_keys, coverage_rows, empirical_prior, evidence_counts, evidence_report,
+    coverage_aggs, coverage_rows, empirical_prior, evidence_counts, evidence_report,
 )
+from plurality.operators.scoring import KEY
+from plurality.operators.shares import factor_effects
 from plurality.session import shared_dir
-from plurality.spec import Ensemble
+from plurality.spec import Catalog, Ensemble
 
 
 def resolve_prior(df: DataFrame, ens: Ensemble) -> tuple[Mapping[str, float], str, DataFrame | None]:
@@ -34,6 +36,7 @@ def resolve_prior(df: DataFrame, ens: Ensemble) -> tuple[Mapping[str, float], st
     if ens.evidence is None:
         return dict(ens.base_scores), "authored", None
     shared_dir(df.sparkSession)
+    df = df.where(F.col(KEY).isNotNull())  # the same rows as every share of the document
     counts = evidence_counts(df, ens.evidence, ens.choice_ids).checkpoint(eager=True)  # one scan, one row
     prior = empirical_prior(df, ens.evidence, ens.choice_ids, ens.base_scores, counts=counts)
     rows = prior.collect()  # one row per choice (<= 4)
@@ -42,36 +45,41 @@ def resolve_prior(df: DataFrame, ens: Ensemble) -> tuple[Mapping[str, float], st
     return scores, mode, evidence_report(df, ens.evidence, ens.choice_ids, counts=counts)
 
 
-def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: int = 6) -> dict[str, DataFrame]:
-    scores, mode, evidence = resolve_prior(df, ens)
+def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: int = 6, catalog: Catalog | None = None,
+                    mode: str = "expected") -> dict[str, DataFrame]:
+    """The document's blocks. With a catalog also each perspective's best
+    segments and missing cells, from one more pass (``perspective_cube``)."""
+    scores, source, evidence = resolve_prior(df, ens)
     central_id = ens.central_prior_id or "central"
     priors = [(p.id, p.base_scores) for p in ens.priors] if ens.priors else [(central_id, scores)]
     if all(pid != central_id for pid, _ in priors):
         priors = [(central_id, scores), *priors]
-    keys, extra = [], []
-    for persp in ens.perspectives:
-        for pos, f in enumerate(persp.factors):
-            keys.append((f.attribute, tuple(f.conditions)))
-            extra.append([("perspective_id", persp.id), ("factor_position", pos), ("direction", E.direction(f, ens.choice_ids))])
-    fold = [c for c in coverage_aggs(keys)[1:]]  # the grid already counts n
-    agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold)
+    factors = E.ensemble_factors(ens)
+    keys = [(f.attribute, tuple(f.conditions)) for _, _, f in factors]
+    fold = coverage_aggs(keys, where=F.col(KEY).isNotNull())[1:]  # the grid already counts n
+    agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold, mode=mode)
     shared_dir(spark)
     agg = agg.checkpoint(eager=True)  # the one scan of the grid
     sums = E.scenario_long(agg, names)
     shares = E.perspective_shares(sums, central_id, digits)
     win = E.winners(shares)
-    signals = E.robust_signal_keys(ens.perspectives, ens.choice_ids)
+    found = E.directions(factor_effects(spark, factors, ens.choice_ids))
+    extra = [[("perspective_id", o), ("factor_position", p)] for o, p, _ in factors]
+    observed = coverage_rows(agg, keys, digits, extra=extra).drop("attribute", "conditions")
     blocks = {
-        "prior": spark.createDataFrame([(c, float(v), mode) for c, v in scores.items()], "choice string, prior double, mode string"),
+        "rows": agg.select((F.col("n") + F.col("n_null_key")).alias("n_rows"), F.col("n").alias("n_scored"), "n_null_key"),
+        "prior": spark.createDataFrame([(c, float(v), source) for c, v in scores.items()], "choice string, prior double, mode string"),
         "perspectives": shares,
         "winners": win,
         "choices": E.consensus_table(shares, ens.choice_ids, digits),
         "winner_assessment": E.stability(win, len(ens.perspectives)),
-        "factors": coverage_rows(agg, keys, digits, extra=extra),
-        "robust_signals": spark.createDataFrame(
-            [(a, "|".join(c), d, len(ids), ",".join(ids)) for (a, c, d), ids in signals],
-            "attribute string, conditions string, supports string, perspective_count int, perspectives string"),
+        "factors": found.withColumnRenamed("owner", "perspective_id").drop("condition_set").join(observed, ["perspective_id", "factor_position"]),
+        "robust_signals": E.robust_signals(found, [p.id for p in ens.perspectives]),
     }
+    if catalog is not None:
+        cells = E.perspective_cube(df, ens, catalog, scores, mode=mode).checkpoint(eager=True)
+        blocks["preference_groups"] = E.perspective_best_segments(spark, cells, ens, catalog, digits)
+        blocks["missing"] = E.perspective_missing_cells(cells, ens)
     if evidence is not None:
         blocks["prior_evidence"] = evidence
     if ens.priors:
@@ -80,8 +88,3 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
         blocks["prior_verdicts"] = E.prior_verdicts(scen, digits)
         blocks["choice_ranges"] = E.prior_ranges(scen)
     return blocks
-
-
-def observed_coverage(df: DataFrame, ens: Ensemble, digits: int = 6) -> DataFrame:
-    """Coverage of every distinct (attribute, conditions) used by the ensemble."""
-    return coverage(df, coverage_keys([f for p in ens.perspectives for f in p.factors]), digits)

@@ -8,15 +8,13 @@ bits.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from typing import Sequence
 
-from plurality.operators.ensemble import direction, robust_signal_keys
-from plurality.operators.evidence import coverage_keys
-from plurality.operators.shares import segment_attributes, top_factor_order
 from plurality.plans import standard as S
 from plurality.sources.profiles import packed_dictionary
-from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, Catalog, Rule
+from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, PRIOR_FLOOR, Catalog, Rule
 
 UINT64 = "CAST('18446744073709551616' AS DOUBLE)"
 
@@ -56,6 +54,13 @@ DOCUMENT_PROFILE = """document_profile AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
+NULL_KEY_PROFILE = """keyed_documents AS (
+  SELECT CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE concat('d', CAST(d.doc_id AS VARCHAR)) END AS unit_id, d.lang AS lang,
+         CASE WHEN d.n_chars < 500 THEN 'short' WHEN d.n_chars < 2000 THEN 'medium' ELSE 'long' END AS length_band,
+         CASE l.quality WHEN 1 THEN 'good' WHEN 0 THEN 'poor' END AS quality
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
 PACKED_PROFILE = """packed_profile AS (
   SELECT doc_id,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('d', CAST(doc_id AS VARCHAR)) END AS source_record_id,
@@ -71,51 +76,59 @@ PACKED_PROFILE = """packed_profile AS (
 )"""
 
 
-def unit(seed: str, suffix: str, key: str = "unit_id") -> str:
-    return f"(CAST(md5_number_lower({q(seed + ':')} || {key} || {q(':' + suffix)}) AS DOUBLE) / {UINT64})"
-
-
-def logit(rule: Rule, i: int, factors=None, prior=None) -> str:
-    c = rule.choice_ids[i]
-    r = rule if prior is None else rule.with_prior(prior)
-    parts = [dbl(r.log_prior(c))]
-    for f in rule.factors if factors is None else factors:
-        e = f.effect(c)
-        if e:
-            parts.append(f"CASE WHEN {f.attribute} IN {in_list(f.conditions)} THEN {dbl(e)} ELSE {dbl(0.0)} END")
-    parts.append(f"({unit(rule.seed, c)} - {dbl(0.5)}) * {dbl(NOISE_SCALE)}")
-    return " + ".join(parts)
-
-
-def softmax_cols(scores: Sequence[str], prefix: str) -> tuple[str, str]:
-    """Two SELECT lists: weights then probabilities, over score columns."""
-    top = "greatest(" + ", ".join(scores) + ")" if len(scores) > 1 else scores[0]
-    w = ", ".join(f"exp({s} - {top}) AS {prefix}w{i}" for i, s in enumerate(scores))
-    den = " + ".join(f"{prefix}w{i}" for i in range(len(scores)))
-    p = ", ".join(f"{prefix}w{i} / ({den}) AS {prefix}p{i}" for i in range(len(scores)))
-    return w, p
+def rows_of(name: str, columns: str, rows: Sequence[Sequence]) -> str:
+    """CTE of literal rows; an empty one keeps its columns."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    body = ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in rows) or "(" + ", ".join("NULL" for _ in names) + ")"
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in (c.split() for c in columns.split(", ")))
+    return f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({', '.join(names)}){'' if rows else ' WHERE false'})"
+
+
+def hashed(seed: str, suffix: str, key: str = "unit_id") -> str:
+    """Uniform number of a unit and a suffix (an SQL expression)."""
+    return f"CAST(md5_number_lower({q(seed + ':')} || {key} || ':' || {suffix}) AS DOUBLE) / {UINT64}"
+
+
+def model_rows(scenarios) -> tuple[list, list, list]:
+    """Literal rows of scenarios [(index, rule)]: choices with their log prior, effects per condition, attributes."""
+    priors, effects = [], []
+    for k, rule in scenarios:
+        for i, c in enumerate(rule.choice_ids):
+            priors.append((k, i, c, math.log(max(float(rule.base_scores[c]), PRIOR_FLOOR))))
+            for f in rule.factors:
+                effects += [(k, f.attribute, v, i, float(f.effects.get(c, 0.0))) for v in dict.fromkeys(f.conditions)]
+    return priors, effects, sorted({f.attribute for _, r in scenarios for f in r.factors})
+
+
+def long_scores(scenarios, seed: str, source: str = "order_profile", mode: str = "expected") -> str:
+    """CTEs ``base`` (rows with a key, numbered) and ``dist(rid, k, choice_index,
+    score, p)``: one row per unit, scenario and choice; p is the softmax share,
+    or in sampled mode 1 for the first choice whose running share passes the draw."""
+    priors, effects, attrs = model_rows(scenarios)
+    values = " UNION ALL ".join(f"SELECT rid, {q(a)} AS attribute, {a} AS val FROM base" for a in attrs) or "SELECT NULL AS rid, NULL AS attribute, NULL AS val"
+    return f"""base AS (SELECT row_number() OVER () AS rid, * FROM {source} WHERE unit_id IS NOT NULL),
+{rows_of("model", "k INTEGER, choice_index INTEGER, choice VARCHAR, prior DOUBLE", priors)},
+{rows_of("effect", "k INTEGER, attribute VARCHAR, val VARCHAR, choice_index INTEGER, gain DOUBLE", effects)},
+gained AS (SELECT rid, k, choice_index, sum(gain) AS gain FROM ({values}) JOIN effect USING (attribute, val) GROUP BY ALL),
+noise AS (SELECT rid, choice_index, ({hashed(seed, "choice")} - 0.5) * {dbl(NOISE_SCALE)} AS jitter
+          FROM base, (SELECT DISTINCT choice_index, choice FROM model)),
+logits AS (SELECT noise.rid, model.k, choice_index, prior + coalesce(gain, 0) + jitter AS score
+           FROM noise JOIN model USING (choice_index) LEFT JOIN gained USING (rid, k, choice_index)),
+odds AS (SELECT *, exp(score - max(score) OVER (PARTITION BY rid, k)) AS odd FROM logits),
+share AS (SELECT * EXCLUDE odd, odd / sum(odd) OVER (PARTITION BY rid, k) AS p FROM odds),
+""" + ("dist AS (SELECT * FROM share)" if mode == "expected" else f"""running AS (
+  SELECT share.*, sum(p) OVER (PARTITION BY rid, k ORDER BY choice_index) AS upto, max(choice_index) OVER (PARTITION BY rid, k) AS last_one,
+         {hashed(seed, q(DRAW_SUFFIX))} AS draw FROM share JOIN base USING (rid)),
+drawn AS (SELECT *, coalesce(min(choice_index) FILTER (WHERE draw < upto AND choice_index < last_one) OVER (PARTITION BY rid, k), last_one) AS pick FROM running),
+dist AS (SELECT rid, k, choice_index, score, CAST(choice_index = pick AS INTEGER)::DOUBLE AS p FROM drawn)""")
 
 
 def scored_cte(rule: Rule, source: str = "order_profile", mode: str = "expected") -> str:
-    """CTEs scores -> weights -> probs (p0..) [-> one-hot]. Final CTE: ``probs``."""
-    n = len(rule.choices)
-    s = ", ".join(f"{logit(rule, i)} AS s{i}" for i in range(n))
-    w, p = softmax_cols([f"s{i}" for i in range(n)], "")
-    ctes = [
-        f"scores AS (SELECT *, {s} FROM {source} WHERE unit_id IS NOT NULL)",
-        f"weights AS (SELECT *, {w} FROM scores)",
-    ]
-    if mode == "expected":
-        ctes.append(f"probs AS (SELECT *, {p} FROM weights)")
-    else:
-        ctes.append(f"raw AS (SELECT *, {p} FROM weights)")
-        draw = unit(rule.seed, DRAW_SUFFIX)
-        cum = [" + ".join(f"p{j}" for j in range(i + 1)) for i in range(n)]
-        sel = "CASE " + " ".join(f"WHEN {draw} < ({cum[i]}) THEN {i}" for i in range(n - 1)) + f" ELSE {n - 1} END"
-        ctes.append(f"picked AS (SELECT * EXCLUDE ({', '.join(f'p{i}' for i in range(n))}), {sel} AS sel FROM raw)")
-        onehot = ", ".join(f"CASE WHEN sel = {i} THEN {dbl(1.0)} ELSE {dbl(0.0)} END AS p{i}" for i in range(n))
-        ctes.append(f"probs AS (SELECT *, {onehot} FROM picked)")
-    return ",\n".join(ctes)
+    """``long_scores`` of one rule and CTE ``probs``: the rows with s0.. and p0.. side by side."""
+    wide = ", ".join(f"max({v}) FILTER (WHERE choice_index = {i}) AS {c}{i}" for i in range(len(rule.choices)) for c, v in (("s", "score"), ("p", "p")))
+    return f"""{long_scores([(0, rule)], rule.seed, source, mode)},
+side AS (SELECT rid, {wide} FROM dist GROUP BY rid),
+probs AS (SELECT * EXCLUDE rid FROM base JOIN side USING (rid))"""
 
 
 def choices_values(rule_choices: Sequence[str]) -> str:
@@ -139,9 +152,9 @@ def with_orders(rule: Rule, mode: str = "expected") -> str:
 
 
 def hash_uniform_sql(rule: Rule) -> str:
-    cols = ", ".join(f"{unit(rule.seed, c)} AS u_{c}" for c in rule.choice_ids)
+    cols = ", ".join(f"{hashed(rule.seed, q(c))} AS u_{c}" for c in rule.choice_ids)
     return f"""WITH {ORDER_PROFILE}
-SELECT unit_id, {cols}, {unit(rule.seed, DRAW_SUFFIX)} AS u_sample,
+SELECT unit_id, {cols}, {hashed(rule.seed, q(DRAW_SUFFIX))} AS u_sample,
        CAST(md5_number_lower({q(rule.seed + ':')} || unit_id || ':sample') AS VARCHAR) AS h_sample
 FROM order_profile"""
 
@@ -188,7 +201,7 @@ FROM grp, {choices_values(rule.choice_ids)}"""
 def segments_body(rule: Rule, catalog: Catalog, min_abs: int = 1000, divisor: int = 100, digits: int = 6) -> str:
     n = len(rule.choices)
     sums = ", ".join(f"sum(p{i}) AS t{i}" for i in range(n))
-    attrs = segment_attributes(rule, catalog)
+    attrs = sorted({f.attribute for f in rule.factors if f.attribute in catalog.attributes and f.attribute not in catalog.non_segment})
     parts = []
     for a in attrs:
         parts.append(
@@ -246,13 +259,31 @@ def coverage_rows_sql(source: str, keys, extra_sql=None, digits: int = 6) -> str
     return "\nUNION ALL\n".join(parts)
 
 
-def top_factors_sql(rule: Rule) -> str:
-    order = top_factor_order(rule, 3)
-    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    extra = [f"{rank} AS rank, {pos} AS factor_position, {dbl(st)} AS max_abs_effect" for rank, pos, st in order]
+def effect_rows(factors) -> str:
+    """CTE ``eff``: one row per factor (owner, position) and choice. factors: [(owner, position, factor, choices)]."""
+    return rows_of("eff", "owner VARCHAR, factor_position INTEGER, attribute VARCHAR, conditions VARCHAR, condition_set VARCHAR, choice VARCHAR, effect DOUBLE",
+                   [(o, p, f.attribute, "|".join(f.conditions), "|".join(sorted(set(f.conditions))), c, float(f.effects.get(c, 0.0)))
+                    for o, p, f, choices in factors for c in choices])
+
+
+def observed(factors) -> str:
+    """CTE ``cov``: coverage per factor, numbered as given."""
+    return f"cov AS ({coverage_rows_sql('order_profile', [(f.attribute, f.conditions) for _, _, f, _ in factors])})"
+
+
+def top_factors_body(rule: Rule) -> str:
+    factors = [("", p, f, rule.choice_ids) for p, f in enumerate(rule.factors)]
     return f"""WITH {ORDER_PROFILE},
-cov AS ({coverage_rows_sql("order_profile", keys, extra)})
-SELECT rank, factor_position, attribute, conditions, max_abs_effect, n, valid, matched, matched_pct_all FROM cov"""
+{effect_rows(factors)},
+{observed(factors)},
+strength AS (SELECT factor_position, attribute, conditions, max(abs(effect)) AS max_abs_effect FROM eff GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY max_abs_effect DESC, factor_position) AS INTEGER) AS rank FROM strength)"""
+
+
+def top_factors_sql(rule: Rule) -> str:
+    return f"""{top_factors_body(rule)}
+SELECT rank, factor_position, r.attribute, r.conditions, max_abs_effect, n, valid, matched, matched_pct_all
+FROM ranked r JOIN cov ON cov.key_index = r.factor_position WHERE rank <= 3"""
 
 
 def evidence_counts_sql(evidence, choices) -> str:
@@ -294,35 +325,18 @@ FROM ev, {choices_values(choices)}"""
 
 
 def factor_coverage_sql(factors) -> str:
-    return f"WITH {DOCUMENT_PROFILE}\n{coverage_rows_sql('document_profile', coverage_keys(factors))}"
+    return f"WITH {DOCUMENT_PROFILE}\n{coverage_rows_sql('document_profile', list(dict.fromkeys((f.attribute, tuple(f.conditions)) for f in factors)))}"
 
 
-def ensemble_sums_cte(ens, priors) -> str:
+def ensemble_sums_cte(ens, priors, mode: str = "expected") -> str:
     """CTE ``sums(prior_id, prior_index, perspective_id, perspective_index, choice_index, choice, n, total)``."""
-    choices = ens.choice_ids
-    n = len(choices)
-    s_cols, w_cols, p_cols, sums, vals = [], [], [], [], []
-    for h, (pid, prior) in enumerate(priors):
-        for p, persp in enumerate(ens.perspectives):
-            rule = ens.rule_for(persp, prior)
-            names = [f"s_{h}_{p}_{c}" for c in range(n)]
-            s_cols += [f"{logit(rule, c)} AS {names[c]}" for c in range(n)]
-            w, pr = softmax_cols(names, f"x_{h}_{p}_")
-            w_cols.append(w)
-            p_cols.append(pr)
-            for c in range(n):
-                sums.append(f"sum(x_{h}_{p}_p{c}) AS t_{h}_{p}_{c}")
-                vals.append((h, pid, p, persp.id, c, choices[c], f"t_{h}_{p}_{c}"))
-    values = ", ".join(f"({k}, {h}, {q(pid)}, {p}, {q(pp)}, {c}, {q(ch)})" for k, (h, pid, p, pp, c, ch, _) in enumerate(vals))
-    total = "CASE v.k " + " ".join(f"WHEN {k} THEN {t}" for k, (*_, t) in enumerate(vals)) + " END"
+    grid = [(h, pid, p, persp, ens.rule_for(persp, prior)) for h, (pid, prior) in enumerate(priors) for p, persp in enumerate(ens.perspectives)]
+    names = [(k, pid, h, persp.id, p) for k, (h, pid, p, persp, _) in enumerate(grid)]
     return f"""WITH {ORDER_PROFILE},
-sc AS (SELECT {', '.join(s_cols)} FROM order_profile WHERE unit_id IS NOT NULL),
-sw AS (SELECT *, {', '.join(w_cols)} FROM sc),
-sp AS (SELECT *, {', '.join(p_cols)} FROM sw),
-agg AS (SELECT count(*) AS n, {', '.join(sums)} FROM sp),
-sums AS (SELECT v.prior_id, v.prior_index, v.perspective_id, v.perspective_index, v.choice_index, v.choice, agg.n,
-                {total} AS total
-         FROM agg, (VALUES {values}) AS v(k, prior_index, prior_id, perspective_index, perspective_id, choice_index, choice))"""
+{long_scores([(k, g[-1]) for k, g in enumerate(grid)], ens.seed, mode=mode)},
+{rows_of("scenario", "k INTEGER, prior_id VARCHAR, prior_index INTEGER, perspective_id VARCHAR, perspective_index INTEGER", names)},
+sums AS (SELECT prior_id, prior_index, perspective_id, perspective_index, choice_index, choice, (SELECT count(*) FROM base) AS n, total
+         FROM (SELECT k, choice_index, sum(p) AS total FROM dist GROUP BY ALL) JOIN scenario USING (k) JOIN model USING (k, choice_index))"""
 
 
 def central_priors(ens):
@@ -333,8 +347,8 @@ def all_priors(ens):
     return [(p.id, p.base_scores) for p in ens.priors] if ens.priors else central_priors(ens)
 
 
-def persp_shares_cte(ens, digits: int = 6) -> str:
-    return f"""{ensemble_sums_cte(ens, central_priors(ens))},
+def persp_shares_cte(ens, digits: int = 6, mode: str = "expected") -> str:
+    return f"""{ensemble_sums_cte(ens, central_priors(ens), mode)},
 ps AS (SELECT perspective_id, perspective_index, choice_index, choice, n, round(total, {digits}) AS total,
               round(total * 100.0 / n, {digits}) AS percent FROM sums)"""
 
@@ -344,8 +358,13 @@ def winners_cte() -> str:
   SELECT *, row_number() OVER (PARTITION BY perspective_id ORDER BY percent DESC, choice_index) AS rk FROM ps) WHERE rk = 1)"""
 
 
-def ensemble_perspectives_sql(ens) -> str:
-    return f"{persp_shares_cte(ens)}\nSELECT * FROM ps"
+def ensemble_perspectives_sql(ens, mode: str = "expected") -> str:
+    return f"{persp_shares_cte(ens, mode=mode)}\nSELECT * FROM ps"
+
+
+def per_perspective_sql(ens, body) -> str:
+    """Union of a single-rule query over the perspectives' rules."""
+    return "\nUNION ALL\n".join(f"SELECT {q(p.id)} AS perspective_id, * FROM ({body(ens.rule_for(p))})" for p in ens.perspectives)
 
 
 def ensemble_winners_sql(ens) -> str:
@@ -401,26 +420,89 @@ def prior_range_sql(ens) -> str:
     return f"{scenarios_cte(ens)}\nSELECT choice_index, choice, min(percent) AS min_pct, max(percent) AS max_pct FROM scen GROUP BY 1, 2"
 
 
-def factor_direction_sql(ens) -> str:
-    keys, extra = [], []
-    for persp in ens.perspectives:
-        for pos, f in enumerate(persp.factors):
-            keys.append((f.attribute, tuple(f.conditions)))
-            d = direction(f, ens.choice_ids)
-            extra.append(f"{q(persp.id)} AS perspective_id, {pos} AS factor_position, "
-                         f"{q(d) if d else 'CAST(NULL AS VARCHAR)'} AS direction")
+def directions_cte(ens) -> str:
+    factors = [(p.id, pos, f, ens.choice_ids) for p in ens.perspectives for pos, f in enumerate(p.factors)]
+    numbers = rows_of("number", "owner VARCHAR, factor_position INTEGER, key_index INTEGER", [(o, p, k) for k, (o, p, _, _) in enumerate(factors)])
     return f"""WITH {ORDER_PROFILE},
-cov AS ({coverage_rows_sql("order_profile", keys, extra)})
-SELECT perspective_id, factor_position, attribute, conditions, direction, valid, matched, matched_pct_valid FROM cov"""
+{effect_rows(factors)},
+{observed(factors)},
+{numbers},
+leader AS (SELECT *, rank() OVER (PARTITION BY owner, factor_position ORDER BY effect DESC) AS r FROM eff),
+ways AS (SELECT owner, factor_position, any_value(attribute) AS attribute, any_value(conditions) AS conditions, any_value(condition_set) AS condition_set,
+                CASE WHEN count(*) FILTER (WHERE r = 1) = 1 THEN max(choice) FILTER (WHERE r = 1) END AS direction FROM leader GROUP BY owner, factor_position)"""
+
+
+def factor_direction_sql(ens) -> str:
+    return f"""{directions_cte(ens)}
+SELECT owner AS perspective_id, factor_position, w.attribute, w.conditions, direction, valid, matched, matched_pct_valid
+FROM ways w JOIN number USING (owner, factor_position) JOIN cov USING (key_index)"""
 
 
 def robust_signals_sql(ens) -> str:
-    found = robust_signal_keys(ens.perspectives, ens.choice_ids)
-    keys = [(a, conds) for (a, conds, _), _ in found]
-    extra = [f"{q(d)} AS supports, {len(ids)} AS perspective_count, {q(','.join(ids))} AS perspectives" for (_, _, d), ids in found]
-    return f"""WITH {ORDER_PROFILE},
-cov AS ({coverage_rows_sql("order_profile", keys, extra)})
-SELECT attribute, conditions, supports, perspective_count, perspectives, valid, matched FROM cov"""
+    place = rows_of("place", "owner VARCHAR, pos INTEGER", [(p.id, i) for i, p in enumerate(ens.perspectives)])
+    return f"""{directions_cte(ens)},
+{place},
+backed AS (SELECT attribute, condition_set, direction, owner, any_value(pos) AS pos, min(key_index) AS key_index
+           FROM ways JOIN place USING (owner) JOIN number USING (owner, factor_position) WHERE direction IS NOT NULL GROUP BY ALL)
+SELECT b.attribute, condition_set AS conditions, direction AS supports, CAST(count(*) AS INTEGER) AS perspective_count,
+       string_agg(owner, ',' ORDER BY pos) AS perspectives, any_value(valid) AS valid, any_value(matched) AS matched
+FROM backed b JOIN cov USING (key_index) GROUP BY b.attribute, condition_set, direction HAVING count(*) >= 2"""
+
+
+def row_accounting_sql(rule: Rule, digits: int = 6) -> str:
+    """Shares over documents whose key is NULL for some, with the row counts."""
+    sums = ", ".join(f"sum(p{i}) AS t{i}" for i in range(len(rule.choices)))
+    return f"""WITH {NULL_KEY_PROFILE},
+{scored_cte(rule, "keyed_documents")},
+tot AS (SELECT {sums} FROM probs),
+num AS (SELECT count(*) AS n_rows, count(unit_id) AS n_scored, count(*) - count(unit_id) AS n_null_key FROM keyed_documents)
+SELECT n_rows, n_scored, n_null_key, ch.choice_index, ch.choice, round({pick(len(rule.choices))}, {digits}) AS total,
+       round({pick(len(rule.choices))} * 100.0 / n_scored, {digits}) AS percent
+FROM tot, num, {choices_values(rule.choice_ids)}"""
+
+
+def score_rules_sql(rules, digits: int = 9) -> str:
+    """Logits of several stored rules; each has its own seed."""
+    return "\nUNION ALL\n".join(
+        f"""SELECT * FROM (WITH {ORDER_PROFILE},
+{long_scores([(0, r)], r.seed)}
+SELECT {q(rid)} AS rule_id, unit_id, choice_index, choice, round(score, {digits}) AS score FROM dist JOIN base USING (rid) JOIN model USING (k, choice_index))"""
+        for rid, r in rules.items())
+
+
+def result_rows_sql(rule: Rule, catalog: Catalog) -> str:
+    """The report's blocks as one typed table; columns a block lacks are NULL."""
+    blocks = {
+        "rows": f"WITH {ORDER_PROFILE} SELECT count(*) AS n_rows, count(unit_id) AS n_scored, count(*) - count(unit_id) AS n_null_key FROM order_profile",
+        "choices": apportion_sql(rule),
+        "groups": breakdown_sql(rule, catalog),
+        "preference_groups": best_segment_sql(rule, catalog),
+        "missing": missing_sql(rule),
+        "top_factors": f"""{top_factors_body(rule)} SELECT rank, factor_position, r.attribute, r.conditions, max_abs_effect, valid, matched
+                           FROM ranked r JOIN cov ON cov.key_index = r.factor_position WHERE rank <= 3""",
+    }
+    return "\nUNION ALL BY NAME\n".join(f"SELECT {q(k)} AS block, * FROM ({v})" for k, v in blocks.items())
+
+
+def ensemble_rows_sql(ens, catalog: Catalog) -> str:
+    blocks = {
+        "rows": f"WITH {ORDER_PROFILE} SELECT count(*) AS n_rows, count(unit_id) AS n_scored, count(*) - count(unit_id) AS n_null_key FROM order_profile",
+        "prior": f"SELECT choice, {dbl(0.0)} + CASE choice " + " ".join(f"WHEN {q(c)} THEN {dbl(v)}" for c, v in ens.central_scores().items())
+                 + f" END AS prior, 'hybrid_sensitivity' AS mode FROM {choices_values(ens.choice_ids)}",
+        "perspectives": ensemble_perspectives_sql(ens),
+        "winners": ensemble_winners_sql(ens),
+        "choices": ensemble_consensus_sql(ens),
+        "winner_assessment": ensemble_stability_sql(ens),
+        "factors": f"""{directions_cte(ens)} SELECT key_index, owner AS perspective_id, factor_position, w.attribute, w.conditions, direction, n, valid, missing, matched,
+                       matched_pct_all, matched_pct_valid FROM ways w JOIN number USING (owner, factor_position) JOIN cov USING (key_index)""",
+        "robust_signals": f"SELECT attribute, conditions, supports, perspective_count, perspectives FROM ({robust_signals_sql(ens)})",
+        "preference_groups": per_perspective_sql(ens, lambda r: best_segment_sql(r, catalog)),
+        "missing": per_perspective_sql(ens, missing_sql),
+        "prior_sensitivity": prior_sensitivity_sql(ens),
+        "prior_verdicts": prior_verdict_sql(ens),
+        "choice_ranges": prior_range_sql(ens),
+    }
+    return "\nUNION ALL BY NAME\n".join(f"SELECT {q(k)} AS block, * FROM ({v})" for k, v in blocks.items())
 
 
 PACKED_KEY = "coalesce(source_record_id, source || ':' || CAST(source_row_index AS VARCHAR))"
@@ -438,9 +520,9 @@ def decode_field_sql(i: int, values) -> str:
     return f"coalesce({first_override}, if({bit_set}, NULL, {lookup}))"
 
 
-def decode_wide_sql(fields) -> str:
-    cols = ", ".join(f"{decode_field_sql(i, vals)} AS {name}" for i, (name, vals) in enumerate(fields))
-    return f"WITH {PACKED_PROFILE}\nSELECT {PACKED_KEY} AS unit_id, {cols} FROM packed_profile"
+def decode_wide_sql(fields, select=None, source: str = PACKED_PROFILE) -> str:
+    cols = ", ".join(f"{decode_field_sql(i, vals)} AS {name}" for i, (name, vals) in enumerate(fields) if select is None or name in select)
+    return f"WITH {source}\nSELECT {PACKED_KEY} AS unit_id, {cols} FROM packed_profile"
 
 
 def decode_long_sql(fields) -> str:
@@ -473,6 +555,24 @@ FROM packed_profile GROUP BY 1, 2"""
 
 
 PACKED_FIELDS = packed_dictionary(32)
+#: the packed profile with NULL entries and entries without a field index before the others
+DIRTY_PROFILE = PACKED_PROFILE.replace("END AS attribute_overrides", """END AS clean_overrides""").replace("packed_profile AS", "clean_profile AS") + """,
+packed_profile AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN
+    list_concat([NULL, {'field_index': CAST(NULL AS INTEGER), 'value': 'lost'}], coalesce(clean_overrides, [])) ELSE clean_overrides END AS attribute_overrides
+  FROM clean_profile)"""
+
+
+def manifest_sql() -> str:
+    """Pages against a manifest made from them with planted faults."""
+    return """WITH made AS (
+  SELECT page_id, CASE WHEN page_id % 10 = 1 THEN octet_length(encode(html)) + 1 ELSE octet_length(encode(html)) END AS bytes,
+         CASE WHEN page_id % 10 = 2 THEN sha256(html || '!') ELSE sha256(html) END AS sha256 FROM pages WHERE page_id % 10 <> 3
+  UNION ALL SELECT page_id + 1000000000, 7, sha256('gone') FROM pages WHERE page_id % 50 = 0),
+found AS (SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages)
+SELECT coalesce(m.page_id, f.page_id) AS name, m.bytes AS expected_bytes, f.bytes AS bytes,
+  CASE WHEN f.page_id IS NULL THEN 'missing' WHEN m.page_id IS NULL THEN 'unlisted' WHEN m.bytes <> f.bytes THEN 'size_mismatch'
+       WHEN m.sha256 <> f.sha256 THEN 'hash_mismatch' ELSE 'ok' END AS status
+FROM made m FULL OUTER JOIN found f ON m.page_id = f.page_id"""
 
 
 def scan_union_sql() -> str:
@@ -526,7 +626,7 @@ FROM decl d FULL OUTER JOIN seen s ON d.attribute = s.attribute AND d.value = s.
 
 
 def seed_column_sql() -> str:
-    return r"""SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fingerprint FROM documents"""
+    return r"""SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS fingerprint FROM documents"""
 
 
 def synthetic_sql(attributes) -> str:
@@ -622,14 +722,15 @@ def rule_audit_sql(rules, catalog: Catalog, sensitive: str, profile_cols) -> str
     attrs = sorted(set(catalog.attributes) & set(profile_cols))
     unp = " UNION ALL ".join(f"SELECT {q(a)} AS attribute, {a} AS condition FROM order_profile WHERE {a} IS NOT NULL" for a in attrs)
     checks = f"""
-SELECT rule_id, 'A1 choice_count' AS "check", CAST(count(*) AS VARCHAR) AS detail FROM choices GROUP BY rule_id HAVING count(*) < 2 OR count(*) > 4
+SELECT m.rule_id, 'A1 choice_count' AS "check", CAST(count(c.choice_id) AS VARCHAR) AS detail FROM meta m LEFT JOIN choices c ON c.rule_id = m.rule_id
+  GROUP BY m.rule_id HAVING count(c.choice_id) < 2 OR count(c.choice_id) > 4
 UNION ALL SELECT rule_id, 'A1 duplicate_choice', choice_id FROM choices GROUP BY rule_id, choice_id HAVING count(*) > 1
 UNION ALL SELECT rule_id, 'A1 reserved_choice_id', choice_id FROM choices WHERE choice_id = {q(DRAW_SUFFIX)}
 UNION ALL SELECT coalesce(p.rule_id, c.rule_id), 'A2 prior_keys',
        coalesce(p.choice_id, c.choice_id) || CASE WHEN p.choice_id IS NULL THEN ':missing' ELSE ':extra' END
-  FROM (SELECT * FROM priors WHERE prior_id = 'authored') p FULL OUTER JOIN choices c ON p.rule_id = c.rule_id AND p.choice_id = c.choice_id
+  FROM (SELECT * FROM priors WHERE role = 'authored') p FULL OUTER JOIN choices c ON p.rule_id = c.rule_id AND p.choice_id = c.choice_id
   WHERE p.choice_id IS NULL OR c.choice_id IS NULL
-UNION ALL SELECT rule_id, 'A2 prior_sum', {q(f"outside [{lo}, {hi}]")} FROM priors WHERE prior_id = 'authored' GROUP BY rule_id
+UNION ALL SELECT rule_id, 'A2 prior_sum', {q(f"outside [{lo}, {hi}]")} FROM priors WHERE role = 'authored' GROUP BY rule_id
   HAVING sum(value) < {lo} OR sum(value) > {hi}
 UNION ALL SELECT u.rule_id, 'A3 unknown_attribute', u.attribute || ' -> ' || coalesce(
     (SELECT CASE WHEN 1.0 - levenshtein(u.attribute, k.attribute) / CAST(greatest(length(u.attribute), length(k.attribute)) AS DOUBLE) >= {SUGGEST_RATIO}
@@ -660,6 +761,7 @@ UNION ALL SELECT p.rule_id, 'A11 perspective_factors', p.perspective_id || ':' |
 UNION ALL SELECT m.rule_id, 'A10 prior_count', CAST(count(DISTINCT h.prior_id) AS VARCHAR) FROM meta m
   LEFT JOIN hp h ON h.rule_id = m.rule_id WHERE m.hybrid GROUP BY m.rule_id
   HAVING count(DISTINCT h.prior_id) < 3 OR count(DISTINCT h.prior_id) > 5
+UNION ALL SELECT rule_id, 'A10 duplicate_prior', prior_id FROM hybrid_priors GROUP BY rule_id, prior_id HAVING count(*) > 1
 UNION ALL SELECT rule_id, 'A10 prior_values', prior_id FROM hp GROUP BY rule_id, prior_id
   HAVING min(value) <= 0 OR max(value) > 1 OR sum(value) < {lo} OR sum(value) > {hi}
 UNION ALL SELECT h.rule_id, 'A10 fit_only_unequal', h.prior_id FROM hp h JOIN meta m ON m.rule_id = h.rule_id AND m.fit_only_prior_id = h.prior_id
@@ -691,7 +793,7 @@ UNION ALL SELECT rule_id, 'A10 evidence_and_hybrid', '' FROM meta WHERE empirica
 UNION ALL SELECT f.rule_id, 'E13 evidence_leak', f.perspective_id || ':' || f.attribute FROM factors f
   WHERE EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = f.rule_id AND d.attribute = f.attribute)"""
     return (f"WITH {ORDER_PROFILE},\n" + ",\n".join(tabs)
-            + f",\nhp AS (SELECT p.* FROM priors p JOIN meta m ON m.rule_id = p.rule_id WHERE m.hybrid AND p.prior_id <> 'authored')"
+            + f",\nhp AS (SELECT p.* FROM priors p JOIN meta m ON m.rule_id = p.rule_id WHERE m.hybrid AND p.role = 'hybrid')"
             + f",\nseen AS (SELECT DISTINCT attribute, condition FROM ({unp}))"
             + f"\nSELECT * FROM ({checks})")
 
@@ -714,6 +816,16 @@ ORACLE: dict[str, str] = {
     "prior_empirical": prior_empirical_sql(S.DOCUMENT_EVIDENCE, S.STANDARD_RULE.choice_ids, S.CENTRAL),
     "factor_coverage": factor_coverage_sql(S.DOCUMENT_FACTORS),
     "ensemble_perspectives": ensemble_perspectives_sql(S.STANDARD_ENSEMBLE),
+    "ensemble_sampled": ensemble_perspectives_sql(S.STANDARD_ENSEMBLE, mode="sampled"),
+    "ensemble_best_segments": per_perspective_sql(S.STANDARD_ENSEMBLE, lambda r: best_segment_sql(r, S.ORDER_CATALOG)),
+    "ensemble_missing_cells": per_perspective_sql(S.STANDARD_ENSEMBLE, missing_sql),
+    "row_accounting": row_accounting_sql(S.DOCUMENT_RULE),
+    "score_rules_join": score_rules_sql(S.STORED_RULES),
+    "result_json": result_rows_sql(S.STANDARD_RULE, S.ORDER_CATALOG),
+    "ensemble_json": ensemble_rows_sql(S.STANDARD_ENSEMBLE, S.ORDER_CATALOG),
+    "manifest_audit": manifest_sql(),
+    "decode_subset": decode_wide_sql(PACKED_FIELDS, [PACKED_FIELDS[i][0] for i in (3, 9, 30)]),
+    "decode_dirty_overrides": decode_wide_sql(PACKED_FIELDS, source=DIRTY_PROFILE),
     "ensemble_winners": ensemble_winners_sql(S.STANDARD_ENSEMBLE),
     "ensemble_consensus": ensemble_consensus_sql(S.STANDARD_ENSEMBLE),
     "ensemble_stability": ensemble_stability_sql(S.STANDARD_ENSEMBLE),

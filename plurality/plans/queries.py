@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plurality.operators import scoring, shares
 from plurality.plans import standard as S
+from plurality.session import scratch_path, shared_dir
 from plurality.sources import profiles
 
 DIGITS = 6       # share / percent rounding (portable between engines)
@@ -81,21 +82,21 @@ def breakdown_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.breakdown(scored, S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segments(spark: SparkSession, sf_dir: str, *arities: int) -> DataFrame:
     scored = scoring.probabilities(_orders(spark, sf_dir), S.STANDARD_RULE)
-    return shares.segments(scored, S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS)
+    return shares.segments(scored, S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS, arities=arities)
 
 
 def segments_1way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).where("arity = 1").drop("attr_2", "value_2")
+    return _segments(spark, sf_dir, 1).drop("attr_2", "value_2")
 
 
 def segments_2way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).where("arity = 2")
+    return _segments(spark, sf_dir, 2)
 
 
 def best_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares.best_segments(spark, _segments(spark, sf_dir), S.STANDARD_RULE)
+    return shares.best_segments(spark, _segments(spark, sf_dir, 1, 2), S.STANDARD_RULE)
 
 
 def missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +109,23 @@ def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plurality.operators.evidence import coverage
 
     rule = S.STANDARD_RULE
-    order = shares.top_factor_order(rule, 3)
-    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    extra = [[("rank", rank), ("factor_position", pos), ("max_abs_effect", float(strength))] for rank, pos, strength in order]
-    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
-    return cov.select("rank", "factor_position", "attribute", "conditions", "max_abs_effect", "n", "valid", "matched",
-                      "matched_pct_all")
+    effects = shares.factor_effects(spark, [("", p, f) for p, f in enumerate(rule.factors)], rule.choice_ids)
+    cov = coverage(_orders(spark, sf_dir), [(f.attribute, tuple(f.conditions)) for f in rule.factors], DIGITS)
+    cov = cov.select(F.col("key_index").alias("factor_position"), "n", "valid", "matched", "matched_pct_all")
+    return shares.top_factors(effects).join(cov, "factor_position").select(
+        "rank", "factor_position", "attribute", "conditions", "max_abs_effect", "n", "valid", "matched", "matched_pct_all")
+
+
+def row_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares over documents of which some have no key: all rows, the scored ones and those with a NULL key."""
+    scored = scoring.probabilities(profiles.keyed_documents(spark, sf_dir), S.DOCUMENT_RULE, null_keys=True)
+    return shares.shares_with_counts(scored, S.DOCUMENT_RULE, digits=DIGITS)
+
+
+def score_rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of several stored rules over all orders, effects from their factor table."""
+    out = scoring.score_rules(_orders(spark, sf_dir), S.STORED_RULES)
+    return out.withColumn("score", F.round("score", ROW_DIGITS))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,33 +205,56 @@ def prior_sensitivity_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prior_ranges(prior_scenarios(_scenario_sums(spark, sf_dir), DIGITS))
 
 
+def ensemble_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perspective shares in sampled mode: one draw per order, the same for every perspective."""
+    from plurality.operators.ensemble import perspective_shares, scenario_sums
+
+    ens = S.STANDARD_ENSEMBLE
+    priors = [(ens.central_prior_id, ens.central_scores())]
+    return perspective_shares(scenario_sums(_orders(spark, sf_dir), ens, priors, mode="sampled"), ens.central_prior_id, DIGITS)
+
+
+def ensemble_best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import perspective_best_segments, perspective_cube
+
+    shared_dir(spark)
+    cells = perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG).checkpoint(eager=True)
+    return perspective_best_segments(spark, cells, S.STANDARD_ENSEMBLE, S.ORDER_CATALOG, DIGITS)
+
+
+def ensemble_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plurality.operators.ensemble import perspective_cube, perspective_missing_cells
+
+    return perspective_missing_cells(perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG), S.STANDARD_ENSEMBLE)
+
+
 def factor_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of every perspective factor, with its observed coverage."""
-    from plurality.operators.ensemble import direction
+    from plurality.operators import ensemble as E
     from plurality.operators.evidence import coverage
 
     ens = S.STANDARD_ENSEMBLE
-    keys, extra = [], []
-    for persp in ens.perspectives:
-        for pos, f in enumerate(persp.factors):
-            keys.append((f.attribute, tuple(f.conditions)))
-            extra.append([("perspective_id", persp.id), ("factor_position", pos), ("direction", direction(f, ens.choice_ids))])
-    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
-    return cov.select("perspective_id", "factor_position", "attribute", "conditions", "direction", "valid", "matched",
-                      "matched_pct_valid")
+    factors = E.ensemble_factors(ens)
+    found = E.directions(shares.factor_effects(spark, factors, ens.choice_ids))
+    extra = [[("perspective_id", o), ("factor_position", p)] for o, p, _ in factors]
+    cov = coverage(_orders(spark, sf_dir), [(f.attribute, tuple(f.conditions)) for _, _, f in factors], DIGITS, extra=extra)
+    cov = cov.select("perspective_id", "factor_position", "valid", "matched", "matched_pct_valid")
+    return found.withColumnRenamed("owner", "perspective_id").join(cov, ["perspective_id", "factor_position"]).select(
+        "perspective_id", "factor_position", "attribute", "conditions", "direction", "valid", "matched", "matched_pct_valid")
 
 
 def robust_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals backed by two or more perspectives, with observed coverage."""
-    from plurality.operators.ensemble import robust_signal_keys
+    from plurality.operators import ensemble as E
     from plurality.operators.evidence import coverage
 
     ens = S.STANDARD_ENSEMBLE
-    found = robust_signal_keys(ens.perspectives, ens.choice_ids)
-    keys = [(a, conds) for (a, conds, _), _ in found]
-    extra = [[("supports", d), ("perspective_count", len(ids)), ("perspectives", ",".join(ids))] for (_, _, d), ids in found]
-    cov = coverage(_orders(spark, sf_dir), keys, DIGITS, extra=extra)
-    return cov.select("attribute", "conditions", "supports", "perspective_count", "perspectives", "valid", "matched")
+    factors = E.ensemble_factors(ens)
+    found = E.robust_signals(E.directions(shares.factor_effects(spark, factors, ens.choice_ids)), [p.id for p in ens.perspectives])
+    keys = list(dict.fromkeys((f.attribute, tuple(sorted(set(f.conditions)))) for _, _, f in factors))
+    cov = coverage(_orders(spark, sf_dir), keys, DIGITS).select("attribute", "conditions", "valid", "matched")
+    return found.join(cov, ["attribute", "conditions"]).select(
+        "attribute", "conditions", "supports", "perspective_count", "perspectives", "valid", "matched")
 
 
 PACKED_FIELDS = profiles.packed_dictionary(32)
@@ -231,6 +266,24 @@ def decode_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_wide(profiles.packed_profile(spark, sf_dir), PACKED_FIELDS)
 
 
+def decode_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of the fields, read straight from their bytes."""
+    from plurality.operators.packed import decode_fields
+
+    return decode_fields(profiles.packed_profile(spark, sf_dir), PACKED_FIELDS, [PACKED_FIELDS[i][0] for i in (3, 9, 30)])
+
+
+def decode_dirty_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Override lists with NULL entries and entries without a field index, which are passed over."""
+    from plurality.operators.packed import decode_wide
+
+    junk = F.expr("array(NULL, named_struct('field_index', CAST(NULL AS INT), 'value', 'lost'))")
+    packed = profiles.packed_profile(spark, sf_dir)
+    lists = F.coalesce("attribute_overrides", F.array().cast(packed.schema["attribute_overrides"].dataType))
+    dirty = packed.withColumn("attribute_overrides", F.when(F.col("source_row_index") % 2 == 0, F.concat(junk, lists)).otherwise(F.col("attribute_overrides")))
+    return decode_wide(dirty, PACKED_FIELDS)
+
+
 def decode_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plurality.operators.packed import effective_overrides
 
@@ -255,8 +308,8 @@ def scan_union_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plurality.sources.files import scan_union
 
     d = sf_dir.rstrip("/")
-    df = scan_union(spark, [f"{d}/documents.parquet", f"{d}/benchmark.parquet"])
-    return df.groupBy("file_name").agg(
+    df = scan_union(spark, [f"{d}/documents.parquet", f"{d}/benchmark.parquet"], merge_schema=True)
+    return df.groupBy(F.regexp_extract("file_path", r"([^/]+\.parquet)", 1).alias("file_name")).agg(
         F.count(F.lit(1)).alias("rows"), F.count("text").alias("texts"),
         F.sum(F.length("text")).cast("bigint").alias("chars"), F.count("doc_id").alias("with_doc_id"),
         F.count("item_id").alias("with_item_id"),
@@ -279,12 +332,21 @@ def sink_roundtrip_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Release manifest (size + SHA-256) of the data files, built by Spark,
-    then every file audited against it."""
-    from plurality.sources.files import file_digests, manifest_audit as audit
-
-    manifest = file_digests(spark, sf_dir, "*.parquet").select("file_name", "bytes", "sha256")
-    return audit(spark, manifest, sf_dir, "*.parquet")
+    """Pages (length and SHA-256 of the html) against a manifest with planted
+    faults: wrong sizes, wrong hashes, entries without a page, pages without an
+    entry."""
+    from plurality.sources.files import record_manifest_audit
+
+    pages = profiles.table(spark, sf_dir, "pages", "page_id BIGINT, html STRING")
+    size, digest = F.octet_length("html").cast("bigint"), F.sha2("html", 256)
+    records = pages.select(F.col("page_id").alias("name"), size.alias("bytes"), digest.alias("sha256"))
+    fault = F.col("page_id") % 10
+    listed = pages.where(fault != 3).select(
+        F.col("page_id").alias("name"), F.when(fault == 1, size + 1).otherwise(size).alias("bytes"),
+        F.when(fault == 2, F.sha2(F.concat("html", F.lit("!")), 256)).otherwise(digest).alias("sha256"))
+    gone = pages.where("page_id % 50 = 0").select((F.col("page_id") + 1000000000).alias("name"), F.lit(7).cast("bigint").alias("bytes"),
+                                                  F.sha2(F.lit("gone"), 256).alias("sha256"))
+    return record_manifest_audit(listed.unionByName(gone), records)
 
 
 def schema_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,20 +412,20 @@ def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The standard rule's report, one JSON document per block."""
-    from plurality.plans.report import as_json_rows, vote_report_one_scan
+    """The standard rule's report: written as JSON, read back as typed rows."""
+    from plurality.plans.report import json_roundtrip, rule_report
 
-    return as_json_rows(vote_report_one_scan(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS))
+    blocks = rule_report(spark, _orders(spark, sf_dir), S.STANDARD_RULE, S.ORDER_CATALOG, digits=DIGITS)
+    return json_roundtrip(spark, blocks, scratch_path(spark, "result-json"))
 
 
 def ensemble_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The standard ensemble's document (hybrid priors), one JSON block per
-    row: prior, perspectives, winners, choices, winner assessment, factors,
-    robust signals, prior sensitivity, verdicts and ranges."""
+    """The standard ensemble's document (hybrid priors): written as JSON, read back as typed rows."""
     from plurality.plans.ensemble_report import ensemble_report
-    from plurality.plans.report import as_json_rows
+    from plurality.plans.report import json_roundtrip
 
-    return as_json_rows(ensemble_report(spark, _orders(spark, sf_dir), S.STANDARD_ENSEMBLE, DIGITS))
+    blocks = ensemble_report(spark, _orders(spark, sf_dir), S.STANDARD_ENSEMBLE, DIGITS, S.ORDER_CATALOG)
+    return json_roundtrip(spark, blocks, scratch_path(spark, "ensemble-json"))
 
 
 REGISTRY: dict[str, Query] = {
@@ -390,6 +452,13 @@ REGISTRY: dict[str, Query] = {
     "prior_sensitivity": prior_sensitivity,
     "prior_sensitivity_verdict": prior_sensitivity_verdict,
     "prior_sensitivity_range": prior_sensitivity_range,
+    "ensemble_sampled": ensemble_sampled,
+    "ensemble_best_segments": ensemble_best_segments,
+    "ensemble_missing_cells": ensemble_missing_cells,
+    "row_accounting": row_accounting,
+    "score_rules_join": score_rules_join,
+    "decode_subset": decode_subset,
+    "decode_dirty_overrides": decode_dirty_overrides,
     "factor_direction": factor_direction,
     "robust_signals": robust_signals,
     "decode_packed": decode_packed,

@@ -1,138 +1,96 @@
-"""Single-rule report: every block of the result document, and the JSON
-edge (S12).
-
-One scan: the scored rows are reduced to cells keyed by the breakdown keys
-and the validity-mapped segment attributes, carrying the row count, the
-probability sums and the indicator sums needed for missing cells and factor
-coverage. The cells are bounded by the product of (list size + 1) over
-those attributes, so they are tiny; they are checkpointed into the shared
-folder (lineage cut, survives executor loss) and every block is derived from
-them. When the bound is too large, each block falls back to its own scan.
-JSON is produced only at the edge with ``to_json`` over a sorted
-``collect_list`` of each block's rows, one output row per block.
+"""Single-rule report: every block of the result document, and its JSON edge.
+
+One scan: a ``shares.cube`` holds the total, every breakdown group and every 1-
+and 2-way segment, with row counts, probability sums and the indicator sums for
+missing cells and factor coverage. Its size follows the rule, not the data; it
+is checkpointed with its own partitions into the shared folder (lineage cut,
+survives executor loss) and every block is derived from it. NULL-key rows are
+counted in the same pass.
+
+JSON is produced only at the edge: one row per block with ``to_json`` over the
+block's sorted rows, NULL fields included, and ``from_json_rows`` reads typed
+rows back.
 """
 
 from __future__ import annotations
 
+from typing import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.operators import scoring, shares
-from plurality.operators.evidence import coverage
+from plurality.operators.evidence import coverage_aggs, coverage_rows
 from plurality.session import shared_dir
 from plurality.spec import Catalog, Rule
 
-MAX_REPORT_CELLS = 250_000
-
-
-def _top_factor_keys(rule: Rule):
-    order = shares.top_factor_order(rule, 3)
-    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    return order, keys
-
-
-def report_cells(scored: DataFrame, rule: Rule, catalog: Catalog) -> tuple[DataFrame, int]:
-    """(cells, cell bound). Keys: ``_g_<group>`` (Unknown-mapped) and the
-    segment attributes (off-list -> NULL). Values: ``_n``, ``_t<i>``,
-    ``_miss<j>`` per factor attribute, ``_v<k>``/``_m<k>`` per top factor."""
-    n = len(rule.choices)
-    groups = list(rule.result_groups)
-    seg = shares.segment_attributes(rule, catalog)
-    _, keys = _top_factor_keys(rule)
-    bound = 1
-    for g in groups:
-        bound *= len(catalog.values(g)) + 1
-    for a in seg:
-        bound *= len(catalog.values(a)) + 1
-    keyed = scored.select(
-        *[shares.bucket_key(g, catalog) for g in groups],
-        *[shares.valid_value(a, catalog) for a in seg],
-        *[scoring.prob_col(i) for i in range(n)],
-        *[F.col(a).isNull().cast("long").alias(f"_miss{j}") for j, a in enumerate(rule.factor_attributes())],
-        *[F.col(a).isNotNull().cast("long").alias(f"_v{k}") for k, (a, _) in enumerate(keys)],
-        *[F.coalesce(F.col(a).isin(*c), F.lit(False)).cast("long").alias(f"_m{k}") for k, (a, c) in enumerate(keys)],
-    )
-    sums = [c for c in keyed.columns if c.startswith(("_miss", "_v", "_m"))]
-    cells = keyed.groupBy(*[f"_g_{g}" for g in groups], *seg).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(scoring.prob_col(i)).alias(f"_t{i}") for i in range(n)],
-        *[F.sum(c).alias(c) for c in sums],
-    )
-    return cells, bound
-
-
-def vote_report_one_scan(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
-                         digits: int = 6, max_cells: int = MAX_REPORT_CELLS) -> dict[str, DataFrame]:
-    """All report blocks from one scan of the profile (see module doc)."""
-    scored = scoring.probabilities(profile, rule, mode=mode)
-    cells, bound = report_cells(scored, rule, catalog)
-    if bound > max_cells:
-        return vote_report(spark, profile, rule, catalog, mode, digits)
-    shared_dir(spark)  # checkpoint directory: the cluster's shared folder
-    # at most max_cells rows: one partition keeps the derived blocks to one task each
-    cells = cells.coalesce(1).checkpoint(eager=True)
-    n = len(rule.choices)
-    order, keys = _top_factor_keys(rule)
-    total = cells.agg(F.sum("_n").cast("bigint").alias("n"), *[F.sum(f"_t{i}").alias(f"t{i}") for i in range(n)])
-    counted = shares.apportion(total, "n", [f"t{i}" for i in range(n)])
-    choices = counted.select("n", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("choice_index"), F.lit(c).alias("choice"), F.col(f"count{i}").alias("count"),
-                 F.round(shares.pct(F.col(f"t{i}"), F.col("n")), digits).alias("percent"))
-        for i, c in enumerate(rule.choice_ids)
-    ])))
-    misses = [F.col(c) for c in cells.columns if c.startswith("_miss")]
-    miss_total = F.lit(0).cast("bigint")
-    for m in misses:
-        miss_total = miss_total + F.sum(m)
-    missing = cells.agg(F.sum("_n").cast("bigint").alias("n_units"), miss_total.cast("bigint").alias("missing_cells"))
-    top = cells.agg(*[F.sum(f"_v{k}").alias(f"v{k}") for k in range(len(keys))]).select(F.inline(F.array(*[
-        F.struct(F.lit(rank).alias("rank"), F.lit(pos).alias("factor_position"), F.lit(keys[k][0]).alias("attribute"),
-                 F.lit("|".join(keys[k][1])).alias("conditions"), F.lit(st).alias("max_abs_effect"))
-        for k, (rank, pos, st) in enumerate(order)
-    ]))) if keys else None
+TOP_FACTORS = 3
+
+
+def factor_keys(rule: Rule) -> list[tuple[str, tuple[str, ...]]]:
+    return [(f.attribute, tuple(f.conditions)) for f in rule.factors]
+
+
+def rule_report(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
+                digits: int = 6) -> dict[str, DataFrame]:
+    """All report blocks from one scan of the profile; a block the rule has nothing for is left out."""
+    n, keys = len(rule.choices), factor_keys(rule)
+    scored = scoring.probabilities(profile, rule, mode=mode, null_keys=True)
+    keyed = F.col(scoring.KEY).isNotNull()
+    # NULL-key rows have no probabilities and count for nothing but their number
+    attrs = rule.factor_attributes()
+    missing = [F.count_if(keyed & F.col(a).isNull()) for a in attrs]
+    extra = [F.count_if(~keyed).alias("_null_keys"), (sum(missing[1:], missing[0]) if missing else F.lit(0)).cast("bigint").alias("_missing")]
+    extra += [c for c in coverage_aggs(keys, where=keyed)[1:]]
+    cells = shares.cube(scored, rule, catalog, rule.result_groups, (1, 2), extra=extra, where=keyed)
+    shared_dir(spark)
+    cells = cells.checkpoint(eager=True)
+    total = shares.cube_total(cells).select(
+        "n", "_null_keys", "_missing", *[F.col(f"_sum_{scoring.prob_col(i)}").alias(f"t{i}") for i in range(n)],
+        *[c for k in range(len(keys)) for c in (f"valid{k}", f"matched{k}")])
     segs = shares.segments(None, rule, catalog, digits=digits, cells=cells)
+    strongest = shares.top_factors(shares.factor_effects(spark, [("", p, f) for p, f in enumerate(rule.factors)], rule.choice_ids), TOP_FACTORS)
+    counts = coverage_rows(total, keys, digits).select(F.col("key_index").alias("factor_position"), "valid", "matched")
     blocks = {
-        "choices": choices,
+        "rows": total.select((F.col("n") + F.col("_null_keys")).alias("n_rows"), F.col("n").alias("n_scored"), F.col("_null_keys").alias("n_null_key")),
+        "choices": shares.counted_rows(total, rule, digits),
         "groups": shares.breakdown(None, rule, catalog, digits=digits, cells=cells) if rule.result_groups else None,
         "preference_groups": shares.best_segments(spark, segs, rule),
-        "missing": missing,
-        "top_factors": top,
-    }
-    return {k: v for k, v in blocks.items() if v is not None}
-
-
-def vote_report(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
-                digits: int = 6, persist: bool = False) -> dict[str, DataFrame]:
-    scored = scoring.probabilities(profile, rule, mode=mode)
-    if persist:
-        scored = scored.persist()
-    segs = shares.segments(scored, rule, catalog, digits=digits)
-    order = shares.top_factor_order(rule, 3)
-    keys = [(rule.factors[pos].attribute, tuple(rule.factors[pos].conditions)) for _, pos, _ in order]
-    extra = [[("rank", rank), ("factor_position", pos), ("max_abs_effect", float(st))] for rank, pos, st in order]
-    blocks = {
-        "choices": shares.apportioned_counts(scored, rule, digits),
-        "groups": shares.breakdown(scored, rule, catalog, digits=digits) if rule.result_groups else None,
-        "preference_groups": shares.best_segments(spark, segs, rule),
-        "missing": shares.missing_cells(scored, rule.factor_attributes()),
-        "top_factors": coverage(profile.where(F.col("unit_id").isNotNull()), keys, digits, extra=extra).select(
-            "rank", "factor_position", "attribute", "conditions", "max_abs_effect"),
+        "missing": total.select(F.col("n").alias("n_units"), F.col("_missing").alias("missing_cells")),
+        "top_factors": strongest.join(counts, "factor_position").select(
+            "rank", "factor_position", "attribute", "conditions", "max_abs_effect", "valid", "matched") if keys else None,
     }
     return {k: v for k, v in blocks.items() if v is not None}
 
 
-def as_json_rows(blocks: dict[str, DataFrame]) -> DataFrame:
+def as_json_rows(blocks: Mapping[str, DataFrame]) -> DataFrame:
     """One row per block: ``block, json`` where json is the block's rows as a
-    sorted JSON array (deterministic regardless of partitioning)."""
+    sorted JSON array (deterministic regardless of partitioning), NULLs included."""
     out = None
     for name, df in blocks.items():
-        row = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sorted(df.columns))))).alias("json")).select(
-            F.lit(name).alias("block"), "json")
+        rows = F.array_sort(F.collect_list(F.struct(*sorted(df.columns))))
+        row = df.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("json")).select(F.lit(name).alias("block"), "json")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def write_json(df: DataFrame, path: str) -> str:
-    """JSON-lines sink (UTF-8); the commit protocol makes it appear whole."""
-    df.write.mode("overwrite").json(path)
+def from_json_rows(documents: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
+    """Typed rows of a JSON document, ``block`` and the union of all blocks' columns. ``blocks`` gives the schemas."""
+    out = None
+    for name, df in blocks.items():
+        schema = "array<struct<" + ", ".join(f"`{c}`:{t}" for c, t in df.select(*sorted(df.columns)).dtypes) + ">>"
+        rows = documents.where(F.col("block") == name).select("block", F.inline(F.from_json("json", schema)))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def write_json(documents: DataFrame, path: str) -> str:
+    """JSON-lines sink (UTF-8), one line per block; the commit protocol makes it appear whole."""
+    documents.write.mode("overwrite").json(path)
     return path
+
+
+def json_roundtrip(spark: SparkSession, blocks: Mapping[str, DataFrame], path: str) -> DataFrame:
+    """Writes the blocks as JSON lines and reads them back as typed rows."""
+    written = write_json(as_json_rows(blocks), path)
+    return from_json_rows(spark.read.schema("block string, json string").json(written), blocks)

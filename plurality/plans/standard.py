@@ -27,18 +27,6 @@ ORDER_CATALOG = Catalog(
     non_segment=("region", "status"),
 )
 
-DOCUMENT_CATALOG = Catalog(
-    attributes={
-        "lang": ["en", "fr", "de", "es"],
-        "length_band": ["short", "medium", "long"],
-        "quality": ["good", "poor"],
-        "toxicity": ["clean", "toxic"],
-    },
-    domains={"lang": "text", "length_band": "text", "quality": "label", "toxicity": "label"},
-    breakdowns=("lang",),
-    non_segment=("lang",),
-)
-
 F_PRIORITY = Factor("priority", ("1-URGENT", "2-HIGH"), {"alpha": 0.20, "beta": -0.10}, "urgent orders lean alpha")
 F_BASKET = Factor("basket", ("large",), {"alpha": -0.15, "beta": 0.25, "gamma": 0.05}, "large baskets lean beta")
 F_SEGMENT = Factor("segment", ("BUILDING",), {"beta": 0.10, "gamma": -0.20}, "building segment leans beta")
@@ -107,6 +95,23 @@ DOCUMENT_FACTORS = (
     Factor("quality", ("poor", "good"), {"gamma": 0.05}),
 )
 
+# rule over documents, some of which have no key
+DOCUMENT_RULE = Rule(
+    question="Which plan would this document choose?",
+    choices=CHOICES,
+    base_scores=CENTRAL,
+    factors=(Factor("quality", ("good",), {"alpha": 0.1}), Factor("length_band", ("long", "medium"), {"gamma": 0.1, "beta": -0.05})),
+    seed="cd" * 32,
+)
+
+# several stored rules, scored together from their factor table
+STORED_RULES = {
+    "standard": STANDARD_RULE,
+    "returns": Rule("Who returns?", CHOICES[:2], {"alpha": 0.6, "beta": 0.4},
+                    (Factor("returned", ("Y",), {"alpha": 0.2, "beta": -0.1}), Factor("segment", ("BUILDING", "MACHINERY"), {"beta": 0.05})), (), "ef" * 32),
+    "plain": Rule("No factors?", CHOICES, CENTRAL, (), (), "01" * 32),
+}
+
 from plurality.operators.dictionary import Classifier  # noqa: E402
 
 SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",

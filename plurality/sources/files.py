@@ -11,12 +11,13 @@ from plurality.session import scratch_path
 from plurality.spec import Catalog
 
 
-def scan_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Bag union of Parquet files in sorted path order; files with different
-    columns are merged by name (missing columns are NULL). Adds the source
-    file name from the scan's hidden metadata column."""
-    df = spark.read.option("mergeSchema", "true").parquet(*sorted(paths))
-    return df.withColumn("file_name", F.col("_metadata.file_name"))
+def scan_union(spark: SparkSession, paths: Sequence[str], merge_schema: bool = False) -> DataFrame:
+    """Bag union of Parquet files in sorted path order, with each row's
+    ``file_path`` and ``file_name``. ``merge_schema``: files with different
+    columns are merged by name (missing columns are NULL), which reads every
+    footer; otherwise the first file's columns are used."""
+    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(*sorted(paths))
+    return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd", row_group_bytes: int = 128 * 1024 * 1024) -> str:
@@ -81,8 +82,10 @@ def manifest_audit(spark: SparkSession, manifest: DataFrame, directory: str, pat
         F.col("m.file_name").alias("file_name"), F.col("m.bytes").alias("expected_bytes"), F.col("f.bytes").alias("actual_bytes"),
         F.col("m.sha256").alias("expected_sha256"), F.col("f.path").alias("path"),
     )
+    # the content is hashed after the semi join, so only files of the right size are
     need_hash = sized.where(F.col("actual_bytes") == F.col("expected_bytes")).select("path")
-    hashed = file_digests(spark, directory, pattern, with_hash=True).join(need_hash, "path", "left_semi").select("path", "sha256")
+    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("path", "content")
+    hashed = content.join(need_hash, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
     out = sized.join(hashed, "path", "left")
     status = (
         F.when(F.col("actual_bytes").isNull(), F.lit("missing"))
@@ -93,6 +96,23 @@ def manifest_audit(spark: SparkSession, manifest: DataFrame, directory: str, pat
     return out.select("file_name", "expected_bytes", "actual_bytes", status.alias("status"))
 
 
+def record_manifest_audit(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """Stored records against a manifest, both ``(name, bytes, sha256)``:
+    ``name, expected_bytes, bytes, status`` with status ``ok``, ``missing``,
+    ``unlisted``, ``size_mismatch`` or ``hash_mismatch``. One join of narrow
+    rows; contents are hashed where they are read."""
+    m = manifest.select(F.col("name").alias("_m"), F.col("bytes").alias("expected_bytes"), F.col("sha256").alias("_expected"))
+    out = m.join(records, m["_m"] == records["name"], "full")
+    status = (
+        F.when(F.col("name").isNull(), F.lit("missing"))
+        .when(F.col("_m").isNull(), F.lit("unlisted"))
+        .when(F.col("expected_bytes") != F.col("bytes"), F.lit("size_mismatch"))
+        .when(F.col("_expected") != F.col("sha256"), F.lit("hash_mismatch"))
+        .otherwise(F.lit("ok"))
+    )
+    return out.select(F.coalesce("_m", "name").alias("name"), "expected_bytes", "bytes", status.alias("status"))
+
+
 def schema_readiness(df: DataFrame, catalog: Catalog, key: str = "unit_id") -> DataFrame:
     """Catalog attributes against the table's columns, with non-NULL counts
     from one aggregate pass. status: ok / missing_in_table / not_in_catalog."""

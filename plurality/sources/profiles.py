@@ -91,6 +91,16 @@ def document_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as units; every seventh has no key (like ``packed_profile``'s record ids)."""
+    docs = table(spark, sf_dir, "documents", "doc_id BIGINT, lang STRING, n_chars BIGINT")
+    labels = table(spark, sf_dir, "labels", "doc_id BIGINT, quality INT").select("doc_id", "quality")
+    band = F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "medium").otherwise("long")
+    quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    key = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    return docs.join(labels, "doc_id", "left").select(key.alias("unit_id"), "lang", band.alias("length_band"), quality.alias("quality"))
+
+
 def packed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows derived from documents: 16-byte attribute blobs (32 nibble
     fields), some 2-byte short blobs, 4-byte null bitmaps, override lists with

@@ -7,6 +7,7 @@ itself never passes through the driver.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
@@ -14,7 +15,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from plurality.functions.text import normalized_seed
+from plurality.functions.text import canonical
 
 # Fixed values of the scoring model (must equal the reference's).
 PRIOR_FLOOR = 1e-9          # ln(max(prior, 1e-9))
@@ -72,10 +73,6 @@ class Rule:
     def with_factors(self, factors: Sequence[Factor]) -> "Rule":
         return Rule(self.question, self.choices, self.base_scores, tuple(factors), self.result_groups, self.seed)
 
-    @staticmethod
-    def seeded(question: str, override: str | None = None) -> str:
-        return normalized_seed(question, override)
-
     @staticmethod
     def from_dict(doc: Mapping) -> "Rule":
         """A rule document (question, choices, base_scores, factors,
@@ -87,11 +84,18 @@ class Rule:
             base_scores={k: float(v) for k, v in doc.get("base_scores", {}).items()},
             factors=_factors(doc.get("factors", [])),
             result_groups=tuple(doc.get("result_groups", ("region", "age_bracket"))),
-            seed=normalized_seed(doc["question"], doc.get("seed")),
+            seed=document_seed(doc),
             interactions=tuple(doc.get("interactions", ()) or ()),
         )
 
 
+def document_seed(doc: Mapping) -> str:
+    """Hex seed of a rule or ensemble document. A ``seed`` field is hashed as it
+    stands; without one the canonical question is."""
+    source = canonical(doc["question"]) if doc.get("seed") is None else doc["seed"]
+    return hashlib.sha256(source.encode()).hexdigest()
+
+
 def _choices(doc: Mapping) -> tuple[Choice, ...]:
     return tuple(Choice(c["id"], c.get("label", "")) for c in doc.get("choices", []))
 
@@ -146,11 +150,16 @@ class Ensemble:
     evidence: Evidence | None = None
     result_groups: tuple[str, ...] = ()
     seed: str = ""
+    hybrid: bool = False  # the document has a hybrid block, maybe without priors
 
     @property
     def choice_ids(self) -> list[str]:
         return [c.id for c in self.choices]
 
+    @property
+    def has_hybrid(self) -> bool:
+        return self.hybrid or bool(self.priors)
+
     def central_scores(self) -> Mapping[str, float]:
         if self.central_prior_id is not None:
             return next(p.base_scores for p in self.priors if p.id == self.central_prior_id)
@@ -188,7 +197,8 @@ class Ensemble:
             excluded_direct_attributes=tuple(hybrid.get("excluded_direct_attributes", [])),
             evidence=evidence,
             result_groups=tuple(doc.get("result_groups", ("region", "age_bracket"))),
-            seed=normalized_seed(doc["question"], doc.get("seed")),
+            seed=document_seed(doc),
+            hybrid=bool(hybrid),
         )
 
     def rule_for(self, perspective: Perspective, base_scores: Mapping[str, float] | None = None) -> Rule:

@@ -40,14 +40,20 @@ def test_empirical_prior_feeds_scoring(spark):
         assert abs(per[("p1", c)] - direct[c]) < 1e-6
 
 
-def test_one_scan_report_equals_per_block_report(spark):
-    from plurality.plans.report import vote_report, vote_report_one_scan
+def test_one_scan_report_equals_separate_operators(spark):
+    from plurality.plans.report import rule_report
 
-    prof = profiles.order_profile(spark, SF01)
+    prof, rule = profiles.order_profile(spark, SF01), S.STANDARD_RULE
     for mode in ("expected", "sampled"):
-        a = vote_report(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG, mode=mode)
-        b = vote_report_one_scan(spark, prof, S.STANDARD_RULE, S.ORDER_CATALOG, mode=mode)
-        assert set(a) == set(b)
+        scored = scoring.probabilities(prof, rule, mode=mode)
+        a = {
+            "choices": shares.apportioned_counts(scored, rule),
+            "groups": shares.breakdown(scored, rule, S.ORDER_CATALOG),
+            "preference_groups": shares.best_segments(spark, shares.segments(scored, rule, S.ORDER_CATALOG), rule),
+            "missing": shares.missing_cells(scored, rule.factor_attributes()),
+        }
+        b = rule_report(spark, prof, rule, S.ORDER_CATALOG, mode=mode)
+        assert set(b) == {*a, "rows", "top_factors"}
         for name in a:
             ra = sorted(tuple(r) for r in a[name].select(*sorted(a[name].columns)).collect())
             rb = sorted(tuple(r) for r in b[name].select(*sorted(b[name].columns)).collect())
@@ -63,3 +69,41 @@ def test_report_factor_coverage_equals_separate_pass(spark):
     sep = sorted((r.key_index, r.valid, r.matched, r.n) for r in coverage(prof, keys).collect())
     got = sorted((r.key_index, r.valid, r.matched, r.n) for r in blocks["factors"].collect())
     assert got == sep
+
+
+def test_json_keeps_null_fields(spark, tmp_path):
+    from plurality.plans.report import from_json_rows, json_roundtrip
+
+    blocks = {"a": spark.createDataFrame([("x", None), ("y", 2)], "k string, v int"), "b": spark.createDataFrame([(1.5,)], "w double")}
+    assert '"v":null' in as_json_rows({"a": blocks["a"]}).first()["json"]
+    got = sorted(tuple(r) for r in json_roundtrip(spark, blocks, str(tmp_path / "j")).select("block", "k", "v", "w").collect())
+    assert sorted(got, key=str) == sorted([("a", "x", None, None), ("a", "y", 2, None), ("b", None, None, 1.5)], key=str)
+    assert from_json_rows(as_json_rows({"a": blocks["a"].limit(0)}), {"a": blocks["a"]}).count() == 0
+
+
+def test_bad_rules_are_found_and_stop_the_run(spark):
+    from plurality.operators.audit import SCHEMAS, audit, audit_tables, flatten, require_valid
+    from plurality.spec import Prior, Rule
+
+    rules = {
+        "none": Rule("q", (), {}, (), (), ""),
+        "shadow": Ensemble("q", S.CHOICES, S.CENTRAL, S.PERSPECTIVES, (Prior("authored", S.CENTRAL), Prior("x", S.CENTRAL), Prior("y", S.CENTRAL)),
+                           "authored", "x", ("status",)),
+        "twice": Ensemble("q", S.CHOICES, S.CENTRAL, S.PERSPECTIVES, (Prior("x", S.CENTRAL), Prior("x", S.CENTRAL), Prior("y", S.CENTRAL), Prior("z", S.CENTRAL)),
+                          "y", "z", ("status",)),
+        "empty": Ensemble.from_dict({"question": "q", "choices": [{"id": "a"}, {"id": "b"}], "base_scores": {"a": 0.5, "b": 0.5},
+                                     "hybrid_sensitivity": {"priors": []}}),
+    }
+    found = {(r.rule_id, r.check) for r in audit(spark, rules, S.ORDER_CATALOG).collect()}
+    assert ("none", "A1 choice_count") in found
+    assert not [c for r, c in found if r == "shadow" and c in ("A2 prior_sum", "A10 prior_count", "A10 fit_only_missing", "A10 central_missing")]
+    assert ("twice", "A10 duplicate_prior") in found and ("empty", "A10 prior_count") in found
+    tables = {k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in flatten(rules).items()}
+    assert {(r.rule_id, r.check) for r in audit_tables(spark, tables, S.ORDER_CATALOG).collect()} == found
+    require_valid(spark, {"ok": S.STANDARD_RULE}, S.ORDER_CATALOG)
+    try:
+        require_valid(spark, rules, S.ORDER_CATALOG)
+    except ValueError as error:
+        assert "A1 choice_count" in str(error)
+    else:
+        raise AssertionError("nothing raised")

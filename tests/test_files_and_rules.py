@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from plurality.functions.text import normalized_seed
+from plurality.spec import document_seed
 from plurality.operators.dictionary import PERSONA_CLASSIFIER, classify, domain_index
 from plurality.operators.evidence import coverage, empirical_prior, evidence_report
 from plurality.sources.files import file_digests, load_catalog_json, manifest_audit
@@ -83,9 +83,10 @@ def test_evidence_three_valued_and_zero_match_fallback(spark):
     assert cov.valid == 1 and cov.matched == 0 and cov.matched_pct_valid == 0.0
 
 
-def test_normalized_seed():
-    assert normalized_seed("  Hello\tWORLD ") == hashlib.sha256(b"hello world").hexdigest()
-    assert normalized_seed("ignored", "ab") == hashlib.sha256(b"ab").hexdigest()
+def test_document_seed():
+    assert document_seed({"question": "  Hello\tWORLD "}) == hashlib.sha256(b"hello world").hexdigest()
+    assert document_seed({"question": "\uff28ello \u00a0STRASSE"}) == document_seed({"question": "hello stra\u00dfe"})
+    assert document_seed({"question": "ignored", "seed": "ab"}) == hashlib.sha256(b"ab").hexdigest()
 
 
 def test_sink_roundtrip_zstd_summary(spark):

@@ -50,11 +50,45 @@ def test_partition_independence(spark):
         assert res == base
 
 
-def test_segments_cells_and_direct_paths_agree(spark):
+def test_segments_by_arity_and_from_a_shared_cube_agree(spark):
     p = scoring.probabilities(profiles.order_profile(spark, SF01), RULE)
     a = sorted(tuple(r) for r in shares.segments(p, RULE, S.ORDER_CATALOG).collect())
-    b = sorted(tuple(r) for r in shares.segments(p, RULE, S.ORDER_CATALOG, max_cells=0).collect())
-    assert a == b and len(a) > 0
+    b = sorted(tuple(r) for k in (1, 2) for r in shares.segments(p, RULE, S.ORDER_CATALOG, arities=(k,)).collect())
+    cells = shares.cube(p, RULE, S.ORDER_CATALOG, RULE.result_groups, (1, 2))
+    c = sorted(tuple(r) for r in shares.segments(None, RULE, S.ORDER_CATALOG, cells=cells).collect())
+    assert a == b == c and len(a) > 0
+
+
+def test_null_keys_are_counted(spark):
+    df = spark.createDataFrame([("a", "1-URGENT"), (None, "1-URGENT"), ("b", None), (None, None)], "unit_id string, priority string")
+    df = df.selectExpr("*", "'large' AS basket", "CAST(NULL AS STRING) AS segment")
+    for mode in ("expected", "sampled"):
+        rows = shares.shares_with_counts(scoring.probabilities(df, RULE, keep=[], mode=mode, null_keys=True), RULE).collect()
+        assert {(r.n_rows, r.n_scored, r.n_null_key) for r in rows} == {(4, 2, 2)}
+        plain = shares.shares(scoring.probabilities(df, RULE, keep=[], mode=mode), RULE).collect()
+        assert [(r.choice, r.total, r.percent) for r in rows] == [(r.choice, r.total, r.percent) for r in plain]
+    assert shares.row_counts(df).first() == (4, 2, 2)
+
+
+def test_empty_key_lists(spark):
+    from plurality.operators.evidence import coverage
+
+    df = spark.createDataFrame([("a", "x")], "unit_id string, k string")
+    assert coverage(df, []).count() == 0
+    assert shares.top_factors(shares.factor_effects(spark, [], RULE.choice_ids)).count() == 0
+    assert shares.missing_cells(df, []).first() == (1, 0)
+    plain = RULE.with_factors(())
+    assert shares.segments(scoring.probabilities(df, plain, keep=[]), plain, S.ORDER_CATALOG).count() == 0
+
+
+def test_sampled_grid_equals_sampled_rules(spark):
+    prof, ens = profiles.order_profile(spark, SF001), S.STANDARD_ENSEMBLE
+    grid = {(r.prior_id, r.perspective_id, r.choice): r.total for r in scenario_sums(prof, ens, mode="sampled").collect()}
+    for prior in ens.priors:
+        for persp in ens.perspectives:
+            rule = ens.rule_for(persp, prior.base_scores)
+            t = shares.totals(scoring.probabilities(prof, rule, keep=[], mode="sampled"), 3).first()
+            assert [grid[(prior.id, persp.id, c)] for c in rule.choice_ids] == [t[f"t{i}"] for i in range(3)]
 
 
 def test_null_keys_excluded_and_null_attributes_score(spark):

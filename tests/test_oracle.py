@@ -1,15 +1,16 @@
-"""Every registered query against its DuckDB formulation at sf0.01."""
+"""Every query of the core library against its DuckDB formulation at sf0.01."""
 
 import pytest
 
 import __spark_entry__ as E
 from oracle_check import compare
 from conftest import SF01
+from plurality.plans.queries import REGISTRY
 
 ORACLE = E.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, name):
     r = compare(spark, name, SF01, verbose=True)
     if name in ORACLE:
@@ -25,6 +26,13 @@ def test_entry_smoke(spark):
     assert len(rows) == 3
 
 
-def test_every_query_has_oracle_or_is_listed():
-    rows_only = {"manifest_audit", "result_json", "ensemble_json"}
-    assert set(E.queries()) - set(ORACLE) == rows_only
+def test_every_query_has_an_oracle():
+    assert set(REGISTRY) <= set(ORACLE) and set(REGISTRY) <= set(E.queries())
+
+
+def test_oracle_is_independent_of_the_operators():
+    import plurality.plans.oracle_sql as module
+
+    text = open(module.__file__).read()
+    imports = [line for line in text.split("\n") if line.startswith(("import ", "from "))]
+    assert not [line for line in imports if "plurality.operators" in line or "plurality.functions" in line]

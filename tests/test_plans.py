@@ -39,9 +39,9 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_no_python_udfs_or_cross_joins_in_registered_queries(spark):
-    import __spark_entry__ as E
+    from plurality.plans.queries import REGISTRY
 
-    for name, q in E.queries().items():
+    for name, q in REGISTRY.items():
         if name in ("sink_roundtrip_zstd",):
             continue
         plan = physical(q(spark, SF01))
@@ -134,3 +134,90 @@ def test_wide_profile_reads_only_needed_columns(spark, tmp_path):
     assert df.columns == ["unit_id", "attr3", "attr7"]
     scan = [line for line in physical(df).split("\n") if "ReadSchema" in line or "wide" in line][0]
     assert "attr3" in scan and "attr11" not in scan
+
+
+def _wide_rule(n):
+    """A rule with n segment attributes of four values each, and its catalog and units."""
+    from plurality.spec import Catalog, Choice, Factor, Rule
+
+    names = [f"a{i}" for i in range(n)]
+    rule = Rule("q", (Choice("x", ""), Choice("y", "")), {"x": 0.5, "y": 0.5}, tuple(Factor(a, ("v1",), {"x": 0.1}) for a in names), (), "ab" * 32)
+    return rule, Catalog({a: [f"v{k}" for k in range(4)] for a in names}), names
+
+
+def test_segments_and_report_have_one_plan_for_every_rule_size(spark, tmp_path):
+    """0, 3 and 8 attributes (product of list sizes up to 390,625): one scan of
+    the units, partial aggregates only, no single-partition step above them."""
+    from pyspark.sql import functions as F
+
+    from plurality.plans.report import rule_report
+
+    path = str(tmp_path / "units")
+    spark.range(3000).select(F.col("id").cast("string").alias("unit_id"),
+                             *[F.concat(F.lit("v"), (F.hash("id", F.lit(i)) % 5).cast("string")).alias(f"a{i}") for i in range(8)]).write.parquet(path)
+    units = spark.read.parquet(path)
+    for n in (0, 3, 8):
+        rule, catalog, names = _wide_rule(n)
+        scored = scoring.probabilities(units, rule)
+        plan = physical(shares.cube(scored, rule, catalog, arities=(1, 2)))
+        assert plan.count("FileScan parquet") == 1 and "Coalesce" not in plan
+        assert "partial_sum" in plan
+        segs = shares.segments(scored, rule, catalog, min_abs=1).collect()
+        blocks = rule_report(spark, units, rule, catalog)
+        assert {k: v.count() for k, v in blocks.items() if k in ("rows", "choices", "missing")} == {"rows": 1, "choices": 2, "missing": 1}
+        if not n:
+            assert not segs and set(blocks) == {"rows", "choices", "preference_groups", "missing"}
+            continue
+        pairs = units.groupBy("a0", "a1").count().where("a0 in ('v0','v1','v2','v3') and a1 in ('v0','v1','v2','v3') and count >= 30").count()
+        assert sum(r.attr_1 == "a0" and r.attr_2 == "a1" for r in segs) == 2 * pairs
+
+
+def test_effect_lookup_needs_no_shuffle_of_units(spark):
+    prof = profiles.order_profile(spark, SF01)
+    table = scoring.factor_table(spark, S.STANDARD_RULE)
+    plan = physical(scoring.with_table_effects(prof, table, ["basket", "priority", "segment"], 3))
+    top = plan[plan.index("+-"):]
+    above = top[:top.index("l_orderkey")]  # from the lookups down to the profile's own joins
+    assert above.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in above.split("Project", 1)[0]
+    assert "monotonically_increasing_id" not in plan and "explode" not in plan.lower()
+
+
+def test_subset_decode_does_not_split_the_blobs(spark):
+    from plurality.operators.packed import decode_fields, decode_wide
+    from plurality.plans.queries import PACKED_FIELDS
+
+    packed = profiles.packed_profile(spark, SF01)
+    names = [PACKED_FIELDS[i][0] for i in (0, 3, 9, 31)]
+    plan = optimized(decode_fields(packed, PACKED_FIELDS, names[:1]))
+    assert "split(" not in plan
+    a = sorted(tuple(map(str, r)) for r in decode_fields(packed, PACKED_FIELDS, names).collect())
+    b = sorted(tuple(map(str, r)) for r in decode_wide(packed, PACKED_FIELDS, select=names).collect())
+    assert a == b
+    for short in ("null", "zero"):
+        a = sorted(tuple(map(str, r)) for r in decode_fields(packed, PACKED_FIELDS, names, short=short).collect())
+        b = sorted(tuple(map(str, r)) for r in decode_wide(packed, PACKED_FIELDS, select=names, short=short).collect())
+        assert a == b
+
+
+def test_hot_join_key_is_split(spark, tmp_path):
+    """With thresholds at test size, adaptive execution splits the partition of
+    a key that holds a third of the rows."""
+    from pyspark.sql import functions as F
+
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        orders = profiles.table(spark, SF01, "orders", "o_orderkey BIGINT, o_custkey BIGINT").repartition(8)
+        orders = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("o_custkey")))
+        customers = profiles.table(spark, SF01, "customer", "c_custkey BIGINT, c_mktsegment STRING")
+        joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        assert len(joined.collect()) > 0
+        assert "skew=true" in physical(joined)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

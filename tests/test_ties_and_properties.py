@@ -3,8 +3,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plurality.operators.ensemble import direction, prior_verdicts, winners
-from plurality.operators.shares import apportion
+from plurality.operators.ensemble import directions, prior_verdicts, winners
+from plurality.operators.shares import apportion, factor_effects
 from plurality.spec import Factor
 
 
@@ -16,12 +16,11 @@ def test_winner_tie_takes_earliest_choice(spark):
     assert got == {"p": "a", "q": "b"}
 
 
-def test_direction_ties_and_flat_effects():
-    choices = ["a", "b", "c"]
-    assert direction(Factor("x", ("v",), {"a": 0.1, "b": 0.1}), choices) is None
-    assert direction(Factor("x", ("v",), {}), choices) is None
-    assert direction(Factor("x", ("v",), {"c": -0.1}), choices) is None   # a and b tie at 0
-    assert direction(Factor("x", ("v",), {"b": 0.05}), choices) == "b"
+def test_direction_ties_and_flat_effects(spark):
+    effects = [{"a": 0.1, "b": 0.1}, {}, {"c": -0.1}, {"b": 0.05}]  # the third: a and b tie at 0
+    table = factor_effects(spark, [("p", i, Factor("x", ("v",), e)) for i, e in enumerate(effects)], ["a", "b", "c"])
+    got = {r.factor_position: r.direction for r in directions(table).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: "b"}
 
 
 def test_near_tie_verdict(spark):
