@@ -62,8 +62,6 @@ PERSONA_CLASSIFIER = Classifier(
 
 # Roles in the persona catalog. Breakdowns allowed as result
 # groups; attributes never used for segments (demographics).
-PERSONA_BREAKDOWNS = ("region", "age_bracket", "urbanicity")
-PERSONA_NON_SEGMENT = ("region", "age_bracket", "urbanicity", "socioeconomic_band", "highest_education", "life_stage")
 
 
 def classify(fields: DataFrame, clf: Classifier) -> DataFrame:

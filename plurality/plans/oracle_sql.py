@@ -841,6 +841,8 @@ ORACLE: dict[str, str] = {
     "scan_union_parquet": scan_union_sql(),
     "describe_dataset": describe_sql("lineitem"),
     "sink_roundtrip_zstd": order_profile_sql(),
+    "sink_load_summary": f"""WITH {ORDER_PROFILE} SELECT count(*) AS rows, 'basket,priority,region,returned,segment,status,unit_id' AS attributes,
+  'parquet' AS format, 'zstd' AS compression FROM order_profile""",
     "schema_readiness": readiness_sql(S.ORDER_CATALOG, ["region", "segment", "priority", "status", "basket", "returned"]),
     "dictionary_long": dictionary_sql(S.ORDER_CATALOG),
     "seed_column": seed_column_sql(),

@@ -331,6 +331,13 @@ def sink_roundtrip_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back
 
 
+def sink_load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load summary of the written profile: rows, attributes, format, compression."""
+    from plurality.sources.files import sink_roundtrip
+
+    return sink_roundtrip(spark, _orders(spark, sf_dir), "order-profile")[1].drop("path")
+
+
 def manifest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages (length and SHA-256 of the html) against a manifest with planted
     faults: wrong sizes, wrong hashes, entries without a page, pages without an
@@ -468,6 +475,7 @@ REGISTRY: dict[str, Query] = {
     "scan_union_parquet": scan_union_parquet,
     "describe_dataset": describe_dataset,
     "sink_roundtrip_zstd": sink_roundtrip_zstd,
+    "sink_load_summary": sink_load_summary,
     "manifest_audit": manifest_audit,
     "schema_readiness": schema_readiness,
     "dictionary_long": dictionary_long,

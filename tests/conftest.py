@@ -17,4 +17,7 @@ def spark():
 
     s = local_session("*", shuffle_partitions=8, app="plurality-tests")
     yield s
+    from plurality.session import clean_scratch
+
+    clean_scratch(s)
     s.stop()
