@@ -2,7 +2,8 @@
 
 Two documents link when 100 * intersection >= percent * union of their sets.
 
-1. Equal sets are one node, named by its smallest document.
+1. Equal sets are one node, named by a 64-bit hash of the set (two different
+   sets agree in it with a chance of 2^-64).
 2. Candidates. Linked sets of at most N n-grams differ in at most
    D = N * 2 * (100 - percent) / (100 + percent) of them. If the hash space is
    cut into more than D regions, linked sets agree exactly in the regions that
@@ -51,7 +52,7 @@ GROUP_NGRAMS = 2_000_000
 NULL_IDS = 1 << 62
 STRONG = 2
 
-SKETCH = "doc_id long, tie long, id long, s1 long, s2 long, n long, regions array<struct<kind:int,need:int,sigs:array<long>>>"
+SKETCH = "doc_id long, tie long, id long, s1 long, n long, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, probe boolean, node long, grams binary"
 
 
@@ -130,17 +131,16 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], []]
                 regions = []
                 for doc_id, grams in zip(batch.column("doc_id").to_pylist(), ngram_sets(texts, words), strict=True):
-                    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-                    s1, s2 = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
-                    row = (doc_id if doc_id is not None else NULL_IDS + (s1 & (NULL_IDS - 1)), s1, s2, len(grams))
+                    s1 = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    row = (doc_id if doc_id is not None else NULL_IDS + (s1 & (NULL_IDS - 1)), s1, len(grams))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     regions.append([{"kind": kind, "need": need, "sigs": sigs} for kind, need, sigs in plan.published(grams)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array(c, pa.int64()) for c in out], pa.array(regions, region)],
-                                                 ["doc_id", "tie", "id", "s1", "s2", "n", "regions"])
+                                                 ["doc_id", "tie", "id", "s1", "n", "regions"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -278,18 +278,17 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """doc_id, n_shingles, component_id per row, and ``row``, ``tie`` (by which rows are told apart) and ``first`` (it stands for its component)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    known = cut(sketch(rows, words, percent))
-    same = known.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    known = known.join(cut(same), ["s1", "s2"], "left").withColumn("node", F.coalesce("first", "id"))
-
-    nodes = known.filter("id = node and size(regions) > 0").dropDuplicates(["s1", "s2"]).select("node", "n", F.explode("regions").alias("r"))
-    nodes = nodes.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
-    hits = nodes
+    row_key = [F.coalesce("doc_id", F.lit(NULL_IDS)).alias("row"), "tie"]
+    sketched = cut(sketch(rows, words, percent))
+    known = sketched.select("doc_id", *row_key, "id", "n", F.col("s1").alias("node"))
+    # equal sets publish the same hashes under the same node, so copies are no partners
+    hits = sketched.select(F.col("s1").alias("node"), "n", F.explode("regions").alias("r"))
+    hits = hits.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
     for _ in range(2):  # the second time among those with enough shared hashes
         shared = cut(hits.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
-        hits = hits.select("node", "n", "kind", "need", "sig").join(shared, "sig")
+        hits = cut(hits.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct())
         enough = hits.groupBy("node", "kind", "need").agg(F.count("*").alias("k")).filter("k >= need").select("node", "kind")
-        hits = cut(hits.join(enough, ["node", "kind"]))
+        hits = hits.join(enough, ["node", "kind"])
     wanted = cut(hits.select("node", "n", "leader").distinct())
     # parts of a group by its number of n-grams; most have one
     parts = wanted.groupBy("leader").agg(F.ceil(F.sum("n") / group_ngrams).cast("int").alias("parts"))
@@ -297,8 +296,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     placed = wanted.join(big, "leader", "left").select("node", "leader", F.coalesce("parts", F.lit(1)).alias("parts"))
     goals = placed.groupBy("node").agg(F.collect_set(F.struct("leader", "parts")).alias("goals"))
     # one row of each node gives its text; rows are told apart by id and text hash
-    row_key = [F.coalesce("doc_id", F.lit(NULL_IDS)).alias("row"), "tie"]
-    owners = known.filter("id = node").select(*row_key, "node").dropDuplicates(["node"])
+    owners = known.select("row", "tie", "node").join(goals.select("node"), "node", "left_semi")
+    owners = owners.groupBy("node").agg(F.min(F.struct("row", "tie")).alias("own")).select("own.row", "own.tie", "node")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,9 +334,15 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         stored = large.select("leader", "part", "probe", "node", "grams").join(probes.select("leader", "part", "node"), ["leader", "part", "node"], "left_anti")
         edges = edges.unionByName(_links(stored.unionByName(probes), percent))
     member = components(edges)
-    out = known.select("doc_id", *row_key, "id", "node", F.col("n").alias("n_shingles")).join(member, "node", "left")
-    root = F.coalesce("root", "node")
-    return out.select("doc_id", "n_shingles", F.when(root < NULL_IDS, root).alias("component_id"), "row", "tie", (root == F.col("id")).alias("first"))
+    # the smallest id of each set, and of each component; sets without links are their own
+    least = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    joined = cut(member.join(least, "node"))
+    smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component")))
+    linked = joined.join(smallest, "root").select("node", "component")
+    named = cut(least.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component")))
+    out = known.join(named, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NULL_IDS, F.col("component")).alias("component_id"),
+                      "row", "tie", (F.col("component") == F.col("id")).alias("first"))
 
 
 def keep_first(docs: DataFrame, words: int, percent: int) -> DataFrame:
