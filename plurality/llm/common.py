@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.session import shared_dir
+from plurality.session import scratch_path, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the cluster's shared folder and read back.
+
+    For steps with large shuffles: once the write has ended its shuffle files
+    are removed, so a job's steps do not add up on the executors' disks.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ordered(df: DataFrame, order: list, value: str | None = None) -> DataFrame:
     """Checkpointed rows of a narrow table with ``_rank`` (0-based position in
     the total order of ``order``) and, for ``value``, ``_before`` (its sum over

@@ -42,10 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import cut, table
+from plurality.llm.common import cut, saved, table
 from plurality.llm.components import components
 from plurality.llm.words import hashed, mix, windows
-from plurality.session import scratch_path
 
 WORDS, PERCENT = 3, 90
 GROUP_NGRAMS = 2_000_000
@@ -276,17 +275,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_ngrams: int = GROUP_NGRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id per row, and ``row``, ``tie`` (by which rows are told apart) and ``first`` (it stands for its component)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     row_key = [F.coalesce("doc_id", F.lit(NULL_IDS)).alias("row"), "tie"]
-    sketched = cut(sketch(rows, words, percent))
+    sketched = saved(sketch(rows, words, percent), "sketch")
     known = sketched.select("doc_id", *row_key, "id", "n", F.col("s1").alias("node"))
     # equal sets publish the same hashes under the same node, so copies are no partners
     hits = sketched.select(F.col("s1").alias("node"), "n", F.explode("regions").alias("r"))
     hits = hits.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
     for _ in range(2):  # the second time among those with enough shared hashes
-        shared = cut(hits.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
-        hits = cut(hits.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct())
+        shared = saved(hits.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"), "shared")
+        hits = saved(hits.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct(), "hits")
         enough = hits.groupBy("node", "kind", "need").agg(F.count("*").alias("k")).filter("k >= need").select("node", "kind")
         hits = hits.join(enough, ["node", "kind"])
     wanted = cut(hits.select("node", "n", "leader").distinct())
@@ -319,9 +317,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     chosen = owners.join(goals, "node")
     texts = rows.select(*row_key, "text").join(chosen, ["row", "tie"])
     sets = texts.select("node", "goals", "text").mapInArrow(spread, SETS)
-    path = scratch_path(spark, "sets")
-    sets.write.parquet(path)
-    sets = spark.read.schema(SETS).parquet(path)
+    sets = saved(sets, "sets")
     edges = cut(_links(sets, percent))
     if not big.isEmpty():
         # sets of a large group outside its leader's component probe all parts of the group

@@ -34,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import cut, table
+from plurality.llm.common import cut, saved, table
 from plurality.llm.words import hashed, room, sliding, windows, winnow
-from plurality.session import scratch_path
 
 SPAN, SEED = 50, 25
 #: occurrences of one anchor that one task takes
@@ -131,7 +130,6 @@ def repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
     """id, tie, copy, at: for each text that loses words, whether it is a copy
     that loses all, or else the sorted starts of its marked windows.
     """
-    spark = docs.sparkSession
     rows = keyed(docs.select("doc_id", "text"))
     known = cut(sketch(rows, span, seed).dropDuplicates(KEY))
     same = known.filter(F.col("n_words") >= span).groupBy("s1", "s2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -140,11 +138,9 @@ def repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
 
     seeds = known.filter("not copy").select("id", "tie", F.explode("anchors").alias("anchor"))
     shared = seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
-    shared = cut(shared.filter("a < b").select("anchor", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("groups")))
+    shared = saved(shared.filter("a < b").select("anchor", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("groups")), "anchors")
     per_doc = seeds.join(shared, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "groups")).alias("shared"))
-    path = scratch_path(spark, "extensions")
-    extend(rows.join(per_doc, KEY), span, seed).write.parquet(path)
-    found = spark.read.schema(EXTENSIONS).parquet(path)
+    found = saved(extend(rows.join(per_doc, KEY), span, seed), "extensions")
 
     def spell(df: DataFrame) -> DataFrame:
         return df.select("anchor", "salt", "groups", "id", "tie", "at", F.posexplode("wins").alias("step", "win"))
