@@ -12,6 +12,10 @@ Two documents link when 100 * intersection >= percent * union of their sets.
    two n-grams are left out where the others suffice, so common n-grams alone
    make no candidates. Numbers of regions depend on the size class; a set
    publishes for each class its partners may be in.
+   Each set also has counts of its n-grams in 2^CELL_BITS cells of the hash
+   space; two sets differ in at least as many n-grams as their counts do. In a
+   group of up to SEARCHED members, those whose counts rule out every partner
+   leave it (a saving only; larger groups keep all).
 3. The sets that published an equal hash go to the group of the smallest of
    them. A group's sets are stored in a prefix tree, their n-grams in one order,
    rarest in the group first. A probe walks the tree once: sets with the same
@@ -50,8 +54,10 @@ WORDS, PERCENT = 3, 90
 GROUP_NGRAMS = 2_000_000
 NULL_IDS = 1 << 62
 STRONG = 2
+#: cells of the n-gram counts by which hopeless sets are found, and the largest group that is searched for them
+CELL_BITS, SEARCHED = 6, 10_000
 
-SKETCH = "doc_id long, tie long, id long, s1 long, n long, regions array<struct<kind:int,need:int,sigs:array<long>>>"
+SKETCH = "doc_id long, tie long, id long, s1 long, n long, counts binary, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, probe boolean, node long, grams binary"
 
 
@@ -131,19 +137,65 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 batch = whole.slice(at, 256)
                 texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
                 out: list[list] = [[], [], []]
-                regions = []
+                regions, counts = [], []
                 for doc_id, grams in zip(batch.column("doc_id").to_pylist(), ngram_sets(texts, words), strict=True):
                     s1 = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
                     row = (doc_id if doc_id is not None else NULL_IDS + (s1 & (NULL_IDS - 1)), s1, len(grams))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
+                    cells = np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+                    counts.append(np.minimum(cells, 255).astype(np.uint8).tobytes())
                     regions.append([{"kind": kind, "need": need, "sigs": sigs} for kind, need, sigs in plan.published(grams)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array(c, pa.int64()) for c in out], pa.array(regions, region)],
-                                                 ["doc_id", "tie", "id", "s1", "n", "regions"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *[pa.array(c, pa.int64()) for c in out], pa.array(counts, pa.binary()), pa.array(regions, region)],
+                                                 ["doc_id", "tie", "id", "s1", "n", "counts", "regions"])
 
     return docs.mapInArrow(run, SKETCH)
 
 
+def plausible(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have a partner that sizes and cell counts do not rule out."""
+    order = np.argsort(sizes, kind="stable")
+    cells, n = counts[order].astype(np.int16), sizes[order]
+    hope = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        if i + 1 >= stop:
+            continue
+        apart = np.abs(cells[i + 1 : stop] - cells[i]).sum(axis=1)
+        near = apart * (100 + percent) <= (n[i + 1 : stop] + n[i]) * (100 - percent)
+        if near.any():
+            hope[i] = True
+            hope[i + 1 : stop] |= near
+    out = np.zeros(len(n), bool)
+    out[order] = hope
+    return out
+
+
+def _hopeful(wanted: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, n, leader, counts) whose set has a plausible partner in its group."""
+    groups = wanted.repartition("leader").sortWithinPartitions("leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            yield from table.select(["node", "n", "leader"]).filter(pa.array(plausible(cells, table.column("n").to_numpy(), percent))).to_batches()
+
+        held: list[pa.RecordBatch] = []  # of the group that is not complete yet
+        for batch in batches:
+            leaders = batch.column("leader").to_numpy()
+            edges = [0, *(np.flatnonzero(leaders[1:] != leaders[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0].column("leader")[0].as_py() != leaders[a]:
+                    yield from chosen(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from chosen(pa.Table.from_batches(held))
+
+    return groups.mapInArrow(run, "node long, n long, leader long")
+
+
 class Tree:
     """Prefix tree of ascending integer sequences, with compressed paths."""
 
@@ -288,6 +340,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         enough = hits.groupBy("node", "kind", "need").agg(F.count("*").alias("k")).filter("k >= need").select("node", "kind")
         hits = hits.join(enough, ["node", "kind"])
     wanted = cut(hits.select("node", "n", "leader").distinct())
+    large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
+    counts = sketched.select(F.col("s1").alias("node"), "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    searched = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
+    wanted = cut(_hopeful(searched, percent).unionByName(wanted.join(large, "leader", "left_semi").select("node", "n", "leader")))
     # parts of a group by its number of n-grams; most have one
     parts = wanted.groupBy("leader").agg(F.ceil(F.sum("n") / group_ngrams).cast("int").alias("parts"))
     big = cut(parts.filter("parts > 1"))
