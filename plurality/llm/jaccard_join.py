@@ -55,7 +55,7 @@ GROUP_NGRAMS = 2_000_000
 NULL_IDS = 1 << 62
 STRONG = 2
 #: cells of the n-gram counts by which hopeless sets are found, and the largest group that is searched for them
-CELL_BITS, SEARCHED = 6, 10_000
+CELL_BITS, SEARCHED = 9, 10_000
 
 SKETCH = "doc_id long, tie long, id long, s1 long, n long, counts binary, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, probe boolean, node long, grams binary"
