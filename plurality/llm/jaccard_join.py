@@ -343,7 +343,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
     counts = sketched.select(F.col("s1").alias("node"), "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     searched = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
-    wanted = cut(_hopeful(searched, percent).unionByName(wanted.join(large, "leader", "left_semi").select("node", "n", "leader")))
+    wanted = saved(_hopeful(searched, percent).unionByName(wanted.join(large, "leader", "left_semi").select("node", "n", "leader")), "wanted")
     # parts of a group by its number of n-grams; most have one
     parts = wanted.groupBy("leader").agg(F.ceil(F.sum("n") / group_ngrams).cast("int").alias("parts"))
     big = cut(parts.filter("parts > 1"))
