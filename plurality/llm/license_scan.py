@@ -8,7 +8,8 @@ file looks up those of its words that are in the index; each hit votes for
 different words that agree intersect the postings at one relative position. A
 position with at least half of the template's rare words is compared with the
 template word by word; the label holds if the mandatory key phrase stands there
-and at least MIN_MATCH of the template's words agree.
+and at least MIN_MATCH of the template's words agree. A key phrase does not
+count where a longer one that begins with it stands ("cc by" in "cc by nc 4 0").
 
 score: the best matching share of an accepted template, else BASE_SCORE if a
 base phrase occurs, else 0.
@@ -55,6 +56,16 @@ TEMPLATES = {
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     ),
     "cc-by": ("creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
+    # "cc by" alone is also a phrase of letters, so without a version it needs the words before it
+    "cc-by-notice": ("cc by", "licensed under cc by"),
+}
+#: the short Creative Commons forms, which are their own key phrases
+CC_FORMS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+TEMPLATES |= {
+    label: (phrase, phrase)
+    for label in [f"cc-{x}-{v}" for x in CC_FORMS for v in CC_VERSIONS] + [f"cc-{x}" for x in CC_FORMS if x != "by"]
+    for phrase in [label.replace("-", " ").replace(".", " ")]
 }
 RARE = 4
 MIN_MATCH = 0.75
@@ -98,6 +109,7 @@ class Index:
         self.min_match = min_match
         self.keys = [k.encode().split() for k, _ in templates.values()]
         self.texts = [t.encode().split() for _, t in templates.values()]
+        self.longer = [[k for k in self.keys if len(k) > len(key) and k[: len(key)] == key] for key in self.keys]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed = []
         for number, text in enumerate(self.texts):
@@ -118,9 +130,9 @@ class Index:
         for (number, start), agreeing in votes.items():
             if len(agreeing) < self.needed[number]:
                 continue
-            text, key = self.texts[number], self.keys[number]
-            here = words[max(0, start) : start + len(text)]
-            if not any(here[i : i + len(key)] == key for i in range(len(here) - len(key) + 1)):
+            text, key, longer = self.texts[number], self.keys[number], self.longer[number]
+            places = range(max(0, start), min(len(words), start + len(text)) - len(key) + 1)
+            if not any(words[i : i + len(key)] == key and not any(words[i : i + len(k)] == k for k in longer) for i in places):
                 continue
             share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(text)) / len(text)
             if share >= self.min_match:

@@ -441,6 +441,35 @@ def test_license_templates(spark):
     assert got == {1: ("mit-text", 1.0), 2: ("", 0.0), 3: ("apache,apache-2.0", 1.0), 4: ("mit", 0.5), 5: ("", 0.0), 6: ("bsd-text,mit-text", 1.0)}
 
 
+def test_license_short_creative_commons(spark):
+    """Against a search for the longest short form at each place."""
+    kinds, r = ["by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"], random.Random(8)
+    forms = [f"CC {x.upper()}{v}" for x in kinds for v in ("", " 1.0", " 2.0", " 2.5", " 3.0", " 4.0", " 9.0")]
+    texts = [f"{prose(i, 5)} Licensed under {x}{end} {prose(i + 500, 5)}" for i, x in enumerate(forms) for end in (".", "", "!")]
+    texts += [f"({x.replace(' ', '-')})" for x in forms] + [x.lower() for x in forms] + ["please cc by friday", "cc", "by nc 4.0", "cc by nc\n4 0"]
+    texts += [prose(i, 20) + " " + r.choice(forms) + " " + r.choice(forms) + ", " + r.choice(forms) for i in range(40)]
+    stored = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    pattern = re.compile(r"(?<![^ ])cc by( nc sa| nc nd| nc| sa| nd|)( [1234] 0| 2 5|)(?![^ ])")
+
+    def wanted(text):
+        words = " ".join(re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+        out = set()
+        for m in pattern.finditer(words):
+            version = m[2].strip().replace(" ", ".")
+            label = "cc-by" + m[1].replace(" ", "-") + (f"-{version}" if version else "")
+            if label != "cc-by":
+                out.add(label)
+            elif re.search(r"(?<![^ ])(licensed [^ ]+|[^ ]+ under) $", words[: m.start()]):
+                out.add("cc-by-notice")
+        return out
+
+    rows = [*enumerate(texts), *((10_000 + i, t) for i, t in stored)]
+    got = license_scan.scan(odd(spark, rows)).collect()
+    assert {x.doc_id: {y for y in x.labels.split(",") if y.startswith("cc")} for x in got} == {i: wanted(t) for i, t in rows}
+    assert all(x.score == 1 for x in got if "cc-by-nc-4.0" in x.labels.split(","))
+    assert {y for i, t in rows for y in wanted(t)} >= {f"cc-{x}-4.0" for x in kinds} | {"cc-by-nc", "cc-by-notice"}
+
+
 # -- 9 packing
 
 
