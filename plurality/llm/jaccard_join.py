@@ -13,9 +13,10 @@ Two documents link when 100 * intersection >= percent * union of their sets.
    make no candidates. Numbers of regions depend on the size class; a set
    publishes for each class its partners may be in.
    Each set also has counts of its n-grams in 2^CELL_BITS cells of the hash
-   space; two sets differ in at least as many n-grams as their counts do. In a
-   group of up to SEARCHED members, those whose counts rule out every partner
-   leave it (a saving only; larger groups keep all).
+   space; two sets differ in at least as many n-grams as their counts do. Those
+   whose counts rule out every partner in a group leave it. A group of more than
+   SEARCHED members is cut into blocks by size class and node, and two blocks
+   meet in a task if their sizes allow a link.
 3. The sets that published an equal hash go to the group of the smallest of
    them. A group's sets are stored in a prefix tree, their n-grams in one order,
    rarest in the group first. A probe walks the tree once: sets with the same
@@ -23,9 +24,11 @@ Two documents link when 100 * intersection >= percent * union of their sets.
    missed so far or the remaining lengths rule out a link. Sets of one
    component need not be compared again, so a group returns a forest.
 4. A group with more n-grams than GROUP_NGRAMS is dealt to several tasks, each
-   with the group's smallest set. Sets that are not connected to it then probe
-   the group's other parts. All unverified pairs hold such a set, so no link
-   is lost.
+   with the group's smallest set. All pairs still unverified hold a set that is
+   not connected to it. These sets are cut into blocks of about GROUP_NGRAMS and
+   the connected ones into parts of as many; each block meets each part and each
+   block in a task of its own, so no link is lost and no task has more than two
+   of them.
 5. Components of the forests, by contraction.
 
 Cases: null text, or text without words, is an empty set and linked with
@@ -54,11 +57,11 @@ WORDS, PERCENT = 3, 90
 GROUP_NGRAMS = 2_000_000
 NULL_IDS = 1 << 62
 STRONG = 2
-#: cells of the n-gram counts by which hopeless sets are found, and the largest group that is searched for them
+#: cells of the n-gram counts by which hopeless sets are found, and the members of a group that are compared with as many in one task
 CELL_BITS, SEARCHED = 9, 10_000
 
 SKETCH = "doc_id long, tie long, id long, s1 long, n long, counts binary, regions array<struct<kind:int,need:int,sigs:array<long>>>"
-SETS = "leader long, part int, probe boolean, node long, grams binary"
+SETS = "leader long, part int, block int, probe boolean, node long, grams binary"
 
 
 def ngram_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -152,40 +155,75 @@ def sketch(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     return docs.mapInArrow(run, SKETCH)
 
 
-def plausible(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets have a partner that sizes and cell counts do not rule out."""
+def plausible(counts: np.ndarray, sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Which sets have a partner that sizes and cell counts do not rule out; with ``side`` (booleans), a partner on the other side."""
     order = np.argsort(sizes, kind="stable")
-    cells, n = counts[order].astype(np.int16), sizes[order]
+    cells, n = counts[order].astype(np.int16), sizes[order].astype(np.int64)
+    # sums of neighbouring cells differ by no more than the cells do, and rule out most pairs
+    coarse = np.ascontiguousarray(cells.reshape(len(n), -1, 8).sum(axis=2, dtype=np.int16).T)
     hope = np.zeros(len(n), bool)
-    for i in range(len(n)):
-        stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-        if i + 1 >= stop:
+    here = np.arange(len(n)) if side is None else np.flatnonzero(~side[order])
+    there = here if side is None else np.flatnonzero(side[order])
+    other, lengths = np.ascontiguousarray(coarse[:, there]), n[there]
+    for at, i in enumerate(here.tolist()):
+        first = at + 1 if side is None else int(np.searchsorted(lengths * 100, n[i] * percent))
+        stop = int(np.searchsorted(lengths, n[i] * 100 // percent, side="right"))
+        if first >= stop or hope[i] and hope[there[first:stop]].all():
             continue
-        apart = np.abs(cells[i + 1 : stop] - cells[i]).sum(axis=1)
-        near = apart * (100 + percent) <= (n[i + 1 : stop] + n[i]) * (100 - percent)
-        if near.any():
-            hope[i] = True
-            hope[i + 1 : stop] |= near
+        most = (lengths[first:stop] + n[i]) * (100 - percent)
+        apart = np.abs(other[:, first:stop] - coarse[:, i : i + 1]).sum(axis=0, dtype=np.int64)
+        found = np.flatnonzero(apart * (100 + percent) <= most)
+        if hope[i]:
+            found = found[~hope[there[first + found]]]
+        apart = np.abs(cells[there[first + found]] - cells[i]).sum(axis=1, dtype=np.int64)
+        near = there[first + found[apart * (100 + percent) <= most[found]]]
+        if len(near):
+            hope[i] = hope[near] = True
     out = np.zeros(len(n), bool)
     out[order] = hope
     return out
 
 
+def _dealt(members: DataFrame, counts: DataFrame, percent: int, searched: int) -> DataFrame:
+    """Rows (node, n, leader) of large groups with their counts, once for each pair of blocks (``lo``, ``hi``) they are in; ``side`` is true for those of hi <> lo.
+
+    Linked sets are in the same or in neighbouring size classes; a class has as
+    many blocks as it takes for about ``searched`` members each.
+    """
+    # a little more than the largest quotient of linked sizes, so that rounding does not matter
+    members = members.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.001 * 100 / percent))).cast("long"))
+    sizes = cut(members.groupBy("leader", "class").agg(F.ceil(F.count("*") / searched).cast("long").alias("own")))
+    for name, step in (("up", 1), ("down", -1)):
+        near = sizes.select("leader", (F.col("class") - step).alias("class"), F.col("own").alias(name))
+        sizes = cut(sizes.join(near, ["leader", "class"], "left").fillna(0, [name]))
+    rows = members.join(sizes, ["leader", "class"]).withColumn("a", F.expr("pmod(xxhash64(node), own)"))
+    # a block is named by class and number
+    named = "(({}) * 1073741824L + ({}))".format
+    pairs = """concat(
+        transform(sequence(0L, own - 1), x -> struct({0} AS lo, {1} AS hi, a > x AS side)),
+        transform(filter(sequence(0L, greatest(up, 1L) - 1), x -> up > 0), x -> struct({2} AS lo, {3} AS hi, false AS side)),
+        transform(filter(sequence(0L, greatest(down, 1L) - 1), x -> down > 0), x -> struct({4} AS lo, {2} AS hi, true AS side)))"""
+    pairs = pairs.format(named("class", "least(a, x)"), named("class", "greatest(a, x)"), named("class", "a"), named("class + 1", "x"), named("class - 1", "x"))
+    rows = rows.join(counts, "node").select("node", "n", "leader", "counts", F.explode(F.expr(pairs)).alias("p"))
+    return rows.select("node", "n", "leader", "p.lo", "p.hi", "p.side", "counts")
+
+
 def _hopeful(wanted: DataFrame, percent: int) -> DataFrame:
-    """Rows (node, n, leader, counts) whose set has a plausible partner in its group."""
-    groups = wanted.repartition("leader").sortWithinPartitions("leader")
+    """Rows (node, n, leader) whose set has a plausible partner in its (leader, lo, hi) group; only between its sides if it has two."""
+    groups = wanted.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chosen(table: pa.Table) -> Iterator[pa.RecordBatch]:
             cells = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-            yield from table.select(["node", "n", "leader"]).filter(pa.array(plausible(cells, table.column("n").to_numpy(), percent))).to_batches()
+            side = table.column("side").to_numpy() if table.column("lo")[0] != table.column("hi")[0] else None
+            yield from table.select(["node", "n", "leader"]).filter(pa.array(plausible(cells, table.column("n").to_numpy(), percent, side))).to_batches()
 
         held: list[pa.RecordBatch] = []  # of the group that is not complete yet
         for batch in batches:
-            leaders = batch.column("leader").to_numpy()
-            edges = [0, *(np.flatnonzero(leaders[1:] != leaders[:-1]) + 1).tolist(), batch.num_rows]
+            keys = np.stack([batch.column(c).to_numpy() for c in ("leader", "lo", "hi")])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and held[0].column("leader")[0].as_py() != leaders[a]:
+                if b > a and held and [held[0].column(c)[0].as_py() for c in ("leader", "lo", "hi")] != keys[:, a].tolist():
                     yield from chosen(pa.Table.from_batches(held))
                     held = []
                 if b > a:
@@ -251,7 +289,7 @@ class Tree:
 def forest(sets: list[np.ndarray], percent: int, probes: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (positions in ``sets``) that connect what is connected; the first set should be the likeliest centre.
 
-    With ``probes`` only pairs with one of these are looked for.
+    With ``probes`` only pairs of one of these and another set are looked for.
     """
     sizes = np.array([len(s) for s in sets])
     token, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -272,9 +310,10 @@ def forest(sets: list[np.ndarray], percent: int, probes: list[int] | None = None
     if alive.sum() < 2:
         return []
     ordered = {int(i): np.sort(ranked[starts[i] : starts[i + 1]]) for i in np.flatnonzero(alive)}
-    tree = Tree(np.zeros(0, np.int64))
+    tree, probing = Tree(np.zeros(0, np.int64)), frozenset(probes or ())
     for i, seq in ordered.items():
-        tree.add(seq, i)
+        if i not in probing:
+            tree.add(seq, i)
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -297,8 +336,8 @@ def forest(sets: list[np.ndarray], percent: int, probes: list[int] | None = None
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes found in each (leader, part) group of SETS rows."""
-    groups = sets.repartition("leader", "part").sortWithinPartitions("leader", "part", F.desc("probe"), "node")
+    """Edges (a, b) between nodes found in each (leader, part, block) group of SETS rows."""
+    groups = sets.repartition("leader", "part", "block").sortWithinPartitions("leader", "part", "block", F.desc("probe"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(nodes: list[int], grams: list[np.ndarray], probing: int) -> pa.RecordBatch:
@@ -307,9 +346,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 
         key, nodes, grams, probing = None, [], [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("leader", "part", "probe", "node", "grams")]
-            for leader, part, probe, node, data in zip(*columns, strict=True):
-                here = (leader.as_py(), part.as_py())
+            columns = [batch.column(c) for c in ("leader", "part", "block", "probe", "node", "grams")]
+            for leader, part, block, probe, node, data in zip(*columns, strict=True):
+                here = (leader.as_py(), part.as_py(), block.as_py())
                 if here != key:
                     if nodes:
                         yield solve(nodes, grams, probing)
@@ -342,8 +381,13 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     wanted = cut(hits.select("node", "n", "leader").distinct())
     large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
     counts = sketched.select(F.col("s1").alias("node"), "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    searched = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
-    wanted = saved(_hopeful(searched, percent).unionByName(wanted.join(large, "leader", "left_semi").select("node", "n", "leader")), "wanted")
+    whole = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
+    whole = whole.select("*", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("side"))
+    hopeful = _hopeful(whole, percent)
+    if not large.isEmpty():
+        members = wanted.join(large, "leader", "left_semi").select("node", "n", "leader")
+        hopeful = hopeful.unionByName(_hopeful(_dealt(members, counts, percent, SEARCHED), percent).distinct())
+    wanted = saved(hopeful, "wanted")
     # parts of a group by its number of n-grams; most have one
     parts = wanted.groupBy("leader").agg(F.ceil(F.sum("n") / group_ngrams).cast("int").alias("parts"))
     big = cut(parts.filter("parts > 1"))
@@ -366,9 +410,9 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     else:
                         to.append((goal["leader"], ((node * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32) % goal["parts"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in to], pa.int64()), pa.array([x[1] for x in to], pa.int32()), pa.array([False] * len(to)),
-                     pa.array([node] * len(to), pa.int64()), pa.array([data] * len(to), pa.binary())],
-                    ["leader", "part", "probe", "node", "grams"])
+                    [pa.array([x[0] for x in to], pa.int64()), pa.array([x[1] for x in to], pa.int32()), pa.array([0] * len(to), pa.int32()),
+                     pa.array([False] * len(to)), pa.array([node] * len(to), pa.int64()), pa.array([data] * len(to), pa.binary())],
+                    ["leader", "part", "block", "probe", "node", "grams"])
 
     chosen = owners.join(goals, "node")
     texts = rows.select(*row_key, "text").join(chosen, ["row", "tie"])
@@ -376,15 +420,23 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sets = saved(sets, "sets")
     edges = cut(_links(sets, percent))
     if not big.isEmpty():
-        # sets of a large group outside its leader's component probe all parts of the group
+        # sets of a large group outside its leader's component meet the others and each other, in blocks
         member = components(edges)
-        large = sets.join(big, "leader")
-        root = member.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-        apart = (large.filter("node <> leader").join(member, "node", "left").join(root, "leader", "left")
-                 .filter(F.coalesce("root", "node") != F.coalesce("leader_root", "leader")))
-        probes = apart.select("leader", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("probe"), "node", "grams")
-        stored = large.select("leader", "part", "probe", "node", "grams").join(probes.select("leader", "part", "node"), ["leader", "part", "node"], "left_anti")
-        edges = edges.unionByName(_links(stored.unionByName(probes), percent))
+        root = member.join(big, member["node"] == big["leader"], "left_semi").select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+        large = wanted.join(big, "leader").select("leader", "node", "n").join(member, "node", "left").join(root, "leader", "left")
+        large = cut(large.select("leader", "node", "n", (F.coalesce("root", "node") != F.coalesce("leader_root", "leader")).alias("apart")))
+        blocks = large.groupBy("leader").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("apart") == x, F.col("n"))), F.lit(0)) / group_ngrams).cast("int").alias(name)
+                                               for x, name in ((True, "blocks"), (False, "parts"))]).filter("blocks > 0")
+        dealt = large.join(cut(blocks), "leader").select("leader", "node", "apart", "blocks", "parts")
+        dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(node), if(apart, blocks, parts)) as int)"))
+        meets = F.expr("""if(apart, concat(
+            transform(sequence(0, blocks - 1), x -> struct(-1 - least(own, x) AS part, greatest(own, x) AS block, own > x AS probe)),
+            transform(filter(sequence(0, greatest(parts, 1) - 1), x -> parts > 0), x -> struct(x AS part, own AS block, true AS probe))),
+            transform(sequence(0, blocks - 1), x -> struct(own AS part, x AS block, false AS probe)))""")
+        # the leader is in every part of its group
+        once = sets.filter("node <> leader or part = 0").select("leader", "node", "grams")
+        pairs = once.join(dealt, ["leader", "node"]).select("leader", "node", "grams", F.explode(meets).alias("m"))
+        edges = edges.unionByName(_links(pairs.select("leader", "m.part", "m.block", "m.probe", "node", "grams"), percent))
     member = components(edges)
     # the smallest id of each set, and of each component; sets without links are their own
     least = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))

@@ -347,6 +347,76 @@ def test_jaccard_join(spark, k, percent, group):
     assert {r.doc_id for r in kept if r.text} >= {c for *_, c in want if c is not None and c in {i for i, t in rows if shingles(t, k)}}
 
 
+def copies(seed, n, words, changed):
+    """Copies of one text, each with its own ``changed`` words replaced."""
+    r, base = random.Random(seed), prose(seed, words).split()
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for i in r.sample(range(words), changed):
+            copy[i] = f"new{r.random()}"
+        out.append(" ".join(copy))
+    return out
+
+
+def spied(monkeypatch, rows_per_task):
+    """Appends (sets, n-grams of the largest task) of each step that compares sets."""
+    links = jaccard_join._links
+
+    def spy(sets, percent):
+        keys = [c for c in ("leader", "part", "block") if c in sets.columns]
+        tasks = sets.dropDuplicates([*keys, "node"]).groupBy(*keys).agg(F.sum(F.length("grams") / 8).alias("n")).collect()
+        rows_per_task.append((sets.select("node").distinct().count(), max((x.n for x in tasks), default=0)))
+        return links(sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_links", spy)
+
+
+def test_large_groups_are_compared_in_bounded_blocks(spark, monkeypatch):
+    """Long texts that agree in regions, that their counts cannot tell apart and that don't link, but for a few."""
+    texts = copies(21, 60, 6000, 80)
+    texts += [x.replace(x.split()[5], "other", 1) for x in texts[:8]]
+    rows, steps = list(enumerate(texts)), []
+    spied(monkeypatch, steps)
+    got = jaccard_join.join_components(odd(spark, rows), 3, 90, 60_000).collect()
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(joined(rows, 3, 90))
+    assert len({r.component_id for r in got}) == 60
+    # two blocks of 60,000, and what the hash deals unevenly
+    assert len(steps) == 2 and max(n for _, n in steps) <= 2 * 2 * 60_000 < 60 * 5900
+
+
+def test_groups_above_searched_are_thinned_by_counts(spark, monkeypatch):
+    """Different texts with one passage share regions; only the linked ones' sets may move."""
+    passage = prose(31, 130)
+    texts = [prose(3000 + i, 35) + " " + passage + " " + prose(4000 + i, 35) for i in range(150)]
+    texts += [x.replace(x.split()[5], "other", 1) for x in texts[:8]] + copies(32, 40, 60, 1) + [prose(i, 15 + i) for i in range(5000, 5040)]
+    rows, steps = list(enumerate(texts)), []
+    monkeypatch.setattr(jaccard_join, "SEARCHED", 10)
+    spied(monkeypatch, steps)
+    got = jaccard_join.join_components(odd(spark, rows), 5, 80).collect()
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(joined(rows, 5, 80))
+    linked = sum(v for v in Counter(r.component_id for r in got).values() if v > 1)
+    assert 16 <= linked and steps[0][0] <= linked + 5
+
+
+def test_plausible_equals_all_pairs():
+    r = np.random.default_rng(4)
+    for percent in (80, 90):
+        base = r.poisson(2, (12, 512))
+        counts = np.minimum(np.maximum(0, base[r.integers(0, 12, 90)] + r.poisson(0.04, (90, 512)) - r.poisson(0.02, (90, 512))), 255).astype(np.uint8)
+        sizes, side = counts.sum(axis=1).astype(np.int64), r.random(90) < 0.4
+        for where in (None, side):
+            want = np.zeros(90, bool)
+            for i in range(90):
+                for j in range(i):
+                    apart = np.abs(counts[i].astype(int) - counts[j]).sum()
+                    fits = 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]) and apart * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent)
+                    if fits and (where is None or where[i] != where[j]):
+                        want[[i, j]] = True
+            assert (jaccard_join.plausible(counts, sizes, percent, where) if where is not None else jaccard_join.plausible(counts, sizes, percent)).tolist() == want.tolist()
+            assert 0 < want.sum()
+
+
 def test_jaccard_join_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
