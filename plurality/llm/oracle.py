@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plurality.llm import centroids, lexical_search, vector_neighbours
 from plurality.llm import quality_rules as q
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -42,4 +43,75 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out) AS kept FROM f"""
 
 
-ORACLE = {"op3_quality_rules": quality_rules_sql()}
+def warc_sql() -> str:
+    """op5: digests of the payloads; the smallest page of equal long ones answers."""
+    return """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM f"""
+
+
+def centroid_sql() -> str:
+    """op11: every round unrolled; distances from lists, floor division without truncation."""
+    c = centroids
+    far = "list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for r in range(c.ROUNDS + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, q, n, d FROM (SELECT v.vec_id, v.q, c.n, {far} AS d FROM v, c{r} c)
+     QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, n) = 1)""")
+        if r < c.ROUNDS:
+            steps.append(f"""
+m{r} AS (SELECT n, list(m ORDER BY i) AS q FROM (SELECT n, i, ((sum(x)::BIGINT - (((sum(x)::BIGINT % count(*)) + count(*)) % count(*))) // count(*))::BIGINT AS m
+     FROM (SELECT n, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{r}) GROUP BY n, i) GROUP BY n),
+c{r + 1} AS MATERIALIZED (SELECT c.n, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m ON c.n = m.n)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({c.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {c.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.DIM}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {c.K})),
+{",".join(steps)}
+SELECT vec_id, n::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  (SELECT sha256(array_to_string(c.q, ',')) FROM c{c.ROUNDS} c WHERE c.n = a.n) AS centroid_sha256
+FROM a{c.ROUNDS} a"""
+
+
+def search_sql() -> str:
+    """op12: every posting of the items' terms, scored and ranked."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS words FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS nd, sum(len(words))::BIGINT AS nt FROM d),
+p AS (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, nd),
+q AS (SELECT DISTINCT item_id, unnest({words}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r
+WHERE score > 0 QUALIFY rank <= {lexical_search.TOP}"""
+
+
+def neighbours_sql() -> str:
+    """op13: all pairs, and what each vector reaches."""
+    return f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= {vector_neighbours.THRESHOLD}),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a"""
+
+
+ORACLE = {
+    "op3_quality_rules": quality_rules_sql(),
+    "op5_warc": warc_sql(),
+    "op11_centroid_clustering": centroid_sql(),
+    "op12_ranked_search": search_sql(),
+    "op13_vector_neighbours": neighbours_sql(),
+}
