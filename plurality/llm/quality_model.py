@@ -140,7 +140,12 @@ def _arrays(column: pa.Array) -> list[bytes]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Machine | float:
-    """The fitted machine, or the share of good labels where one class is missing."""
+    """The fitted machine, or the share of good labels where one class is missing.
+
+    Only labels of ids that ``docs`` has count, for the sample and for the
+    classes' weights; an id that is repeated gives one row, that of its smallest text hash.
+    """
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -162,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())],
                                              ["quality", "numbers", "weights"])
 
-    rows = (docs.join(sample, "doc_id").select("text", "n_chars", "quality")
+    one = docs.join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.xxhash64("text")).alias("d"))
+    rows = (one.select("d.text", "d.n_chars", "quality")
             .mapInArrow(run, "quality int, numbers binary, weights binary").collect())
     rows.sort(key=lambda r: (r["quality"], bytes(r["numbers"]), bytes(r["weights"])))
     if len({r["quality"] for r in rows}) < 2:
@@ -204,11 +210,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted good, with their own columns; texts are not shuffled."""
+    """The documents predicted good, with their own columns; texts are not
+    shuffled. Labels of one class (or none) say nothing about others: all stay."""
     rows = _inputs(docs)
     model = train(rows, labels)
     if not isinstance(model, Machine):
-        return docs if model >= threshold else docs.limit(0)
+        return docs
     w, v = model.w.astype("f4"), model.v.astype("f4")
     has_chars = "n_chars" in docs.columns
 

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plurality.llm.common import cut, saved, table
 from plurality.llm.words import hashed, room, sliding, windows, winnow
@@ -186,23 +187,24 @@ def without(data: bytes, copy: bool, at: list[int] | None, span: int = SPAN) ->
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
-    """The documents with their own columns, ``text`` without the repeated words (null stays null) and ``n_chars``, if there, its new length."""
-    found = repeats(docs, span, seed).withColumnsRenamed({"copy": "_copy", "at": "_at", "id": "_id", "tie": "_tie"})
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_tie", F.xxhash64("text"))
-    joined = rows.join(found, ["_id", "_tie"], "left").drop("_id", "_tie")
-    schema = docs.schema
+    """The documents with their own columns, whatever their names; ``text`` without the repeated words (null stays null) and ``n_chars``, if there, its new length."""
+    found = repeats(docs, span, seed)
+    rows = docs.select(F.struct("*").alias("doc"))
+    keys = keyed(rows.select("doc", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))).drop("doc_id", "text")
+    joined = keys.join(found, KEY, "left").select("doc", "copy", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, copy, at in zip(batch.column("text"), batch.column("_copy"), batch.column("_at"), strict=True):
+            for text, copy, at in zip(batch.column("doc").field("text"), batch.column("copy"), batch.column("at"), strict=True):
                 out.append(None if not text.is_valid else without(text.as_py().encode(), bool(copy.as_py()), at.as_py(), span).decode())
-            columns = {n: batch.column(n) for n in schema.names}
-            columns["text"] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string())], ["doc", "left"])
 
-    result = joined.mapInArrow(run, schema)
-    return result.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else result
+    done = joined.mapInArrow(run, T.StructType([T.StructField("doc", joined.schema["doc"].dataType), T.StructField("left", T.StringType())]))
+    new = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return done.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
