@@ -1,10 +1,12 @@
 """Rule audit as a Spark job (A1-A11, E13, plus an observed-value check).
 
-Rules and ensembles are flattened into small tables (choices, priors,
-factors, conditions, effects, groups, perspectives, direct-evidence
-attributes); every check is a group-by, an anti/semi join against the
-catalog, or a filter, so many stored rules are audited in one job. One check
-reads the data: condition values that never occur in the profile.
+Rules and ensembles are flat tables (choices, priors, factors, conditions,
+effects, groups, perspectives, direct-evidence attributes); every check is a
+group-by, an anti/semi join against the catalog, or a filter. Rules given as
+configuration are flattened on the driver (``flatten``); stored rules, a row of
+nested columns each, are flattened by Spark (``rule_tables``), so any number of
+them is audited in one job. One check reads the data: condition values that
+never occur in the profile.
 Output ``rule_id, check, detail``.
 """
 
@@ -15,12 +17,12 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.session import bounded_broadcast
+from plurality.operators.names import closest
+from plurality.session import bounded_broadcast, scratch_path
 from plurality.spec import DRAW_SUFFIX, MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE, Catalog, Ensemble, Rule
 
 MAX_FACTORS = 12
 MAX_GROUPS = 3
-SUGGEST_RATIO = 0.82
 
 
 def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
@@ -84,24 +86,60 @@ SCHEMAS = {
 }
 
 
-def _finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
-    return df.select("rule_id", F.lit(check).alias("check"), detail.cast("string").alias("detail"))
+_FACTORS = "array<struct<attribute:string,conditions:array<string>,effects:map<string,double>>>"
+#: a stored rule or ensemble; what a kind does not have is NULL or empty
+STORED_RULE = (f"rule_id string, kind string, choices array<string>, base_scores map<string,double>, factors {_FACTORS}, "
+               "result_groups array<string>, n_interactions int, "
+               f"perspectives array<struct<id:string,factors:{_FACTORS}>>, priors array<struct<id:string,base_scores:map<string,double>>>, hybrid boolean, "
+               "central_prior_id string, fit_only_prior_id string, excluded array<string>, "
+               "evidence map<string,array<struct<attribute:string,conditions:array<string>>>>")
+
+
+def rule_tables(stored: DataFrame) -> dict[str, DataFrame]:
+    """The tables of SCHEMAS from stored rules (STORED_RULE); projections only, no shuffle."""
+    lit = F.lit
+    sets = stored.select("rule_id", F.explode(F.when(F.col("kind") == "ensemble", F.transform("perspectives", lambda p: F.struct(p["id"].alias("id"), p["factors"].alias("factors"))))
+                                              .otherwise(F.array(F.struct(lit("").alias("id"), F.col("factors").alias("factors"))))).alias("s"))
+    factors = sets.select("rule_id", F.col("s.id").alias("perspective_id"), F.posexplode("s.factors").alias("factor_pos", "f"))
+    own = ["rule_id", "perspective_id", "factor_pos", F.col("f.attribute").alias("attribute")]
+    hybrid = stored.where(F.col("kind") == "ensemble").select("rule_id", F.posexplode("priors").alias("pos", "p"))
+    authored = stored.select("rule_id", lit("authored").alias("role"), lit("").alias("prior_id"), F.explode("base_scores").alias("choice_id", "value"))
+    given = hybrid.select("rule_id", lit("hybrid").alias("role"), F.col("p.id").alias("prior_id"), F.explode("p.base_scores").alias("choice_id", "value"))
+    chosen = stored.select("rule_id", F.explode("evidence").alias("choice_id", "sels")).select("rule_id", "choice_id", F.posexplode("sels").alias("pos", "s"))
+    excluded = stored.select("rule_id", F.explode("excluded").alias("attribute"), lit("excluded").alias("role"))
+    size = lambda c: F.coalesce(F.size(c), lit(0))
+    tables = {
+        "meta": stored.select("rule_id", "kind", "central_prior_id", "fit_only_prior_id", F.coalesce("hybrid", lit(False)).alias("hybrid"),
+                              F.coalesce("n_interactions", lit(0)).alias("n_interactions"), F.col("evidence").isNotNull().alias("empirical")),
+        "choices": stored.select("rule_id", F.posexplode("choices").alias("pos", "choice_id")),
+        "hybrid_priors": hybrid.select("rule_id", "pos", F.col("p.id").alias("prior_id")),
+        "priors": authored.unionByName(given),
+        "factors": factors.select(*own, size("f.conditions").alias("n_conditions"), size("f.effects").alias("n_effects")),
+        "conditions": factors.select(*own, F.explode("f.conditions").alias("condition")),
+        "effects": factors.select(*own, F.explode("f.effects").alias("choice_id", "effect")),
+        "groups": stored.select("rule_id", F.explode("result_groups").alias("grp")),
+        "perspectives": stored.where(F.col("kind") == "ensemble").select("rule_id", F.posexplode("perspectives").alias("pos", "p")).select(
+            "rule_id", "pos", F.col("p.id").alias("perspective_id")),
+        "direct": excluded.unionByName(chosen.select("rule_id", F.col("s.attribute").alias("attribute"), lit("evidence").alias("role"))),
+        "selectors": chosen.select("rule_id", "choice_id", "pos", F.col("s.attribute").alias("attribute"), size("s.conditions").alias("n_conditions")),
+        "selector_values": chosen.select("rule_id", "choice_id", "pos", F.col("s.attribute").alias("attribute"), F.explode("s.conditions").alias("condition")),
+    }
+    assert set(tables) == set(SCHEMAS)
+    return tables
+
+
+def audit_stored(spark: SparkSession, stored: DataFrame, catalog: Catalog, profile: DataFrame | None = None, sensitive_pattern: str | None = None) -> DataFrame:
+    """Findings of stored rules. The flat tables are written once in the shared folder, so every check reads only its own narrow columns."""
+    flat = {}
+    for name, table in rule_tables(stored).items():
+        path = scratch_path(spark, f"rules-{name}")
+        table.write.parquet(path)
+        flat[name] = spark.read.schema(table.schema).parquet(path)
+    return audit_tables(spark, flat, catalog, profile, sensitive_pattern)
 
 
-def suggestion(attribute: Column, names: list[str]) -> Column:
-    """Closest catalog name by Levenshtein ratio (>= 0.82), earliest on ties;
-    a suggestion only, never substituted. Evaluated against a literal array of
-    catalog names, so no join is needed."""
-    cands = F.array(*[
-        F.struct(
-            (F.lit(1.0) - F.levenshtein(attribute, F.lit(n)) / F.greatest(F.length(attribute), F.lit(len(n))).cast("double")).alias("r"),
-            F.lit(-i).alias("o"),
-            F.lit(n).alias("n"),
-        )
-        for i, n in enumerate(names)
-    ])
-    best = F.array_max(cands)
-    return F.when(best["r"] >= SUGGEST_RATIO, best["n"])
+def _finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
+    return df.select("rule_id", F.lit(check).alias("check"), detail.cast("string").alias("detail"))
 
 
 def audit(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], catalog: Catalog,
@@ -120,6 +158,49 @@ def require_valid(spark: SparkSession, rules: Mapping[str, Rule | Ensemble], cat
         raise ValueError("invalid rules: " + "; ".join(sorted(found)))
 
 
+def problems(rule: Rule | Ensemble, catalog: Catalog) -> list[str]:
+    """The findings that stop a single configured rule, without a Spark job (``check detail``); for many rules see ``audit``."""
+    out: list[str] = []
+
+    def unless(ok: bool, check: str, detail: object) -> None:
+        if not ok:
+            out.append(f"{check} {detail}")
+
+    lo, hi = PRIOR_SUM_TOLERANCE
+    ids = [c.id for c in rule.choices]
+    is_ens = isinstance(rule, Ensemble)
+    unless(2 <= len(ids) <= 4, "A1 choice_count", len(ids))
+    unless(len(ids) == len(set(ids)), "A1 duplicate_choice", ids)
+    unless(set(rule.base_scores) == set(ids), "A2 prior_keys", sorted(rule.base_scores))
+    unless(lo <= sum(rule.base_scores.values()) <= hi, "A2 prior_sum", sum(rule.base_scores.values()))
+    unless(set(rule.result_groups) <= set(catalog.breakdowns), "A8 unsupported_group", sorted(set(rule.result_groups) - set(catalog.breakdowns)))
+    unless(len(rule.result_groups) <= MAX_GROUPS, "A8 too_many_groups", len(rule.result_groups))
+    unless(not getattr(rule, "interactions", ()), "A7 interactions", "reserved")
+    sets = [(p.id, p.factors) for p in rule.perspectives] if is_ens else [("", rule.factors)]
+    for name, factors in sets:
+        unless(len(factors) <= MAX_FACTORS, "S max_factors", len(factors))
+        unless(not is_ens or 2 <= len(factors) <= 6, "A11 perspective_factors", f"{name}:{len(factors)}")
+        for f in factors:
+            known = f.attribute in catalog.attributes
+            unless(known, "A3 unknown_attribute", f.attribute)
+            unless(not known or set(f.conditions) <= set(catalog.attributes[f.attribute]), "A4 invalid_condition", f.attribute)
+            unless(bool(f.conditions), "A4 empty_conditions", f.attribute)
+            unless(set(f.effects) <= set(ids), "A5 unknown_choice", f.attribute)
+            unless(all(abs(v) <= MAX_ABS_EFFECT for v in f.effects.values()), "A5 effect_too_large", f.attribute)
+            unless(bool(f.effects), "A5 empty_effects", f.attribute)
+    if is_ens:
+        names = [p.id for p in rule.perspectives]
+        unless(3 <= len(names) <= 5, "A11 perspective_count", len(names))
+        unless(len(names) == len(set(names)), "A11 duplicate_perspective", names)
+    return out
+
+
+def require_sound(rule: Rule | Ensemble, catalog: Catalog) -> None:
+    """Raises before any scoring if the configured rule has problems."""
+    if found := problems(rule, catalog):
+        raise ValueError("invalid rule: " + "; ".join(found))
+
+
 def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catalog, profile: DataFrame | None = None,
                  sensitive_pattern: str | None = None, size: Mapping[str, int] | None = None, used: Sequence[str] | None = None) -> DataFrame:
     """Findings of stored rules, given as the tables of SCHEMAS. ``size``: row
@@ -154,11 +235,11 @@ def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catal
     sums = authored.groupBy("rule_id").agg(F.sum("value").alias("s"))
     out.append(_finding(sums.where((F.col("s") < lo) | (F.col("s") > hi)), "A2 prior_sum", F.lit(f"outside [{lo}, {hi}]")))
 
-    # A3 unknown factor attribute (suggest a close name)
+    # A3 unknown factor attribute (a close name is suggested, never substituted)
     unknown = t["factors"].join(known, "attribute", "left_anti")
-    names = list(catalog.attributes)
-    out.append(_finding(unknown, "A3 unknown_attribute",
-                        F.concat(F.col("attribute"), F.lit(" -> "), F.coalesce(suggestion(F.col("attribute"), names), F.lit("none")))))
+    near = closest(unknown.select(F.col("attribute").alias("unknown")), known.withColumnRenamed("attribute", "known"))
+    named = unknown.join(near.select(F.col("unknown").alias("attribute"), "known"), "attribute", "left")
+    out.append(_finding(named, "A3 unknown_attribute", F.concat(F.col("attribute"), F.lit(" -> "), F.coalesce("known", F.lit("none")))))
 
     # A4 conditions: legal values of known attributes; non-empty
     conds_known = t["conditions"].join(known, "attribute", "left_semi")

@@ -60,10 +60,6 @@ PERSONA_CLASSIFIER = Classifier(
 )
 
 
-# Roles in the persona catalog. Breakdowns allowed as result
-# groups; attributes never used for segments (demographics).
-
-
 def classify(fields: DataFrame, clf: Classifier) -> DataFrame:
     """``field_index, id, label, category, domain, reason``; domain NULL for
     dropped fields (reason: sensitive, unmatched, duplicate)."""

@@ -8,14 +8,19 @@ projection. Once per row, in its own projection, the blobs' hex digits are
 split into arrays and the override list is folded into a map; each field is
 then an O(1) array access, a branch-free digit value and a lookup in a
 literal value array, whatever the row width. Field expressions are generated
-as SQL text, so a 513-field decode is one ``selectExpr`` (planning cost grows
-with the field count, not with thousands of Python-to-JVM calls).
+as SQL text in one ``selectExpr`` (planning cost grows with the field count,
+not with thousands of Python-to-JVM calls).
+
+Beyond some hundred fields (``spark.sql.codegen.maxFields``) one expression per
+field runs without whole-stage code and costs microseconds a value. There
+``decode_batches`` unpacks whole Arrow batches instead: a matrix of nibbles, a
+matrix of null bits and one dictionary lookup per column.
 """
 
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +46,7 @@ def field_code_sql(index: int, short: str = "null") -> str:
     """SQL text of ``field_code`` (same semantics)."""
     byte = index // 2
     value = _digit_sql("_digits", 2 * byte + (1 if index % 2 == 0 else 0))
-    otherwise = " ELSE 0" if short == "zero" else ""
+    otherwise = " WHEN _attr IS NOT NULL THEN 0" if short == "zero" else ""
     return f"CASE WHEN length(_attr) > {byte} THEN {value}{otherwise} END"
 
 
@@ -129,6 +134,81 @@ def decode_wide(df: DataFrame, fields: Fields, select: Sequence[str] | None = No
     return staged.selectExpr("unit_id", *[f"`{k}`" for k in keep], *cols)
 
 
+def _padded(blobs, width: int):
+    """(bytes as a rows x width matrix, bytes present per row; none for NULL)."""
+    import numpy as np
+    import pyarrow as pa
+
+    blobs = blobs.cast(pa.binary())
+    _, ends, data = blobs.buffers()
+    ends = np.frombuffer(ends, np.int32, len(blobs) + 1, blobs.offset * 4)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    size = np.where(blobs.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    at = ends[:-1, None] + np.arange(width)
+    return np.where(np.arange(width) < size[:, None], data[np.minimum(at, len(data) - 1)], 0), size
+
+
+def _first_overrides(lists):
+    """(row, field, value) of each row's first override entry per field; NULL entries and entries without a field are passed over."""
+    import numpy as np
+    import pyarrow as pa
+
+    entries = lists.flatten()
+    if not len(entries):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
+    sizes = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()])
+    row = np.repeat(np.arange(len(lists)), sizes)
+    index, values = entries.flatten()
+    known = np.flatnonzero(index.is_valid().to_numpy(zero_copy_only=False))
+    field = index.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = row[known]
+    _, first = np.unique(row * (1 << 32) + field, return_index=True)
+    return row[first], field[first], values.take(pa.array(known[first]))
+
+
+def decode_batches(df: DataFrame, fields: Fields, select: Sequence[str] | None = None, short: str = "null", keep: Sequence[str] = ()) -> DataFrame:
+    """``decode_wide`` for wide selections: the same rows, unpacked batch by batch."""
+    wanted = set(select) if select is not None else None
+    chosen = [(i, name, list(vals)) for i, (name, vals) in enumerate(fields) if wanted is None or name in wanted]
+    staged = df.select(unit_key(F.col("source_record_id"), F.col("source"), F.col("source_row_index")).alias("unit_id"), *keep,
+                       "attributes", "null_bitmap", "attribute_overrides")
+    schema = T.StructType([*[f for f in staged.schema if f.name in ("unit_id", *keep)], *[T.StructField(name, T.StringType()) for _, name, _ in chosen]])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        index = np.array([i for i, _, _ in chosen], np.int64)
+        tables = [pa.array(vals, pa.string()) for _, _, vals in chosen]
+        limits = np.array([len(vals) for _, _, vals in chosen])
+        place = {i: k for k, (i, _, _) in enumerate(chosen)}
+        half, eighth = int(index.max(initial=0)) // 2 + 1, int(index.max(initial=0)) // 8 + 1
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                blob, size = _padded(batch.column("attributes"), half)
+                bits, _ = _padded(batch.column("null_bitmap"), eighth)
+                code = (blob[:, index // 2] >> (4 * (index % 2)).astype(np.uint8)) & 15
+                absent = (code >= limits) | ((bits[:, index // 8] >> (index % 8).astype(np.uint8)) & 1 == 1)
+                beyond = index // 2 >= size[:, None]
+                if short == "zero":
+                    beyond &= ~batch.column("attributes").is_valid().to_numpy(zero_copy_only=False)[:, None]
+                absent |= beyond
+                columns = [table.take(pa.array(code[:, k].astype(np.int32), mask=absent[:, k])) for k, table in enumerate(tables)]
+                row, field, value = _first_overrides(batch.column("attribute_overrides"))
+                given = value.is_valid().to_numpy(zero_copy_only=False)
+                for i in np.unique(field[given]).tolist():
+                    if i in place:
+                        mine = np.flatnonzero(given & (field == i))
+                        mask = np.zeros(batch.num_rows, bool)
+                        mask[row[mine]] = True
+                        columns[place[i]] = pc.replace_with_mask(columns[place[i]], pa.array(mask), value.take(pa.array(mine)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema if f.name in ("unit_id", *keep)], *columns], schema.names)
+
+    return staged.mapInArrow(run, schema)
+
+
 def dictionary_frame(spark, fields: Fields) -> DataFrame:
     """Long dictionary ``(field_index, field, code, value)``; bounded by
     fields x 16 codes, hence safe to broadcast."""

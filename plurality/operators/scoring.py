@@ -130,15 +130,17 @@ def probabilities(df: DataFrame, rule: Rule, key: str = KEY, keep: Sequence[str]
     )
 
 
-#: most rows of a factor table that is broadcast; larger ones are joined by the planner's choice
-BROADCAST_FACTOR_ROWS = 100_000
+#: most bytes of a packed effect table that goes into the tasks whole; a larger one is joined
+PACKED_EFFECT_BYTES = 64 << 20
 
 
 def score_by_join(df: DataFrame, rule: Rule, factor_table: DataFrame, key: str = KEY) -> DataFrame:
     """Data-driven variant of the logits: effects arrive as a table
-    ``(attribute, condition, choice_index, effect)``. See ``score_rules``."""
+    ``(attribute, condition, choice_index, effect)``. See ``with_table_effects``."""
     n = len(rule.choices)
-    fitted = with_table_effects(df.where(F.col(key).isNotNull()), factor_table, sorted({f.attribute for f in rule.factors}), n)
+    attrs = sorted({f.attribute for f in rule.factors})
+    rows = df.where(F.col(key).isNotNull()).select(key, *attrs)
+    fitted = with_table_effects(rows, factor_table.withColumn("slot", F.col("choice_index")), attrs, n)
     noisy = with_noise(fitted.select(key, "_fit"), rule.seed, rule.choice_ids, key)
     return noisy.select(
         key,
@@ -149,28 +151,49 @@ def score_by_join(df: DataFrame, rule: Rule, factor_table: DataFrame, key: str =
     )
 
 
-def with_table_effects(df: DataFrame, factor_table: DataFrame, attrs: Sequence[str], n_choices: int,
-                       by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``_fit``: per choice the sum of the effects whose (attribute,
-    condition) the row has.
-
-    The table is collapsed to one array of effects per (attribute, value), its
-    size is checked, and each attribute is looked up with one left join; the
-    arrays are added. Rows are never exploded, grouped or shuffled. ``by``:
-    columns of both sides that must agree as well (e.g. a rule id).
+def packed_effects(factor_table: DataFrame, attrs: Sequence[str], n_slots: int) -> DataFrame:
+    """One row: per attribute its values (``_v<i>``) and, at the same place, an
+    array of ``n_slots`` effects (``_e<i>``). ``factor_table``: attribute,
+    condition, slot, effect; effects of one slot and value are added."""
+    per_slot = factor_table.where(F.col("attribute").isin(*attrs)).groupBy("attribute", "condition", "slot").agg(F.sum("effect").alias("effect"))
+    slots = F.map_from_entries(F.collect_list(F.struct("slot", "effect")))
+    per_value = per_slot.groupBy("attribute", "condition").agg(slots.alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(n_slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    per_value = per_value.select("attribute", F.struct("condition", filled.alias("e")).alias("s"))
+    # a global aggregate, so the row is there for an empty table as well
+    row = per_value.agg(*[F.sort_array(F.collect_list(F.when(F.col("attribute") == a, F.col("s")))).alias(f"_s{i}") for i, a in enumerate(attrs)])
+    return row.select(*[c for i in range(len(attrs)) for c in (F.transform(f"_s{i}", lambda s: s["condition"]).alias(f"_v{i}"),
+                                                               F.transform(f"_s{i}", lambda s: s["e"]).alias(f"_e{i}"))])
+
+
+def with_table_effects(df: DataFrame, factor_table: DataFrame, attrs: Sequence[str], n_slots: int) -> DataFrame:
+    """Adds ``_fit``: per slot (a choice, or a rule's choice) the sum of the
+    effects whose (attribute, condition) the row has.
+
+    No join, whatever the number of attributes and rules: the packed table is
+    the single row of a scalar subquery; an attribute's value gives the place
+    of its effects. Its size is known before it is used (values x slots). Rows
+    are never exploded, grouped or shuffled. Beyond PACKED_EFFECT_BYTES the
+    effects are joined per attribute by value.
     """
-    effects = factor_table.groupBy(*by, "attribute", F.col("condition").alias("_value")).agg(
-        F.array(*[F.coalesce(F.sum(F.when(F.col("choice_index") == i, F.col("effect"))), F.lit(0.0)) for i in range(n_choices)]).alias("_effects")
-    )
-    small = effects.count() <= BROADCAST_FACTOR_ROWS
-    zero = F.array(*[F.lit(0.0)] * n_choices)
+    zero = F.array_repeat(F.lit(0.0), n_slots)
+    if not attrs:
+        return df.withColumn("_fit", zero)
+    n_values = factor_table.select("attribute", "condition").distinct().count()
+    if n_values * (8 * n_slots + 64) <= PACKED_EFFECT_BYTES:
+        packed = packed_effects(factor_table, attrs, n_slots)
+        table = packed.select(F.struct(*packed.columns)).scalar()
+        found = {}
+        for i, a in enumerate(attrs):
+            place = (F.array_position(table[f"_v{i}"], F.col(a).cast("string")) - 1).cast("int")
+            found[f"_l{i}"] = F.coalesce(F.get(table[f"_e{i}"], place), zero)
+        fit = reduce(lambda x, y: F.zip_with(x, y, lambda a, b: a + b), [F.col(c) for c in found])
+        return df.withColumns(found).withColumn("_fit", fit).drop(*found)
     out = df.withColumn("_fit", zero)
     for a in attrs:
-        side = effects.where(F.col("attribute") == a).select(*by, F.col("_value").alias(a), F.col("_effects"))
-        side = F.broadcast(side) if small else side
-        out = out.withColumn(a, F.col(a).cast("string")).join(side, [*by, a], "left")
-        found = F.coalesce("_effects", zero)
-        out = out.withColumn("_fit", F.zip_with("_fit", found, lambda x, y: x + y)).drop("_effects")
+        side = packed_effects(factor_table, [a], n_slots).select(F.explode(F.arrays_zip("_v0", "_e0")).alias("z")).select(F.col("z._v0").alias("_value"), F.col("z._e0").alias("_effects"))
+        out = out.join(side, F.col(a).cast("string") == F.col("_value"), "left")
+        out = out.withColumn("_fit", F.zip_with("_fit", F.coalesce("_effects", zero), lambda x, y: x + y)).drop("_value", "_effects")
     return out
 
 
@@ -178,27 +201,29 @@ def score_rules(df: DataFrame, rules: Mapping[str, Rule], key: str = KEY) -> Dat
     """Many stored rules over one table: ``rule_id, key, choice_index, choice,
     score`` for every rule and row, effects from the rules' factor table.
 
-    Rows are replicated once per rule (the result has a row per rule and
-    choice anyway); rules enter as two broadcast tables.
+    A row's effects for all rules come from one lookup (a slot per rule and
+    choice); noise is hashed once per distinct (seed, choice); only then the
+    row is spread to its result rows.
     """
     spark = df.sparkSession
+    slots = [(rule_id, rule, i, c) for rule_id, rule in rules.items() for i, c in enumerate(rule.choice_ids)]
     table = None
     for rule_id, rule in rules.items():
-        part = factor_table(spark, rule).withColumn("rule_id", F.lit(rule_id))
+        own = {i: k for k, (r, _, i, _) in enumerate(slots) if r == rule_id}
+        part = factor_table(spark, rule)
+        part = part.withColumn("slot", F.get(F.array(*[F.lit(own[i]) for i in range(len(own))]), "choice_index"))
         table = part if table is None else table.unionByName(part)
-    width = max(len(r.choices) for r in rules.values())
     attrs = sorted({f.attribute for r in rules.values() for f in r.factors})
     rows = df.where(F.col(key).isNotNull()).select(key, *attrs)
-    fanned = rows.withColumn("rule_id", F.explode(F.array(*[F.lit(r) for r in rules])))
-    fitted = with_table_effects(fanned, table, attrs, width, by=["rule_id"]).select("rule_id", key, "_fit")
-    terms = [(rule_id, rule.seed, i, c, rule.log_prior(c)) for rule_id, rule in rules.items() for i, c in enumerate(rule.choice_ids)]
-    params = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(s).alias("seed"), F.lit(i).alias("choice_index"), F.lit(c).alias("choice"),
-                                F.lit(lp).alias("prior")) for r, s, i, c, lp in terms])
-    long = fitted.withColumn("_own", F.explode(F.filter(params, lambda x: x["r"] == F.col("rule_id"))))
-    long = long.select("rule_id", key, "_fit", "_own.*")
-    hashed = long.withColumn("_d", F.md5(F.concat("seed", F.lit(":"), F.col(key), F.lit(":"), F.col("choice"))))
+    fitted = with_table_effects(rows, table, attrs, len(slots)).select(key, "_fit")
+    hashes = list(dict.fromkeys((rule.seed, c) for _, rule, _, c in slots))
+    hashed = fitted.select(key, "_fit", F.array(*[F.md5(keyed_text(seed, F.col(key), c)) for seed, c in hashes]).alias("_d"))
+    place = {h: k for k, h in enumerate(hashes)}
+    own = F.array(*[F.struct(F.lit(rule_id).alias("rule_id"), F.lit(i).alias("choice_index"), F.lit(c).alias("choice"), F.lit(rule.log_prior(c)).alias("prior"),
+                             F.lit(k).alias("slot"), F.lit(place[(rule.seed, c)]).alias("hash")) for k, (rule_id, rule, i, c) in enumerate(slots)])
+    long = hashed.withColumn("_own", F.explode(own)).select("_own.*", key, F.get("_fit", F.col("_own.slot")).alias("_fit"), F.get("_d", F.col("_own.hash")).alias("_d"))
     noise = (uniform_of_digest(F.col("_d")) - F.lit(0.5)) * F.lit(NOISE_SCALE)
-    return hashed.select("rule_id", key, "choice_index", "choice", (F.col("prior") + F.get("_fit", F.col("choice_index")) + noise).alias("score"))
+    return long.select("rule_id", key, "choice_index", "choice", (F.col("prior") + F.col("_fit") + noise).alias("score"))
 
 
 def factor_table(spark, rule: Rule) -> DataFrame:

@@ -3,6 +3,11 @@
 All results are tiny (a few rows per choice, group or segment); the work is
 the partial aggregation over the scored rows, which runs before any shuffle,
 so a key holding a third of all rows costs no more than any other key.
+
+Sums are taken in fixed point (``fixed_sum``), so they do not depend on how the
+rows are partitioned, and a coarse sum is the exact sum of finer ones. ``cube``
+uses that: rows are aggregated once, by all keys, and every grouping set is
+rolled up from those cells, over a lattice of a few intermediate sets.
 """
 
 from __future__ import annotations
@@ -23,6 +28,27 @@ from plurality.spec import Catalog, Factor, Rule
 UNKNOWN = "Unknown"
 
 
+#: fixed point: multiples of 2^-FRACTION, summed in a high part and LOW low bits
+FRACTION, LOW = 52, 26
+
+
+def fixed_parts(value: Column | str) -> tuple[Column, Column]:
+    """High and low integer part of a value in [-1, 1] or so; partial sums of each stay exact up to 2^37 rows."""
+    v = F.rint((F.col(value) if isinstance(value, str) else value) * F.lit(float(1 << FRACTION))).cast("bigint")
+    return F.shiftright(v, LOW), v.bitwiseAND(F.lit((1 << LOW) - 1))
+
+
+def fixed_total(high: Column, low: Column) -> Column:
+    """The double of summed parts."""
+    return (high.cast("double") * F.lit(float(1 << LOW)) + low.cast("double")) / F.lit(float(1 << FRACTION))
+
+
+def fixed_sum(value: Column | str) -> Column:
+    """Sum of probabilities (or other values in [-1, 1]), bit-equal for every order and partitioning of the rows."""
+    high, low = fixed_parts(value)
+    return fixed_total(F.sum(high), F.sum(low))
+
+
 def pct(part: Column, whole: Column) -> Column:
     """part * 100 / whole; NULL on an empty whole."""
     return F.try_divide(part * F.lit(100.0), whole.cast("double"))
@@ -37,7 +63,7 @@ def long_by_choice(df: DataFrame, choices: Sequence[str], value_prefix: str, kee
 
 def totals(scored: DataFrame, n_choices: int) -> DataFrame:
     """One row: n and t0..t{n-1} = sum of p_i. Partial + final aggregate."""
-    return scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum(prob_col(i)).alias(f"t{i}") for i in range(n_choices)])
+    return scored.agg(F.count(F.lit(1)).alias("n"), *[fixed_sum(prob_col(i)).alias(f"t{i}") for i in range(n_choices)])
 
 
 def shares(scored: DataFrame, rule: Rule, digits: int = 6) -> DataFrame:
@@ -110,27 +136,77 @@ def cube_sets(rule: Rule, catalog: Catalog, groups: Sequence[str] = (), arities:
 
 def cube(scored: DataFrame, rule: Rule, catalog: Catalog, groups: Sequence[str] = (), arities: Sequence[int] = (),
          sums: Sequence[str] | None = None, extra: Sequence[Column] = (), where: Column | None = None) -> DataFrame:
-    """All grouping sets in one pass: keys, ``_gid``, ``n`` and the sums.
-
-    One scan, one partial aggregate, whatever the rule's size. Breakdown keys
-    map off-list values to Unknown, segment keys map them to NULL. ``sums``:
-    the summed columns (default: the choice probabilities); ``extra``: further
-    aggregates over the rows (their value in the total set is the global one);
-    ``where``: the rows that ``n`` counts.
+    """All grouping sets of a report: keys, ``_gid``, ``n`` and the sums.
+
+    The rows are aggregated once, by all keys together (no Expand over rows);
+    there are never more such cells than rows. All sets are rolled up from the
+    cells (``roll_up``). Breakdown keys map off-list values to Unknown, segment
+    keys map them to NULL. ``sums``: the summed columns (default: the choice
+    probabilities); ``extra``: counts over the rows (their value in the total
+    set is the global one); ``where``: the rows that ``n`` counts.
     """
     sums = [prob_col(i) for i in range(len(rule.choices))] if sums is None else list(sums)
     sets = cube_sets(rule, catalog, groups, arities)
     keys = list(dict.fromkeys(k for s in sets for k in s))
     columns = [*[bucket_key(g, catalog) for g in groups], *[valid_value(k, catalog).alias(f"_k_{k}") for k in keys if not k.startswith("_g_")]]
-    rows = scored.select("*", *columns)
     named = [k if k.startswith("_g_") else f"_k_{k}" for k in keys]
     rename = dict(zip(keys, named))
     size = F.count(F.lit(1)) if where is None else F.count_if(where)
-    aggs = [size.alias("n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums], *extra]
-    if not keys:
-        return rows.agg(F.lit(0).cast("bigint").alias("_gid"), *aggs)
-    grouped = rows.groupingSets([[rename[k] for k in s] for s in sets], *named)
-    return grouped.agg(F.grouping_id().cast("bigint").alias("_gid"), *aggs)
+    parts = [F.sum(part).alias(f"_{half}_{c}") for c in sums for half, part in zip(("high", "low"), fixed_parts(c))]
+    rows = scored.select("*", *columns)
+    cells = rows.groupBy(*named).agg(size.alias("n"), *parts, *extra)
+    cells = roll_up(cells, named, [[rename[k] for k in s] for s in sets]) if keys else cells.withColumn("_gid", F.lit(0).cast("bigint"))
+    counts = [c for c in cells.columns if c not in {*named, "_gid", "n", *[f"_{half}_{c}" for c in sums for half in ("high", "low")]}]
+    return cells.select(*named, "_gid", "n", *[fixed_total(F.col(f"_high_{c}"), F.col(f"_low_{c}")).alias(f"_sum_{c}") for c in sums], *counts)
+
+
+#: keys of a block of the lattice; intermediate sets are unions of two blocks
+LATTICE_BLOCK = 3
+
+
+def lattice(keys: Sequence[str], sets: Sequence[Sequence[str]]) -> dict[tuple[str, ...], list[Sequence[str]]]:
+    """Intermediate grouping sets, each with the final ones that are derived from it.
+
+    Every pair of keys lies in the union of two blocks, so k keys need about
+    (k / LATTICE_BLOCK)^2 / 2 intermediate sets instead of k^2 / 2 final ones.
+    """
+    blocks = [tuple(keys[i : i + LATTICE_BLOCK]) for i in range(0, len(keys), LATTICE_BLOCK)]
+    unions = [a + b for a, b in combinations(blocks, 2)] if len(blocks) > 2 and all(len(s) <= 2 for s in sets) else [tuple(keys)]
+    plan: dict[tuple[str, ...], list[Sequence[str]]] = {}
+    for s in sets:
+        plan.setdefault(next(u for u in unions if set(s) <= set(u)), []).append(s)
+    return plan
+
+
+def roll_up(cells: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]]) -> DataFrame:
+    """The grouping sets ``sets`` (with ``_gid``) of sums that were taken by all ``keys``.
+
+    First the intermediate sets of ``lattice``, then the final ones, each from
+    the one that covers it; both steps combine before they shuffle.
+    """
+    plan = lattice(keys, sets)
+    bits = {u: grouping_bits(keys, u) for u in plan}
+    if list(plan) == [tuple(keys)]:
+        return _regroup(cells, keys, _masks([grouping_bits(keys, s) for s in sets]))
+    between = _regroup(cells, keys, _masks(list(bits.values())))
+    targets = None
+    for u, finals in plan.items():
+        here = _masks([grouping_bits(keys, s) for s in finals])
+        targets = F.when(F.col("_gid") == bits[u], here) if targets is None else targets.when(F.col("_gid") == bits[u], here)
+    return _regroup(between, keys, targets)
+
+
+def _masks(bits: Sequence[int]) -> Column:
+    return F.array(*[F.lit(b).cast("bigint") for b in bits])
+
+
+def _regroup(cells: DataFrame, keys: Sequence[str], masks: Column) -> DataFrame:
+    """Sums by each of ``masks`` (one bit per key that is left out, the first key's on top)."""
+    values = [c for c in cells.columns if c not in {*keys, "_gid"}]
+    spread = cells.select(*keys, *values, F.explode(masks).alias("_gid"))
+    left_out = [F.col("_gid").bitwiseAND(F.lit(1 << (len(keys) - 1 - i)).cast("bigint")) != 0 for i in range(len(keys))]
+    kept = [F.when(~out, F.col(k)).alias(k) for k, out in zip(keys, left_out)]
+    return spread.select(*kept, "_gid", *values).groupBy("_gid", *keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def cube_bits(cells: DataFrame, grouped: Sequence[str]) -> int:
@@ -145,7 +221,7 @@ def cube_total(cells: DataFrame) -> DataFrame:
 def breakdown(scored: DataFrame | None, rule: Rule, catalog: Catalog, groups: Sequence[str] | None = None, digits: int = 6,
               cells: DataFrame | None = None) -> DataFrame:
     """Per result group: off-list or NULL values go to ``Unknown``; one
-    GROUPING SETS pass covers all groups. No groups, no rows.
+    pass covers all groups. No groups, no rows.
 
     Output ``group_attribute, group_value, n, choice_index, choice, percent``.
     ``cells``: a ``cube`` that holds the groups."""
@@ -196,8 +272,8 @@ def segments(
     ``arity, attr_1, value_1, attr_2, value_2, n, choice_index, choice,
     percent, lift_pp`` where lift is percentage points over the overall share.
 
-    The grouping sets' Expand feeds the partial aggregate, so only partial
-    aggregates are shuffled: one plan for every number of attributes.
+    One aggregate over the rows, then the roll-up of ``cube``: one plan for
+    every number of attributes.
     ``cells``: a ``cube`` with these arities; ``sums``: its summed columns.
     """
     sums = [prob_col(i) for i in range(len(rule.choices))] if sums is None else list(sums)
@@ -265,7 +341,7 @@ def row_counts(df: DataFrame, key: str = "unit_id") -> DataFrame:
 def shares_with_counts(scored: DataFrame, rule: Rule, key: str = "unit_id", digits: int = 6) -> DataFrame:
     """``shares`` with the row counts of the same pass. ``scored``: ``probabilities(..., null_keys=True)``, whose NULL-key rows have no probabilities."""
     t = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count(key).alias("n_scored"), F.count_if(F.col(key).isNull()).alias("n_null_key"),
-                   *[F.sum(prob_col(i)).alias(f"t{i}") for i in range(len(rule.choices))])
+                   *[fixed_sum(prob_col(i)).alias(f"t{i}") for i in range(len(rule.choices))])
     long = long_by_choice(t, rule.choice_ids, "t", keep=["n_rows", "n_scored", "n_null_key"])
     return long.select("n_rows", "n_scored", "n_null_key", "choice_index", "choice", F.round("total", digits).alias("total"),
                        F.round(pct(F.col("total"), F.col("n_scored")), digits).alias("percent"))

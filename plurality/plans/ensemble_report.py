@@ -1,9 +1,9 @@
 """Ensemble report: prior resolution, one scenario scan, and every block of
 the ensemble result document (E1-E12, G10-G13).
 
-Scans: one for the whole grid (every perspective x prior x choice sum plus
-the factor coverage counts, folded into one aggregate), and one more only
-for an empirical prior. Each one-row aggregate is checkpointed into the
+Scans: one for the whole grid (every perspective x prior x choice sum, the
+factor coverage counts and, with a catalog, all segments and missing cells,
+folded into one aggregate), and one more only for an empirical prior. Each one-row aggregate is checkpointed into the
 shared folder and every block is derived from it, so no block rescans.
 Prior resolution is the only driver boundary: an empirical prior is one
 aggregate row of at most four ratios, turned into literals for the scoring
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.operators import ensemble as E
+from plurality.operators.audit import require_sound
 from plurality.operators.evidence import (
     coverage_aggs, coverage_rows, empirical_prior, evidence_counts, evidence_report,
 )
@@ -48,7 +49,9 @@ def resolve_prior(df: DataFrame, ens: Ensemble) -> tuple[Mapping[str, float], st
 def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: int = 6, catalog: Catalog | None = None,
                     mode: str = "expected") -> dict[str, DataFrame]:
     """The document's blocks. With a catalog also each perspective's best
-    segments and missing cells, from one more pass (``perspective_cube``)."""
+    segments and missing cells, from the same pass (``perspective_cube``)."""
+    if catalog is not None:
+        require_sound(ens, catalog)
     scores, source, evidence = resolve_prior(df, ens)
     central_id = ens.central_prior_id or "central"
     priors = [(p.id, p.base_scores) for p in ens.priors] if ens.priors else [(central_id, scores)]
@@ -57,9 +60,15 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
     factors = E.ensemble_factors(ens)
     keys = [(f.attribute, tuple(f.conditions)) for _, _, f in factors]
     fold = coverage_aggs(keys, where=F.col(KEY).isNotNull())[1:]  # the grid already counts n
-    agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold, mode=mode)
     shared_dir(spark)
-    agg = agg.checkpoint(eager=True)  # the one scan of the grid
+    cells = None
+    if catalog is None:
+        agg, names = E.scenario_aggregate(df, ens, priors, extra_aggs=fold, keep=[a for a, _ in keys], mode=mode)
+        agg = agg.checkpoint(eager=True)  # the one scan of the grid
+    else:
+        cells, names = E.perspective_cube(df, ens, catalog, priors, mode=mode, extra=fold)
+        cells = cells.checkpoint(eager=True)  # the one scan of the grid
+        agg = E.cube_scenarios(cells, names, [f"{kind}{k}" for k in range(len(keys)) for kind in ("valid", "matched")])
     sums = E.scenario_long(agg, names)
     shares = E.perspective_shares(sums, central_id, digits)
     win = E.winners(shares)
@@ -76,9 +85,9 @@ def ensemble_report(spark: SparkSession, df: DataFrame, ens: Ensemble, digits: i
         "factors": found.withColumnRenamed("owner", "perspective_id").drop("condition_set").join(observed, ["perspective_id", "factor_position"]),
         "robust_signals": E.robust_signals(found, [p.id for p in ens.perspectives]),
     }
-    if catalog is not None:
-        cells = E.perspective_cube(df, ens, catalog, scores, mode=mode).checkpoint(eager=True)
-        blocks["preference_groups"] = E.perspective_best_segments(spark, cells, ens, catalog, digits)
+    if cells is not None:
+        central = next(h for h, (pid, _) in enumerate(priors) if pid == central_id)
+        blocks["preference_groups"] = E.perspective_best_segments(spark, cells, ens, catalog, digits, prior=central)
         blocks["missing"] = E.perspective_missing_cells(cells, ens)
     if evidence is not None:
         blocks["prior_evidence"] = evidence

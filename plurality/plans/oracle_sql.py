@@ -13,7 +13,7 @@ from itertools import combinations
 from typing import Sequence
 
 from plurality.plans import standard as S
-from plurality.sources.profiles import packed_dictionary
+from plurality.sources.profiles import packed_dictionary, wide_selection
 from plurality.spec import DRAW_SUFFIX, NOISE_SCALE, PRIOR_FLOOR, Catalog, Rule
 
 UINT64 = "CAST('18446744073709551616' AS DOUBLE)"
@@ -707,13 +707,37 @@ def values_table(name: str, schema: str, rows) -> str:
     return f"{name} AS (SELECT {casts} FROM (VALUES {body}) AS v({names}))"
 
 
+def closest_ctes(unknown: str, known: str) -> str:
+    """CTE ``near (unknown, known, ratio)``: the known name whose matching
+    blocks (longest first, then on both sides of it) cover most of both names;
+    ``unknown`` and ``known`` are queries of one column each."""
+    common = "len([x FOR x IN range(1, least(ahi - i, bhi - j) + 1) IF substr(k, i + 1, x) = substr(u, j + 1, x)])"
+    best = f"list_max(flatten([[{{'n': {common}, 'i': -i, 'j': -j}} FOR j IN range(blo, bhi)] FOR i IN range(alo, ahi)]))"
+    chars = "list_sum([least(len(k) - len(replace(k, c, '')), len(u) - len(replace(u, c, ''))) FOR c IN list_distinct(string_split(u, ''))])"
+    return f"""near_pairs AS (SELECT u, k FROM (SELECT DISTINCT * FROM ({unknown}) AS a(u)), (SELECT DISTINCT * FROM ({known}) AS b(k))
+  WHERE u IS NOT NULL AND k IS NOT NULL AND 2.0 * least(len(u), len(k)) >= 0.82 * (len(u) + len(k)) - 1e-9 AND 2.0 * {chars} >= 0.82 * (len(u) + len(k)) - 1e-9),
+near_blocks AS (SELECT u, k, 0::BIGINT AS alo, len(k)::BIGINT AS ahi, 0::BIGINT AS blo, len(u)::BIGINT AS bhi, 0::BIGINT AS n FROM near_pairs
+  UNION ALL
+  SELECT u, k, s.alo, s.ahi, s.blo, s.bhi, s.n FROM (
+    SELECT u, k, unnest([{{'alo': alo, 'ahi': -b.i, 'blo': blo, 'bhi': -b.j, 'n': b.n}},
+                         {{'alo': -b.i + b.n, 'ahi': ahi, 'blo': -b.j + b.n, 'bhi': bhi, 'n': 0::BIGINT}}]) AS s
+    FROM (SELECT u, k, alo, ahi, blo, bhi, {best} AS b FROM near_blocks WHERE ahi > alo AND bhi > blo) WHERE b.n > 0)),
+near AS (SELECT u AS unknown, k AS known, r AS ratio FROM (SELECT u, k, 2.0::DOUBLE * sum(n) / (len(u) + len(k)) AS r FROM near_blocks GROUP BY u, k)
+  WHERE r >= 0.82 QUALIFY row_number() OVER (PARTITION BY u ORDER BY r DESC, k DESC) = 1)"""
+
+
 def rule_audit_sql(rules, catalog: Catalog, sensitive: str, profile_cols) -> str:
-    from plurality.operators.audit import MAX_FACTORS, MAX_GROUPS, SCHEMAS, SUGGEST_RATIO, flatten
+    from plurality.operators.audit import SCHEMAS, flatten
+
+    rows = flatten(rules)
+    return audit_checks_sql([values_table(k, SCHEMAS[k], rows[k]) for k in SCHEMAS], catalog, sensitive, profile_cols)
+
+
+def audit_checks_sql(tabs: list[str], catalog: Catalog, sensitive: str, profile_cols) -> str:
+    from plurality.operators.audit import MAX_FACTORS, MAX_GROUPS
     from plurality.spec import MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE
 
     lo, hi = PRIOR_SUM_TOLERANCE
-    rows = flatten(rules)
-    tabs = [values_table(k, SCHEMAS[k], rows[k]) for k in SCHEMAS]
     known_rows = [(i, a) for i, a in enumerate(catalog.attributes)]
     tabs.append(values_table("known", "pos int, attribute string", known_rows))
     tabs.append(values_table("dic", "attribute string, value string",
@@ -732,12 +756,8 @@ UNION ALL SELECT coalesce(p.rule_id, c.rule_id), 'A2 prior_keys',
   WHERE p.choice_id IS NULL OR c.choice_id IS NULL
 UNION ALL SELECT rule_id, 'A2 prior_sum', {q(f"outside [{lo}, {hi}]")} FROM priors WHERE role = 'authored' GROUP BY rule_id
   HAVING sum(value) < {lo} OR sum(value) > {hi}
-UNION ALL SELECT u.rule_id, 'A3 unknown_attribute', u.attribute || ' -> ' || coalesce(
-    (SELECT CASE WHEN 1.0 - levenshtein(u.attribute, k.attribute) / CAST(greatest(length(u.attribute), length(k.attribute)) AS DOUBLE) >= {SUGGEST_RATIO}
-                 THEN k.attribute END
-     FROM known k ORDER BY 1.0 - levenshtein(u.attribute, k.attribute) / CAST(greatest(length(u.attribute), length(k.attribute)) AS DOUBLE) DESC, k.pos
-     LIMIT 1), 'none')
-  FROM factors u WHERE u.attribute NOT IN (SELECT attribute FROM known)
+UNION ALL SELECT u.rule_id, 'A3 unknown_attribute', u.attribute || ' -> ' || coalesce(n.known, 'none') FROM factors u LEFT JOIN near n ON n.unknown = u.attribute
+  WHERE u.attribute NOT IN (SELECT attribute FROM known)
 UNION ALL SELECT c.rule_id, 'A4 invalid_condition', c.attribute || '=' || c.condition FROM conditions c
   WHERE c.attribute IN (SELECT attribute FROM known) AND NOT EXISTS (SELECT 1 FROM dic d WHERE d.attribute = c.attribute AND d.value = c.condition)
 UNION ALL SELECT rule_id, 'A4 empty_conditions', attribute FROM factors WHERE n_conditions = 0
@@ -792,12 +812,125 @@ UNION ALL SELECT v.rule_id, 'A9 invalid_selector_value', v.attribute || '=' || v
 UNION ALL SELECT rule_id, 'A10 evidence_and_hybrid', '' FROM meta WHERE empirical AND hybrid
 UNION ALL SELECT f.rule_id, 'E13 evidence_leak', f.perspective_id || ':' || f.attribute FROM factors f
   WHERE EXISTS (SELECT 1 FROM direct d WHERE d.rule_id = f.rule_id AND d.attribute = f.attribute)"""
-    return (f"WITH {ORDER_PROFILE},\n" + ",\n".join(tabs)
+    return (f"WITH RECURSIVE {ORDER_PROFILE},\n" + ",\n".join(tabs)
+            + ",\n" + closest_ctes("SELECT attribute FROM factors WHERE attribute NOT IN (SELECT attribute FROM known)", "SELECT attribute FROM known")
             + f",\nhp AS (SELECT p.* FROM priors p JOIN meta m ON m.rule_id = p.rule_id WHERE m.hybrid AND p.role = 'hybrid')"
             + f",\nseen AS (SELECT DISTINCT attribute, condition FROM ({unp}))"
             + f"\nSELECT * FROM ({checks})")
 
 
+def stored_rule_tables() -> list[str]:
+    """The flat rule tables of the rules stored per order, as CTEs."""
+    def pick(modulus: int, cases: dict, otherwise: str) -> str:
+        return f"CASE k % {modulus} " + " ".join(f"WHEN {r} THEN {v}" for r, v in cases.items()) + f" ELSE {otherwise} END"
+
+    def pairs(**values) -> str:
+        return "[" + ", ".join(f"{{'c': '{c}', 'v': {dbl(v)}}}" for c, v in values.items()) + "]"
+
+    none = "CAST([] AS STRUCT(c VARCHAR, v DOUBLE)[])"
+    prior = lambda name, *v: f"{{'id': '{name}', 's': {pairs(**dict(zip('abc', v)))}}}"
+    equal = prior("equal", 0.3334, 0.3333, 0.3333)
+    attribute = pick(7, {0: "'priorty'", 1: "'c_phone'"}, "'priority'")
+    conditions = pick(7, {2: "['1-URGENT', '9-NEVER']", 3: "CAST([] AS VARCHAR[])"}, "['1-URGENT']")
+    effects = pick(7, {4: pairs(a=0.4), 5: pairs(z=0.1), 6: none}, pairs(a=0.1))
+    first = f"{{'a': {attribute}, 'c': {conditions}, 'e': {effects}}}"
+    second = f"{{'a': 'basket', 'c': ['large'], 'e': {pairs(b=0.1)}}}"
+    third = f"{{'a': 'status', 'c': ['F'], 'e': {pairs(a=0.1)}}}"
+    view = lambda name, *fs: f"{{'id': '{name}', 'f': [{', '.join(fs)}]}}"
+    views = pick(3, {0: f"[{view('p1', first, second)}, {view('p2', first, second)}]",
+                     1: f"[{view('p1', first, second)}, {view('p1', first, second)}, {view('p2', second)}, {view('p3', first, second)}]"},
+                 f"[{view('p1', first, second)}, {view('p2', first, second)}, {view('p3', first, third)}]")
+    priors = pick(4, {0: f"[{prior('equal', 0.4, 0.3, 0.3)}, {prior('central', 0.5, 0.3, 0.2)}]",
+                      2: f"[{equal}, {prior('central', 0.5, 0.3, 0.1)}, {prior('strong', 1.2, -0.4, 0.2)}, {prior('strong', 1.2, -0.4, 0.2)}]"},
+                  f"[{equal}, {prior('central', 0.5, 0.3, 0.2)}, {prior('strong', 0.7, 0.2, 0.1)}]")
+    evidence = ("[{'c': 'a', 'p': 0, 'a': 'priority', 'v': ['1-URGENT', '0-NOW']}, {'c': 'a', 'p': 1, 'a': 'segment', 'v': CAST([] AS VARCHAR[])}, "
+                "{'c': 'a', 'p': 2, 'a': 'basket', 'v': ['large']}, {'c': 'a', 'p': 3, 'a': 'returned', 'v': ['Y']}, "
+                "{'c': 'b', 'p': 0, 'a': 'colour', 'v': ['red']}, {'c': 'q', 'p': 0, 'a': 'region', 'v': ['ASIA']}]")
+    return [
+        "ord AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS rule_id, o_orderkey % 5 = 0 AS ens, o_orderkey % 10 = 0 AS hybrid, "
+        "o_orderkey % 5 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 50 = 0) AS empirical FROM orders)",
+        "meta AS (SELECT rule_id, CASE WHEN ens THEN 'ensemble' ELSE 'rule' END AS kind, CASE WHEN hybrid THEN CASE WHEN k % 20 = 0 THEN 'nope' ELSE 'central' END END AS central_prior_id, "
+        "CASE WHEN hybrid AND k % 30 <> 0 THEN 'equal' END AS fit_only_prior_id, hybrid, CASE WHEN k % 17 = 0 THEN 2 ELSE 0 END AS n_interactions, empirical FROM ord)",
+        f"choices AS (SELECT rule_id, unnest({pick(11, {0: ["a"], 1: ["a", "a", "b"], 2: ["a", "b", "sample"]}, str(["a", "b", "c"]))}) AS choice_id FROM ord)",
+        f"ownp AS (SELECT rule_id, unnest({pick(13, {0: pairs(a=0.5, b=0.3), 1: pairs(a=0.5, b=0.3, c=0.2, d=0.0)}, pairs(a=0.5, b=0.3, c=0.2))}) AS x FROM ord)",
+        f"hybp AS (SELECT rule_id, unnest({priors}) AS p FROM ord WHERE hybrid)",
+        "hybrid_priors AS (SELECT rule_id, p.id AS prior_id FROM hybp)",
+        "priors AS (SELECT rule_id, 'authored' AS role, '' AS prior_id, x.c AS choice_id, x.v AS value FROM ownp UNION ALL "
+        "SELECT rule_id, 'hybrid', id, x.c, x.v FROM (SELECT rule_id, p.id AS id, unnest(p.s) AS x FROM hybp))",
+        f"viewed AS (SELECT rule_id, unnest({views}) AS p FROM ord WHERE ens)",
+        "perspectives AS (SELECT rule_id, p.id AS perspective_id FROM viewed)",
+        f"facts AS (SELECT rule_id, p.id AS perspective_id, unnest(p.f) AS f FROM viewed UNION ALL SELECT rule_id, '', unnest(CASE WHEN k % 19 = 0 THEN [{first} FOR i IN range(13)] "
+        f"ELSE [{first}, {second}] END) FROM ord WHERE NOT ens)",
+        "factors AS (SELECT rule_id, perspective_id, f.a AS attribute, len(f.c) AS n_conditions, len(f.e) AS n_effects FROM facts)",
+        "conditions AS (SELECT rule_id, f.a AS attribute, unnest(f.c) AS condition FROM facts)",
+        "effects AS (SELECT rule_id, attribute, x.c AS choice_id, x.v AS effect FROM (SELECT rule_id, f.a AS attribute, unnest(f.e) AS x FROM facts))",
+        f"groups AS (SELECT rule_id, unnest({pick(9, {0: ["region", "segment"], 1: ["region", "status", "region", "status"]}, str(["region"]))}) AS grp FROM ord)",
+        f"sels AS (SELECT rule_id, unnest({evidence}) AS s FROM ord WHERE empirical)",
+        "selectors AS (SELECT rule_id, s.c AS choice_id, s.p AS pos, s.a AS attribute, len(s.v) AS n_conditions FROM sels)",
+        "selector_values AS (SELECT rule_id, s.a AS attribute, unnest(s.v) AS condition FROM sels)",
+        f"direct AS (SELECT rule_id, unnest({pick(6, {0: 'CAST([] AS VARCHAR[])', 2: ["status", "planet"]}, str(["status"]))}) AS attribute, 'excluded' AS role FROM ord WHERE hybrid "
+        "UNION ALL SELECT rule_id, attribute, 'evidence' FROM selectors)",
+    ]
+
+
+WIDE_PACKED_PROFILE = f"""packed_profile AS (
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('d', doc_id) END AS source_record_id, source, doc_id AS source_row_index,
+    unhex(substr({" || ".join(f"md5(doc_id || ':{i}')" for i in range(41))}, 1, CASE WHEN doc_id % 11 = 0 THEN 200 ELSE 1290 END)) AS attributes,
+    CASE WHEN doc_id % 5 = 0 THEN NULL ELSE unhex(substr({" || ".join(f"md5(doc_id || ':n{i}')" for i in range(11))}, 1, 324)) END AS null_bitmap,
+    CASE doc_id % 3 WHEN 0 THEN [{{'field_index': 3, 'value': concat('ov', lang)}}, {{'field_index': 3, 'value': 'second'}}, {{'field_index': 1285, 'value': 'end'}}]
+      WHEN 1 THEN [{{'field_index': 0, 'value': CAST(NULL AS VARCHAR)}}, {{'field_index': 0, 'value': 'late'}}, {{'field_index': 5, 'value': 'x'}}] END AS attribute_overrides
+  FROM documents)"""
+
+
+def page_files_ctes(pages_per_file: int) -> str:
+    """Files as hex text: as listed (x) and as written (y)."""
+    return f"""file AS (SELECT page_id // {pages_per_file} AS number, hex(encode(string_agg(coalesce(html, ''), '' ORDER BY page_id))) AS x FROM pages GROUP BY 1),
+w AS (SELECT number, number % 7 AS fault, 'pages-' || number || '.bin' AS file_name, x,
+  CASE number % 7 WHEN 1 THEN substr(x, 1, 2 * (len(x) // 4)) || '00' || substr(x, 2 * (len(x) // 4) + 3) WHEN 2 THEN substr(x, 1, greatest(len(x) - 10, 0)) ELSE x END AS y FROM file),
+s AS (SELECT file_name, x, y, CASE WHEN fault <> 4 THEN (len(x) // 2)::BIGINT END AS expected_bytes, CASE WHEN fault <> 3 THEN (len(y) // 2)::BIGINT END AS bytes,
+  CASE WHEN fault = 3 THEN 'missing' WHEN fault = 4 THEN 'unlisted' WHEN len(x) <> len(y) THEN 'size_mismatch' ELSE 'ok' END AS status FROM w)"""
+
+
+def file_integrity_sql(pages_per_file: int, block: int) -> str:
+    return f"""WITH {page_files_ctes(pages_per_file)}
+SELECT file_name, expected_bytes, bytes, CASE WHEN status = 'ok' AND x <> y THEN 'hash_mismatch' ELSE status END AS status,
+  CASE WHEN status = 'ok' AND x <> y THEN array_to_string([b FOR b IN range((len(x) + {2 * block} - 1) // {2 * block})
+    IF substr(x, {2 * block} * b + 1, {2 * block}) <> substr(y, {2 * block} * b + 1, {2 * block})], ',') END AS bad_blocks FROM s"""
+
+
+def file_completeness_sql(pages_per_file: int) -> str:
+    return f"WITH {page_files_ctes(pages_per_file)} SELECT file_name, expected_bytes, bytes, status FROM s"
+
+
+def catalog_values_sql(domains) -> str:
+    return "v AS (" + " UNION ".join(f"SELECT {q(d)} AS domain, {q(c)} AS attribute, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL"
+                                     for d, t, cs in domains for c in cs) + ")"
+
+
+def catalog_load_sql() -> str:
+    return f"""WITH {catalog_values_sql(S.CATALOG_DOMAINS)}
+SELECT domain, attribute, (row_number() OVER (PARTITION BY attribute ORDER BY value) - 1)::INTEGER AS code, value,
+  attribute IN {in_list(S.CATALOG_BREAKDOWNS)} AS is_breakdown, attribute NOT IN {in_list(S.CATALOG_NON_SEGMENT)} AS is_segment FROM v"""
+
+
+def catalog_duplicates_sql() -> str:
+    return f"""WITH {catalog_values_sql([*S.CATALOG_DOMAINS, *S.CATALOG_REPEATED])}
+SELECT attribute, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM v GROUP BY attribute HAVING count(DISTINCT domain) > 1"""
+
+
+def unicode_seed_sql() -> str:
+    """The texts hold no compatibility characters; of their letters only sharp s folds otherwise than to lower case."""
+    front = "[" + ", ".join(q(p) for p in S.PLANTED_CANONICAL) + f"][doc_id % {len(S.PLANTED_CANONICAL)} + 1]"
+    return f"""SELECT doc_id, sha256(trim(regexp_replace({front} || replace(lower(text), '\u00df', 'ss'), '[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F]+', ' ', 'g'))) AS seed FROM documents"""
+
+
+def closest_names_sql() -> str:
+    return f"""WITH RECURSIVE hosts AS (SELECT page_id, regexp_extract(url, '://([a-z]+)\\.', 1) AS h, (page_id % 4 + 2)::INTEGER AS p FROM pages),
+bad AS (SELECT CASE page_id % 3 WHEN 0 THEN substr(h, 1, p - 1) || substr(h, p + 1) WHEN 1 THEN substr(h, 1, p - 1) || 'q' || substr(h, p + 1) ELSE reverse(h) END AS h FROM hosts),
+{closest_ctes("SELECT h FROM bad WHERE h NOT IN (SELECT h FROM hosts)", "SELECT h FROM hosts")}
+SELECT unknown, known, round(ratio, 9) AS ratio FROM near"""
+
+
 ORACLE: dict[str, str] = {
     "share_expected": shares_sql(S.STANDARD_RULE),
     "share_sampled": shares_sql(S.STANDARD_RULE, mode="sampled"),
@@ -852,4 +985,14 @@ ORACLE: dict[str, str] = {
     "classify_index": classify_index_sql(S.SCHEMA_TABLES, S.TESTDATA_CLASSIFIER),
     "rule_audit": rule_audit_sql(S.AUDIT_RULES, S.ORDER_CATALOG, S.TESTDATA_CLASSIFIER.sensitive_pattern,
                                  ["region", "segment", "priority", "status", "basket", "returned"]),
+    "decode_wide_513": decode_wide_sql(packed_dictionary(1290), select=set(wide_selection()), source=WIDE_PACKED_PROFILE),
+    "file_integrity": file_integrity_sql(32, 4096),
+    "file_completeness": file_completeness_sql(32),
+    "catalog_load": catalog_load_sql(),
+    "catalog_duplicates": catalog_duplicates_sql(),
+    "unicode_seed": unicode_seed_sql(),
+    "closest_names": closest_names_sql(),
+    "row_group_sizes": "SELECT sum(l_quantity::INTEGER)::BIGINT AS rows, 'ZSTD' AS compression, 0::BIGINT AS oversized, 0::BIGINT AS uneven FROM lineitem",
+    "stored_rule_audit": audit_checks_sql(stored_rule_tables(), S.ORDER_CATALOG, S.TESTDATA_CLASSIFIER.sensitive_pattern,
+                                          ["region", "segment", "priority", "status", "basket", "returned"]),
 }

@@ -218,14 +218,14 @@ def ensemble_best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plurality.operators.ensemble import perspective_best_segments, perspective_cube
 
     shared_dir(spark)
-    cells = perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG).checkpoint(eager=True)
+    cells = perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG)[0].checkpoint(eager=True)
     return perspective_best_segments(spark, cells, S.STANDARD_ENSEMBLE, S.ORDER_CATALOG, DIGITS)
 
 
 def ensemble_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plurality.operators.ensemble import perspective_cube, perspective_missing_cells
 
-    return perspective_missing_cells(perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG), S.STANDARD_ENSEMBLE)
+    return perspective_missing_cells(perspective_cube(_orders(spark, sf_dir), S.STANDARD_ENSEMBLE, S.ORDER_CATALOG)[0], S.STANDARD_ENSEMBLE)
 
 
 def factor_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,6 +435,127 @@ def ensemble_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_roundtrip(spark, blocks, scratch_path(spark, "ensemble-json"))
 
 
+def decode_wide_513(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """513 of 1,290 fields of 645-byte rows, in batches."""
+    from plurality.operators.packed import decode_batches
+
+    return decode_batches(profiles.wide_packed_profile(spark, sf_dir), profiles.packed_dictionary(profiles.WIDE_FIELDS), profiles.wide_selection())
+
+
+#: pages of a file and bytes of a block in the file checks
+PAGES_PER_FILE, FILE_BLOCK = 32, 4096
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """A manifest of files of pages (with block digests), and the folder they
+    were written to: some with a changed byte, cut short, not written, or not
+    in the manifest (by file number modulo 7)."""
+    from plurality.sources.integrity import write_files
+
+    pages = profiles.table(spark, sf_dir, "pages", "page_id BIGINT, html STRING")
+    in_order = F.sort_array(F.collect_list(F.struct("page_id", F.coalesce("html", F.lit("")).alias("html"))))
+    files = pages.groupBy(F.expr(f"page_id div {PAGES_PER_FILE}").alias("number")).agg(in_order.alias("all"))
+    files = files.select("number", F.concat(F.lit("pages-"), F.col("number").cast("string"), F.lit(".bin")).alias("file_name"),
+                         F.encode(F.array_join(F.transform("all", lambda p: p["html"]), ""), "UTF-8").alias("content"))
+    size, fault = F.octet_length("content"), F.col("number") % 7
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / FILE_BLOCK).cast("int") - 1, F.lit(0))),
+                         lambda k: F.sha2(F.substring(F.col("content"), k * FILE_BLOCK + 1, F.lit(FILE_BLOCK)), 256))
+    manifest = files.where(fault != 4).select("file_name", size.cast("bigint").alias("bytes"), blocks.alias("blocks"))
+    half = F.floor(size / 2).cast("int")
+    changed = F.concat(F.substring("content", F.lit(1), half), F.unhex(F.lit("00")), F.substring("content", half + 2, size))
+    short = F.substring("content", F.lit(1), F.greatest(size - 5, F.lit(0)))
+    written = files.where(fault != 3).select("file_name", F.when(fault == 1, changed).when(fault == 2, short).otherwise(F.col("content")).alias("content"))
+    folder = scratch_path(spark, "page-files")
+    write_files(written, folder).write.format("noop").mode("overwrite").save()
+    return manifest, folder
+
+
+def file_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written files against their manifest, block by block, all faults with the blocks that differ."""
+    from plurality.sources.integrity import audit_files
+
+    manifest, folder = _page_files(spark, sf_dir)
+    found = audit_files(spark, manifest, folder, "pages-*.bin", FILE_BLOCK)
+    return found.withColumn("bad_blocks", F.array_join("bad_blocks", ","))
+
+
+def file_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by existence and size only."""
+    from plurality.sources.integrity import completeness, listed_files
+
+    manifest, folder = _page_files(spark, sf_dir)
+    return completeness(manifest, listed_files(spark, folder, "pages-*.bin"))
+
+
+def _catalog_values(spark: SparkSession, sf_dir: str, domains) -> DataFrame:
+    """(domain, attribute, value) of the distinct values of table columns."""
+    out = None
+    for domain, table, columns in domains:
+        df = profiles.table(spark, sf_dir, table).select(*columns)
+        pairs = F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in columns])
+        rows = df.select(F.lit(domain).alias("domain"), F.inline(pairs)).where("value IS NOT NULL").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of the tables' values, written as JSON files and loaded with the duplicate check."""
+    from plurality.sources.catalogs import load_catalog, write_catalog
+
+    index = write_catalog(_catalog_values(spark, sf_dir, S.CATALOG_DOMAINS), scratch_path(spark, "catalog"))
+    return load_catalog(spark, index, breakdowns=S.CATALOG_BREAKDOWNS, non_segment=S.CATALOG_NON_SEGMENT)
+
+
+def catalog_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes that two domains of a written catalog declare."""
+    from plurality.sources.catalogs import duplicate_attributes, read_catalog, write_catalog
+
+    domains = [*S.CATALOG_DOMAINS, *S.CATALOG_REPEATED]
+    return duplicate_attributes(read_catalog(spark, write_catalog(_catalog_values(spark, sf_dir, domains), scratch_path(spark, "catalog"))))
+
+
+def unicode_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds (NFKC, case folding, single blanks, SHA-256) of all documents, with planted forms in front of three in four."""
+    from plurality.functions.text import seed_text
+
+    docs = profiles.table(spark, sf_dir, "documents", "doc_id BIGINT, text STRING")
+    front = F.get(F.array(*[F.lit(p) for p in S.PLANTED_FORMS]), (F.col("doc_id") % len(S.PLANTED_FORMS)).cast("int"))
+    return docs.select("doc_id", seed_text(F.concat(front, F.col("text"))).alias("seed"))
+
+
+def closest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt host names (a letter left out, changed, or the name reversed) and the closest known one."""
+    from plurality.operators.names import closest
+
+    host = F.regexp_extract("url", r"://([a-z]+)\.", 1)
+    pages = profiles.table(spark, sf_dir, "pages", "page_id BIGINT, url STRING").select("page_id", host.alias("known"))
+    at = (F.col("page_id") % 4 + 2).cast("int")
+    front, back = F.substring("known", F.lit(1), at - 1), F.substring("known", at + 1, F.length("known"))
+    wrong = F.when(F.col("page_id") % 3 == 0, F.concat(front, back)).when(F.col("page_id") % 3 == 1, F.concat(front, F.lit("q"), back)).otherwise(F.reverse("known"))
+    known = pages.select("known")
+    unknown = pages.select(wrong.alias("unknown")).join(known.withColumnRenamed("known", "unknown"), "unknown", "left_anti")
+    return closest(unknown, known).withColumn("ratio", F.round("ratio", ROW_DIGITS))
+
+
+def row_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of all order lines (a row per unit of quantity) written as Parquet; the row groups as their footers tell."""
+    from plurality.sources.files import row_group_audit, row_groups, write_parquet
+
+    lines = profiles.table(spark, sf_dir, "lineitem", "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE")
+    units = lines.select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1), F.col("l_quantity").cast("int"))).alias("unit"))
+    path = write_parquet(units, scratch_path(spark, "units"))
+    return row_group_audit(row_groups(spark, path)).drop("row_groups")
+
+
+def stored_rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored rule or ensemble per order, with planted faults of every kind, audited in one job."""
+    from plurality.operators.audit import audit_stored
+    from plurality.plans.stored_rules import stored_rules
+
+    orders = profiles.table(spark, sf_dir, "orders", "o_orderkey BIGINT")
+    return audit_stored(spark, stored_rules(orders), S.ORDER_CATALOG, _orders(spark, sf_dir), S.TESTDATA_CLASSIFIER.sensitive_pattern)
+
+
 REGISTRY: dict[str, Query] = {
     "share_expected": share_expected,
     "share_sampled": share_sampled,
@@ -486,4 +607,13 @@ REGISTRY: dict[str, Query] = {
     "rule_audit": rule_audit,
     "result_json": result_json,
     "ensemble_json": ensemble_json,
+    "decode_wide_513": decode_wide_513,
+    "file_integrity": file_integrity,
+    "file_completeness": file_completeness,
+    "catalog_load": catalog_load,
+    "catalog_duplicates": catalog_duplicates,
+    "unicode_seed": unicode_seed,
+    "closest_names": closest_names,
+    "row_group_sizes": row_group_sizes,
+    "stored_rule_audit": stored_rule_audit,
 }

@@ -7,9 +7,11 @@ is checkpointed with its own partitions into the shared folder (lineage cut,
 survives executor loss) and every block is derived from it. NULL-key rows are
 counted in the same pass.
 
-JSON is produced only at the edge: one row per block with ``to_json`` over the
-block's sorted rows, NULL fields included, and ``from_json_rows`` reads typed
-rows back.
+JSON is produced only at the edge: one nested document with the sorted rows of
+every block, NULL fields included (``as_document``), or a row per block
+(``as_json_rows``); ``from_document`` and ``from_json_rows`` read typed rows back.
+
+A rule with problems is refused before anything is scored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.operators import scoring, shares
+from plurality.operators.audit import require_sound
 from plurality.operators.evidence import coverage_aggs, coverage_rows
 from plurality.session import shared_dir
 from plurality.spec import Catalog, Rule
@@ -34,6 +37,7 @@ def factor_keys(rule: Rule) -> list[tuple[str, tuple[str, ...]]]:
 def rule_report(spark: SparkSession, profile: DataFrame, rule: Rule, catalog: Catalog, mode: str = "expected",
                 digits: int = 6) -> dict[str, DataFrame]:
     """All report blocks from one scan of the profile; a block the rule has nothing for is left out."""
+    require_sound(rule, catalog)
     n, keys = len(rule.choices), factor_keys(rule)
     scored = scoring.probabilities(profile, rule, mode=mode, null_keys=True)
     keyed = F.col(scoring.KEY).isNotNull()
@@ -84,6 +88,24 @@ def from_json_rows(documents: DataFrame, blocks: Mapping[str, DataFrame]) -> Dat
     return out
 
 
+def as_document(blocks: Mapping[str, DataFrame]) -> DataFrame:
+    """One row, ``document``: a JSON object with a field per block, each the block's rows as a sorted array, NULLs included."""
+    rows = as_json_rows(blocks)
+    fields = F.transform(F.sort_array(F.collect_list(F.struct("block", "json"))), lambda b: F.concat(F.lit('"'), b["block"], F.lit('":'), b["json"]))
+    return rows.agg(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("document"))
+
+
+def from_document(documents: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
+    """Typed rows of nested documents, ``block`` and the union of all blocks' columns. ``blocks`` gives the schemas."""
+    kind = ", ".join(f"`{name}`: array<struct<" + ", ".join(f"`{c}`:{t}" for c, t in df.select(*sorted(df.columns)).dtypes) + ">>" for name, df in blocks.items())
+    parsed = documents.select(F.from_json("document", f"struct<{kind}>").alias("d"))
+    out = None
+    for name in blocks:
+        rows = parsed.select(F.lit(name).alias("block"), F.inline(F.col("d")[name]))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def write_json(documents: DataFrame, path: str) -> str:
     """JSON-lines sink (UTF-8), one line per block; the commit protocol makes it appear whole."""
     documents.write.mode("overwrite").json(path)
@@ -91,6 +113,6 @@ def write_json(documents: DataFrame, path: str) -> str:
 
 
 def json_roundtrip(spark: SparkSession, blocks: Mapping[str, DataFrame], path: str) -> DataFrame:
-    """Writes the blocks as JSON lines and reads them back as typed rows."""
-    written = write_json(as_json_rows(blocks), path)
-    return from_json_rows(spark.read.schema("block string, json string").json(written), blocks)
+    """Writes the blocks as one nested JSON document and reads it back as typed rows."""
+    as_document(blocks).select(F.col("document").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return from_document(spark.read.text(path, wholetext=True).select(F.col("value").alias("document")).where("document <> ''"), blocks)

@@ -185,3 +185,21 @@ AUDIT_RULES = {
         seed=STANDARD_SEED, interactions=({"a": "priority", "b": "basket"},),
     ),
 }
+
+# Catalog files written from table columns: (domain, table, columns).
+CATALOG_DOMAINS = (
+    ("orders", "orders", ("o_orderpriority", "o_orderstatus")),
+    ("parties", "customer", ("c_mktsegment",)),
+    ("parties", "nation", ("n_name",)),
+    ("parties", "region", ("r_name",)),
+    ("parts", "part", ("p_brand", "p_name", "p_type")),
+    ("texts", "documents", ("lang", "source")),
+)
+CATALOG_BREAKDOWNS = ("r_name", "lang")
+CATALOG_NON_SEGMENT = ("r_name", "lang", "o_orderstatus")
+# Attributes declared a second time, in another domain.
+CATALOG_REPEATED = (("texts", "orders", ("o_orderstatus",)), ("parties", "documents", ("lang",)))
+
+# Put in front of texts, and what they become: ligatures, full-width forms, sharp s, title case, dotted I, circled digits.
+PLANTED_FORMS = ("", "\ufb01nal \uff26\uff55ll\u3000width \u00df ", "\u01c5 \u0130 \ufb00\u00a0", "Stra\u00dfe \u210c \u2460\t")
+PLANTED_CANONICAL = ("", "final full width ss ", "d\u017e i\u0307 ff ", "strasse h 1 ")

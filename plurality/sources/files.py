@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plurality.session import scratch_path
+from plurality.sources.integrity import listed_files, open_file
 from plurality.spec import Catalog
 
 
@@ -20,18 +21,57 @@ def scan_union(spark: SparkSession, paths: Sequence[str], merge_schema: bool = F
     return df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file_name"))
 
 
-def write_parquet(df: DataFrame, path: str, compression: str = "zstd", row_group_bytes: int = 128 * 1024 * 1024) -> str:
+#: rows of a row group
+ROW_GROUP_ROWS = 100_000
+
+
+def write_parquet(df: DataFrame, path: str, compression: str = "zstd", row_group_bytes: int = 128 * 1024 * 1024,
+                  row_group_rows: int = ROW_GROUP_ROWS) -> str:
     """Parquet sink; Spark's commit protocol makes the directory appear whole.
-    Row groups are sized in bytes (``parquet.block.size``)."""
+    A row group ends at ``row_group_rows`` rows, or before at ``row_group_bytes``."""
     (
         df.write.mode("overwrite")
         .option("compression", compression)
         .option("parquet.block.size", str(row_group_bytes))
+        .option("parquet.block.row.count.limit", str(row_group_rows))
         .parquet(path)
     )
     return path
 
 
+def row_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """``file_name, row_group, rows, bytes, compression`` of every row group, read from the footers of a folder's Parquet files (a task per run of files)."""
+    files = listed_files(spark, directory, "*.parquet").select("path", "file_name")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for path, name in zip(batch.column("path").to_pylist(), batch.column("file_name").to_pylist(), strict=True):
+                with open_file(path) as stream:
+                    footer = pq.read_metadata(stream)
+                for i in range(footer.num_row_groups):
+                    group = footer.row_group(i)
+                    codecs = sorted({group.column(c).compression for c in range(group.num_columns)})
+                    for column, value in zip(out, (name, i, group.num_rows, group.total_byte_size, ",".join(codecs)), strict=True):
+                        column.append(value)
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["file_name", "row_group", "rows", "bytes", "compression"])
+
+    return files.mapInArrow(run, "file_name string, row_group int, rows long, bytes long, compression string")
+
+
+def row_group_audit(groups: DataFrame, limit: int = ROW_GROUP_ROWS) -> DataFrame:
+    """One row over ``row_groups``: ``rows, row_groups, compression, oversized`` (groups above the limit) and ``uneven`` (groups below it with another one after them in their file)."""
+    last = Window.partitionBy("file_name")
+    marked = groups.withColumn("_last", F.max("row_group").over(last))
+    return marked.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("row_groups"), F.array_join(F.sort_array(F.collect_set("compression")), ",").alias("compression"),
+        F.count_if(F.col("rows") > limit).alias("oversized"), F.count_if((F.col("rows") < limit) & (F.col("row_group") < F.col("_last"))).alias("uneven"))
+
+
 def sink_roundtrip(spark: SparkSession, df: DataFrame, name: str = "sink", compression: str = "zstd") -> tuple[DataFrame, DataFrame]:
     """Writes to the shared folder, re-reads, and returns (rows, load summary)."""
     path = write_parquet(df, scratch_path(spark, name), compression)

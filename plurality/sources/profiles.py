@@ -128,6 +128,35 @@ def packed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: fields and bytes of a row of the wide packed fixture
+WIDE_FIELDS, WIDE_BYTES = 1290, 645
+
+
+def wide_packed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_profile`` at full width: 645-byte blobs (100 bytes in every 11th
+    row), 162-byte null bitmaps and overrides at both ends of the fields."""
+    d = _known(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    sid = F.col("doc_id").cast("string")
+    code = F.concat(*[F.md5(F.concat(sid, F.lit(f":{i}"))) for i in range(-(-WIDE_BYTES // 16))])
+    bits = F.concat(*[F.md5(F.concat(sid, F.lit(f":n{i}"))) for i in range(11)])
+    entry = lambda i, v: F.struct(F.lit(i).alias("field_index"), v.cast("string").alias("value"))
+    lists = (F.when(F.col("doc_id") % 3 == 0, F.array(entry(3, F.concat(F.lit("ov"), F.col("lang"))), entry(3, F.lit("second")), entry(1285, F.lit("end"))))
+             .when(F.col("doc_id") % 3 == 1, F.array(entry(0, F.lit(None)), entry(0, F.lit("late")), entry(5, F.lit("x")))))
+    return d.select(
+        "doc_id",
+        F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("d"), sid)).alias("source_record_id"),
+        "source", F.col("doc_id").alias("source_row_index"),
+        F.unhex(F.substring(code, F.lit(1), F.when(F.col("doc_id") % 11 == 0, 200).otherwise(2 * WIDE_BYTES))).alias("attributes"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("binary")).otherwise(F.unhex(F.substring(bits, F.lit(1), F.lit(324)))).alias("null_bitmap"),
+        lists.alias("attribute_overrides"),
+    )
+
+
+def wide_selection() -> list[str]:
+    """513 of the wide fixture's fields, even and odd ones."""
+    return [f"f{i}" for i in range(WIDE_FIELDS) if i * 513 % WIDE_FIELDS < 513]
+
+
 def packed_dictionary(n_fields: int = 32) -> list[tuple[str, list[str]]]:
     """Encoding schema of the packed fixture: field i is ``f{i}`` with
     ``4 + i % 13`` values ``f{i}v{j}`` (codes past the list decode to NULL)."""
