@@ -31,7 +31,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``saved`` table; whatever is still needed of it must have been saved since."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ordered(df: DataFrame, order: list, value: str | None = None) -> DataFrame:

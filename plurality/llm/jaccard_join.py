@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import cut, saved, table
+from plurality.llm.common import cut, discard, saved, table
 from plurality.llm.components import components
 from plurality.llm.words import hashed, mix, windows
 
@@ -60,6 +60,9 @@ STRONG = 2
 #: cells of the n-gram counts by which hopeless sets are found, and the members of a group that are compared with as many in one task
 CELL_BITS, SEARCHED = 9, 10_000
 
+#: parts in which the region hashes are matched and the groups compared, one after the other
+PASSES = 3
+
 SKETCH = "doc_id long, tie long, id long, s1 long, n long, counts binary, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, block int, probe boolean, node long, grams binary"
 
@@ -369,18 +372,27 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     row_key = [F.coalesce("doc_id", F.lit(NULL_IDS)).alias("row"), "tie"]
     sketched = saved(sketch(rows, words, percent), "sketch")
-    known = sketched.select("doc_id", *row_key, "id", "n", F.col("s1").alias("node"))
+    narrow = saved(sketched.select("doc_id", *row_key, "id", "n", F.col("s1").alias("node"), "counts"), "narrow")
+    known = narrow.drop("counts")
     # equal sets publish the same hashes under the same node, so copies are no partners
     hits = sketched.select(F.col("s1").alias("node"), "n", F.explode("regions").alias("r"))
     hits = hits.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
-    for _ in range(2):  # the second time among those with enough shared hashes
-        shared = saved(hits.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"), "shared")
-        hits = saved(hits.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct(), "hits")
+    for passes in (PASSES, 1):  # the second time among those with enough shared hashes
+        met = []
+        for i in range(passes):
+            mine = hits.filter(F.pmod("sig", F.lit(passes)) == i) if passes > 1 else hits
+            shared = saved(mine.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"), "shared")
+            met.append(saved(mine.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct(), "hits"))
+        if passes > 1:
+            discard(sketched)  # all regions that two sets share are in the hits
+        hits = met[0]
+        for more in met[1:]:
+            hits = hits.unionByName(more)
         enough = hits.groupBy("node", "kind", "need").agg(F.count("*").alias("k")).filter("k >= need").select("node", "kind")
         hits = hits.join(enough, ["node", "kind"])
     wanted = cut(hits.select("node", "n", "leader").distinct())
     large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
-    counts = sketched.select(F.col("s1").alias("node"), "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    counts = narrow.select("node", "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     whole = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
     whole = whole.select("*", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("side"))
     hopeful = _hopeful(whole, percent)
@@ -414,11 +426,15 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                      pa.array([False] * len(to)), pa.array([node] * len(to), pa.int64()), pa.array([data] * len(to), pa.binary())],
                     ["leader", "part", "block", "probe", "node", "grams"])
 
-    chosen = owners.join(goals, "node")
-    texts = rows.select(*row_key, "text").join(chosen, ["row", "tie"])
-    sets = texts.select("node", "goals", "text").mapInArrow(spread, SETS)
-    sets = saved(sets, "sets")
-    edges = cut(_links(sets, percent))
+    # the texts that are compared are written before their sets move, so that both shuffles are not there at once
+    texts = rows.select(*row_key, "text").join(owners.join(goals, "node"), ["row", "tie"])
+    texts = saved(texts.select("node", "goals", "text"), "texts")
+    edges = None
+    for i in range(PASSES):  # some of the groups, then the next ones
+        mine = F.expr(f"filter(goals, g -> pmod(xxhash64(g.leader), {PASSES}) = {i})")
+        some = texts.select("node", mine.alias("goals"), "text").filter(F.size("goals") > 0)
+        found = saved(_links(some.mapInArrow(spread, SETS), percent), "edges")
+        edges = found if edges is None else edges.unionByName(found)
     if not big.isEmpty():
         # sets of a large group outside its leader's component meet the others and each other, in blocks
         member = components(edges)
@@ -433,7 +449,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             transform(sequence(0, blocks - 1), x -> struct(-1 - least(own, x) AS part, greatest(own, x) AS block, own > x AS probe)),
             transform(filter(sequence(0, greatest(parts, 1) - 1), x -> parts > 0), x -> struct(x AS part, own AS block, true AS probe))),
             transform(sequence(0, blocks - 1), x -> struct(own AS part, x AS block, false AS probe)))""")
-        # the leader is in every part of its group
+        # the sets of these groups, made again from their texts; the leader is in every part of its group
+        sets = texts.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(spread, SETS)
         once = sets.filter("node <> leader or part = 0").select("leader", "node", "grams")
         pairs = once.join(dealt, ["leader", "node"]).select("leader", "node", "grams", F.explode(meets).alias("m"))
         edges = edges.unionByName(_links(pairs.select("leader", "m.part", "m.block", "m.probe", "node", "grams"), percent))
@@ -450,10 +467,11 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def keep_first(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One document of each component, the one of the smallest id, with its own columns. Repeated rows leave one."""
-    kept = join_components(docs, words, percent).filter("first").select(F.col("row").alias("_row"), F.col("tie").alias("_tie")).distinct()
-    rows = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS))).withColumn("_tie", F.xxhash64("text"))
-    return rows.join(kept, ["_row", "_tie"], "left_semi").dropDuplicates(["_row", "_tie"]).select(*docs.columns)
+    """One document of each component, the one of the smallest id, with its own columns whatever their names. Repeated rows leave one."""
+    kept = join_components(docs, words, percent).filter("first").select("row", "tie").distinct()
+    rows = docs.select(F.struct("*").alias("doc"))
+    rows = rows.select("doc", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NULL_IDS)).alias("row"), F.xxhash64("doc.text").alias("tie"))
+    return rows.join(kept, ["row", "tie"], "left_semi").dropDuplicates(["row", "tie"]).select("doc.*")
 
 
 def op6_jaccard_join(spark, sf_dir):
