@@ -3,9 +3,11 @@
 Bulk-synchronous best fit, largest sizes first. One round takes all documents
 of one size. They and the open sequences ("gaps") are in sorted order, so a
 document's successor is the tightest gap that holds it; documents that want
-the same gaps are told apart by rank: the k-th document takes the k-th gap.
-Gaps shrink by the size, and the round repeats while gaps and documents are
-left; then new sequences are opened.
+the same gaps are told apart by rank: the k-th document takes the k-th gap, and
+as long as the size still fits into the gaps just used, these are the tightest
+and take the next ranks. Gaps shrink by the size, and the round repeats while
+gaps and documents are left; then new sequences are opened. This is best-fit
+decreasing, document by document.
 
 Gaps that have the same room are interchangeable and stand next to each other,
 so the sorted gap list is kept run-length coded: at most ``capacity`` different
@@ -41,37 +43,47 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Rows (size, first rank, documents, first sequence, offset): the documents
     of a size with ranks from the first one on take consecutive sequences, one each.
+
+    A gap is filled as often as the size fits before the next one is taken: what
+    is left of it is tighter than any other gap that fits. So the result is that
+    of best-fit decreasing, document by document.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}
     rooms = np.zeros(capacity + 1, dtype=np.int64)
     out, opened = [], 0
 
-    def place(size: int, rank: int, room: int, first: int, n: int) -> None:
-        out.append((size, rank, n, first, capacity - room))
-        if left := room - size:
+    def fill(size: int, rank: int, room: int, first: int, n: int, times: int) -> None:
+        """``times`` documents into each of n gaps; the gaps' first documents have the first ranks."""
+        out.extend((size, rank + j * n, n, first, capacity - room + j * size) for j in range(times))
+        if left := room - times * size:
             gaps.setdefault(left, []).append((first, n))
             rooms[left] += n
 
     for size in sorted(counts, reverse=True):
         rank, wanting = 0, counts[size]
-        while wanting:
-            fitting = size + np.flatnonzero(rooms[size:])
-            if not len(fitting):
-                place(size, rank, capacity, opened, fresh := -(-wanting // (capacity // size)))
-                opened, rank, wanting = opened + fresh, rank + fresh, wanting - fresh
-                continue
-            for room in fitting.tolist():
-                while wanting and rooms[room]:
-                    first, n = gaps[room].pop()
-                    used = min(n, wanting)
-                    rooms[room] -= n
-                    if n > used:
-                        gaps[room].append((first + used, n - used))
-                        rooms[room] += n - used
-                    place(size, rank, room, first, used)
-                    rank, wanting = rank + used, wanting - used
-                if not wanting:
-                    break
+
+        def take(room: int, first: int, n: int) -> int:
+            """Fills n gaps while documents are left; how many gaps were used."""
+            nonlocal rank, wanting
+            times = room // size
+            full = min(n, wanting // times)
+            if full:
+                fill(size, rank, room, first, full, times)
+            rank, wanting = rank + full * times, wanting - full * times
+            if full < n and wanting:
+                fill(size, rank, room, first + full, 1, wanting)
+                rank, wanting, full = rank + wanting, 0, full + 1
+            return full
+
+        for room in (size + np.flatnonzero(rooms[size:])).tolist():
+            while wanting and rooms[room]:
+                first, n = gaps[room].pop()
+                used = take(room, first, n)
+                rooms[room] -= used
+                if n > used:
+                    gaps[room].append((first + used, n - used))
+        if wanting:
+            opened += take(capacity, opened, -(-wanting // (capacity // size)))
     return out
 
 

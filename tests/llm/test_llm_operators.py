@@ -574,24 +574,33 @@ def test_packing(spark):
 
 
 def test_plan_is_best_fit_decreasing():
-    r = random.Random(8)
-    for _ in range(60):
-        capacity = r.choice([10, 33, 100])
-        counts = {s: r.randint(1, 30) for s in r.sample(range(1, capacity + 1), r.randint(1, 9))}
-        gaps = []
+    """The same sequences as document-by-document best fit, also where a size has few documents."""
+    r, cases = random.Random(8), [(13, {4: 4, 3: 3})]
+    for _ in range(400):
+        capacity = r.choice([5, 10, 33, 60])
+        cases.append((capacity, {s: r.choice([1, 1, 2, 3, r.randint(1, 30)]) for s in r.sample(range(1, capacity + 1), r.randint(1, min(capacity, 12)))}))
+    for capacity, counts in cases:
+        gaps, want = [], []
         for size in sorted(counts, reverse=True):
             for _ in range(counts[size]):
                 fit = min((g for g in gaps if g >= size), default=None)
+                want.append((size, capacity - (fit or capacity)))
                 if fit is None:
                     gaps.append(capacity - size)
                 else:
                     gaps[gaps.index(fit)] -= size
-        rooms = {}
-        for size, _, n, first, offset in packing.plan(counts, capacity):
+        seqs, ranks = {}, {}
+        plan = packing.plan(counts, capacity)
+        for size, rank, n, first, offset in plan:
+            ranks.setdefault(size, []).extend(range(rank, rank + n))
             for seq in range(first, first + n):
-                assert rooms.get(seq, 0) == offset
-                rooms[seq] = offset + size
-        assert len(rooms) == len(gaps) and max(rooms.values()) <= capacity
+                seqs.setdefault(seq, []).append((offset, size))
+        assert sorted(seqs) == list(range(len(gaps)))
+        for pieces in seqs.values():
+            ends = [0, *[o + s for o, s in sorted(pieces)]]
+            assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= capacity
+        assert sorted((s, o) for p in seqs.values() for o, s in p) == sorted(want)
+        assert {s: sorted(v) for s, v in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
 
 
 # -- 10 substring dedup
