@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import cut, table
+from plurality.llm.common import saved, table
 from plurality.llm.tokens import UNIT, UnitEncoder, encoder, tokenizer_path
 from plurality.llm.words import mix, powers
 
@@ -170,10 +170,11 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def _assembled(docs: DataFrame, vocabulary: str, hashes: bool) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
-    places = cut(_places(rows))
+    # a row that is repeated has its chunks once; its copies meet their ids in the last join
+    places = saved(_places(rows).dropDuplicates(["row", "tie", "k"]), "places")
     at = F.struct("row", "tie", "k")
     shared = places.groupBy("d1", "d2").agg(F.min(at).alias("own"), F.max(at).alias("last")).filter("own <> last")
-    owned = cut(shared.select("own.row", "own.tie", "own.k", "d1", "d2"))
+    owned = saved(shared.select("own.row", "own.tie", "own.k", "d1", "d2"), "owned")
     texts = _compressed(rows)
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +193,7 @@ def _assembled(docs: DataFrame, vocabulary: str, hashes: bool) -> DataFrame:
 
     mine = owned.groupBy("row", "tie").agg(F.collect_list(F.struct("k", "d1", "d2")).alias("mine"))
     known = texts.join(mine, ["row", "tie"]).select("packed", "mine").mapInArrow(encode_owned, "d1 long, d2 long, ids binary")
+    known = known.dropDuplicates(["d1", "d2"])  # the owner may be repeated
     given = places.join(known, ["d1", "d2"]).groupBy("row", "tie").agg(F.collect_list(F.struct("k", "ids")).alias("given"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
