@@ -65,14 +65,23 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-# Largest driver-known row bound that is hinted for broadcast; above it the
-# planner chooses (size statistics, AQE runtime statistics).
-BROADCAST_MAX_ROWS = 1_000_000
+# Largest size that is hinted for broadcast; above it the planner chooses
+# (size statistics, AQE runtime statistics).
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def bounded_broadcast(df, row_bound: int, max_rows: int = BROADCAST_MAX_ROWS):
+def row_bytes(schema) -> int:
+    """About how many bytes a row takes: 8 per fixed-width column, 64 per text or nested one."""
+    from pyspark.sql import types as T
+
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return 16 + sum(64 if isinstance(f.dataType, wide) else 8 for f in schema)
+
+
+def bounded_broadcast(df, row_bound: int, max_bytes: int = BROADCAST_MAX_BYTES):
     """Broadcast hint only for a side whose row count is bounded by
-    construction (rule size, catalog size, one row per choice)."""
+    construction (rule size, catalog size, one row per choice), and only if
+    that many rows of its schema are small."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if row_bound <= max_rows else df
+    return F.broadcast(df) if row_bound * row_bytes(df.schema) <= max_bytes else df

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plurality.session import scratch_path
-from plurality.sources.integrity import listed_files, open_file
+from plurality.sources.catalogs import duplicate_attributes, read_catalog
+from plurality.sources.integrity import audit_files, listed_files, open_file, stream_digests
 from plurality.spec import Catalog
 
 
@@ -103,37 +104,17 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, directory: str, pattern: str = "*", with_hash: bool = True) -> DataFrame:
-    """(path, file_name, bytes[, sha256]) of every file in ``directory``
-    matching ``pattern``. Each file is one task; without the hash the content
-    column is pruned (size only)."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    cols = [F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("bytes")]
-    if with_hash:
-        cols.append(F.sha2(F.col("content"), 256).alias("sha256"))
-    return df.select(*cols)
+    """(path, file_name, bytes[, sha256]) of every file in ``directory`` matching ``pattern``; a file is streamed, never held whole."""
+    files = listed_files(spark, directory, pattern)
+    return files.join(stream_digests(files), "path") if with_hash else files
 
 
 def manifest_audit(spark: SparkSession, manifest: DataFrame, directory: str, pattern: str = "*") -> DataFrame:
     """Every manifest entry (file_name, bytes, sha256) against the files:
     ``ok``, ``missing``, ``size_mismatch`` (hash not computed for it) or
     ``hash_mismatch``. All failures are reported, not only the first."""
-    sizes = file_digests(spark, directory, pattern, with_hash=False)
-    sized = manifest.alias("m").join(sizes.alias("f"), F.col("m.file_name") == F.col("f.file_name"), "left").select(
-        F.col("m.file_name").alias("file_name"), F.col("m.bytes").alias("expected_bytes"), F.col("f.bytes").alias("actual_bytes"),
-        F.col("m.sha256").alias("expected_sha256"), F.col("f.path").alias("path"),
-    )
-    # the content is hashed after the semi join, so only files of the right size are
-    need_hash = sized.where(F.col("actual_bytes") == F.col("expected_bytes")).select("path")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select("path", "content")
-    hashed = content.join(need_hash, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
-    out = sized.join(hashed, "path", "left")
-    status = (
-        F.when(F.col("actual_bytes").isNull(), F.lit("missing"))
-        .when(F.col("actual_bytes") != F.col("expected_bytes"), F.lit("size_mismatch"))
-        .when(F.col("sha256") != F.col("expected_sha256"), F.lit("hash_mismatch"))
-        .otherwise(F.lit("ok"))
-    )
-    return out.select("file_name", "expected_bytes", "actual_bytes", status.alias("status"))
+    found = audit_files(spark, manifest, directory, pattern).where("status <> 'unlisted'")
+    return found.select("file_name", "expected_bytes", F.col("bytes").alias("actual_bytes"), "status")
 
 
 def record_manifest_audit(manifest: DataFrame, records: DataFrame) -> DataFrame:
@@ -195,29 +176,7 @@ def observed_dictionary(df: DataFrame, catalog: Catalog, key: str = "unit_id") -
 
 
 def load_catalog_json(spark: SparkSession, index_path: str) -> tuple[DataFrame, DataFrame]:
-    """Reads a catalog index ``{domains: {name: {file}}}`` and its domain files
-    ``{attributes: {name: [values]}}`` into a long dictionary
-    ``(domain, attribute, code, value)``; second frame lists attributes
-    declared by more than one domain (an error for the caller)."""
-    import json
-    import posixpath
-
-    # the index is a few hundred bytes of configuration: one row to the driver,
-    # read through Spark so shared file systems and object stores work
-    index = json.loads(spark.read.text(index_path, wholetext=True).first()["value"])
-    base = posixpath.dirname(index_path)
-    paths = [(name, posixpath.join(base, meta["file"])) for name, meta in index["domains"].items()]
-    frames = []
-    for name, path in paths:
-        doc = spark.read.option("multiLine", "true").text(path, wholetext=True)
-        parsed = doc.select(F.from_json("value", "struct<attributes: map<string, array<string>>>").alias("d"))
-        frames.append(
-            parsed.select(F.lit(name).alias("domain"), F.explode("d.attributes").alias("attribute", "values")).select(
-                "domain", "attribute", F.posexplode("values").alias("code", "value")
-            )
-        )
-    long = frames[0]
-    for fr in frames[1:]:
-        long = long.unionByName(fr)
-    dups = long.groupBy("attribute").agg(F.count_distinct("domain").alias("domains")).where("domains > 1")
-    return long, dups
+    """A catalog's long dictionary ``(domain, attribute, code, value)``, unchecked, and the attributes
+    that more than one domain declares. ``catalogs.load_catalog`` raises on these."""
+    long = read_catalog(spark, index_path)
+    return long.select("domain", "attribute", "code", "value"), duplicate_attributes(long)

@@ -82,8 +82,8 @@ def test_bounded_broadcast_hint_only_under_bound(spark):
 
     small = spark.range(10)
     big = spark.range(1000)
-    hinted = big.join(bounded_broadcast(small, 10, max_rows=100), "id")
-    unhinted = big.join(bounded_broadcast(small, 10, max_rows=5), "id")
+    hinted = big.join(bounded_broadcast(small, 10, max_bytes=1000), "id")
+    unhinted = big.join(bounded_broadcast(small, 10, max_bytes=100), "id")
     assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in unhinted._jdf.queryExecution().analyzed().toString().lower()
 
