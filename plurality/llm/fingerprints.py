@@ -78,22 +78,55 @@ def _cells(keys: str, width: int) -> str:
             f"if({_hit('i', 'e', width)}, named_struct('n', c.n + 1, 'k', c.k ^ e, 'x', c.x ^ {_check('e')}), c)))")
 
 
-def _peeled(left: str, right: str, width: int) -> str:
-    """SQL: number of differing digests, or null if the cells do not peel empty."""
-    cells = (f"zip_with({_cells(left, width)}, {_cells(right, width)}, (a, b) -> "
-             "named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'x', a.x ^ b.x))")
+def _peel(cells: str, width: int, result: str, more: str = "") -> str:
+    """SQL: peels subtracted cells; ``result`` of the state s if they end up empty, else null. ``s.d`` counts
+    the digests; with ``more`` (a column type) ``s.found`` collects them with their side (1: left, -1: right).
+    """
     pure = (f"array_distinct(transform(filter(transform(s.cells, (c, i) -> named_struct('n', c.n, 'k', c.k, 'x', c.x, 'i', i)), "
             f"c -> abs(c.n) = 1 and c.x = {_check('c.k')} and {_hit('c.i', 'c.k', width)}), c -> named_struct('n', c.n, 'k', c.k)))")
     taken = (f"transform(s.cells, (c, i) -> aggregate(s.pure, c, (a, p) -> if({_hit('i', 'p.k', width)}, "
              f"named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'x', a.x ^ {_check('p.k')}), a)))")
     empty = "cast(array() as array<struct<n:int,k:bigint>>)"
+    start, same, grown = (f", 'found', cast(array() as {more})", ", 'found', s.found", ", 'found', concat(s.found, s.pure)") if more else ("", "", "")
     # odd steps look for pure cells, even steps take them out; without any, the rest is passed over
     step = (f"case when not s.live then s "
-            f"when r % 2 = 1 then named_struct('cells', s.cells, 'pure', {pure}, 'd', s.d, 'live', true) "
-            f"when size(s.pure) = 0 then named_struct('cells', s.cells, 'pure', s.pure, 'd', s.d, 'live', false) "
-            f"else named_struct('cells', {taken}, 'pure', {empty}, 'd', s.d + size(s.pure), 'live', true) end")
-    return (f"aggregate(sequence(1, {2 * ROUNDS}), named_struct('cells', {cells}, 'pure', {empty}, 'd', 0, 'live', true), (s, r) -> {step}, "
-            "s -> if(exists(s.cells, c -> c.n <> 0 or c.k <> 0L or c.x <> 0L), null, s.d))")
+            f"when r % 2 = 1 then named_struct('cells', s.cells, 'pure', {pure}, 'd', s.d, 'live', true{same}) "
+            f"when size(s.pure) = 0 then named_struct('cells', s.cells, 'pure', s.pure, 'd', s.d, 'live', false{same}) "
+            f"else named_struct('cells', {taken}, 'pure', {empty}, 'd', s.d + size(s.pure), 'live', true{grown}) end")
+    return (f"aggregate(sequence(1, {2 * ROUNDS}), named_struct('cells', {cells}, 'pure', {empty}, 'd', 0, 'live', true{start}), (s, r) -> {step}, "
+            f"s -> if(exists(s.cells, c -> c.n <> 0 or c.k <> 0L or c.x <> 0L), null, {result}))")
+
+
+def _subtracted(left: str, right: str) -> str:
+    return f"zip_with({left}, {right}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'x', a.x ^ b.x))"
+
+
+def _peeled(left: str, right: str, width: int) -> str:
+    """SQL: number of differing digests, or null if the cells do not peel empty."""
+    return _peel(_subtracted(_cells(left, width), _cells(right, width)), width, "s.d")
+
+
+def compare_fingerprints(df: DataFrame, left: str, right: str, width: int = BASE) -> DataFrame:
+    """Adds what two stored fingerprints (as ``with_sketches`` writes them) tell about each other: ``only_left`` and
+    ``only_right``, the recovered digests of the differing paragraphs, and ``likeness``.
+
+    All three are null where the sketches hold more differences than their cells can give back (about 3 * width / 1.3):
+    then larger sketches are needed, which ``with_likeness`` makes from the texts, or fingerprints of a larger width.
+    """
+    def cells(c: str) -> str:
+        number = "cast(conv({}, 16, -10) as bigint)".format
+        part = "split(c, ':')"
+        return (f"transform(split(substring_index(`{c}`, ';', -1), ','), c -> named_struct('n', cast(get({part}, 0) as int), "
+                f"'k', {number(f'get({part}, 1)')}, 'x', {number(f'get({part}, 2)')}))")
+
+    found = _peel(_subtracted("_left", "_right"), width, "s.found", "array<struct<n:int,k:bigint>>")
+    df = df.withColumns({"_left": F.expr(cells(left)), "_right": F.expr(cells(right))}).withColumn("_found", F.expr(found))
+    for name, side in (("only_left", 1), ("only_right", -1)):
+        df = df.withColumn(name, F.expr(f"sort_array(transform(filter(_found, p -> p.n = {side}), p -> p.k))"))
+    total = sum((F.substring_index(c, ";", 1).cast("int") for c in (left, right)), F.lit(0))
+    d = F.size("_found")
+    likeness = F.when(F.col("_found").isNotNull(), F.when(total == 0, F.lit(1.0)).otherwise((total - d).cast("double") / (total + d)))
+    return df.withColumn("likeness", likeness).drop("_left", "_right", "_found")
 
 
 def _difference(group: str, other: int) -> str:
@@ -105,14 +138,14 @@ def _difference(group: str, other: int) -> str:
     return f"coalesce({', '.join(_peeled(a, b, w) for w in SIZES)}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
 
 
-def with_sketches(df: DataFrame, texts: list[str]) -> DataFrame:
-    """Adds ``_e_<text>`` (distinct paragraph digests) and ``_f_<text>`` (fingerprint) for text columns without nulls."""
+def with_sketches(df: DataFrame, texts: list[str], width: int = BASE) -> DataFrame:
+    """Adds ``_e_<text>`` (distinct paragraph digests) and ``_f_<text>`` (fingerprint of 3 * ``width`` cells, a power of two) for text columns without nulls."""
     df = df.withColumns({f"_d_{t}": F.expr(_digests(t)) for t in texts})
     df = df.withColumns({f"_r_{t}": F.expr(_starts(f"_d_{t}")) for t in texts})
     df = df.withColumns({f"_e_{t}": F.expr(_elements(f"_d_{t}", f"_r_{t}")) for t in texts})
     shown = "c -> concat(c.n, ':', lpad(hex(c.k), 16, '0'), ':', lpad(hex(c.x), 16, '0'))"
     return df.withColumns({
-        f"_f_{t}": F.expr(f"concat(size(_e_{t}), ';', array_join(transform({_cells(f'_e_{t}', BASE)}, {shown}), ','))") for t in texts
+        f"_f_{t}": F.expr(f"concat(size(_e_{t}), ';', array_join(transform({_cells(f'_e_{t}', width)}, {shown}), ','))") for t in texts
     }).drop(*[f"_{x}_{t}" for t in texts for x in "dr"])
 
 

@@ -113,6 +113,33 @@ def test_sketches_retry_and_peel(spark):
     assert many.select(F.expr(small).alias("d")).first().d is None
 
 
+@pytest.mark.parametrize("width", [4, 32])
+def test_stored_fingerprints_give_back_the_differing_paragraphs(spark, width):
+    """Two fingerprints alone: the recovered digests are those of the paragraphs that differ, or all is null."""
+    r, rows = random.Random(width), []
+    for i in range(60):
+        lines = [prose(500 + 100 * i + k, 8) for k in range(r.randint(0, 60))]
+        other = list(lines)
+        for _ in range(r.choice([0, 1, 2, 5, 15, 60])):
+            if other and r.random() < 0.6:
+                other[r.randrange(len(other))] = prose(r.randrange(10**6), 8)
+            else:
+                other.insert(r.randint(0, len(other)), prose(r.randrange(10**6), 8))
+        rows.append((i, "\n".join(lines), "\n".join(other)))
+    df = fingerprints.with_sketches(spark.createDataFrame(rows, "i int, a string, b string"), ["a", "b"], width).cache()
+    found = fingerprints.compare_fingerprints(df, "_f_a", "_f_b", width).collect()
+    good = 0
+    for x in found:
+        a, b = set(x["_e_a"]), set(x["_e_b"])
+        if x.likeness is None:
+            assert x.only_left is None and x.only_right is None and len(a ^ b) > width
+            continue
+        good += len(a ^ b) > 0
+        assert x.only_left == sorted(a - b) and x.only_right == sorted(b - a)
+        assert x.likeness == (len(a & b) / len(a | b) if a | b else 1.0)
+    assert good > 15
+
+
 # -- 2 chunk BPE, tokens
 
 
