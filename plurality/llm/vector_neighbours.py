@@ -50,7 +50,9 @@ LINKS, BUILD_BEAM, BEAM = 12, 40, 24
 #: share of an audit's true matches that the beam must find; queries of an audit
 RECALL, AUDIT = 0.99, 256
 #: queries that walk together, queries of a task, members of a block when links are counted
-LOCKSTEP, SLICE, MEMBERS = 256, 4096, 2048
+LOCKSTEP, SLICE, MEMBERS = 256, 4096, 512
+#: keys under which a large component's members are dealt
+SALTS = 64
 #: a query whose beam was full is answered by comparing all of the shard once its beam is this part of it: that is cheaper than the walk
 SCAN = 128
 #: single precision may miss the threshold by this
@@ -323,7 +325,9 @@ def found_links(graphs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """(a, b): a spanning forest of the verified links that each (graph, slice of queries) finds."""
     slices = F.explode(F.expr(f"sequence(0L, n - 1, {SLICE}L)"))
     asks = graphs.select(F.col("dim"), F.col("path").alias("from"), slices.alias("at"))
-    work = graphs.join(asks, "dim").select("path", "beam", "from", "at").repartition("path", "from", "at")
+    # a fixed number of parts: the rows are few and small, but each is much work
+    parts = int(graphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = graphs.join(asks, "dim").select("path", "beam", "from", "at").repartition(parts, "path", "from", "at").sortWithinPartitions("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,21 +353,24 @@ def count_links(members: DataFrame, least: float = THRESHOLD) -> DataFrame:
     ``members``: node, root, weight, x, h2. Blocks of a component meet in pairs;
     of a large one, nodes near its mean are counted without being compared.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    members = cut(members.join(sizes, "root"))
-    large = members.filter(F.col("size") > MEMBERS)
+    # what a large component's members need is sent to them under SALTS keys, so that no task takes all of them
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    members = cut(members.withColumn("salt", F.pmod("h2", F.lit(SALTS)).cast("int")))
+    sizes = cut(members.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > MEMBERS))
+    large = members.join(sizes.select("root", salted), ["root", "salt"])
     mean = large.select("root", F.posexplode("x").alias("i", "v")).groupBy("root", "i").agg(F.sum("v").alias("v"))
     mean = mean.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("m"))
     mean = mean.select("root", F.transform("m", lambda s: s["v"]).alias("m"))
     mean = mean.withColumn("m", F.transform("m", lambda v: v / F.sqrt(F.aggregate("m", F.lit(0.0), lambda a, b: a + b * b))))
+    mean = mean.join(sizes, "root").select("root", "size", "m", salted)
     # half the threshold's angle, and a margin for rounding
     half = float(np.sqrt((1 + least) / 2)) + 1e-9
     dot = F.aggregate(F.zip_with("x", "m", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    marked = members.join(mean, "root", "left").withColumn("core", F.coalesce(dot >= half, F.lit(False))).drop("m")
-    core = marked.filter("core").groupBy("root").agg(F.sum("weight").alias("sum"))
-    sure = marked.filter("core").join(core, "root").select("node", (F.col("sum") - F.col("weight")).alias("links"))
+    marked = members.join(mean, ["root", "salt"], "left").withColumn("core", F.coalesce(dot >= half, F.lit(False))).drop("m")
+    core = marked.filter("core").groupBy("root").agg(F.sum("weight").alias("sum")).select("root", "sum", salted)
+    sure = marked.filter("core").join(core, ["root", "salt"]).select("node", (F.col("sum") - F.col("weight")).alias("links"))
 
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    blocks = F.coalesce(F.ceil(F.col("size") / MEMBERS), F.lit(1)).cast("int")
     marked = marked.withColumn("blocks", blocks).withColumn("block", F.pmod("h2", blocks).cast("int"))
     every = F.expr("sequence(0, blocks - 1)")
     asks = marked.filter("not core").select("root", F.col("block").alias("q"), F.explode(every).alias("t"), F.lit(True).alias("ask"), "core", "node", "weight", "x")
