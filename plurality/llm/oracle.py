@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plurality.llm import centroids, lexical_search, vector_neighbours
+from plurality.llm import centroids, jaccard_join, lexical_search, substring_dedup, vector_neighbours
 from plurality.llm import quality_rules as q
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -108,9 +108,44 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS c
 FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a"""
 
 
+def jaccard_sql() -> str:
+    """op6: sets of shingles, all pairs that share one, and what each document reaches."""
+    k, percent = jaccard_join.WORDS, jaccard_join.PERCENT
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, array_to_string(list_slice(words, p, p + {k - 1}), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - {k - 2})) AS p FROM w WHERE len(words) >= {k})
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND {k - 1})),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.a"""
+
+
+def repeats_sql() -> str:
+    """op10: every window, the smallest document that has it, and the words that stay."""
+    span = substring_dedup.SPAN
+    return f"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents),
+v AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(list_slice(words, p, p + {span - 1}), ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {span - 2})) AS p FROM w WHERE len(words) >= {span})),
+f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, p + o AS i FROM (SELECT v.doc_id, v.p FROM v JOIN f ON v.h = f.h WHERE first < doc_id), (SELECT unnest(range({span})) AS o)),
+words AS (SELECT doc_id, unnest(words) AS x, unnest(range(1, len(words) + 1)) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id"""
+
+
 ORACLE = {
     "op3_quality_rules": quality_rules_sql(),
     "op5_warc": warc_sql(),
+    "op6_jaccard_join": jaccard_sql(),
+    "op10_substring_dedup": repeats_sql(),
     "op11_centroid_clustering": centroid_sql(),
     "op12_ranked_search": search_sql(),
     "op13_vector_neighbours": neighbours_sql(),

@@ -258,7 +258,7 @@ def test_graph_finds_what_brute_force_finds(n):
     assert len(found & want) >= 0.99 * len(want)
 
 
-@pytest.mark.parametrize("name", ["op5_warc", "op11_centroid_clustering", "op12_ranked_search", "op13_vector_neighbours"])
+@pytest.mark.parametrize("name", ["op5_warc", "op6_jaccard_join", "op10_substring_dedup", "op11_centroid_clustering", "op12_ranked_search", "op13_vector_neighbours"])
 def test_sql(spark, name):
     from oracle_check import compare
 
