@@ -104,7 +104,7 @@ def test_empty_table(spark):
 
 
 def test_registered_queries():
-    assert {int(n[2:].split("_")[0]) for n in queries.REGISTRY} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.REGISTRY} == set(range(1, 14))
     import __spark_entry__ as entry
 
     assert "pipeline" in entry.queries() and set(queries.REGISTRY) <= set(entry.queries())
