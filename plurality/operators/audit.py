@@ -3,10 +3,11 @@
 Rules and ensembles are flat tables (choices, priors, factors, conditions,
 effects, groups, perspectives, direct-evidence attributes); every check is a
 group-by, an anti/semi join against the catalog, or a filter. Rules given as
-configuration are flattened on the driver (``flatten``); stored rules, a row of
-nested columns each, are flattened by Spark (``rule_tables``), so any number of
-them is audited in one job. One check reads the data: condition values that
-never occur in the profile.
+configuration are flattened on the driver (``flatten``). Stored rules are rows of
+nested columns (``audit_stored``): a rule whose id occurs once has all its checks
+as expressions over its own row, without a shuffle (``row_findings``); rules
+whose id is repeated or NULL are flattened (``rule_tables``) and take the joins.
+One check reads the data: condition values that never occur in the profile.
 Output ``rule_id, check, detail``.
 """
 
@@ -18,11 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.operators.names import closest
-from plurality.session import bounded_broadcast, scratch_path
+from plurality.session import BROADCAST_MAX_BYTES, bounded_broadcast, row_bytes, scratch_path
 from plurality.spec import DRAW_SUFFIX, MAX_ABS_EFFECT, PRIOR_SUM_TOLERANCE, Catalog, Ensemble, Rule
 
 MAX_FACTORS = 12
 MAX_GROUPS = 3
+#: places a lookup table that is not small is dealt to, for keys that are in most rows
+SALTS = 64
+#: rows of a scratch file; rules take little room and much work, so that tasks are dealt by files, not bytes
+FILE_ROWS = 50_000
 
 
 def flatten(rules: Mapping[str, Rule | Ensemble]) -> dict[str, list[tuple]]:
@@ -128,14 +133,216 @@ def rule_tables(stored: DataFrame) -> dict[str, DataFrame]:
     return tables
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(spark, f"rules-{name}")
+    df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str, n: int | None = None) -> DataFrame:
+    """``rows`` joined to a lookup table on ``keys``, of which a few may be in most rows. ``n``: the table's row count, if known;
+    a table that is not small is dealt to SALTS places each, so that no key's rows meet in one task."""
+    keys = list(keys)
+    if n is not None and n * row_bytes(table.schema) <= BROADCAST_MAX_BYTES:
+        return rows.join(F.broadcast(table), keys, how)
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def _looked_at(catalog: Catalog, profile: DataFrame | None, used: Sequence[str] | None = None) -> list[str]:
+    """Attributes whose values are looked up in the profile."""
+    return sorted(set(catalog.attributes) & set(profile.columns) & set(catalog.attributes if used is None else used)) if profile is not None else []
+
+
+def _observed(profile: DataFrame, attrs: Sequence[str]) -> DataFrame:
+    """``attribute, condition``: the values of the profile, each once; only the given attributes are unpivoted."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("condition")) for a in attrs])
+    seen = profile.select(F.explode(pairs).alias("kv")).select("kv.attribute", "kv.condition").where(F.col("condition").isNotNull())
+    return seen.groupBy("attribute", "condition").count().select("attribute", "condition")
+
+
+def _known(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    return bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"), len(catalog.attributes))
+
+
+def _suggested(factors: DataFrame, known: DataFrame) -> DataFrame:
+    """``attribute, known``: the closest known name of each unknown attribute that has one."""
+    unknown = factors.join(known, "attribute", "left_anti").select(F.col("attribute").alias("unknown"))
+    return closest(unknown, known.withColumnRenamed("attribute", "known")).select(F.col("unknown").alias("attribute"), "known")
+
+
 def audit_stored(spark: SparkSession, stored: DataFrame, catalog: Catalog, profile: DataFrame | None = None, sensitive_pattern: str | None = None) -> DataFrame:
-    """Findings of stored rules. The flat tables are written once in the shared folder, so every check reads only its own narrow columns."""
-    flat = {}
-    for name, table in rule_tables(stored).items():
-        path = scratch_path(spark, f"rules-{name}")
-        table.write.parquet(path)
-        flat[name] = spark.read.schema(table.schema).parquet(path)
-    return audit_tables(spark, flat, catalog, profile, sensitive_pattern)
+    """Findings of stored rules. The rules are written once in the shared folder; the checks of a rule whose id occurs once need
+    only its row and the two lookup tables (observed values, suggested names), those of repeated ids need the flat tables."""
+    stored = _written(spark, stored, "stored")
+    repeated = _written(spark, stored.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR rule_id IS NULL").select("rule_id"), "repeated")
+    attrs = _looked_at(catalog, profile)
+    seen = _written(spark, _observed(profile, attrs), "seen") if attrs else None
+    near = _written(spark, _suggested(rule_tables(stored)["factors"].select("attribute"), _known(spark, catalog)), "near")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return row_findings(stored, catalog, near, attrs, seen, sensitive_pattern)
+    again = bounded_broadcast(repeated.select(F.col("rule_id").alias("_id")), n_repeated)
+    once = stored.where("rule_id IS NOT NULL").join(again, F.col("rule_id") == F.col("_id"), "left_anti")
+    several = stored.join(again, F.col("rule_id").eqNullSafe(F.col("_id")), "left_semi")
+    flat = {name: _written(spark, table, name) for name, table in rule_tables(_written(spark, several, "several")).items()}
+    return row_findings(once, catalog, near, attrs, seen, sensitive_pattern).unionByName(
+        audit_tables(spark, flat, catalog, profile, sensitive_pattern, seen=seen))
+
+
+_HITS = "array<struct<check:string,detail:string,attribute:string,condition:string>>"
+
+
+def row_findings(stored: DataFrame, catalog: Catalog, near: DataFrame, attrs: Sequence[str], seen: DataFrame | None,
+                 sensitive_pattern: str | None = None) -> DataFrame:
+    """Findings of stored rules (STORED_RULE) whose ids are not NULL and occur once: the checks of ``audit_tables`` over a rule's
+    own row. ``near``: suggested names; ``seen``: observed values of the attributes ``attrs``."""
+    col, lit, size = F.col, F.lit, F.size
+    lo, hi = PRIOR_SUM_TOLERANCE
+    ensemble, no = col("kind") == "ensemble", F.lit(False)
+
+    def among(values: Sequence[str]):
+        return lambda x: F.coalesce(x.isin(*values), no)
+
+    def within(array: Column, x: Column) -> Column:
+        return F.coalesce(F.array_contains(array, x), no)
+
+    def each(array: Column, f) -> Column:
+        """The values of ``f`` for all elements; NULL arrays have none."""
+        return F.flatten(F.array_compact(F.transform(array, f)))
+
+    def twice(array: Column) -> Column:
+        distinct = F.array_distinct(array)
+        return F.when(size(distinct) < size(array), F.filter(distinct, lambda x: size(F.filter(array, lambda y: y.eqNullSafe(x))) > 1))
+
+    def pair(attribute: Column, value: Column) -> Column:
+        return F.concat(F.length(attribute).cast("string"), lit(":"), attribute, value)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(F.array_compact(values), lit(0.0), lambda s, v: s + v)
+
+    def hit(check: str, detail: Column, attribute: Column | None = None, condition: Column | None = None) -> Column:
+        none = lit(None).cast("string")
+        return F.struct(lit(check).alias("check"), detail.cast("string").alias("detail"), (none if attribute is None else attribute).alias("attribute"),
+                        (none if condition is None else condition).alias("condition"))
+
+    known, breakdown = among(list(catalog.attributes)), among(list(catalog.breakdowns))
+    listed = among([f"{len(a)}:{a}{v}" for a, vs in catalog.attributes.items() for v in vs])
+    looked_at = among(list(attrs))
+    hits: list[Column] = []
+
+    def one(check: str, when: Column, detail: Column) -> None:
+        hits.append(F.when(when, F.array(hit(check, detail))))
+
+    def many(check: str, array: Column, detail) -> None:
+        hits.append(F.transform(array, lambda x: hit(check, detail(x))))
+
+    # the rule's rows of each table, every array worked out once
+    no_rows = lambda c: F.coalesce(c, F.array())
+    factor = lambda view, f: F.struct(view.alias("perspective_id"), f["attribute"].alias("attribute"), f["conditions"].alias("conditions"),
+                                      f["effects"].alias("effects"), known(f["attribute"]).alias("known"))
+    used = F.when(ensemble, each(col("perspectives"), lambda p: F.transform(p["factors"], lambda f: factor(p["id"], f)))).otherwise(
+        F.transform("factors", lambda f: factor(lit(""), f)))
+    entry = lambda f: F.transform(F.map_entries(f["effects"]), lambda e: F.struct(f["attribute"].alias("attribute"), e["key"].alias("choice_id"), e["value"].alias("effect")))
+    value = lambda f: F.transform(f["conditions"], lambda c: F.struct(f["attribute"].alias("attribute"), c.alias("condition"), f["known"].alias("known")))
+    given = F.when(ensemble & col("hybrid"), each(col("priors"), lambda p: F.transform(
+        F.map_entries(p["base_scores"]), lambda e: F.struct(p["id"].alias("prior_id"), e["key"].alias("choice_id"), e["value"].alias("value")))))
+    chosen = each(F.map_entries("evidence"), lambda e: F.transform(e["value"], lambda s: F.struct(
+        e["key"].alias("choice_id"), s["attribute"].alias("attribute"), s["conditions"].alias("conditions"), known(s["attribute"]).alias("known"))))
+    count = lambda c: F.coalesce(size(c), lit(0))
+    rows = stored.select(
+        "rule_id", no_rows(col("choices")).alias("choices"), no_rows(F.map_keys("base_scores")).alias("keys"), no_rows(F.map_values("base_scores")).alias("scores"),
+        no_rows(used).alias("factors"),
+        no_rows(col("result_groups")).alias("groups"), ensemble.alias("ensemble"), F.coalesce("hybrid", no).alias("hybrid"), "n_interactions",
+        F.when(ensemble, no_rows(F.transform("perspectives", lambda p: p["id"]))).alias("views"),
+        F.when(ensemble, F.transform("priors", lambda p: p["id"])).alias("prior_ids"), no_rows(given).alias("given"),
+        "central_prior_id", "fit_only_prior_id", no_rows(col("excluded")).alias("excluded"), col("evidence").isNotNull().alias("empirical"), no_rows(chosen).alias("chosen"))
+    rows = rows.select("*", no_rows(each(col("factors"), value)).alias("conditions"), no_rows(each(col("factors"), entry)).alias("effects"),
+                       F.array_distinct(F.transform("given", lambda g: g["prior_id"])).alias("given_ids"),
+                       F.array_distinct(F.transform("chosen", lambda s: s["choice_id"])).alias("chosen_ids"))
+    of_prior = F.transform("given_ids", lambda p: F.struct(p.alias("id"), F.transform(F.filter("given", lambda g: g["prior_id"].eqNullSafe(p)), lambda g: g["value"]).alias("v")))
+    rows = rows.select("*", F.transform(of_prior, lambda p: F.struct(p["id"].alias("id"), total(p["v"]).alias("s"), F.array_min(p["v"]).alias("mn"),
+                                                                     F.array_max(p["v"]).alias("mx"))).alias("per_prior"))
+    choices, keys, factors, views, chosen, own = col("choices"), col("keys"), col("factors"), col("views"), col("chosen"), col("given")
+
+    # A1, A2
+    n = size(F.array_compact(choices))
+    one("A1 choice_count", (n < 2) | (n > 4), n)
+    many("A1 duplicate_choice", twice(choices), lambda c: c)
+    many("A1 reserved_choice_id", F.filter(choices, lambda c: c == DRAW_SUFFIX), lambda c: c)
+    many("A2 prior_keys", F.filter(keys, lambda c: ~within(choices, c)), lambda c: F.concat(c, lit(":extra")))
+    many("A2 prior_keys", F.filter(choices, lambda c: ~within(keys, c)), lambda c: F.concat(c, lit(":missing")))
+    s = total(col("scores"))
+    one("A2 prior_sum", (size(F.array_compact("scores")) > 0) & ((s < lo) | (s > hi)), lit(f"outside [{lo}, {hi}]"))
+
+    # A3, A4: names are suggested and values looked up further down
+    hits.append(F.transform(F.filter(factors, lambda f: ~f["known"]), lambda f: hit("A3 unknown_attribute", lit(None), f["attribute"])))
+    named = lambda c: F.concat(c["attribute"], lit("="), c["condition"])
+    illegal = lambda c: c["known"] & ~listed(pair(c["attribute"], c["condition"]))
+    many("A4 invalid_condition", F.filter("conditions", illegal), named)
+    many("A4 empty_conditions", F.filter(factors, lambda f: count(f["conditions"]) == 0), lambda f: f["attribute"])
+    if seen is not None:
+        hits.append(F.transform(F.filter("conditions", lambda c: looked_at(c["attribute"])), lambda c: hit("A4 unobserved_condition", lit(None), c["attribute"], c["condition"])))
+
+    # A5, A6
+    effect = lambda e: F.concat(e["attribute"], lit(":"), e["choice_id"])
+    many("A5 unknown_choice", F.filter("effects", lambda e: ~within(choices, e["choice_id"])), effect)
+    many("A5 effect_too_large", F.filter("effects", lambda e: F.abs(e["effect"]) > MAX_ABS_EFFECT), effect)
+    many("A5 empty_effects", F.filter(factors, lambda f: count(f["effects"]) == 0), lambda f: f["attribute"])
+    if sensitive_pattern:
+        many("A6 sensitive_attribute", F.filter(factors, lambda f: f["attribute"].rlike("(?i)" + sensitive_pattern)), lambda f: f["attribute"])
+
+    # A8, factor count, A11
+    many("A8 unsupported_group", F.filter("groups", lambda g: ~breakdown(g)), lambda g: g)
+    one("A8 too_many_groups", size("groups") > MAX_GROUPS, size("groups"))
+    of_set = lambda v: size(F.filter(factors, lambda f: f["perspective_id"].eqNullSafe(v)))
+    per_set = F.transform(F.array_distinct(F.transform(factors, lambda f: f["perspective_id"])), of_set)
+    many("S max_factors", F.when(size(factors) > MAX_FACTORS, F.filter(per_set, lambda n: n > MAX_FACTORS)), lambda n: n)
+    n = size(F.array_compact(views))
+    one("A11 perspective_count", (n < 3) | (n > 5), n)
+    many("A11 duplicate_perspective", twice(views), lambda v: v)
+    in_view = F.transform(views, lambda v: F.struct(v.alias("id"), F.when(v.isNull(), 0).otherwise(of_set(v)).alias("n")))
+    many("A11 perspective_factors", F.filter(in_view, lambda v: (v["n"] < 2) | (v["n"] > 6)), lambda v: F.concat(v["id"], lit(":"), v["n"].cast("string")))
+
+    # A10, A7
+    n = size(F.array_compact("given_ids"))
+    one("A10 prior_count", col("hybrid") & ((n < 3) | (n > 5)), n)
+    many("A10 duplicate_prior", twice(col("prior_ids")), lambda p: p)
+
+    many("A10 prior_values", F.filter("per_prior", lambda p: p["mn"].isNotNull() & ((p["mn"] <= 0) | (p["mx"] > 1) | (p["s"] < lo) | (p["s"] > hi))), lambda p: p["id"])
+    many("A10 fit_only_unequal", F.filter("per_prior", lambda p: (p["id"] == col("fit_only_prior_id")) & (p["mx"] - p["mn"] > 0.001)), lambda p: p["id"])
+    scored = lambda g: F.concat(g["prior_id"], lit(":"), g["choice_id"])
+    many("A10 prior_keys", F.filter(own, lambda g: g["prior_id"].isNull() | ~within(choices, g["choice_id"])), scored)
+    wanted = each(col("given_ids"), lambda p: F.transform(choices, lambda c: F.struct(p.alias("prior_id"), c.alias("choice_id"))))
+    many("A10 prior_keys", F.filter(wanted, lambda w: ~F.exists(own, lambda g: F.coalesce((g["prior_id"] == w["prior_id"]) & (g["choice_id"] == w["choice_id"]), no))), scored)
+    for ref, check in (("central_prior_id", "A10 central_missing"), ("fit_only_prior_id", "A10 fit_only_missing")):
+        one(check, col("hybrid") & ~within(col("given_ids"), col(ref)), F.coalesce(col(ref), lit("NULL")))
+    many("A10 unknown_excluded", F.filter("excluded", lambda a: ~known(a)), lambda a: a)
+    one("A10 no_excluded", col("hybrid") & (size("excluded") == 0), lit(""))
+    one("A7 interactions", col("n_interactions") > 0, col("n_interactions"))
+
+    # A9, A10, E13
+    many("A9 evidence_keys", F.filter("chosen_ids", lambda c: ~within(choices, c)), lambda c: F.concat(c, lit(":extra")))
+    many("A9 evidence_keys", F.when(col("empirical"), F.filter(choices, lambda c: ~within(col("chosen_ids"), c))), lambda c: F.concat(c, lit(":missing")))
+    per_choice = F.transform("chosen_ids", lambda c: F.struct(c.alias("id"), size(F.filter(chosen, lambda s: s["choice_id"] == c)).alias("n")))
+    many("A9 selector_count", F.filter(per_choice, lambda c: c["n"] > 3), lambda c: F.concat(c["id"], lit(":"), c["n"].cast("string")))
+    many("A9 unknown_evidence", F.filter(chosen, lambda s: ~s["known"]), lambda s: s["attribute"])
+    many("A9 empty_selector", F.filter(chosen, lambda s: count(s["conditions"]) == 0), lambda s: s["attribute"])
+    many("A9 invalid_selector_value", F.filter(each(chosen, value), illegal), named)
+    one("A10 evidence_and_hybrid", col("empirical") & col("hybrid"), lit(""))
+    direct = F.concat("excluded", F.transform(chosen, lambda s: s["attribute"]))
+    many("E13 evidence_leak", F.filter(factors, lambda f: within(direct, f["attribute"])), lambda f: F.concat(f["perspective_id"], lit(":"), f["attribute"]))
+
+    found = rows.select("rule_id", F.explode(F.concat(*[F.coalesce(h, F.array().cast(_HITS)) for h in hits])).alias("h")).select("rule_id", "h.*")
+    found = _looked_up(found, near, ["attribute"], "left", near.count())
+    suggestion = F.concat(col("attribute"), lit(" -> "), F.coalesce("known", lit("none")))
+    found = found.withColumn("detail", F.when(col("check") == "A3 unknown_attribute", suggestion).when(
+        col("check") == "A4 unobserved_condition", F.concat("attribute", lit("="), "condition")).otherwise(col("detail"))).drop("known")
+    if seen is not None:
+        found = _looked_up(found, seen.withColumn("_seen", lit(True)), ["attribute", "condition"], "left", seen.count()).where(
+            (col("check") != "A4 unobserved_condition") | col("_seen").isNull())
+    return found.select("rule_id", "check", "detail")
 
 
 def _finding(df: DataFrame, check: str, detail: Column) -> DataFrame:
@@ -202,19 +409,24 @@ def require_sound(rule: Rule | Ensemble, catalog: Catalog) -> None:
 
 
 def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catalog, profile: DataFrame | None = None,
-                 sensitive_pattern: str | None = None, size: Mapping[str, int] | None = None, used: Sequence[str] | None = None) -> DataFrame:
+                 sensitive_pattern: str | None = None, size: Mapping[str, int] | None = None, used: Sequence[str] | None = None,
+                 seen: DataFrame | None = None) -> DataFrame:
     """Findings of stored rules, given as the tables of SCHEMAS. ``size``: row
     bounds of tables that may be broadcast; ``used``: attributes to look up in
-    the profile (default: all of the catalog)."""
+    the profile (default: all of the catalog); ``seen``: its values, if at hand."""
 
     def small(name: str, df: DataFrame | None = None) -> DataFrame:
         # any frame derived from one rule table has at most that table's rows
         side = t[name] if df is None else df
         return side if size is None else bounded_broadcast(side, size[name])
 
+    def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        # a few keys may be in most rows of unbounded tables
+        return _looked_up(rows, table, keys, how) if size is None else rows.join(table, list(keys), how)
+
     n_values = sum(len(v) for v in catalog.attributes.values())
     dic = bounded_broadcast(catalog.to_frame(spark).select("attribute", "value"), n_values)
-    known = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.attributes], "attribute string"), len(catalog.attributes))
+    known = _known(spark, catalog)
     breakdowns = bounded_broadcast(spark.createDataFrame([(a,) for a in catalog.breakdowns], "grp string"), len(catalog.breakdowns))
     lo, hi = PRIOR_SUM_TOLERANCE
     out = []
@@ -237,8 +449,7 @@ def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catal
 
     # A3 unknown factor attribute (a close name is suggested, never substituted)
     unknown = t["factors"].join(known, "attribute", "left_anti")
-    near = closest(unknown.select(F.col("attribute").alias("unknown")), known.withColumnRenamed("attribute", "known"))
-    named = unknown.join(near.select(F.col("unknown").alias("attribute"), "known"), "attribute", "left")
+    named = looked_up(unknown, _suggested(unknown, known), ["attribute"], "left")
     out.append(_finding(named, "A3 unknown_attribute", F.concat(F.col("attribute"), F.lit(" -> "), F.coalesce("known", F.lit("none")))))
 
     # A4 conditions: legal values of known attributes; non-empty
@@ -246,17 +457,10 @@ def audit_tables(spark: SparkSession, t: Mapping[str, DataFrame], catalog: Catal
     bad = conds_known.join(dic.withColumnRenamed("value", "condition"), ["attribute", "condition"], "left_anti")
     out.append(_finding(bad, "A4 invalid_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
     out.append(_finding(t["factors"].where("n_conditions = 0"), "A4 empty_conditions", F.col("attribute")))
-    attrs = sorted(set(catalog.attributes) & set(profile.columns) & set(catalog.attributes if used is None else used)) if profile is not None else []
+    attrs = _looked_at(catalog, profile, used)
     if attrs:
-        # only attributes that rule conditions use are unpivoted
-        seen = (
-            profile.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("condition"))
-                                                for a in attrs])).alias("kv"))
-            .select("kv.attribute", "kv.condition").where(F.col("condition").isNotNull())
-            .groupBy("attribute", "condition").count()
-        )
-        unseen = t["conditions"].join(known.where(F.col("attribute").isin(*attrs)), "attribute", "left_semi").join(
-            seen, ["attribute", "condition"], "left_anti")
+        seen = _observed(profile, attrs) if seen is None else seen
+        unseen = looked_up(t["conditions"].join(known.where(F.col("attribute").isin(*attrs)), "attribute", "left_semi"), seen, ["attribute", "condition"], "left_anti")
         out.append(_finding(unseen, "A4 unobserved_condition", F.concat(F.col("attribute"), F.lit("="), F.col("condition"))))
 
     # A5 effects: known choices, |effect| <= 0.25, non-empty

@@ -40,13 +40,16 @@ def stored_rules(orders: DataFrame) -> DataFrame:
     attribute = _pick(k, 7, {0: F.lit("priorty"), 1: F.lit("c_phone")}, F.lit("priority"))
     conditions = _pick(k, 7, {2: _texts("1-URGENT", "9-NEVER"), 3: _texts()}, _texts("1-URGENT"))
     effects = _pick(k, 7, {4: _effects(a=0.4), 5: _effects(z=0.1), 6: _effects()}, _effects(a=0.1))
-    first = _factor(attribute, conditions, effects)
+    # every order's own factor is worked out once, in projections before the ones that use it
+    orders = orders.select(k, _factor(attribute, conditions, effects).alias("first"))
+    first = F.col("first")
     second = _factor(F.lit("basket"), _texts("large"), _effects(b=0.1))
+    orders = orders.select(k, first, F.array(first, second).alias("pair"))
     many = F.array_repeat(first, 13)
     factors = F.when(ensemble, F.array().cast("array<struct<attribute:string,conditions:array<string>,effects:map<string,double>>>")).when(
-        k % 19 == 0, many).otherwise(F.array(first, second))
+        k % 19 == 0, many).otherwise(F.col("pair"))
     view = lambda name, fs: F.struct(F.lit(name).alias("id"), fs.alias("factors"))
-    pair, single = F.array(first, second), F.array(second)
+    pair, single = F.col("pair"), F.array(second)
     views = _pick(k, 3, {0: F.array(view("p1", pair), view("p2", pair)), 1: F.array(view("p1", pair), view("p1", pair), view("p2", single), view("p3", pair))},
                   F.array(view("p1", pair), view("p2", pair), view("p3", F.array(first, _factor(F.lit("status"), _texts("F"), _effects(a=0.1))))))
     prior = lambda name, *v: F.struct(F.lit(name).alias("id"), _effects(**dict(zip("abc", v))).alias("base_scores"))

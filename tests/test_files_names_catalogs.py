@@ -236,3 +236,45 @@ def test_stored_rules_give_the_findings_of_configured_ones(spark):
     a = Counter(map(tuple, audit.audit_stored(spark, stored, S.ORDER_CATALOG, None, pattern).collect()))
     b = Counter(map(tuple, audit.audit(spark, S.AUDIT_RULES, S.ORDER_CATALOG, None, pattern).collect()))
     assert a == b and len(a) > 20
+
+
+def _odd_rules(n: int, seed: int) -> list[tuple]:
+    """Stored rules with NULLs, empty lists and repeated names in every place."""
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
+    some = lambda f, most: pick(None, *[[f() for _ in range(rng.randint(0, most))] for _ in range(4)])
+    choice = lambda: pick("a", "b", "c", "sample", None)
+    name = lambda: pick("priority", "priorty", "basket", "c_phone", "planet", None)
+    value = lambda: pick("1-URGENT", "large", "9-NEVER", None)
+    scores = lambda: pick(None, {k: pick(0.5, 0.3, 0.2, -0.1, 0.4, None) for k in "abcd"[:rng.randint(0, 4)]})
+    factor = lambda: (name(), some(value, 3), scores())
+    rows = []
+    for i in range(n):
+        evidence = pick(None, {k: some(lambda: (name(), some(value, 2)), 5) for k in "abq"[:rng.randint(0, 3)]})
+        rows.append((f"r{i}", pick("rule", "ensemble", "ensemble", None), some(choice, 5), scores(), some(factor, 15), some(lambda: pick("region", "status", "moon", None), 5),
+                     pick(None, 0, 2), some(lambda: (pick("p1", "p2", "p3", None), some(factor, 8)), 5), some(lambda: (pick("x", "y", "z", None), scores()), 5),
+                     pick(None, True, True, False), pick("x", "nope", None), pick("x", "y", None), some(name, 3), evidence))
+    return rows
+
+
+def test_findings_of_single_rules_equal_those_of_the_flat_tables(spark, monkeypatch):
+    """Rules whose ids occur once, repeated and NULL ids, and lookup tables too large to broadcast: all as the joins over the flat tables find them."""
+    pattern = S.TESTDATA_CLASSIFIER.sensitive_pattern
+    profile = spark.createDataFrame([("1-URGENT", "small"), (None, "small")], "priority string, basket string")
+    for rows, most in ((_odd_rules(400, 1), None), ([(r[0] if i % 3 else None if i % 2 else "r1", *r[1:]) for i, r in enumerate(_odd_rules(60, 2))], 0)):
+        stored = spark.createDataFrame(rows, audit.STORED_RULE).cache()
+        want = Counter(map(tuple, audit.audit_tables(spark, audit.rule_tables(stored), S.ORDER_CATALOG, profile, pattern).collect()))
+        if most is not None:
+            monkeypatch.setattr(audit, "BROADCAST_MAX_BYTES", most)
+        got = Counter(map(tuple, audit.audit_stored(spark, stored, S.ORDER_CATALOG, profile, pattern).collect()))
+        assert got == want and len({check for _, check, _ in got}) > 30
+
+
+def test_single_rules_are_audited_without_a_shuffle(spark):
+    """Most rules have one of few attributes and conditions; no rows are dealt by them, or by anything."""
+    orders = spark.range(0, 2000).select(F.col("id").alias("o_orderkey"))
+    profile = spark.createDataFrame([("1-URGENT",)], "priority string")
+    found = audit.audit_stored(spark, stored_rules(orders), S.ORDER_CATALOG, profile, S.TESTDATA_CLASSIFIER.sensitive_pattern)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert {"A3 unknown_attribute", "A4 unobserved_condition"} <= {r.check for r in found.select("check").distinct().collect()}
