@@ -36,6 +36,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files of a ``saved`` table."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``saved`` table; whatever is still needed of it must have been saved since."""
     spark = df.sparkSession

@@ -11,7 +11,9 @@ Two documents link when 100 * intersection >= percent * union of their sets.
    share too few of them have no partner (see ``Plan``). Regions with fewer than
    two n-grams are left out where the others suffice, so common n-grams alone
    make no candidates. Numbers of regions depend on the size class; a set
-   publishes for each class its partners may be in.
+   publishes for each class its partners may be in. A set and its partner share
+   at least ``need`` of its k shared hashes, so the rarest one they share is
+   among the k - need + 1 rarest of each; only these make groups.
    Each set also has counts of its n-grams in 2^CELL_BITS cells of the hash
    space; two sets differ in at least as many n-grams as their counts do. Those
    whose counts rule out every partner in a group leave it. A group of more than
@@ -31,6 +33,11 @@ Two documents link when 100 * intersection >= percent * union of their sets.
    of them.
 5. Components of the forests, by contraction.
 
+Sets and counts move once for each group and block they are in, which can be
+more than the table has. Steps that move them are done in passes over the
+groups, as many as keep a pass within the size of the table, and what a step
+has written is deleted when the next ones no longer read it.
+
 Cases: null text, or text without words, is an empty set and linked with
 nothing; fewer than n words are one n-gram; repeated rows link as equal sets;
 a row counts by its own text where an id is repeated; null ids are larger than
@@ -49,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import cut, discard, saved, table
+from plurality.llm.common import cut, discard, saved, stored_bytes, table
 from plurality.llm.components import components
 from plurality.llm.words import hashed, mix, windows
 
@@ -60,11 +67,14 @@ STRONG = 2
 #: cells of the n-gram counts by which hopeless sets are found, and the members of a group that are compared with as many in one task
 CELL_BITS, SEARCHED = 9, 10_000
 
-#: parts in which the region hashes are matched and the groups compared, one after the other
-PASSES = 3
+#: parts at least in which the region hashes are matched and the groups compared, one after the other
+PASSES = 4
+#: what a pass may move in any case: rows with counts, and n-grams
+PASS_ROWS, PASS_NGRAMS = 250_000, 64_000_000
 
 SKETCH = "doc_id long, tie long, id long, s1 long, n long, counts binary, regions array<struct<kind:int,need:int,sigs:array<long>>>"
 SETS = "leader long, part int, block int, probe boolean, node long, grams binary"
+GOAL = ["leader", "part", "block", "probe"]
 
 
 def ngram_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -88,12 +98,21 @@ class Plan:
     agrees in at least regions - differences of them. With ``weak`` regions of
     fewer than STRONG n-grams, at least regions - differences - weak agreeing
     ones are strong; if that is below 1, the weak ones are published as well.
+    There are as many spare regions as it takes that this is rare: weak regions
+    are expected to be two thirds of them at most.
     """
 
     RATIO = 1.5
 
     def __init__(self, percent: int):
-        self.percent = percent
+        self.percent, self.spare = percent, 8
+        while self.spare > 2 and self._weak(1 + 1 / self.spare) > 2 / 3 / self.spare:
+            self.spare //= 2
+
+    def _weak(self, regions: float) -> float:
+        """Expected number of regions with fewer than two n-grams, both a difference."""
+        mean = (100 + self.percent) / (2 * max(1, 100 - self.percent)) / regions
+        return regions * (1 + mean) * float(np.exp(-mean))
 
     def largest(self, n: int) -> int:
         """Size of the largest set that can link to one of size n."""
@@ -114,7 +133,7 @@ class Plan:
 
     def regions(self, kind: int) -> int:
         d = self.differences(self.bounds(kind)[1])
-        return d + 1 + (d + 1) // 8
+        return d + 1 + (d + 1) // self.spare
 
     def published(self, grams: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(class, least number of shared hashes, hashes) for each class of a partner."""
@@ -187,8 +206,8 @@ def plausible(counts: np.ndarray, sizes: np.ndarray, percent: int, side: np.ndar
     return out
 
 
-def _dealt(members: DataFrame, counts: DataFrame, percent: int, searched: int) -> DataFrame:
-    """Rows (node, n, leader) of large groups with their counts, once for each pair of blocks (``lo``, ``hi``) they are in; ``side`` is true for those of hi <> lo.
+def _dealt(members: DataFrame, percent: int, searched: int) -> DataFrame:
+    """Rows (node, n, leader) of large groups with ``pairs``, the pairs of blocks (``lo``, ``hi``) they are in; ``side`` is true for those of hi <> lo.
 
     Linked sets are in the same or in neighbouring size classes; a class has as
     many blocks as it takes for about ``searched`` members each.
@@ -207,8 +226,7 @@ def _dealt(members: DataFrame, counts: DataFrame, percent: int, searched: int) -
         transform(filter(sequence(0L, greatest(up, 1L) - 1), x -> up > 0), x -> struct({2} AS lo, {3} AS hi, false AS side)),
         transform(filter(sequence(0L, greatest(down, 1L) - 1), x -> down > 0), x -> struct({4} AS lo, {2} AS hi, true AS side)))"""
     pairs = pairs.format(named("class", "least(a, x)"), named("class", "greatest(a, x)"), named("class", "a"), named("class + 1", "x"), named("class - 1", "x"))
-    rows = rows.join(counts, "node").select("node", "n", "leader", "counts", F.explode(F.expr(pairs)).alias("p"))
-    return rows.select("node", "n", "leader", "p.lo", "p.hi", "p.side", "counts")
+    return rows.select("node", "n", "leader", F.expr(pairs).alias("pairs"))
 
 
 def _hopeful(wanted: DataFrame, percent: int) -> DataFrame:
@@ -367,6 +385,101 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _passes(volume: int, most: int) -> int:
+    """In how many passes ``volume`` moves if each may take ``most``."""
+    return max(1, -(-volume // most))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _candidates(sketched: DataFrame) -> DataFrame:
+    """Distinct (node, leader): the sets that published an equal hash, with the smallest of them. Deletes ``sketched``."""
+    # equal sets publish the same hashes under the same node, so copies are no partners
+    hits = sketched.select(F.col("s1").alias("node"), F.explode("regions").alias("r"))
+    hits = hits.select("node", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
+    known, met = stored_bytes(sketched), []
+    for i in range(PASSES):
+        mine = hits.filter(F.pmod("sig", F.lit(PASSES)) == i)
+        shared = mine.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("rows"))
+        shared = saved(shared.filter("a < b").select("sig", "rows"), "shared")
+        # distinct where a hash's rows are: copies do not travel to their node
+        joined = mine.join(shared, "sig").distinct().select("node", "kind", "need", F.struct("rows", "sig").alias("hit"))
+        met.append(saved(joined.repartition("node").groupBy("node", "kind", "need").agg(F.collect_list("hit").alias("hits")), "hits"))
+        discard(shared)
+    discard(sketched)  # all regions that two sets share are in the hits
+    # a set's rarest hits, one of which it shares with each partner
+    every, rarest = _union(met), []
+    passes = _passes(PASSES * sum(map(stored_bytes, met)), max(known, 1))
+    for i in range(passes):
+        mine = every.filter(F.pmod(F.xxhash64("node"), F.lit(passes)) == i)
+        mine = mine.groupBy("node", "kind", "need").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+        mine = mine.filter(F.size("hits") >= F.col("need")).withColumn("hits", F.expr("slice(hits, 1, size(hits) - need + 1)"))
+        rarest.append(saved(mine.select("node", F.col("hits.sig").alias("sigs")), "rarest"))
+    for old in met:
+        discard(old)
+    every, met = _union(rarest).select("node", F.explode("sigs").alias("sig")), []
+    passes = _passes(PASSES * sum(map(stored_bytes, rarest)), max(known, 1))
+    for i in range(passes):
+        mine = every.filter(F.pmod("sig", F.lit(passes)) == i)
+        shared = saved(mine.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"), "shared")
+        met.append(saved(mine.join(shared, "sig").select("node", "leader").distinct(), "pairs"))
+        discard(shared)
+    for old in rarest:
+        discard(old)
+    out = saved(_union(met).distinct(), "candidates")
+    for old in met:
+        discard(old)
+    return out
+
+
+def _thinned(candidates: DataFrame, narrow: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """Saved rows (node, n, leader) of the candidates whose counts do not rule out every partner in the group."""
+    wanted = saved(candidates.join(narrow.select("node", "n").distinct(), "node"), "members")
+    large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
+    alone = F.expr("array(struct(0L AS lo, 0L AS hi, false AS side))").alias("pairs")
+    groups = wanted.join(large, "leader", "left_anti").select("node", "n", "leader", alone)
+    if not large.isEmpty():
+        groups = groups.unionByName(_dealt(wanted.join(large, "leader", "left_semi").select("node", "n", "leader"), percent, SEARCHED))
+    groups = saved(groups, "groups")
+    counts = saved(narrow.select("node", "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "counts")
+    passes = _passes(groups.agg(F.sum(F.size("pairs"))).first()[0] or 0, max(PASS_ROWS, n_rows))
+    found = []
+    for i in range(passes):
+        mine = groups.withColumn("pairs", F.expr(f"filter(pairs, p -> pmod(xxhash64(leader, p.lo, p.hi), {passes}) = {i})")) if passes > 1 else groups
+        mine = mine.filter(F.size("pairs") > 0).join(counts, "node").select("node", "n", "leader", "counts", F.explode("pairs").alias("p"))
+        found.append(saved(_hopeful(mine.select("node", "n", "leader", "p.lo", "p.hi", "p.side", "counts"), percent), "hopeful"))
+    out = saved(_union(found).distinct(), "wanted")
+    for old in (wanted, groups, counts, *found):
+        discard(old)
+    return out
+
+
+def _compared(texts: DataFrame, words: int, percent: int, passes: int) -> DataFrame:
+    """Edges between the sets of ``texts`` (node, text, and in ``goals`` the groups it is in, with its n-grams made anew for each pass)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
+            for node, goals, grams in zip(batch.column("node"), batch.column("goals"), ngram_sets(texts, words), strict=True):
+                goals, data = goals.values, pa.scalar(grams.tobytes(), pa.binary())
+                for at in range(0, len(goals), 64):
+                    to = goals.slice(at, 64)
+                    rows = [to.field(c) for c in GOAL] + [pa.array([node.as_py()] * len(to), pa.int64()), pa.array([data] * len(to), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(rows, [*GOAL, "node", "grams"])
+
+    found = []
+    for i in range(passes):  # some of the groups, then the next ones
+        mine = F.expr(f"filter(goals, g -> pmod(xxhash64(g.leader, g.part, g.block), {passes}) = {i})")
+        some = texts.select("node", mine.alias("goals"), "text").filter(F.size("goals") > 0)
+        found.append(saved(_links(some.mapInArrow(spread, SETS), percent), "edges"))
+    return _union(found)
+
+
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group_ngrams: int = GROUP_NGRAMS) -> DataFrame:
     """doc_id, n_shingles, component_id per row, and ``row``, ``tie`` (by which rows are told apart) and ``first`` (it stands for its component)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
@@ -374,67 +487,30 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     sketched = saved(sketch(rows, words, percent), "sketch")
     narrow = saved(sketched.select("doc_id", *row_key, "id", "n", F.col("s1").alias("node"), "counts"), "narrow")
     known = narrow.drop("counts")
-    # equal sets publish the same hashes under the same node, so copies are no partners
-    hits = sketched.select(F.col("s1").alias("node"), "n", F.explode("regions").alias("r"))
-    hits = hits.select("node", "n", "r.kind", "r.need", F.explode("r.sigs").alias("sig"))
-    for passes in (PASSES, 1):  # the second time among those with enough shared hashes
-        met = []
-        for i in range(passes):
-            mine = hits.filter(F.pmod("sig", F.lit(passes)) == i) if passes > 1 else hits
-            shared = saved(mine.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"), "shared")
-            met.append(saved(mine.select("node", "n", "kind", "need", "sig").join(shared, "sig").distinct(), "hits"))
-        if passes > 1:
-            discard(sketched)  # all regions that two sets share are in the hits
-        hits = met[0]
-        for more in met[1:]:
-            hits = hits.unionByName(more)
-        enough = hits.groupBy("node", "kind", "need").agg(F.count("*").alias("k")).filter("k >= need").select("node", "kind")
-        hits = hits.join(enough, ["node", "kind"])
-    wanted = cut(hits.select("node", "n", "leader").distinct())
-    large = cut(wanted.groupBy("leader").count().filter(F.col("count") > SEARCHED).select("leader"))
-    counts = narrow.select("node", "counts").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    whole = wanted.join(large, "leader", "left_anti").join(counts, "node").select("node", "n", "leader", "counts")
-    whole = whole.select("*", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(False).alias("side"))
-    hopeful = _hopeful(whole, percent)
-    if not large.isEmpty():
-        members = wanted.join(large, "leader", "left_semi").select("node", "n", "leader")
-        hopeful = hopeful.unionByName(_hopeful(_dealt(members, counts, percent, SEARCHED), percent).distinct())
-    wanted = saved(hopeful, "wanted")
+    n_rows, n_grams = known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    most = max(PASS_NGRAMS, n_grams // PASSES)
+    candidates = _candidates(sketched)
+    wanted = _thinned(candidates, narrow, percent, n_rows)
+    discard(candidates)
     # parts of a group by its number of n-grams; most have one
     parts = wanted.groupBy("leader").agg(F.ceil(F.sum("n") / group_ngrams).cast("int").alias("parts"))
     big = cut(parts.filter("parts > 1"))
-    placed = wanted.join(big, "leader", "left").select("node", "leader", F.coalesce("parts", F.lit(1)).alias("parts"))
-    goals = placed.groupBy("node").agg(F.collect_set(F.struct("leader", "parts")).alias("goals"))
-    # one row of each node gives its text; rows are told apart by id and text hash
-    owners = known.select("row", "tie", "node").join(goals.select("node"), "node", "left_semi")
-    owners = owners.groupBy("node").agg(F.min(F.struct("row", "tie")).alias("own")).select("own.row", "own.tie", "node")
+    # the leader is in every part of its group
+    own = F.expr("if(node = leader, sequence(0, coalesce(parts, 1) - 1), array(cast(pmod(xxhash64(node), coalesce(parts, 1)) as int)))")
+    placed = wanted.join(big, "leader", "left").select("node", "n", "leader", F.explode(own).alias("part"))
+    placed = placed.select("node", "n", "leader", "part", F.lit(0).alias("block"), F.lit(False).alias("probe"))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
-            for node, goals_, grams in zip(batch.column("node"), batch.column("goals"), ngram_sets(texts, words), strict=True):
-                data = grams.tobytes()
-                node = node.as_py()
-                to = []
-                for goal in goals_.as_py():
-                    if goal["leader"] == node:
-                        to += [(node, p) for p in range(goal["parts"])]
-                    else:
-                        to.append((goal["leader"], ((node * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32) % goal["parts"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in to], pa.int64()), pa.array([x[1] for x in to], pa.int32()), pa.array([0] * len(to), pa.int32()),
-                     pa.array([False] * len(to)), pa.array([node] * len(to), pa.int64()), pa.array([data] * len(to), pa.binary())],
-                    ["leader", "part", "block", "probe", "node", "grams"])
+    def goals(places: DataFrame) -> DataFrame:
+        return places.groupBy("node").agg(F.collect_set(F.struct(*GOAL)).alias("goals"))
 
+    # one row of each node gives its text; rows are told apart by id and text hash
+    owners = known.select("row", "tie", "node").join(wanted.select("node").distinct(), "node", "left_semi")
+    owners = owners.groupBy("node").agg(F.min(F.struct("row", "tie")).alias("own")).select("own.row", "own.tie", "node")
     # the texts that are compared are written before their sets move, so that both shuffles are not there at once
-    texts = rows.select(*row_key, "text").join(owners.join(goals, "node"), ["row", "tie"])
+    texts = rows.select(*row_key, "text").join(owners.join(goals(placed), "node"), ["row", "tie"])
     texts = saved(texts.select("node", "goals", "text"), "texts")
-    edges = None
-    for i in range(PASSES):  # some of the groups, then the next ones
-        mine = F.expr(f"filter(goals, g -> pmod(xxhash64(g.leader), {PASSES}) = {i})")
-        some = texts.select("node", mine.alias("goals"), "text").filter(F.size("goals") > 0)
-        found = saved(_links(some.mapInArrow(spread, SETS), percent), "edges")
-        edges = found if edges is None else edges.unionByName(found)
+    volume = placed.agg(F.sum("n")).first()[0] or 0
+    edges = _compared(texts, words, percent, max(PASSES, _passes(volume, most)))
     if not big.isEmpty():
         # sets of a large group outside its leader's component meet the others and each other, in blocks
         member = components(edges)
@@ -443,17 +519,20 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         large = cut(large.select("leader", "node", "n", (F.coalesce("root", "node") != F.coalesce("leader_root", "leader")).alias("apart")))
         blocks = large.groupBy("leader").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("apart") == x, F.col("n"))), F.lit(0)) / group_ngrams).cast("int").alias(name)
                                                for x, name in ((True, "blocks"), (False, "parts"))]).filter("blocks > 0")
-        dealt = large.join(cut(blocks), "leader").select("leader", "node", "apart", "blocks", "parts")
+        dealt = large.join(cut(blocks), "leader").select("leader", "node", "n", "apart", "blocks", "parts")
         dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(node), if(apart, blocks, parts)) as int)"))
         meets = F.expr("""if(apart, concat(
             transform(sequence(0, blocks - 1), x -> struct(-1 - least(own, x) AS part, greatest(own, x) AS block, own > x AS probe)),
             transform(filter(sequence(0, greatest(parts, 1) - 1), x -> parts > 0), x -> struct(x AS part, own AS block, true AS probe))),
             transform(sequence(0, blocks - 1), x -> struct(own AS part, x AS block, false AS probe)))""")
-        # the sets of these groups, made again from their texts; the leader is in every part of its group
-        sets = texts.join(dealt.select("node").distinct(), "node", "left_semi").mapInArrow(spread, SETS)
-        once = sets.filter("node <> leader or part = 0").select("leader", "node", "grams")
-        pairs = once.join(dealt, ["leader", "node"]).select("leader", "node", "grams", F.explode(meets).alias("m"))
-        edges = edges.unionByName(_links(pairs.select("leader", "m.part", "m.block", "m.probe", "node", "grams"), percent))
+        pairs = dealt.select("leader", "node", "n", F.explode(meets).alias("m")).select("leader", "node", "n", "m.part", "m.block", "m.probe")
+        volume = pairs.agg(F.sum("n")).first()[0] or 0
+        # the sets of these groups are made again from their texts
+        again = saved(texts.drop("goals").join(goals(pairs), "node"), "texts")
+        edges = edges.unionByName(_compared(again, words, percent, _passes(volume, most)))
+        discard(again)
+    discard(texts)
+    discard(wanted)
     member = components(edges)
     # the smallest id of each set, and of each component; sets without links are their own
     least = known.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
@@ -462,8 +541,10 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     linked = joined.join(smallest, "root").select("node", "component")
     named = cut(least.join(linked, "node", "left").select("node", F.coalesce("component", "least").alias("component")))
     out = known.join(named, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NULL_IDS, F.col("component")).alias("component_id"),
-                      "row", "tie", (F.col("component") == F.col("id")).alias("first"))
+    out = saved(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < NULL_IDS, F.col("component")).alias("component_id"),
+                           "row", "tie", (F.col("component") == F.col("id")).alias("first")), "components")
+    discard(narrow)
+    return out
 
 
 def keep_first(docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -426,6 +426,55 @@ def test_groups_above_searched_are_thinned_by_counts(spark, monkeypatch):
     assert 16 <= linked and steps[0][0] <= linked + 5
 
 
+def test_counts_of_groups_move_in_passes(spark, monkeypatch):
+    """A large group's counts go to each of its pairs of blocks; no pass may move more of them than the table has rows."""
+    passage = prose(41, 130)
+    texts = [prose(6000 + i, 35) + " " + passage + " " + prose(7000 + i, 35) for i in range(120)]
+    texts += [x.replace(x.split()[5], "other", 1) for x in texts[:6]]
+    rows, moved, hopeful = list(enumerate(texts)), [], jaccard_join._hopeful
+
+    def spy(wanted, percent):
+        moved.append(wanted.count())
+        return hopeful(wanted, percent)
+
+    monkeypatch.setattr(jaccard_join, "SEARCHED", 10)
+    monkeypatch.setattr(jaccard_join, "PASS_ROWS", 1, raising=False)
+    monkeypatch.setattr(jaccard_join, "_hopeful", spy)
+    before = scratch_tables(spark)
+    got = jaccard_join.join_components(odd(spark, rows), 5, 80).collect()
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got) == key(joined(rows, 5, 80))
+    # twice the table for what the hash deals unevenly
+    assert sum(moved) > 4 * len(rows) and max(moved) <= 2 * len(rows)
+    # what the steps have written is gone, but for what the result reads
+    assert {re.sub("-[0-9a-f]+$", "", x) for x in scratch_tables(spark) - before} <= {"components", "edges"}
+
+
+def scratch_tables(spark):
+    """Names of the tables in the application's part of the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.getPath().getName() for x in files.listStatus(folder)} if files.exists(folder) else set()
+
+
+def test_rarest_hits_lose_no_pair(spark):
+    """Texts of common passages, of which each hash is in many texts, and close copies of some."""
+    r = random.Random(12)
+    passages = [prose(8000 + i, 40) for i in range(6)]
+    texts = []
+    for i in range(60):
+        own = " ".join([*r.sample(passages, r.choice([2, 3, 4])), prose(9000 + i, r.choice([2, 5, 20, 60]))])
+        texts.append(own)
+        for _ in range(r.choice([0, 1, 2])):
+            words = own.split()
+            for _ in range(r.choice([1, 2, 4])):
+                words[r.randrange(len(words))] = r.choice(VOCABULARY)
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    for k, percent in ((5, 80), (3, 90)):
+        got = jaccard_join.join_components(odd(spark, rows), k, percent).collect()
+        assert key((x.doc_id, x.n_shingles, x.component_id) for x in got) == key(joined(rows, k, percent))
+
+
 def test_plausible_equals_all_pairs():
     r = np.random.default_rng(4)
     for percent in (80, 90):
